@@ -1,0 +1,33 @@
+"""Sorted reports, Monte-Carlo draws, ranks over draws, posteriors and design choices."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from surveyframe.functions.basics import clip, std_normal, uniform
+from surveyframe.operators.scale import (cumulative, medians, quantiles, salted_join, scalar_of, top_rows)
+
+
+def sorted_positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Positions of a report-sized table in a multi-key order."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
+
+
+def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
+    """The k largest rows and the k-th value as `threshold`."""
+    best = df.orderBy(F.col(value).desc(), F.col(key).asc()).limit(k)
+    return best.withColumn("threshold", F.min(value).over(W.partitionBy(F.lit(0))))
+
+
+def shortlist(df: DataFrame, floors: dict[str, float], key: str) -> DataFrame:
+    """Rows above every floor, numbered by the product of the floored columns."""
+    keep, product = F.lit(True), F.lit(1.0)
+    for c, f in floors.items():
+        keep, product = keep & (F.col(c) >= f), product * F.col(c)
+    kept = df.filter(keep).withColumn("product", product).withColumn("_neg", -F.col("product"))
+    return cumulative(kept, "_neg", {"pos": F.lit(1).cast("bigint")}, tie=key).drop("_neg")

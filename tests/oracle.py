@@ -40,15 +40,16 @@ def compare(df, con, sql):
         return f"rows {len(got)} vs {len(want)}"
     notes = [f"type {c}: {got_types[c]} vs {want_types[c]}" for c in got_types if got_types[c] != want_types[c]]
     cols = sorted(got_types)
+    missing = lambda v: v is None or v is pd.NaT or v is pd.NA or v != v
 
     def norm(f):
         out = pd.DataFrame()
         for c in cols:
             s = f[c]
             if want_types[c] in ("DOUBLE", "FLOAT") or got_types[c] in ("DOUBLE", "FLOAT"):
-                out[c] = [None if v is None or v != v else float(v) for v in s]
+                out[c] = [None if missing(v) else float(v) for v in s]
             else:
-                out[c] = [None if v is None or v is pd.NaT or v != v else str(v) for v in s]
+                out[c] = [None if missing(v) else str(v) for v in s]
         return out
 
     a, b = norm(got), norm(want)
@@ -82,7 +83,7 @@ def main():
     from pyspark.sql import SparkSession
     from surveyframe.plans import registry
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if a.module:
