@@ -48,6 +48,8 @@ def compare(df, con, sql):
             s = f[c]
             if want_types[c] in ("DOUBLE", "FLOAT") or got_types[c] in ("DOUBLE", "FLOAT"):
                 out[c] = [None if missing(v) else float(v) for v in s]
+            elif "INT" in want_types[c]:
+                out[c] = [None if missing(v) else str(int(v)) for v in s]
             else:
                 out[c] = [None if missing(v) else str(v) for v in s]
         return out
