@@ -147,14 +147,15 @@ def compare_grids(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], x: st
     """Per key: coverage, median offset, normalised differences and correlation of a fine on a coarse grid."""
     pairs = overlap_bins(fine.filter(F.col(e) > 0), coarse, keys, x, centre, half, width)
     w = 1 / F.pow(F.col(e), 2)
-    binned = pairs.groupBy(*keys, bin_id).agg((F.sum(w * F.col(y)) / F.sum(w)).alias("fb"), F.first(cy).alias("d"), F.first(ce).alias("s"))
-    binned = binned.withColumn("diff", F.col("d") - F.col("fb")).withColumn("nd", F.abs("diff") / F.col("s"))
+    binned = pairs.groupBy(*keys, bin_id).agg((F.sum(w * F.col(y)) / F.sum(w)).alias("_fine"), F.first(cy).alias("_coarse"),
+                                              F.first(ce).alias("_sigma"))
+    binned = binned.withColumn("_diff", F.col("_coarse") - F.col("_fine")).withColumn("_nd", F.abs("_diff") / F.col("_sigma"))
     n = coarse.groupBy(*keys).agg(F.count("*").alias("n_coarse"))
-    got = binned.groupBy(*keys).agg(F.count("*").alias("n_compared"), F.corr("d", "fb").alias("corr"))
-    med = medians(binned, keys, median_offset="diff", norm_diff="nd")
+    got = binned.groupBy(*keys).agg(F.count("*").alias("n_compared"), F.corr("_coarse", "_fine").alias("corr"))
+    med = medians(binned, keys, median_offset="_diff", norm_diff="_nd")
     after = binned.join(med.select(*keys, "median_offset"), list(keys)).withColumn(
-        "na", F.abs(F.col("diff") - F.col("median_offset")) / F.col("s"))
-    after = medians(after, keys, norm_diff_after_offset="na")
+        "_na", F.abs(F.col("_diff") - F.col("median_offset")) / F.col("_sigma"))
+    after = medians(after, keys, norm_diff_after_offset="_na")
     k = list(keys)
     return (n.join(got, k, "left").join(med, k, "left").join(after, k, "left")
             .withColumn("n_compared", F.coalesce("n_compared", F.lit(0)))

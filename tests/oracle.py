@@ -96,6 +96,8 @@ def main():
     sf_dir = f"/root/testdata/sf{a.sf}"
     con, bad = connect(sf_dir), 0
     for name, q in registry.QUERIES.items():
+        if a.module and q.run.__module__.rsplit(".", 1)[-1] not in a.module.split(","):
+            continue
         if a.names and name not in a.names:
             continue
         t0 = time.time()
