@@ -45,3 +45,148 @@ def input_frame(df: DataFrame, key: str, completeness: Sequence[str], tie: str,
     best = top_rows(df, [key], [filled.desc(), F.col(tie).asc()]).dropna(subset=list(required))
     best = best.withColumn("id", F.regexp_replace(text_id, "[^0-9]", "").cast("bigint"))
     return best.withColumns({n: F.lit(v) for n, v in constants.items()})
+
+
+# ---- reports over scores ---------------------------------------------------------------------------
+
+def compare_groups(df: DataFrame, inside: Column, flags: dict[str, Column], features: dict[str, str]) -> DataFrame:
+    """signal, inside, outside, difference: flag prevalence in percent and feature medians of a group against the rest."""
+    x = df.withColumn("_in", inside)
+    pct = x.groupBy("_in").agg(*[(F.avg(c.cast("int")) * 100).alias(n) for n, c in flags.items()])
+    med = medians(x, ["_in"], **features)
+    wide = pct.join(med, "_in")
+    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("v")) for n in [*flags, *features]]))
+    long = wide.select("_in", cells)
+    side = lambda flag: F.max(F.when(F.col("_in") == F.lit(flag), F.col("v")))
+    return long.groupBy("signal").agg(side(True).alias("inside"), side(False).alias("outside"), (side(True) - side(False)).alias("difference"))
+
+
+def bucket_composition(df: DataFrame, bucket: str, missed: Column) -> DataFrame:
+    g = df.groupBy(bucket).agg(F.count("*").alias("rows"), F.count_if(missed).alias("_m"))
+    total = scalar_of(g, n=F.sum("rows"), m=F.sum("_m"))
+    return g.select(bucket, "rows", (F.col("rows") / total["n"]).alias("share"), (F.col("_m") / F.col("rows")).alias("miss_rate"),
+                    (total["m"] / total["n"]).alias("base_rate"))
+
+
+def against_rest(df: DataFrame, group: str, hit: Column) -> DataFrame:
+    """Hits of each group and of everything else, with Fisher's exact p."""
+    from surveyframe.functions.stats import fisher_two_sided
+
+    g = df.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(hit).alias("rejected"))
+    total = scalar_of(g, n=F.sum("rows"), k=F.sum("rejected"))
+    g = g.withColumn("rest", total["n"] - F.col("rows")).withColumn("rest_rejected", total["k"] - F.col("rejected"))
+    p = fisher_two_sided("rejected", F.col("rows") - F.col("rejected"), "rest_rejected", F.col("rest") - F.col("rest_rejected"))
+    return g.withColumn("p", p)
+
+
+def agreement(df: DataFrame, a: str, b: str, part: str, name: str) -> DataFrame:
+    """Agreement and kappa of two 0/1 labelings, per part and over all rows."""
+    from surveyframe.functions.stats import kappa
+
+    g = df.withColumn(name, F.explode(F.array(F.col(part), F.lit("all")))).groupBy(name).agg(
+        F.sum(F.col(a) * F.col(b)).alias("_b"), F.sum(a).alias("_p"), F.sum(b).alias("_q"), F.count("*").alias("_n"),
+        F.avg((F.col(a) == F.col(b)).cast("int")).alias("agreement"))
+    return g.select(name, "agreement", kappa(F.col("_b"), F.col("_p"), F.col("_q"), F.col("_n")).alias("kappa"))
+
+
+def stage_yields(df: DataFrame, group: str, stages: dict[str, Column], shift: float) -> DataFrame:
+    """Rows surviving each stage, the share of the last two stages, and whether it is off the overall share by more than `shift`."""
+    names = list(stages)
+    g = df.groupBy(group).agg(*[F.count_if(c).alias(n) for n, c in stages.items()])
+    share = F.col(names[-1]) / F.nullif(names[-2], F.lit(0))
+    overall = g.agg((F.sum(names[-1]) / F.sum(names[-2])).alias("o")).scalar()
+    return g.withColumn("share", share).withColumn("shifted", F.abs(F.col("share") - overall) > shift)
+
+
+def family_selection(runs: DataFrame, family: str, value: str, order: str) -> DataFrame:
+    """Mean and spread per family; the first family in `order` within one spread of the best mean is chosen."""
+    f = runs.groupBy(family).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("runs"))
+    floor = f.agg(F.max_by(F.struct((F.col("mean") - F.coalesce("sd", F.lit(0.0))).alias("floor")), F.struct("mean", -F.col(order)))["floor"]).scalar()
+    first = f.filter(F.col("mean") >= floor).agg(F.min_by(family, order)).scalar()
+    return f.withColumn("chosen", F.col(family) == first)
+
+
+def roll_up(df: DataFrame, key: str, score: str, label: str, order: str) -> DataFrame:
+    return df.groupBy(key).agg(F.avg(score).alias("mean_score"), F.min_by(label, order).alias("label"), F.count("*").alias("items"),
+                               F.min(score).alias("low"), F.max(score).alias("high"))
+
+
+def reliability_note(pos: str, neg: str) -> Column:
+    few = F.least(pos, neg)
+    return F.when(few == 0, "not evaluable").when(few < 3, "unreliable").when(few < 5, "indicative").otherwise("usable")
+
+
+def boundary_validation(df: DataFrame, y: str, definitions: Sequence[str], tentative: Column) -> DataFrame:
+    """Per boundary definition: rows on the right side and the AUC of the margin, with and without tentative rows."""
+    from surveyframe.operators.metrics import roc_auc
+
+    cells = F.inline(F.array(*[F.struct(F.lit(d).alias("definition"), F.col(d).alias("margin")) for d in definitions]))
+    long = df.select(F.col(y).alias("y"), tentative.alias("tentative"), cells)
+    right = long.groupBy("definition").agg(F.count("*").alias("rows"), F.count_if((F.col("margin") > 0) == (F.col("y") == 1)).alias("correct"))
+    every = roc_auc(long, "y", "margin", ["definition"]).select("definition", "auc")
+    firm = roc_auc(long.filter("not tentative"), "y", "margin", ["definition"]).select("definition", F.col("auc").alias("auc_firm"))
+    return right.join(every, "definition").join(firm, "definition", "left")
+
+
+def masking_test(df: DataFrame, y: str, before: str, after: str) -> DataFrame:
+    """Median score drop by label and the AUC before and after a band is masked."""
+    from surveyframe.operators.metrics import roc_auc
+
+    drop = medians(df.withColumn("_d", F.col(before) - F.col(after)), [y], median_drop="_d")
+    auc = lambda s: roc_auc(df, y, s).select("auc").scalar()
+    return drop.withColumn("auc_before", auc(before)).withColumn("auc_after", auc(after))
+
+
+def recovery_by_level(df: DataFrame, keys: Sequence[str], base: str, treated: str, boundary: float, error: Column) -> DataFrame:
+    """Per level: AUC against the item's own untreated score, shares above a boundary, share of signals above 3 errors."""
+    from surveyframe.operators.metrics import roc_auc
+
+    both = df.select(*keys, F.inline(F.array(F.struct(F.lit(1).alias("y"), F.col(treated).alias("v")), F.struct(F.lit(0).alias("y"), F.col(base).alias("v")))))
+    rates = df.groupBy(*keys).agg(F.avg((F.col(treated) >= boundary).cast("int")).alias("recovered"),
+                                  F.avg((F.col(base) >= boundary).cast("int")).alias("false_rate"),
+                                  F.avg((F.col(treated) - F.col(base) > 3 * error).cast("int")).alias("visible"))
+    return rates.join(roc_auc(both, "y", "v", keys).select(*keys, "auc"), list(keys))
+
+
+def adoption(df: DataFrame, y: str, new: str, old: str, gain: float) -> DataFrame:
+    """The new scorer is adopted when its AUC gain exceeds `gain` and its Brier score is no worse."""
+    from surveyframe.operators.metrics import roc_auc
+
+    auc = lambda s: roc_auc(df, y, s).select("auc").scalar()
+    square = lambda s: F.avg(F.pow(F.col(s) - F.col(y), 2))
+    g = df.agg((square(old) - square(new)).alias("brier_gain")).withColumn("auc_gain", auc(new) - auc(old))
+    return g.select("auc_gain", "brier_gain", ((F.col("auc_gain") > gain) & (F.col("brier_gain") >= 0)).alias("adopt"))
+
+
+def split_change(df: DataFrame, part: str, y: str, score: str) -> DataFrame:
+    """metric, val, test, change."""
+    from surveyframe.operators.metrics import roc_auc
+
+    m = roc_auc(df, y, score, [part]).select(part, "auc").join(
+        df.groupBy(part).agg(F.avg(F.pow(F.col(score) - F.col(y), 2)).alias("brier")), part)
+    long = m.select(part, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("auc", "brier")])))
+    at = lambda p: F.max(F.when(F.col(part) == p, F.col("v")))
+    return long.groupBy("metric").agg(at("val").alias("val"), at("test").alias("test"), (at("test") - at("val")).alias("change"))
+
+
+def expectations(df: DataFrame, keys: Sequence[str], checks: dict[str, Column]) -> DataFrame:
+    """One row per named expectation; NULL when a metric it needs is missing."""
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("holds")) for n, c in checks.items()])))
+
+
+def detection_call(p1: str, p2: str, low: str, high: str, present: float = 0.8, absent: float = 0.2) -> Column:
+    """present / absent / ambiguous from two calibrated scores, ambiguous when single items lie on both sides of 0.5."""
+    a, b = F.col(p1), F.col(p2)
+    return (F.when((F.col(low) < 0.5) & (F.col(high) >= 0.5), "ambiguous").when((a >= present) & (b >= present), "present")
+            .when((a <= absent) & (b <= absent), "absent").otherwise("ambiguous"))
+
+
+def prospective(df: DataFrame, keys: Sequence[str], outcome: str, score: str, at_least_pos: int, at_least_neg: int) -> DataFrame:
+    """Resolved and open registrations, scored only when enough are resolved each way."""
+    from surveyframe.operators.metrics import roc_auc
+
+    k = df.groupBy(*keys).agg(F.count_if(F.col(outcome) == 1).alias("resolved_pos"), F.count_if(F.col(outcome) == 0).alias("resolved_neg"),
+                              F.count_if(F.col(outcome).isNull()).alias("open"))
+    a = roc_auc(df, outcome, score, keys).select(*keys, "auc")
+    enough = (F.col("resolved_pos") >= at_least_pos) & (F.col("resolved_neg") >= at_least_neg)
+    return k.join(a, list(keys), "left").withColumn("auc", F.when(enough, F.col("auc")))
