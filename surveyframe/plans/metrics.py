@@ -279,7 +279,7 @@ def _(t):
 
 
 @query("family_selection", "A51", """with r as (select s_nationkey as family, s_acctbal as v from supplier), f as (select family, avg(v) as mean, stddev_samp(v) as sd, count(*) as runs from r group by 1),
-b as (select * from f order by mean desc, family limit 1) select family, round(mean, 4) as mean, round(sd, 4) as sd, runs, family = (select min(f.family) from f, b where f.mean >= b.mean - b.sd) as chosen from f""")
+b as (select * from f order by mean desc, family limit 1) select family, round(mean, 4) as mean, round(sd, 4) as sd, runs, family = (select min(f.family) from f, b where f.mean >= b.mean - coalesce(b.sd, 0)) as chosen from f""")
 def _(t):
     from surveyframe.operators.screens import family_selection
     got = family_selection(t.supplier.select(F.col("s_nationkey").alias("family"), F.col("s_acctbal").alias("v")), "family", "v", "family")
