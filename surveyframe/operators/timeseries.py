@@ -64,3 +64,308 @@ def mask_report(df: DataFrame, keys: Sequence[str], quality: str, flux: str, mas
 def usable_cadences(df: DataFrame, keys: Sequence[str], quality: str, flux: str, mask: int, at_least: int = 50) -> DataFrame:
     good = df.filter((F.col(quality).bitwiseAND(F.lit(mask)) == 0) & F.col(flux).isNotNull())
     return salted_join(good, mask_report(df, keys, quality, flux, mask, at_least).select(*keys), list(keys), "left_semi")
+
+
+# ---- segments, cadence and scatter -----------------------------------------------------------------
+
+BREAK_CADENCES = 5          # fixed value: a gap of more cadences starts a segment
+SHORT_CADENCE_MINUTES = 1.0  # fixed value: shorter cadences are binned first
+BIN_MINUTES = 2.0           # fixed value
+TRANSIT_MASK_FACTOR = 1.5   # fixed value: protected width in durations
+MAX_DRIFT_FRACTION = 0.5    # fixed value: largest usable timing drift in durations
+
+
+def _keyed(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join back one row per key (or one global row when there are no keys)."""
+    return salted_join(df, other, list(keys), how) if keys else df.join(F.broadcast(other), F.lit(True), how)
+
+
+def cadence(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None) -> DataFrame:
+    """keys, step: the median time step of each series."""
+    steps = neighbour(df, time, {"_before": time}, keys, tie).withColumn("_dt", F.col(time) - F.col("_before"))
+    return medians(steps.filter("_dt is not null"), keys, step="_dt")
+
+
+def gap_segments(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None, gap: float = BREAK_CADENCES) -> DataFrame:
+    """Add `segment`: a step longer than `gap` cadences starts a new one."""
+    stepped = neighbour(df, time, {"_before": time}, keys, tie)
+    marked = _keyed(stepped, cadence(df, keys, time, tie), keys, "left").withColumn(
+        "_new", F.coalesce((F.col(time) - F.col("_before")) > gap * F.col("step"), F.lit(False)).cast("int"))
+    return cumulative(marked, time, {"segment": F.col("_new")}, keys, tie).drop("_before", "_new", "step")
+
+
+def bin_short_cadence(df: DataFrame, keys: Sequence[str], time: str, flux: str, err: str, tie: str | None = None) -> DataFrame:
+    """Mean in 2-minute bins for series whose median step is below a minute; the others pass through."""
+    width = BIN_MINUTES / 1440
+    short = cadence(df, keys, time, tie).withColumn("short", F.col("step") * 1440 < SHORT_CADENCE_MINUTES)
+    j = _keyed(df, short.drop("step"), keys)
+    start = j.groupBy(*keys).agg(F.min(time).alias("_t0"))
+    j = _keyed(j, start, keys).withColumn("_bin", F.floor((F.col(time) - F.col("_t0")) / width))
+    binned = j.filter("short").groupBy(*keys, "_bin").agg(F.avg(F.lit(width / 2) + F.col("_t0") + F.col("_bin") * width).alias(time),
+                                                         F.avg(flux).alias(flux), (F.sqrt(F.sum(F.pow(err, 2))) / F.count(err)).alias(err))
+    return binned.select(*keys, time, flux, err).unionByName(j.filter("not short").select(*keys, time, flux, err))
+
+
+def scatter_over_error(df: DataFrame, keys: Sequence[str], time: str, flux: str, err: str, tie: str | None = None) -> DataFrame:
+    """Robust point-to-point scatter over the median quoted error."""
+    d = neighbour(df, time, {"_before": flux}, keys, tie).withColumn("_d", F.abs(F.col(flux) - F.col("_before")))
+    m = medians(d, keys, _md="_d", _me=err)
+    return m.select(*keys, F.when(F.col("_me") > 0, F.col("_md") * 1.4826 / math.sqrt(2) / F.col("_me")).alias("scatter_over_error"))
+
+
+def restarts(df: DataFrame, keys: Sequence[str], order: str, x: str) -> DataFrame:
+    """How often x falls below its predecessor: several stacked segments in one series."""
+    d = neighbour(df, order, {"_before": x}, keys)
+    return d.groupBy(*keys).agg(F.count_if(F.col(x) < F.col("_before")).alias("restarts"))
+
+
+# ---- folding and event windows ---------------------------------------------------------------------
+
+def phase(time: str | Column, period: str | Column, epoch: str | Column) -> Column:
+    """Days from the nearest event, in [-P/2, P/2)."""
+    t, p, e = (F.col(c) if isinstance(c, str) else c for c in (time, period, epoch))
+    return F.pmod(t - e + 0.5 * p, p) - 0.5 * p
+
+
+def in_event_window(time: str, period: str, epoch: str, duration: str, factor: float) -> Column:
+    return F.abs(phase(time, period, epoch)) < F.lit(factor) * F.col(duration) / 2
+
+
+def event_hits(points: DataFrame, events: DataFrame, key: str, point: str, time: str, factor: float) -> DataFrame:
+    """(key, point, object_id) for every point inside a window of an event of its series."""
+    usable = events.filter(finite("period") & (F.col("period") > 0) & finite("epoch") & finite("duration"))
+    j = salted_join(points.select(key, point, time), usable.select(key, "object_id", "period", "epoch", "duration"), [key])
+    return j.filter(in_event_window(time, "period", "epoch", "duration", factor)).select(key, point, "object_id")
+
+
+def protected_points(points: DataFrame, events: DataFrame, key: str, point: str, time: str, factor: float = TRANSIT_MASK_FACTOR) -> DataFrame:
+    """Points inside a window of any event of their series."""
+    return points.join(event_hits(points, events, key, point, time, factor).select(point).distinct(), point, "left_semi")
+
+
+def sibling_removal(points: DataFrame, events: DataFrame, targets: DataFrame, key: str, point: str, time: str) -> DataFrame:
+    """(target, point) to drop: points in a sibling's window, unless that sibling would take over half of the target's own.
+
+    Siblings come from the full event list, not only from the targets.
+    """
+    hits = event_hits(points, events, key, point, time, TRANSIT_MASK_FACTOR)
+    own = event_hits(points, targets, key, point, time, 1.0).withColumnRenamed("object_id", "target")
+    shared = salted_join(own, hits, [key, point]).filter("object_id <> target").groupBy("target", "object_id").agg(F.count("*").alias("_overlap"))
+    size = own.groupBy("target").agg(F.count("*").alias("_own"))
+    blocked = shared.join(size, "target").filter(F.col("_overlap") > 0.5 * F.col("_own")).select("target", "object_id")
+    pairs = salted_join(hits, targets.select(key, F.col("object_id").alias("target")), [key]).filter("object_id <> target")
+    return pairs.join(blocked, ["target", "object_id"], "left_anti").select("target", point, "object_id")
+
+
+# ---- fixed-length views ----------------------------------------------------------------------------
+
+GLOBAL_BINS, LOCAL_BINS = 2001, 201      # fixed values
+LOCAL_WIDTH, LOCAL_DURATIONS = 0.16, 4   # fixed values: bin width and half window in durations
+
+
+def median_views(points: DataFrame, keys: Sequence[str], x: str, y: str, e: str, n_bins: int, width: Column, lo: Column, hi: Column) -> DataFrame:
+    """Long view: keys, bin, value, err, coverage, scale.
+
+    n_bins bins of the given width, evenly spaced over [lo, hi] (they overlap when the width exceeds the
+    spacing), hold the median of their points; empty bins take the overall median.  Values are centred to
+    median 0 and scaled so that the deepest bin is -1.  A bin's error is sqrt(pi/2) sqrt(sum e^2) / n on the
+    same scale; empty bins get the largest error.  Series whose bin width reaches the range are left out.
+    """
+    keys = list(keys)
+    p = points.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(e).alias("_e"), lo.alias("_lo"), hi.alias("_hi"), width.alias("_w"))
+    p = p.withColumn("_step", (F.col("_hi") - F.col("_lo") - F.col("_w")) / (n_bins - 1))
+    p = p.filter((F.col("_step") > 0) & F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    first = F.greatest(F.lit(0), F.floor((F.col("_x") - F.col("_lo") - F.col("_w")) / F.col("_step")))
+    last = F.least(F.lit(n_bins - 1), F.floor((F.col("_x") - F.col("_lo")) / F.col("_step")) + 1)
+    # the candidate range is one bin wider on each side; the half-open test decides
+    at = p.filter(first <= last).withColumn("bin", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    start = F.col("_lo") + F.col("_step") * F.col("bin")
+    at = at.filter((F.col("_x") >= start) & (F.col("_x") < start + F.col("_w")))
+    filled = quantiles(at, [*keys, "bin"], {"_m": ("_y", 0.5)}).join(
+        at.groupBy(*keys, "bin").agg((math.sqrt(math.pi / 2) * F.sqrt(F.sum(F.col("_e") * F.col("_e"))) / F.count("*")).alias("_err")), [*keys, "bin"])
+    fill = medians(p, keys, _fill="_y")
+    grid = fill.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    v = grid.join(filled, [*keys, "bin"], "left").withColumn("_v", F.coalesce("_m", "_fill"))
+    # every series now has exactly n_bins rows, so a window over a series is bounded
+    w = W.partitionBy(*keys)
+    v = v.withColumn("_c", F.col("_v") - F.percentile("_v", 0.5).over(w)).withColumn("_s", F.abs(F.min("_c").over(w)))
+    scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
+    return v.select(*keys, "bin", (F.col("_c") / scale).alias("value"), (F.coalesce("_err", F.max("_err").over(w)) / scale).alias("err"),
+                    F.avg(F.col("_m").isNotNull().cast("int")).over(w).alias("coverage"), F.col("_s").alias("scale"))
+
+
+def global_view(folded: DataFrame, keys: Sequence[str], n_bins: int = GLOBAL_BINS) -> DataFrame:
+    """Whole orbit: needs columns phase, flux, err, period, duration."""
+    half = F.col("period") / 2
+    return median_views(folded, keys, "phase", "flux", "err", n_bins, F.greatest(F.col("period") / n_bins, LOCAL_WIDTH * F.col("duration")), -half, half)
+
+
+def local_view(folded: DataFrame, keys: Sequence[str], n_bins: int = LOCAL_BINS) -> DataFrame:
+    half = F.least(F.col("period") / 2, LOCAL_DURATIONS * F.col("duration"))
+    return median_views(folded, keys, "phase", "flux", "err", n_bins, LOCAL_WIDTH * F.col("duration"), -half, half)
+
+
+def as_arrays(view: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per series with arrays in bin order."""
+    rows = F.array_sort(F.collect_list(F.struct("bin", "value", "err")))
+    return view.groupBy(*keys).agg(rows.alias("_r"), F.first("coverage").alias("coverage"), F.first("scale").alias("scale")).select(
+        *keys, F.transform("_r", lambda r: r["value"].cast("float")).alias("values"),
+        F.transform("_r", lambda r: r["err"].cast("float")).alias("errors"), "coverage", "scale")
+
+
+def transit_diagnostics(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n_in, depth, depth_snr, observed: median depth against a ring outside the event, with robust scatter."""
+    a, d = F.abs("phase"), F.col("duration")
+    marked = folded.withColumn("_in", a < d / 2).withColumn("_ring", (a > d) & (a < F.greatest(3 * d, F.lit(0.5))))
+    n = marked.groupBy(*keys).agg(F.count_if("_in").alias("n_in"), F.bool_or("_ring").alias("_any"))
+    marked = _keyed(marked, n, keys).withColumn("_out", F.when(F.col("_any"), F.col("_ring")).otherwise(~F.col("_in")))
+    marked = marked.withColumn("_fin", F.when(F.col("_in"), F.col("flux"))).withColumn("_fout", F.when(F.col("_out"), F.col("flux")))
+    level = medians(marked, keys, _base="_fout", _inside="_fin")
+    dev = _keyed(marked, level.select(*keys, "_base"), keys).withColumn("_dev", F.abs(F.col("_fout") - F.col("_base")))
+    mad = medians(dev, keys, _mad="_dev")
+    k = list(keys)
+    j = n.join(level, k).join(mad, k)
+    depth, scatter = F.col("_base") - F.col("_inside"), 1.4826 * F.col("_mad")
+    seen = F.col("n_in") > 0
+    return j.select(*k, "n_in", F.when(seen, depth).alias("depth"),
+                    F.when(seen & (scatter > 0), depth / (scatter / F.sqrt("n_in"))).alias("depth_snr"), seen.alias("observed"))
+
+
+def drift_hours(time_span: Column, period: Column, period_err: Column, epoch_err: Column) -> Column:
+    """Timing error at the farthest cadence, in hours; NULL when an error is unknown."""
+    return F.hypot(epoch_err, time_span / period * period_err) * 24
+
+
+def ephemeris_drift(points: DataFrame, events: DataFrame, key: str, time: str) -> DataFrame:
+    """object_id, drift_h, reliable."""
+    span = points.groupBy(key).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    far = F.greatest(F.abs(F.col("_t0") - F.col("epoch")), F.abs(F.col("_t1") - F.col("epoch")))
+    d = drift_hours(far, F.col("period"), F.col("period_err"), F.col("epoch_err"))
+    return events.join(span, key).select("object_id", d.alias("drift_h"), (d <= MAX_DRIFT_FRACTION * F.col("duration") * 24).alias("reliable"))
+
+
+def process_signals(points: DataFrame, events: DataFrame, key: str, point: str, time: str, flux: str, err: str, n_bins: int) -> DataFrame:
+    """One row per valid event over the whole catalogue: siblings removed, folded, local view, diagnostics, drift."""
+    valid = events.filter(validity_reason(F.col("period"), F.col("epoch"), F.col("duration")).isNull())
+    gone = sibling_removal(points, events, valid, key, point, time)
+    targets = valid.select(key, F.col("object_id").alias("target"), "period", "epoch", "duration")
+    rows = salted_join(points, targets, [key]).join(gone.select("target", point).distinct(), ["target", point], "left_anti")
+    folded = rows.select("target", phase(time, "period", "epoch").alias("phase"), F.col(flux).alias("flux"), F.col(err).alias("err"), "period", "duration")
+    view = as_arrays(local_view(folded, ["target"], n_bins), ["target"])
+    diag = transit_diagnostics(folded, ["target"])
+    removed = gone.groupBy("target").agg(F.count_distinct("object_id").alias("others_removed"))
+    drift = ephemeris_drift(points, valid, key, time).withColumnRenamed("object_id", "target")
+    return (diag.join(view, "target", "left").join(removed, "target", "left").join(drift, "target", "left")
+            .withColumn("others_removed", F.coalesce("others_removed", F.lit(0))))
+
+
+# ---- detrending ------------------------------------------------------------------------------------
+
+BLOCK = 20000  # rows of a series smoothed together; neighbours are repeated across block edges
+
+
+def local_quadratic(df: DataFrame, keys: Sequence[str], time: str, value: str, half: int, out: str, tie: str | None = None) -> DataFrame:
+    """Savitzky-Golay smoothing of order 2 over 2 half + 1 rows of each series, as windowed sums.
+
+    Inside a series the smoothed value is a fixed combination of sum y, sum k y and sum k^2 y over the
+    window; the first and last `half` rows take the quadratic fitted to the first or last full window.
+    Series shorter than a window take their median.  Long series are cut into blocks whose neighbours'
+    edge rows are repeated, so a block never grows with the series.
+    """
+    keys = list(keys)
+    n_win = 2 * half + 1
+    r = cumulative(df, time, {"_i": F.lit(1).cast("bigint")}, keys, tie).withColumn("_i", F.col("_i") - 1)
+    size = df.groupBy(*keys).agg(F.count("*").alias("_len"))
+    r = _keyed(r, size, keys)
+    block = F.floor(F.col("_i") / BLOCK)
+    near = F.array_distinct(F.array(block, F.floor((F.col("_i") - n_win) / BLOCK), F.floor((F.col("_i") + n_win) / BLOCK)))
+    r = r.withColumn("_home", block).withColumn("_block", F.explode(F.filter(near, lambda b: b >= 0)))
+    k = (F.col("_i") - F.col("_block") * BLOCK).cast("double")
+    centre = F.least(F.greatest(F.col("_i"), F.lit(half)), F.col("_len") - half - 1)  # window centre a row is read from
+    r = r.withColumn("_k", k).withColumn("_centre", centre)
+    base = W.partitionBy(*keys, "_block").orderBy("_i")
+    # the sums of the window centred on `_centre`: at the ends the row reads its neighbour's window
+    mid = base.rowsBetween(-half, half)
+    r = r.withColumn("_s", F.struct(F.col("_i").alias("i"), F.sum(value).over(mid).alias("s0"), F.sum(F.col("_k") * F.col(value)).over(mid).alias("s1"),
+                                    F.sum(F.col("_k") * F.col("_k") * F.col(value)).over(mid).alias("s2"), F.col("_k").alias("k")))
+    # end rows read the one full window nearest to them
+    head = F.max(F.when(F.col("_i") == half, F.col("_s"))).over(base.rowsBetween(0, half))
+    tail = F.max(F.when(F.col("_i") == F.col("_len") - half - 1, F.col("_s"))).over(base.rowsBetween(-half, 0))
+    s = F.when(F.col("_i") < half, head).when(F.col("_i") > F.col("_len") - half - 1, tail).otherwise(F.col("_s"))
+    r = r.withColumn("_z", s).filter(F.col("_home") == F.col("_block"))
+    c = F.col("_z.k")
+    t0, t1 = F.col("_z.s0"), F.col("_z.s1") - c * F.col("_z.s0")
+    t2 = F.col("_z.s2") - 2 * c * F.col("_z.s1") + c * c * F.col("_z.s0")
+    q2 = half * (half + 1) * (2 * half + 1) / 3.0                                  # sum of j^2
+    q4 = q2 * (3 * half * half + 3 * half - 1) / 5.0                               # sum of j^4
+    det = n_win * q4 - q2 * q2
+    a0, a1, a2 = (q4 * t0 - q2 * t2) / det, t1 / q2, (n_win * t2 - q2 * t0) / det
+    d = F.col("_k") - c
+    fit = a0 + a1 * d + a2 * d * d
+    flat = medians(df, keys, _flat=value)
+    done = _keyed(r, flat, keys).withColumn(out, F.when(F.col("_len") >= n_win, fit).otherwise(F.col("_flat")))
+    return done.select(*df.columns, out)
+
+
+def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected: str, half: int, point: str,
+            passes: int = 3, sigma: float = 3.0, upper: float = 3.0) -> DataFrame:
+    """Flatten each series: trend from unprotected, repeatedly sigma-clipped rows, interpolated everywhere; then drop high outliers."""
+    from surveyframe.operators.scale import materialise
+
+    keys = list(keys)
+    live = df.filter(~F.col(protected))
+    trend = None
+    for _ in range(passes):
+        trend = materialise(local_quadratic(live, keys, time, flux, half, "_trend", point).withColumn("_res", F.col(flux) - F.col("_trend")))
+        spread = trend.groupBy(*keys).agg(F.stddev_pop("_res").alias("_sd"))
+        trend = _keyed(trend, spread, keys).filter(F.abs("_res") < F.col("_sd") * sigma + 1e-14)
+        live = trend.select(*df.columns)
+    knots = cumulative(trend.select(*keys, F.col(time).alias("_t"), "_trend", F.col(point).alias("_p")), "_t", {"_r": F.lit(1).cast("bigint")}, keys, "_p")
+    both = df.select(*df.columns, F.lit(0).alias("_is")).withColumn("_p", F.col(point)).join(
+        trend.select(F.col(point).alias("_p"), F.lit(1).alias("_kept")), "_p", "left")
+    both = cumulative(both, time, {"_r": F.coalesce("_kept", F.lit(0)).cast("bigint")}, keys, point)
+    before = knots.select(*keys, "_r", F.col("_t").alias("_ta"), F.col("_trend").alias("_fa"))
+    after = knots.select(*keys, (F.col("_r") - 1).alias("_r"), F.col("_t").alias("_tb"), F.col("_trend").alias("_fb"))
+    j = salted_join(salted_join(both, before, [*keys, "_r"], "left"), after, [*keys, "_r"], "left")
+    line = F.col("_fa") + (F.col(time) - F.col("_ta")) * (F.col("_fb") - F.col("_fa")) / F.nullif(F.col("_tb") - F.col("_ta"), F.lit(0.0))
+    j = j.withColumn("trend", F.coalesce(line, F.col("_fa"), F.col("_fb"))).withColumn("flat", F.col(flux) / F.col("trend"))
+    level = medians(j, keys, _m="flat")
+    spread = j.groupBy(*keys).agg(F.stddev_pop("flat").alias("_sd"))
+    j = _keyed(_keyed(j, level, keys), spread, keys).filter(F.col("flat") <= F.col("_m") + upper * F.col("_sd"))
+    return j.select(*df.columns, "trend", "flat")
+
+
+# ---- paired responses ------------------------------------------------------------------------------
+
+def paired_excess(df: DataFrame, group: str, level: str, control, value: str, gain: float, share: float) -> DataFrame:
+    """Per level: median excess of each group over its own control, how many groups respond, and the first level that clears the rule."""
+    mean = df.groupBy(group, level).agg(F.avg(value).alias("v"))
+    null = mean.filter(F.col(level) == control).select(group, F.col("v").alias("v0"))
+    d = mean.join(null, group).withColumn("excess", F.col("v") - F.col("v0"))
+    per = medians(d, [level], median_excess="excess").join(
+        d.groupBy(level).agg(F.count_if(F.col("excess") > 0).alias("responders"), F.count("*").alias("pairs")), level)
+    clears = (F.col("median_excess") > gain) & (F.col("responders") >= share * F.greatest("pairs", F.lit(1)))
+    first = per.agg(F.min(F.when(clears, F.col(level)))).scalar()
+    return per.withColumn("first_level", F.coalesce(F.col(level) == first, F.lit(False)))
+
+
+# ---- duration from geometry ------------------------------------------------------------------------
+
+# Gravitational constant, solar mass and radius (cgs), seconds per day, solar radius in Earth radii.
+GRAVITY, SUN_MASS, SUN_RADIUS, DAY, EARTH_PER_SUN = 6.674e-8, 1.989e33, 6.957e10, 86400.0, 109.1
+
+
+def mean_chord(k: Column, b: Column) -> Column:
+    """sqrt((1 + k)^2 - b^2), averaged over 201 impact parameters in [0, 1] when b is unknown."""
+    chord = lambda x: F.sqrt(F.greatest((1 + k) * (1 + k) - x * x, F.lit(0.0)))
+    average = F.aggregate(F.sequence(F.lit(0), F.lit(200)), F.lit(0.0), lambda s, i: s + chord(i / 200.0)) / 201
+    return F.when(b.isNotNull(), chord(b)).otherwise(average)
+
+
+def duration_hours(period: Column, radius: Column, mass: Column, logg: Column, scaled_axis: Column, ratio: Column, planet_radius: Column, b: Column) -> Column:
+    """Transit duration from orbit geometry; missing inputs are estimated from the others."""
+    m = F.coalesce(mass, F.pow(F.lit(10.0), logg - 4.438) * radius * radius)
+    axis = F.pow(GRAVITY * m * SUN_MASS * F.pow(period * DAY, 2) / (4 * math.pi ** 2), 1 / 3) / (radius * SUN_RADIUS)
+    axis = F.coalesce(scaled_axis, axis)
+    k = F.coalesce(ratio, planet_radius / (radius * EARTH_PER_SUN), F.lit(0.02))
+    return period / math.pi * F.asin(F.least(F.greatest(mean_chord(k, b) / axis, F.lit(0.0)), F.lit(1.0))) * 24
