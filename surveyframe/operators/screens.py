@@ -190,3 +190,26 @@ def prospective(df: DataFrame, keys: Sequence[str], outcome: str, score: str, at
     a = roc_auc(df, outcome, score, keys).select(*keys, "auc")
     enough = (F.col("resolved_pos") >= at_least_pos) & (F.col("resolved_neg") >= at_least_neg)
     return k.join(a, list(keys), "left").withColumn("auc", F.when(enough, F.col("auc")))
+
+
+# ---- model inputs ----------------------------------------------------------------------------------
+
+def scaled_diagnostics(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+    """<c>_z: signed log, centred and scaled by the training median and quartile range, clipped at 5; `missing` when all are blank."""
+    from surveyframe.functions.arrays import signed_log
+
+    logs = df.withColumns({f"_l_{c}": signed_log(c) for c in columns})
+    specs = {f"{n}_{c}": (f"_l_{c}", p) for c in columns for n, p in (("m", 0.5), ("a", 0.25), ("b", 0.75))}
+    fit = quantiles(logs.filter(train), [], specs).select(F.struct("*").alias("s")).scalar()
+    out, blank = logs, F.lit(True)
+    for c in columns:
+        iqr = fit[f"b_{c}"] - fit[f"a_{c}"]
+        z = (F.col(f"_l_{c}") - fit[f"m_{c}"]) / F.when(iqr > 0, iqr).otherwise(1.0)
+        out = out.withColumn(f"{c}_z", F.coalesce(F.least(F.greatest(z, F.lit(-5.0)), F.lit(5.0)), F.lit(0.0)))
+        blank = blank & F.col(c).isNull()
+    return out.withColumn("missing", blank.cast("int")).drop(*[f"_l_{c}" for c in columns])
+
+
+def planet_like(scores: Column, classes: Sequence[int]) -> Column:
+    """Summed probability of the planet-like classes (0-based)."""
+    return sum((F.get(scores, F.lit(c)) for c in classes[1:]), F.get(scores, F.lit(classes[0])))

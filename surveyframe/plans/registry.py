@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -35,12 +36,28 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def positive_zero(sql: str) -> str:
+    """Wrap every round(...) so that a tiny negative number rounds to 0.0, as in Spark, and not to -0.0."""
+    out, i = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9_])round\(", sql):
+        if m.start() < i:
+            continue
+        depth, j = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        inner = positive_zero(sql[m.end():j - 1])
+        out.append(sql[i:m.start()] + f"(round({inner}) + 0.0::double)")
+        i = j
+    return "".join(out) + sql[i:]
+
+
 def query(name: str, ids: str, sql: str | None = None):
     """Register a plan under a name together with the inventory ids it covers."""
 
     def add(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = Query(name, tuple(ids.split()), fn, sql)
+        QUERIES[name] = Query(name, tuple(ids.split()), fn, positive_zero(sql) if sql else None)
         return fn
 
     return add

@@ -58,7 +58,7 @@ def compare(df, con, sql):
 
     def rows(f):
         r = [tuple(x) for x in f.astype(object).where(f.notna(), None).itertuples(index=False)]
-        return sorted(r, key=lambda t: tuple((v is None, f"{v:.5f}" if isinstance(v, float) else str(v)) for v in t))
+        return sorted(r, key=lambda t: tuple((v is None, f"{round(v, 5) + 0.0:.5f}" if isinstance(v, float) else str(v)) for v in t))
 
     ra, rb = rows(a), rows(b)
     if ra == rb:
