@@ -31,3 +31,322 @@ def shortlist(df: DataFrame, floors: dict[str, float], key: str) -> DataFrame:
         keep, product = keep & (F.col(c) >= f), product * F.col(c)
     kept = df.filter(keep).withColumn("product", product).withColumn("_neg", -F.col("product"))
     return cumulative(kept, "_neg", {"pos": F.lit(1).cast("bigint")}, tie=key).drop("_neg")
+
+
+# ---- Monte-Carlo draws -----------------------------------------------------------------------------
+
+def with_draws(df: DataFrame, n: int, name: str = "draw") -> DataFrame:
+    """Repeat each row for n draws."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def split_normal(value: Column, err_hi: Column, err_lo: Column, z: Column, positive: bool = True) -> Column:
+    """value + z err_hi above and value + z |err_lo| below; a missing error keeps the value."""
+    hi, lo = (F.coalesce(F.abs(e), F.lit(0.0)) for e in (err_hi, err_lo))
+    out = F.when(z >= 0, value + z * hi).otherwise(value + z * lo)
+    return F.greatest(out, F.lit(1e-9)) if positive else out
+
+
+PLANET_COLUMNS = ("insol insol_err1 insol_err2 teff teff_err1 teff_err2 rade rade_err1 rade_err2 mass mass_err1 mass_err2 mass_measured "
+                  "rs rs_err1 rs_err2 axis axis_err1 axis_err2 lum lum_err1 lum_err2 jmag transiting").split()
+
+
+def planet_draws(planets: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """key, draw and the drawn physics of each planet: zone membership, size, metric, shoreline margins.
+
+    Every quantity has its own hashed normal per (planet, draw), so the draws of a planet do not depend on
+    which other planets are present or how the rows are partitioned.
+    """
+    from surveyframe.functions import physics as P
+
+    # dex error of the luminosity and relative error of the axis give the insolation error when it is not quoted
+    quoted = F.col("insol_err1").isNotNull() & F.col("insol_err2").isNotNull()
+    frac = F.sqrt(F.pow(F.coalesce(math.log(10) * F.abs("lum_err1"), F.lit(0.0)), 2) + F.pow(F.coalesce(2 * F.abs("axis_err1") / F.col("axis"), F.lit(0.0)), 2))
+    base = planets.select(key, *PLANET_COLUMNS).withColumn("_s1", F.when(quoted, F.col("insol_err1")).otherwise(F.col("insol") * frac)).withColumn(
+        "_s2", F.when(quoted, F.col("insol_err2")).otherwise(F.col("insol") * frac))
+    d = with_draws(base, n)
+    z = lambda tag: std_normal(key, "draw", F.lit(tag), seed)
+    pick = lambda c, tag, positive=True: split_normal(F.col(c), F.col(f"{c}_err1"), F.col(f"{c}_err2"), z(tag), positive)
+    d = d.select(key, "draw", "mass_measured", "transiting", "jmag", F.col("lum").isNotNull().alias("_has_lum"),
+                 split_normal(F.col("insol"), F.col("_s1"), F.col("_s2"), z("S")).alias("S"), pick("teff", "T").alias("T"), pick("rade", "R").alias("R"),
+                 pick("mass", "M").alias("_m"), z("m").alias("_zm"), pick("rs", "Rs").alias("Rs"), pick("axis", "A").alias("A"),
+                 pick("lum", "L", False).alias("_lum"), z("x").alias("_zx"), uniform(key, "draw", F.lit("i"), seed).alias("_ui"))
+    relation = P.mass_from_radius("R") * F.pow(F.lit(10.0), F.col("_zm") * P.mass_scatter_dex("R"))
+    d = d.withColumn("M", F.when(F.col("mass_measured"), F.col("_m")).otherwise(relation)).withColumn("teq", P.equilibrium_temperature("T", "Rs", "A"))
+    d = d.withColumn("L", F.pow(F.lit(10.0), F.when(F.col("_has_lum"), F.col("_lum")).otherwise(F.log10(F.pow("Rs", 2) * F.pow(F.col("T") / 5772.0, 4)))))
+    cons, opt = P.in_zone("S", "T")
+    metric, cut = P.spectroscopy_metric("R", "M", "Rs", "teq", "jmag")
+    margins = P.shoreline_margins(P.escape_velocity("M", "R"), F.col("S"), F.col("L"), P.LOG_I0[0] + F.col("_ui") * (P.LOG_I0[1] - P.LOG_I0[0]),
+                                  F.col("_zx") * P.XUV_SIGMA_DEX)
+    return d.select(key, "draw", "transiting", "R", "M", "teq", cons.alias("cons"), opt.alias("opt"), F.when(F.col("transiting"), metric).alias("metric"), cut.alias("cut"),
+                    P.escape_velocity("M", "R").alias("v_esc"), P.cumulative_flux("S", "L").alias("flux"), *[m.alias(f"margin_{n}") for n, m in margins.items()])
+
+
+def planet_summary(draws: DataFrame, key: str) -> DataFrame:
+    """Probabilities and quantiles per planet; the draws of one planet are a fixed number of rows."""
+    share = lambda c: F.avg(c.cast("int"))
+    q = lambda c, p: F.percentile(c, p)
+    return draws.groupBy(key).agg(
+        share(F.col("cons")).alias("p_zone_conservative"), share(F.col("opt")).alias("p_zone_optimistic"), share(F.col("R") < 1.5).alias("p_small"),
+        q("teq", 0.5).alias("teq"), q("metric", 0.5).alias("metric"), q("metric", 0.16).alias("metric_p16"), q("metric", 0.84).alias("metric_p84"),
+        share(F.col("metric") > F.col("cut")).alias("p_above_cut"), q("v_esc", 0.5).alias("v_esc"), q("flux", 0.5).alias("flux"),
+        *[share(F.col(f"margin_{m}") < 0).alias(f"p_retain_{m}") for m in ("primary", "empirical", "bolometric")],
+        *[q(f"margin_{m}", 0.5).alias(f"margin_{m}") for m in ("primary", "empirical", "bolometric")])
+
+
+def planet_notes() -> Column:
+    """What was assumed for a row."""
+    from surveyframe.functions.physics import HZ_TEFF
+
+    return F.concat_ws("; ",
+                       F.when(F.col("insol_err1").isNull() | F.col("insol_err2").isNull(), "insolation error derived from L and a"),
+                       F.when(~F.col("teff").between(*HZ_TEFF), "temperature outside the zone fit: evaluated at the edge"),
+                       F.when(~F.col("transiting"), "not transiting: metric not applicable"),
+                       F.when(~F.col("mass_measured"), "mass from the radius relation"),
+                       F.when(F.col("lum").isNull(), "luminosity from radius and temperature"))
+
+
+WEIGHTS = {"zone": 0.40, "terrestrial_atm": 0.30, "observable": 0.30}  # fixed values: weights of the priority score
+
+
+def score_components(draws: DataFrame, key: str) -> DataFrame:
+    zone = F.col("cons").cast("double") + 0.5 * (F.col("opt") & ~F.col("cons")).cast("int")
+    ratio = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("metric") / F.col("cut"))), F.lit(0.0))
+    return draws.select(key, "draw", "transiting", zone.alias("zone"), ((F.col("R") < 1.5) & (F.col("margin_primary") < 0)).cast("double").alias("terrestrial_atm"),
+                        (F.col("R") < 1.5).cast("double").alias("terrestrial"), ratio.alias("observable"))
+
+
+def weighted_score(weights: dict[str, float]) -> Column:
+    return sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+
+
+def shared_rank(df: DataFrame, value: str, keys: Sequence[str], name: str = "rank") -> DataFrame:
+    """Rank from the largest value down; equal values share the better rank."""
+    c = df.groupBy(*keys, value).agg(F.count("*").alias("_t")).withColumn("_down", -F.col(value))
+    c = cumulative(c, "_down", {"_cum": F.col("_t")}, keys)
+    ranks = c.select(*keys, value, (F.col("_cum") - F.col("_t") + 1).alias(name))
+    return salted_join(df, ranks, [*keys, value])
+
+
+def rank_distribution(ranked: DataFrame, key: str, rank: str = "rank", top: int = 10) -> DataFrame:
+    return ranked.groupBy(key).agg(F.percentile(rank, 0.5).alias("rank_median"), F.percentile(rank, 0.05).alias("rank_p5"),
+                                   F.percentile(rank, 0.95).alias("rank_p95"), F.avg((F.col(rank) <= top).cast("int")).alias("p_top"))
+
+
+def ablation(components: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """dropped, spearman: rank agreement of the median score with and without each component."""
+    from surveyframe.operators.metrics import spearman
+
+    cells = [F.struct(F.lit(d).alias("dropped"), weighted_score({c: w for c, w in weights.items() if c != d}).alias("alt")) for d in weights]
+    long = components.select(key, weighted_score(weights).alias("full"), F.inline(F.array(*cells)))
+    med = long.groupBy("dropped", key).agg(F.percentile("full", 0.5).alias("full"), F.percentile("alt", 0.5).alias("alt"))
+    med = med.withColumn("full", F.round("full", 9)).withColumn("alt", F.round("alt", 9))
+    return spearman(med, "full", "alt", ["dropped"])
+
+
+# ---- importance-weighted posterior -----------------------------------------------------------------
+
+PRIOR = {"alpha": (0.0, 1.5), "beta": (-2.0, 1.0), "gamma": (0.0, 2.0)}          # fixed values: mean and spread
+NEUTRAL = {"alpha": (0.0, 1.5), "beta": (0.0, 2.0), "gamma": (0.0, 2.0)}
+MODELS = {"intercept": (0, 0), "slope": (1, 0), "magma": (0, 1), "both": (1, 1)}  # which of beta, gamma are used
+
+
+def parameter(name: str, prior: dict, draw: str, seed: int) -> Column:
+    mean, sd = prior[name]
+    return mean + sd * std_normal(draw, F.lit(name), seed)
+
+
+def object_likelihood(objects: DataFrame, key: str, margin: str, magma: str, y: str, draws: int, seed: int = 1, prior: dict = PRIOR,
+                      models: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """model, draw, key, p, ll: probability of each object under each prior draw, averaged over its margin draws.
+
+    Equal margins of an object are counted once.  The parameters are functions of the draw number, so no
+    table of draws is joined.
+    """
+    models = models or {"both": (1, 1)}
+    rows = objects.groupBy(key, magma, y, margin).agg(F.count("*").alias("_n"))
+    d = with_draws(rows, draws)
+    d = d.select("*", *[parameter(k, prior, "draw", seed).alias(k) for k in ("alpha", "beta", "gamma")])
+    d = d.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("_ub"), F.lit(g).alias("_ug")) for m, (b, g) in models.items()])))
+    z = F.col("alpha") + F.col("beta") * F.col("_ub") * F.col(margin) + F.col("gamma") * F.col("_ug") * F.col(magma)
+    p = d.groupBy("model", "draw", key, y).agg((F.sum(F.col("_n") / (1 + F.exp(-z))) / F.sum("_n")).alias("p"))
+    p = p.withColumn("p", clip("p", 1e-9, 1 - 1e-9))
+    return p.withColumn("ll", F.col(y) * F.ln("p") + (1 - F.col(y)) * F.ln(1 - F.col("p")))
+
+
+def posterior(like: DataFrame, seed: int = 1, prior: dict = PRIOR) -> DataFrame:
+    """model, draw, alpha, beta, gamma, logw, w with weights summing to 1 per model; one row per draw."""
+    lw = like.groupBy("model", "draw").agg(F.sum("ll").alias("logw"))
+    top = lw.groupBy("model").agg(F.max("logw").alias("_m"))
+    j = lw.join(F.broadcast(top), "model").withColumn("_e", F.exp(F.col("logw") - F.col("_m")))
+    total = j.groupBy("model").agg(F.sum("_e").alias("_t"))
+    return j.join(F.broadcast(total), "model").select("model", "draw", *[parameter(k, prior, "draw", seed).alias(k) for k in ("alpha", "beta", "gamma")],
+                                                      "logw", (F.col("_e") / F.col("_t")).alias("w"))
+
+
+def posterior_summary(post: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """parameter, quantiles, effective sample size and P(parameter < 0)."""
+    from surveyframe.operators.spectra import weighted_quantile
+
+    long = post.select("w", F.inline(F.array(*[F.struct(F.lit(k).alias("parameter"), F.col(k).alias("v")) for k in ("alpha", "beta", "gamma")])))
+    q = weighted_quantile(long, ["parameter"], "v", "w", probs)
+    s = long.groupBy("parameter").agg((1 / F.sum(F.col("w") * F.col("w"))).alias("effective_size"), F.sum(F.when(F.col("v") < 0, F.col("w")).otherwise(0.0)).alias("p_negative"))
+    return q.join(s, "parameter")
+
+
+def leave_one_out(like: DataFrame, key: str, y: str) -> DataFrame:
+    """model, key, y, p_loo: exact prediction of each object from the draws without its own likelihood."""
+    total = like.groupBy("model", "draw").agg(F.sum("ll").alias("_all"))
+    j = like.join(total, ["model", "draw"]).withColumn("_lw", F.col("_all") - F.col("ll"))
+    top = j.groupBy("model", key).agg(F.max("_lw").alias("_m"))
+    j = salted_join(j, top, ["model", key]).withColumn("_e", F.exp(F.col("_lw") - F.col("_m")))
+    return j.groupBy("model", key, y).agg((F.sum(F.col("_e") * F.col("p")) / F.sum("_e")).alias("p_loo"))
+
+
+def log_score(y: str, p: str) -> Column:
+    q = clip(p, 1e-6, 1 - 1e-6)
+    return F.avg(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
+
+
+def model_comparison(like: DataFrame, key: str, y: str, base: str = "intercept") -> DataFrame:
+    """model, log marginal, leave-one-out score and log Bayes factor against the base model."""
+    lw = like.groupBy("model", "draw").agg(F.sum("ll").alias("logw"))
+    top = lw.groupBy("model").agg(F.max("logw").alias("_m"))
+    marg = lw.join(F.broadcast(top), "model").groupBy("model").agg((F.max("_m") + F.ln(F.avg(F.exp(F.col("logw") - F.col("_m"))))).alias("log_marginal"))
+    loo = leave_one_out(like, key, y).groupBy("model").agg(log_score(y, "p_loo").alias("loo_score"))
+    ref = marg.filter(F.col("model") == base).select("log_marginal").scalar()
+    return marg.join(loo, "model").withColumn("ln_bayes_factor", F.col("log_marginal") - ref)
+
+
+def predict(post: DataFrame, targets: DataFrame, key: str, margin: str, magma: str) -> DataFrame:
+    """key, p: posterior mean probability of new objects; the weighted draws are few and checked before they are broadcast."""
+    from surveyframe.operators.cleaning import _few
+
+    side = post.select("alpha", "beta", "gamma", "w")
+    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n"))
+    packed = side.select(F.struct("alpha", "beta", "gamma", "w").alias("d"), F.pmod(F.xxhash64("alpha", "beta"), F.lit(64)).alias("_g"))
+    # draws in 64 packets; each packet is one array of a bounded number of draws, repeated for every object row
+    packets = packed.groupBy("_g").agg(F.collect_list("d").alias("ds"))
+    j = rows.join(F.broadcast(packets) if _few(packed, 500000) else packets, F.lit(True))
+    z = lambda d: d["alpha"] + d["beta"] * F.col(margin) + d["gamma"] * F.col(magma)
+    s = F.aggregate("ds", F.lit(0.0), lambda a, d: a + d["w"] / (1 + F.exp(-z(d))))
+    per = j.groupBy(key, magma, margin, "_n").agg(F.sum(s).alias("_p"))
+    return per.groupBy(key).agg((F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("p"))
+
+
+# ---- sensitivity and design ------------------------------------------------------------------------
+
+def sobol_designs(df: DataFrame, samples: int, inputs: dict[str, tuple[float, float]], seed: int = 1) -> DataFrame:
+    """Repeat each row for the A, B and column-swapped designs of every base sample; input values are hashed per sample."""
+    names = list(inputs)
+    d = with_draws(df, samples, "sample").withColumn("design", F.explode(F.array(F.lit("A"), F.lit("B"), *[F.lit(n) for n in names])))
+    for n, (lo, hi) in inputs.items():
+        ua, ub = (uniform("sample", F.lit(n), F.lit(side), seed) for side in ("A", "B"))
+        d = d.withColumn(n, lo + (hi - lo) * F.when((F.col("design") == "B") | (F.col("design") == n), ub).otherwise(ua))
+    return d
+
+
+def sobol_indices(f: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
+    """input, first_order, total from one value per (sample, design)."""
+    wide = f.groupBy("sample").pivot("design", ["A", "B", *names]).agg(F.first(value))
+    both = wide.select(F.explode(F.array("A", "B")).alias("v"))
+    var = both.select(F.var_pop("v")).scalar()
+    cells = [F.struct(F.lit(n).alias("input"), (F.avg(F.col("B") * (F.col(n) - F.col("A"))) / var).alias("first_order"),
+                      (0.5 * F.avg(F.pow(F.col("A") - F.col(n), 2)) / var).alias("total")) for n in names]
+    return wide.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def information_gain(pool: DataFrame, key: str, p: str, beta: str, error: str, hours: str) -> DataFrame:
+    """key, bits, beta_gain, bits_per_hour of a yes/no observation with a symmetric error, over equal-weight posterior draws.
+
+    pool has one row per (key, draw): the draw's probability p and its beta.
+    """
+    from surveyframe.functions.physics import entropy_bits
+
+    q = F.col(error) + (1 - 2 * F.col(error)) * F.col(p)
+    b = F.col(beta)
+    x = pool.withColumn("_q", q)
+    g = x.groupBy(key, hours).agg(F.avg("_q").alias("_m"), F.avg(entropy_bits("_q")).alias("_h"), F.var_pop(b).alias("_v"),
+                                  *[F.sum(e).alias(n) for n, e in {"_w1": F.col("_q"), "_b1": F.col("_q") * b, "_c1": F.col("_q") * b * b,
+                                                                   "_w0": 1 - F.col("_q"), "_b0": (1 - F.col("_q")) * b, "_c0": (1 - F.col("_q")) * b * b}.items()])
+    var = lambda s: F.col(f"_c{s}") / F.col(f"_w{s}") - F.pow(F.col(f"_b{s}") / F.col(f"_w{s}"), 2)
+    bits = entropy_bits("_m") - F.col("_h")
+    return g.select(key, bits.alias("bits"), (F.col("_v") - (F.col("_m") * var(1) + (1 - F.col("_m")) * var(0))).alias("beta_gain"), (bits / F.col(hours)).alias("bits_per_hour"))
+
+
+def repeats_needed(df: DataFrame, keys: Sequence[str], signal: str, sigma: str, floor: str, z: float) -> DataFrame:
+    """keys, n, closed: repeats for a target signal-to-noise; closed form without a floor, bisection in log n with one; infinity if unreachable.
+
+    The bins of one object are a fixed grid, so they travel as one short array.
+    """
+    from surveyframe.functions.arrays import let
+    from surveyframe.functions.stats import bisect
+
+    bins = F.collect_list(F.struct(F.pow(F.col(signal), 2).alias("s"), F.pow(F.col(sigma), 2).alias("v"), F.pow(F.col(floor), 2).alias("f")))
+    g = df.groupBy(*keys).agg(bins.alias("_b"))
+    snr2 = lambda n: F.aggregate("_b", F.lit(0.0), lambda a, r: a + r["s"] / (r["v"] / n + r["f"]))
+    flat = F.forall("_b", lambda r: r["f"] == 0)
+    closed = z * z / F.aggregate("_b", F.lit(0.0), lambda a, r: a + r["s"] / r["v"])
+    root = F.exp(bisect(lambda t: snr2(F.exp(t)) - z * z, F.lit(math.log(1e-4)), F.lit(math.log(1e7)), 80))
+    return g.select(*keys, F.when(flat, closed).when(snr2(F.lit(1e7)) >= z * z, root).otherwise(float("inf")).alias("n"), flat.alias("closed"))
+
+
+def success_distribution(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+    """keys, k, probability: exact distribution of the number of successes with unequal probabilities.
+
+    The generating function at the roots of unity is a product over rows, so its logarithm and angle are
+    plain sums; the distribution is their inverse transform.  No group is collected.
+    """
+    keys = list(keys)
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    j = salted_join(df, n, keys).withColumn("_m", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    w = 2 * math.pi * F.col("_m") / (F.col("_n") + 1)
+    re, im = 1 - F.col(p) + F.col(p) * F.cos(w), F.col(p) * F.sin(w)
+    f = j.groupBy(*keys, "_n", "_m").agg(F.sum(F.ln(F.greatest(F.sqrt(re * re + im * im), F.lit(1e-300)))).alias("_r"), F.sum(F.atan2(im, re)).alias("_a"))
+    f = f.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    back = F.exp("_r") * F.cos(F.col("_a") - 2 * math.pi * F.col("_m") * F.col("k") / (F.col("_n") + 1)) / (F.col("_n") + 1)
+    return f.groupBy(*keys, "k").agg(F.greatest(F.sum(back), F.lit(0.0)).alias("probability"))
+
+
+# ---- label shift -----------------------------------------------------------------------------------
+
+def label_shift_em(target: DataFrame, source: DataFrame, stratum: str, y: str, p: str, iterations: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """stratum, pi_source, pi_target: base rates of the target estimated without its labels.
+
+    The state is one number per stratum (a fixed, small set), so each pass is one aggregate over the rows
+    with the current rates as literals.
+    """
+    overall = source.agg(F.avg(y)).scalar()
+    strata = target.select(stratum).distinct().join(source.groupBy(stratum).agg(F.avg(y).alias("r")), stratum, "left")
+    rows = strata.select(stratum, F.coalesce("r", overall).alias("r")).collect()
+    start = {r[stratum]: min(max(r["r"], 0.01), 0.99) for r in rows}
+    pi, live = dict(start), set(start)
+    x = target.select(stratum, p)
+    for _ in range(iterations):
+        if not live:
+            break
+        s, now = F, F
+        for k in live:
+            s, now = s.when(F.col(stratum) == k, F.lit(start[k])), now.when(F.col(stratum) == k, F.lit(pi[k]))
+        r1, r0 = now / s * F.col(p), (1 - now) / (1 - s) * (1 - F.col(p))
+        new = x.filter(F.col(stratum).isin(list(live))).groupBy(stratum).agg(F.avg(r1 / (r1 + r0)).alias("m")).collect()
+        for r in new:
+            k = r[stratum]
+            if abs(r["m"] - pi[k]) < tolerance:
+                live.discard(k)
+            else:
+                pi[k] = r["m"]
+    s, now = F, F
+    for k in start:
+        s, now = s.when(F.col(stratum) == k, F.lit(start[k])), now.when(F.col(stratum) == k, F.lit(pi[k]))
+    truth = target.groupBy(stratum).agg(F.avg(y).alias("true_rate"), F.count("*").alias("rows"))
+    return truth.select(stratum, "rows", s.alias("pi_source"), now.alias("pi_target"), "true_rate")
+
+
+def shifted_scores(target: DataFrame, rates: DataFrame, stratum: str, p: str) -> DataFrame:
+    """Add p_corrected (estimated rates) and p_oracle (true rates)."""
+    from surveyframe.functions.stats import prior_shift
+
+    j = target.join(F.broadcast(rates.select(stratum, "pi_source", "pi_target", "true_rate")), stratum)
+    r1, r0 = F.col("pi_target") / F.col("pi_source") * F.col(p), (1 - F.col("pi_target")) / (1 - F.col("pi_source")) * (1 - F.col(p))
+    return j.withColumn("p_corrected", r1 / (r1 + r0)).withColumn("p_oracle", prior_shift(p, "pi_source", "true_rate")).drop("pi_source", "pi_target", "true_rate")
