@@ -213,3 +213,168 @@ def scaled_diagnostics(df: DataFrame, columns: Sequence[str], train: Column) ->
 def planet_like(scores: Column, classes: Sequence[int]) -> Column:
     """Summed probability of the planet-like classes (0-based)."""
     return sum((F.get(scores, F.lit(c)) for c in classes[1:]), F.get(scores, F.lit(classes[0])))
+
+
+# ---- profiles and column screens -------------------------------------------------------------------
+
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, n, n_distinct, min, quartiles, max, mean, sd and bias-corrected skew."""
+    from surveyframe.operators.cleaning import numeric_profile
+
+    base = numeric_profile(df, columns)
+    specs = {f"{n}_{c}": (c, p) for c in columns for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+    q = quantiles(df, [], specs)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{c}").alias(n) for n in ("q25", "q50", "q75")]) for c in columns]))
+    return base.join(q.select(cells), "column")
+
+
+def percentile_within(values: DataFrame, v: str, reference: DataFrame, r: str) -> DataFrame:
+    """Add `share`: the share of the reference at or below each value, by one merged running count."""
+    marks = reference.select(F.col(r).cast("double").alias("_x"), F.lit(1).alias("_k")).unionByName(
+        values.select(F.col(v).cast("double").alias("_x"), F.lit(0).alias("_k")))
+    marks = marks.groupBy("_x").agg(F.sum("_k").cast("bigint").alias("_k"))
+    c = cumulative(marks, "_x", {"_below": F.col("_k")})
+    n = reference.agg(F.count(r)).scalar()
+    j = salted_join(values.withColumn("_x", F.col(v).cast("double")), c.select("_x", "_below"), ["_x"], "left")
+    return j.withColumn("share", F.col("_below") / n).drop("_x", "_below")
+
+
+def grid_cells(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
+    rows = df.groupBy(x, y).agg(F.count("*").alias("rows"), F.stddev_samp(value).alias("spread"))
+    return rows.join(medians(df, [x, y], median=value), [x, y])
+
+
+def rule_yields(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.count_if(c).alias("rows"), (100 * F.count_if(c) / F.count("*")).alias("pct")) for n, c in rules.items()])
+    return df.agg(cells.alias("c")).select(F.inline("c"))
+
+
+def near_identical(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-9, share: float = 0.9) -> DataFrame:
+    """a, b, equal_share, flagged for every pair of columns, in one pass; the pairs follow from the schema."""
+    import itertools
+
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.avg((F.abs(F.col(a) - F.col(b)) <= tolerance).cast("int")).alias("equal_share"))
+             for a, b in itertools.combinations(columns, 2)]
+    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p")).withColumn("flagged", F.col("equal_share") > share)
+
+
+def rank_correlated(df: DataFrame, target: str, columns: Sequence[str], limit: float = 0.95) -> DataFrame:
+    from surveyframe.operators.metrics import spearman
+
+    out = None
+    for c in columns:
+        one = spearman(df, c, target).select(F.lit(c).alias("column"), "spearman")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("flagged", F.abs("spearman") >= limit)
+
+
+def weighted_sum_gap(df: DataFrame, column: str, weights: dict[str, float]) -> DataFrame:
+    """Largest gap between a column and a weighted sum of others; zero means it is that sum."""
+    total = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    return df.agg(F.max(F.abs(F.col(column) - total)).alias("max_gap"))
+
+
+def loo_r2(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFrame:
+    """column, loo_r2: leave-one-out R2 of a straight-line fit on each predictor, from sums and leverages."""
+    y = F.col(target)
+    s = scalar_of(df, n=F.count("*"), sy=F.avg(y), vy=F.var_pop(y), **{f"m_{c}": F.avg(c) for c in predictors}, **{f"v_{c}": F.var_pop(c) for c in predictors},
+                  **{f"k_{c}": F.covar_pop(c, y) for c in predictors})
+    cells = []
+    for c in predictors:
+        d, slope = F.col(c) - s[f"m_{c}"], s[f"k_{c}"] / F.nullif(s[f"v_{c}"], F.lit(0.0))
+        h = F.least(1 / s["n"] + d * d / (s["n"] * F.nullif(s[f"v_{c}"], F.lit(0.0))), F.lit(1 - 1e-9))
+        e = (y - s["sy"] - slope * d) / (1 - h)
+        cells.append(F.struct(F.lit(c).alias("column"), (1 - F.sum(e * e) / (F.first(s["n"]) * F.nullif(F.first(s["vy"]), F.lit(0.0)))).alias("loo_r2")))
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def loo_r2_subsets(df: DataFrame, target: str, predictors: Sequence[str], max_k: int = 3) -> DataFrame:
+    """subset, k, loo_r2 for every subset of up to max_k predictors.
+
+    One pass collects the moments of the columns (their number is fixed by the schema), the small normal
+    equations are solved from them, and one more pass sums the leave-one-out residuals of all subsets.
+    """
+    import itertools
+
+    import numpy as np
+
+    cols = list(predictors)
+    both = [*cols, target]
+    mean = df.agg(*[F.avg(c).alias(c) for c in both]).first()
+    centred = df.select(*[(F.col(c) - F.lit(float(mean[c]))).alias(c) for c in both])
+    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(both) for j, b in enumerate(both) if j >= i]
+    m = centred.agg(F.count("*").alias("n"), *aggs).first()
+    g = np.array([[m[f"{min(i, j)}_{max(i, j)}"] for j in range(len(both))] for i in range(len(both))])
+    n, t, cells = m["n"], len(cols), []
+    for k in range(1, min(max_k, len(cols)) + 1):
+        for idx in itertools.combinations(range(len(cols)), k):
+            inv = np.linalg.pinv(g[np.ix_(idx, idx)])
+            beta = inv @ g[list(idx), t]
+            x = [F.col(cols[i]) for i in idx]
+            fit = sum((float(b) * v for b, v in zip(beta, x)), F.lit(0.0))
+            h = sum((float(inv[a, b]) * x[a] * x[b] for a in range(k) for b in range(k)), F.lit(1.0 / n))
+            e = (F.col(target) - fit) / (1 - F.least(h, F.lit(1 - 1e-9)))
+            cells.append(F.struct(F.lit(", ".join(cols[i] for i in idx)).alias("subset"), F.lit(k).alias("k"), (1 - F.sum(e * e) / float(g[t, t])).alias("loo_r2")))
+    return centred.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def permuted(df: DataFrame, column: str, row: str, seed: int, name: str) -> DataFrame:
+    """Add `name`: the column in a hashed random order, by matching two numberings of the rows."""
+    from surveyframe.functions.basics import uniform
+
+    one = F.lit(1).cast("bigint")
+    here = cumulative(df.withColumn("_u", uniform(row, seed)), "_u", {"_r": one}, tie=row)
+    there = cumulative(df.select(row, F.col(column).alias(name)).withColumn("_u", uniform(row, seed + 7919)), "_u", {"_r": one}, tie=row)
+    return here.join(there.select("_r", name), "_r").drop("_u", "_r")
+
+
+def derived_null(df: DataFrame, target: str, predictors: Sequence[str], row: str, permutations: int) -> DataFrame:
+    """permutation, best: the best single-predictor leave-one-out R2 after the target is shuffled."""
+    out = None
+    for i in range(permutations):
+        p = permuted(df.select(row, target, *predictors), target, row, i + 1, "_shuffled")
+        one = loo_r2(p, "_shuffled", predictors).agg(F.max("loo_r2").alias("best")).select(F.lit(i).alias("permutation"), "best")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def separable_levels(df: DataFrame, level: str, columns: Sequence[str]) -> DataFrame:
+    """column, separable: whether the levels have non-overlapping ranges of a column (levels are its bins)."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
+    ranges = df.select(F.col(level).alias("_level"), cells).groupBy("column", "_level").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    near = neighbour(ranges, "lo", {"_before": "hi"}, ["column"])
+    return near.groupBy("column").agg(F.bool_and(F.col("_before").isNull() | (F.col("lo") > F.col("_before"))).alias("separable"))
+
+
+def separable_p(df: DataFrame, level: str, column: str, row: str, permutations: int) -> DataFrame:
+    """Chance that shuffled levels are separable too."""
+    hits = None
+    for i in range(permutations):
+        p = permuted(df.select(row, level, column), level, row, i + 1, "_l")
+        one = separable_levels(p, "_l", [column]).select(F.col("separable").cast("int").alias("hit"))
+        hits = one if hits is None else hits.unionByName(one)
+    return hits.agg(((1 + F.sum("hit")) / (1 + F.count("*"))).alias("p"))
+
+
+def evidence_rows(df: DataFrame, key: str, values: dict[str, tuple[str, str]]) -> DataFrame:
+    """key, term, value, source in long form from (value column, source column) pairs."""
+    cells = F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(v).alias("value"), F.col(s).alias("source")) for t, (v, s) in values.items()]))
+    return df.select(key, cells)
+
+
+def evidence_violations(rows: DataFrame) -> DataFrame:
+    """Known values that name no source."""
+    return rows.filter(F.col("value").isNotNull() & (F.coalesce(F.trim("source"), F.lit("")) == ""))
+
+
+def stress_rates(df: DataFrame, y: str, score: str, present: Column, strength: str, strong: float = 0.1, threshold: float = 0.5) -> DataFrame:
+    """metric, value: AUC on all and on contaminated rows, and false-positive rates where the signal is absent."""
+    from surveyframe.operators.metrics import roc_auc
+
+    s, f = F.col(score) >= threshold, F.coalesce(F.col(strength), F.lit(0.0))
+    rate = lambda c: F.avg(F.when(c, s.cast("int")))
+    g = df.agg(F.array(F.struct(F.lit("fpr_absent").alias("metric"), rate(~present).alias("value")),
+                       F.struct(F.lit("fpr_absent_strong").alias("metric"), rate(~present & (f >= strong)).alias("value")),
+                       F.struct(F.lit("fpr_absent_clean").alias("metric"), rate(~present & (f == 0)).alias("value"))).alias("c")).select(F.inline("c"))
+    auc = lambda d, n: roc_auc(d, y, score).select(F.lit(n).alias("metric"), F.col("auc").alias("value"))
+    return g.unionByName(auc(df, "auc_all")).unionByName(auc(df.filter(f > 0), "auc_contaminated"))
