@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import require_empty
 from surveyframe.operators.cleaning import duplicates
-from surveyframe.operators.scale import cumulative, medians, neighbour, salted_join, top_rows
+from surveyframe.operators.scale import cumulative, fits_in_task, medians, salted_join, top_rows
 
 FEW_KNOTS = 4096
 
@@ -152,10 +152,11 @@ def compare_grids(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], x: st
     binned = binned.withColumn("_diff", F.col("_coarse") - F.col("_fine")).withColumn("_nd", F.abs("_diff") / F.col("_sigma"))
     n = coarse.groupBy(*keys).agg(F.count("*").alias("n_coarse"))
     got = binned.groupBy(*keys).agg(F.count("*").alias("n_compared"), F.corr("_coarse", "_fine").alias("corr"))
-    med = medians(binned, keys, median_offset="_diff", norm_diff="_nd")
+    fits = fits_in_task(coarse, keys)   # a key has at most as many compared bins as coarse bins
+    med = medians(binned, keys, fits, median_offset="_diff", norm_diff="_nd")
     after = binned.join(med.select(*keys, "median_offset"), list(keys)).withColumn(
         "_na", F.abs(F.col("_diff") - F.col("median_offset")) / F.col("_sigma"))
-    after = medians(after, keys, norm_diff_after_offset="_na")
+    after = medians(after, keys, fits, norm_diff_after_offset="_na")
     k = list(keys)
     return (n.join(got, k, "left").join(med, k, "left").join(after, k, "left")
             .withColumn("n_compared", F.coalesce("n_compared", F.lit(0)))

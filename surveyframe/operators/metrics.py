@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import bin_index, clip, count_where
 from surveyframe.functions.stats import normal_tail, wilson
-from surveyframe.operators.scale import cumulative, medians, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import cumulative, fits_in_task, quantiles, salted_join, scalar_of
 
 
 def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -40,9 +40,10 @@ def roc_auc(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), weight:
 def curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, threshold, tp, fp, precision, recall, fpr: one point per distinct score, from the highest down."""
     c = score_counts(df, y, score, keys).withColumn("_down", -F.col("s"))
-    c = cumulative(c, "_down", {"tp": F.col("pos"), "fp": F.col("neg")}, keys)
+    fits = fits_in_task(c, keys)
+    c = cumulative(c, "_down", {"tp": F.col("pos"), "fp": F.col("neg")}, keys, fits=fits)
     total = c.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    j = salted_join(c, total, list(keys)) if keys else c.join(F.broadcast(total), F.lit(True))
+    j = salted_join(c, total, list(keys), fits=fits) if keys else c.join(F.broadcast(total), F.lit(True))
     return j.select(*keys, F.col("s").alias("threshold"), "pos", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                     (F.col("tp") / F.nullif("_p", F.lit(0.0))).alias("recall"), (F.col("fp") / F.nullif("_n", F.lit(0.0))).alias("fpr"),
                     F.col("_p").alias("n_pos"), F.col("_n").alias("n_neg"))
@@ -131,9 +132,10 @@ def ece_equal_width(df: DataFrame, y: str, p: str, bins: int = 10, keys: Sequenc
 
 def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Add `_b`: equal-count bins in the order (value, tie); the first bins take the remainder."""
-    ranked = cumulative(df, value, {"_rn": F.lit(1).cast("bigint")}, keys, tie)
+    fits = fits_in_task(df, keys)
+    ranked = cumulative(df, value, {"_rn": F.lit(1).cast("bigint")}, keys, tie, fits)
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = salted_join(ranked, n, list(keys)) if keys else ranked.join(F.broadcast(n), F.lit(True))
+    j = salted_join(ranked, n, list(keys), fits=fits) if keys else ranked.join(F.broadcast(n), F.lit(True))
     q, r, i = F.floor(F.col("_n") / bins), F.col("_n") % bins, F.col("_rn") - 1
     head = r * (q + 1)
     b = F.when(i < head, F.floor(i / (q + 1))).otherwise(r + F.floor((i - head) / F.greatest(q, F.lit(1))))
@@ -170,14 +172,19 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
     return c.select(*keys, value, (F.col("_cum") - (F.col("ties") - 1) / 2).alias("rank"), "ties")
 
 
-def with_mean_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+def with_mean_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] = (), fits: bool | None = None) -> DataFrame:
+    if fits if fits is not None else fits_in_task(df, keys):
+        w = W.partitionBy(*(keys or [F.lit(0)]))
+        ties = F.count("*").over(W.partitionBy(*keys, value))
+        return df.filter(F.col(value).isNotNull()).withColumn(name, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
     ranks = value_ranks(df, value, keys).withColumnRenamed("rank", name).drop("ties")
     return salted_join(df, ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     both = df.select(*keys, a, b).dropna(subset=[a, b])
-    ranked = with_mean_rank(with_mean_rank(both, a, "_ra", keys), b, "_rb", keys)
+    fits = fits_in_task(both, keys)
+    ranked = with_mean_rank(with_mean_rank(both, a, "_ra", keys, fits), b, "_rb", keys, fits)
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("rows"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import clip, std_normal, uniform
-from surveyframe.operators.scale import (cumulative, medians, quantiles, salted_join, scalar_of, top_rows)
+from surveyframe.operators.scale import cumulative, fits_in_task, salted_join
 
 
 def sorted_positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -122,6 +122,8 @@ def weighted_score(weights: dict[str, float]) -> Column:
 
 def shared_rank(df: DataFrame, value: str, keys: Sequence[str], name: str = "rank") -> DataFrame:
     """Rank from the largest value down; equal values share the better rank."""
+    if fits_in_task(df, keys):
+        return df.withColumn(name, F.rank().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).desc())).cast("bigint"))
     c = df.groupBy(*keys, value).agg(F.count("*").alias("_t")).withColumn("_down", -F.col(value))
     c = cumulative(c, "_down", {"_cum": F.col("_t")}, keys)
     ranks = c.select(*keys, value, (F.col("_cum") - F.col("_t") + 1).alias(name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions.basics import uniform
 from surveyframe.functions.stats import prior_shift
 from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc, value_ranks
-from surveyframe.operators.scale import cumulative, medians, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import cumulative, fits_in_task, salted_join, scalar_of
 
 REPLICATES = 2000  # fixed value: replicates per interval in use; tests and queries pass fewer
 
@@ -78,9 +78,10 @@ def paired_auc_difference(df: DataFrame, unit: str, y: str, a: str, b: str, repl
 def weighted_medians(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """keys, median of the multiset in which each value counts `weight` times."""
     c = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    c = cumulative(c, "_v", {"_cum": F.col("_w")}, keys)
+    fits = fits_in_task(c, keys)
+    c = cumulative(c, "_v", {"_cum": F.col("_w")}, keys, fits=fits)
     total = c.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    j = salted_join(c, total, list(keys))
+    j = salted_join(c, total, list(keys), fits=fits)
     at = (F.col("_total") - 1) / 2
     lo = F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v")))
     hi = F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v")))
@@ -108,7 +109,7 @@ def permutation_p(df: DataFrame, y: str, score: str, row: str, permutations: int
     obs = ranked.agg(F.sum(F.when(F.col(y) == 1, F.col("rank"))).alias("s")).scalar()
     many = ranked.select(row, "rank", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)).cast("array<bigint>")).alias("b"))
     many = many.withColumn("_u", uniform("b", row, seed))
-    placed = cumulative(many, "_u", {"_rn": F.lit(1).cast("bigint")}, ["b"], tie=row)
+    placed = cumulative(many, "_u", {"_rn": F.lit(1).cast("bigint")}, ["b"], tie=row, fits=fits_in_task(known))
     sums = placed.filter(F.col("_rn") <= n["n1"]).groupBy("b").agg(F.sum("rank").alias("s"))
     auc = lambda s: (s - n["n1"] * (n["n1"] + 1) / 2) / (n["n1"] * n["n0"])
     return sums.agg(F.avg((auc(F.col("s")) >= auc(obs) - 1e-12).cast("double")).alias("p"), F.count("*").alias("permutations"),
@@ -132,11 +133,12 @@ def few_label(target: DataFrame, source: DataFrame, stratum: str, y: str, p: str
     truth = target.groupBy(stratum).agg(F.avg(y).alias("pi_true"), F.count("*").alias("_size"))
     rates = truth.join(prior, stratum, "left").withColumn("pi_s", F.coalesce("pi_s", overall))
     many = target.select(row, stratum, y, p, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
-    many = cumulative(many.withColumn("_u", uniform("b", row, seed)), "_u", {"_rn": F.lit(1).cast("bigint")}, ["b", stratum], tie=row)
+    fits = fits_in_task(many, ["b", stratum])
+    many = cumulative(many.withColumn("_u", uniform("b", row, seed)), "_u", {"_rn": F.lit(1).cast("bigint")}, ["b", stratum], tie=row, fits=fits)
     j = many.join(F.broadcast(rates), stratum)
     j = j.withColumn("lab", (F.col("_rn") <= m) & (F.col("_size") > m))
     est = j.groupBy("b", stratum).agg(F.avg(F.when(F.col("lab"), F.col(y))).alias("est"))
-    j = salted_join(j, est, ["b", stratum]).filter("not lab")
+    j = salted_join(j, est, ["b", stratum], fits=fits).filter("not lab")
     j = j.select("b", row, y, F.inline(F.array(
         F.struct(F.lit("few").alias("kind"), prior_shift(p, "pi_s", F.coalesce("est", "pi_s")).alias("q")),
         F.struct(F.lit("oracle").alias("kind"), prior_shift(p, "pi_s", "pi_true").alias("q")),

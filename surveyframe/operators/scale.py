@@ -49,6 +49,11 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) ->
     return None if hot.isEmpty() else hot
 
 
+def fits_in_task(df: DataFrame, keys: Sequence[str] = ()) -> bool:
+    """Whether every group is small enough for one task; ask once and pass the answer on as `fits`."""
+    return hot_groups(df, keys) is None
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys where NULL equals NULL; the right side's key columns are dropped."""
     if not keys:
@@ -107,11 +112,14 @@ def split_ranges(df: DataFrame, value: str, keys: Sequence[str] = (), tie: str |
 
 
 def cumulative(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (),
-               tie: str | None = None) -> DataFrame:
-    """Add inclusive running totals `name -> sum(expr)` in the order (value, tie) within keys."""
+               tie: str | None = None, fits: bool | None = None) -> DataFrame:
+    """Add inclusive running totals `name -> sum(expr)` in the order (value, tie) within keys.
+
+    `fits` here and below: True when the caller already knows that no group (or coarser group) is hot.
+    """
     keys = list(keys)
     order = [F.col(value).asc(), *([F.col(tie).asc()] if tie else [])]
-    parts = split_ranges(df, value, keys, tie)
+    parts = None if fits else split_ranges(df, value, keys, tie)
     if parts is None:
         w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
@@ -126,13 +134,13 @@ def cumulative(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequenc
 
 
 def neighbour(df: DataFrame, value: str, cols: dict[str, str], keys: Sequence[str] = (),
-              tie: str | None = None, forward: bool = False) -> DataFrame:
+              tie: str | None = None, forward: bool = False, fits: bool | None = None) -> DataFrame:
     """Add columns `name -> column` of the row before (or after) in the order (value, tie) within keys."""
     keys = list(keys)
     order = [F.col(value).asc(), *([F.col(tie).asc()] if tie else [])]
     near = F.lead if forward else F.lag
     taken = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    parts = split_ranges(df, value, keys, tie)
+    parts = None if fits else split_ranges(df, value, keys, tie)
     if parts is None:
         w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.select("*", *[near(c).over(w).alias(n) for n, c in cols.items()])
@@ -147,10 +155,10 @@ def neighbour(df: DataFrame, value: str, cols: dict[str, str], keys: Sequence[st
     return joined.select(*df.columns, *[got[n].alias(n) for n in cols])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]], fits: bool | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles `name -> (column, p)` per key; NULL values are left out."""
     keys = list(keys)
-    hot = hot_groups(df, keys)
+    hot = None if fits else hot_groups(df, keys)
     direct = [F.percentile(F.col(c), p).alias(n) for n, (c, p) in specs.items()]
     if hot is None:
         return df.groupBy(*keys).agg(*direct)
@@ -188,8 +196,8 @@ def _hot_quantiles(df: DataFrame, keys: list[str], column: str, probs: dict[str,
     return found.select(*keys, *cols)
 
 
-def medians(df: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
-    return quantiles(df, keys, {n: (c, 0.5) for n, c in columns.items()})
+def medians(df: DataFrame, keys: Sequence[str], fits: bool | None = None, **columns: str) -> DataFrame:
+    return quantiles(df, keys, {n: (c, 0.5) for n, c in columns.items()}, fits)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -198,11 +206,11 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
     """Equi-join whose hot left keys are spread over several tasks; their right rows are repeated per salt."""
     on = list(on)
     limit = rows_per_task(left.sparkSession)
-    hot = hot_groups(left, on, limit)
+    hot = None if fits else hot_groups(left, on, limit)
     if hot is None:
         return left.join(right, on, how)
     salts = hot.select(*on, F.least(F.ceil(F.col("_n") / limit), F.lit(1024)).cast("int").alias("_k"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import lookup
-from surveyframe.operators.scale import (cumulative, hot_groups, medians, neighbour, quantiles, salted_join, scalar_of,
+from surveyframe.operators.scale import (cumulative, medians, neighbour, quantiles, salted_join, scalar_of,
                                          top_rows)
 
 

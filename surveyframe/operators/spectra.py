@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from surveyframe.operators.scale import (cumulative, medians, quantiles, salted_join, scalar_of)
+from surveyframe.operators.scale import cumulative, fits_in_task, medians, salted_join
 
 
 def calibration_points(points: DataFrame, hosts: DataFrame, host: str, spectrum: Sequence[str], in_range: Column,
@@ -216,8 +216,9 @@ def host_medians(points: DataFrame, mode: str, host: str, spectrum: str, x: str,
     """mode, host, b, v: per spectrum and bin, then per host and bin."""
     b = F.floor((F.col(x) - lo) / ((hi - lo) / n)).cast("int")
     p = points.filter((F.col(x) >= lo) & (F.col(x) < hi)).withColumn("b", b)
-    spec = medians(p, [mode, host, spectrum, "b"], v=value)
-    return medians(spec, [mode, host, "b"], v="v")
+    fits = fits_in_task(p, [mode, host]) or None
+    spec = medians(p, [mode, host, spectrum, "b"], fits, v=value)
+    return medians(spec, [mode, host, "b"], fits, v="v")
 
 
 def fit_curve(points: DataFrame, mode: str, host: str, spectrum: str, x: str, value: str, lo: float, hi: float, n: int) -> DataFrame:
@@ -233,9 +234,10 @@ def leave_one_host_out(points: DataFrame, mode: str, host: str, spectrum: str, x
     each host follow from the values around the middle of every bin: no host meets every other host.
     """
     per = host_medians(points, mode, host, spectrum, x, value, lo, hi, n)
-    ranked = cumulative(per.filter("v is not null"), "v", {"_r": F.lit(1).cast("bigint")}, [mode, "b"], tie=host)
+    fits = fits_in_task(per, [mode, "b"])
+    ranked = cumulative(per.filter("v is not null"), "v", {"_r": F.lit(1).cast("bigint")}, [mode, "b"], tie=host, fits=fits)
     size = ranked.groupBy(mode, "b").agg(F.count("*").alias("_n"))
-    j = salted_join(ranked, size, [mode, "b"])
+    j = salted_join(ranked, size, [mode, "b"], fits=fits)
     at_lo, at_hi = F.floor(F.col("_n") / 2), F.floor((F.col("_n") - 1) / 2) + 1
     pick = lambda p: F.max(F.when(F.col("_r") == p, F.col("v")))
     mids = j.groupBy(mode, "b").agg(pick(at_lo).alias("_l0"), pick(at_lo + 1).alias("_l1"), pick(at_hi).alias("_h0"), pick(at_hi + 1).alias("_h1"), F.first("_n").alias("_n"))
@@ -248,9 +250,10 @@ def leave_one_host_out(points: DataFrame, mode: str, host: str, spectrum: str, x
     whole = F.when(F.col("_n") % 2 == 1, F.col("_h0")).otherwise((F.col("_l0") + F.col("_l1")) / 2)
     v = F.when(F.col("_r").isNotNull(), F.when(F.col("_n") > 1, (low + high) / 2)).otherwise(whole)
     curve = _filled_curve(every.select(mode, host, "b", v.alias("v")), [mode, host], n, lo, hi)
-    scored = salted_join(points.filter((F.col(x) >= lo) & (F.col(x) < hi)), curve, [mode, host])
+    fits = fits_in_task(points, [mode, host])
+    scored = salted_join(points.filter((F.col(x) >= lo) & (F.col(x) < hi)), curve, [mode, host], fits=fits)
     scored = scored.withColumn("_lr", 0.5 * (F.col(value) - interp_array(F.col(x), F.col("xs"), F.col("ys"))))
-    return medians(medians(scored, [mode, host, spectrum], lr="_lr"), [mode, host], log_ratio="lr")
+    return medians(medians(scored, [mode, host, spectrum], fits or None, lr="_lr"), [mode, host], fits or None, log_ratio="lr")
 
 
 # ---- weighted quantiles, best rows, evidence -------------------------------------------------------
@@ -259,9 +262,10 @@ def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: st
     """Quantiles by cumulative weight with linear interpolation, clamped at both ends."""
     keys = list(keys)
     c = df.groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"))
-    c = cumulative(c, "_x", {"_cum": F.col("_w")}, keys)
+    fits = fits_in_task(c, keys)
+    c = cumulative(c, "_x", {"_cum": F.col("_w")}, keys, fits=fits)
     total = c.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    j = salted_join(c, total, keys) if keys else c.join(F.broadcast(total), F.lit(True))
+    j = salted_join(c, total, keys, fits=fits) if keys else c.join(F.broadcast(total), F.lit(True))
     q = F.col("_cum") / F.col("_total")
     picks = []
     for n, p in probs.items():

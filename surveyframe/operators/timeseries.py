@@ -10,14 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import finite
-from surveyframe.operators.scale import (cumulative, hot_groups, medians, neighbour, quantiles, rows_per_task,
-                                         salted_join, scalar_of)
+from surveyframe.operators.scale import cumulative, fits_in_task, materialise, medians, neighbour, quantiles, salted_join
 
 
 def stitch_segments(df: DataFrame, segment: Sequence[str], flux: str) -> DataFrame:
     """Divide each segment by its own median; segments with no or non-positive median are left out."""
-    med = medians(df, segment, _m=flux).filter("_m > 0")
-    return salted_join(df, med, list(segment)).withColumn("flux", F.col(flux) / F.col("_m")).drop("_m")
+    fits = fits_in_task(df, segment)
+    med = medians(df, segment, fits, _m=flux).filter("_m > 0")
+    return salted_join(df, med, list(segment), fits=fits).withColumn("flux", F.col(flux) / F.col("_m")).drop("_m")
 
 
 def assemble_photometry(rows: DataFrame, segments: DataFrame, reference: DataFrame, segment: Sequence[str],
@@ -75,32 +75,35 @@ TRANSIT_MASK_FACTOR = 1.5   # fixed value: protected width in durations
 MAX_DRIFT_FRACTION = 0.5    # fixed value: largest usable timing drift in durations
 
 
-def _keyed(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def _keyed(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
     """Join back one row per key (or one global row when there are no keys)."""
-    return salted_join(df, other, list(keys), how) if keys else df.join(F.broadcast(other), F.lit(True), how)
+    return salted_join(df, other, list(keys), how, fits) if keys else df.join(F.broadcast(other), F.lit(True), how)
 
 
-def cadence(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None) -> DataFrame:
+def cadence(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None, fits: bool | None = None) -> DataFrame:
     """keys, step: the median time step of each series."""
-    steps = neighbour(df, time, {"_before": time}, keys, tie).withColumn("_dt", F.col(time) - F.col("_before"))
-    return medians(steps.filter("_dt is not null"), keys, step="_dt")
+    fits = fits_in_task(df, keys) if fits is None else fits
+    steps = neighbour(df, time, {"_before": time}, keys, tie, fits=fits).withColumn("_dt", F.col(time) - F.col("_before"))
+    return medians(steps.filter("_dt is not null"), keys, fits, step="_dt")
 
 
 def gap_segments(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None, gap: float = BREAK_CADENCES) -> DataFrame:
     """Add `segment`: a step longer than `gap` cadences starts a new one."""
-    stepped = neighbour(df, time, {"_before": time}, keys, tie)
-    marked = _keyed(stepped, cadence(df, keys, time, tie), keys, "left").withColumn(
+    fits = fits_in_task(df, keys)
+    stepped = neighbour(df, time, {"_before": time}, keys, tie, fits=fits)
+    marked = _keyed(stepped, cadence(df, keys, time, tie, fits), keys, "left", fits).withColumn(
         "_new", F.coalesce((F.col(time) - F.col("_before")) > gap * F.col("step"), F.lit(False)).cast("int"))
-    return cumulative(marked, time, {"segment": F.col("_new")}, keys, tie).drop("_before", "_new", "step")
+    return cumulative(marked, time, {"segment": F.col("_new")}, keys, tie, fits).drop("_before", "_new", "step")
 
 
 def bin_short_cadence(df: DataFrame, keys: Sequence[str], time: str, flux: str, err: str, tie: str | None = None) -> DataFrame:
     """Mean in 2-minute bins for series whose median step is below a minute; the others pass through."""
     width = BIN_MINUTES / 1440
-    short = cadence(df, keys, time, tie).withColumn("short", F.col("step") * 1440 < SHORT_CADENCE_MINUTES)
-    j = _keyed(df, short.drop("step"), keys)
+    fits = fits_in_task(df, keys)
+    short = cadence(df, keys, time, tie, fits).withColumn("short", F.col("step") * 1440 < SHORT_CADENCE_MINUTES)
+    j = _keyed(df, short.drop("step"), keys, fits=fits)
     start = j.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    j = _keyed(j, start, keys).withColumn("_bin", F.floor((F.col(time) - F.col("_t0")) / width))
+    j = _keyed(j, start, keys, fits=fits).withColumn("_bin", F.floor((F.col(time) - F.col("_t0")) / width))
     binned = j.filter("short").groupBy(*keys, "_bin").agg(F.avg(F.lit(width / 2) + F.col("_t0") + F.col("_bin") * width).alias(time),
                                                          F.avg(flux).alias(flux), (F.sqrt(F.sum(F.pow(err, 2))) / F.count(err)).alias(err))
     return binned.select(*keys, time, flux, err).unionByName(j.filter("not short").select(*keys, time, flux, err))
@@ -108,8 +111,9 @@ def bin_short_cadence(df: DataFrame, keys: Sequence[str], time: str, flux: str,
 
 def scatter_over_error(df: DataFrame, keys: Sequence[str], time: str, flux: str, err: str, tie: str | None = None) -> DataFrame:
     """Robust point-to-point scatter over the median quoted error."""
-    d = neighbour(df, time, {"_before": flux}, keys, tie).withColumn("_d", F.abs(F.col(flux) - F.col("_before")))
-    m = medians(d, keys, _md="_d", _me=err)
+    fits = fits_in_task(df, keys)
+    d = neighbour(df, time, {"_before": flux}, keys, tie, fits=fits).withColumn("_d", F.abs(F.col(flux) - F.col("_before")))
+    m = medians(d, keys, fits, _md="_d", _me=err)
     return m.select(*keys, F.when(F.col("_me") > 0, F.col("_md") * 1.4826 / math.sqrt(2) / F.col("_me")).alias("scatter_over_error"))
 
 
@@ -181,9 +185,10 @@ def median_views(points: DataFrame, keys: Sequence[str], x: str, y: str, e: str,
     at = p.filter(first <= last).withColumn("bin", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     start = F.col("_lo") + F.col("_step") * F.col("bin")
     at = at.filter((F.col("_x") >= start) & (F.col("_x") < start + F.col("_w")))
-    filled = quantiles(at, [*keys, "bin"], {"_m": ("_y", 0.5)}).join(
+    fits = fits_in_task(p, keys)
+    filled = quantiles(at, [*keys, "bin"], {"_m": ("_y", 0.5)}, fits or None).join(
         at.groupBy(*keys, "bin").agg((math.sqrt(math.pi / 2) * F.sqrt(F.sum(F.col("_e") * F.col("_e"))) / F.count("*")).alias("_err")), [*keys, "bin"])
-    fill = medians(p, keys, _fill="_y")
+    fill = medians(p, keys, fits, _fill="_y")
     grid = fill.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
     v = grid.join(filled, [*keys, "bin"], "left").withColumn("_v", F.coalesce("_m", "_fill"))
     # every series now has exactly n_bins rows, so a window over a series is bounded
@@ -218,11 +223,12 @@ def transit_diagnostics(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
     a, d = F.abs("phase"), F.col("duration")
     marked = folded.withColumn("_in", a < d / 2).withColumn("_ring", (a > d) & (a < F.greatest(3 * d, F.lit(0.5))))
     n = marked.groupBy(*keys).agg(F.count_if("_in").alias("n_in"), F.bool_or("_ring").alias("_any"))
-    marked = _keyed(marked, n, keys).withColumn("_out", F.when(F.col("_any"), F.col("_ring")).otherwise(~F.col("_in")))
+    fits = fits_in_task(folded, keys)
+    marked = _keyed(marked, n, keys, fits=fits).withColumn("_out", F.when(F.col("_any"), F.col("_ring")).otherwise(~F.col("_in")))
     marked = marked.withColumn("_fin", F.when(F.col("_in"), F.col("flux"))).withColumn("_fout", F.when(F.col("_out"), F.col("flux")))
-    level = medians(marked, keys, _base="_fout", _inside="_fin")
-    dev = _keyed(marked, level.select(*keys, "_base"), keys).withColumn("_dev", F.abs(F.col("_fout") - F.col("_base")))
-    mad = medians(dev, keys, _mad="_dev")
+    level = medians(marked, keys, fits, _base="_fout", _inside="_fin")
+    dev = _keyed(marked, level.select(*keys, "_base"), keys, fits=fits).withColumn("_dev", F.abs(F.col("_fout") - F.col("_base")))
+    mad = medians(dev, keys, fits, _mad="_dev")
     k = list(keys)
     j = n.join(level, k).join(mad, k)
     depth, scatter = F.col("_base") - F.col("_inside"), 1.4826 * F.col("_mad")
@@ -274,9 +280,10 @@ def local_quadratic(df: DataFrame, keys: Sequence[str], time: str, value: str, h
     """
     keys = list(keys)
     n_win = 2 * half + 1
-    r = cumulative(df, time, {"_i": F.lit(1).cast("bigint")}, keys, tie).withColumn("_i", F.col("_i") - 1)
+    fits = fits_in_task(df, keys)
+    r = cumulative(df, time, {"_i": F.lit(1).cast("bigint")}, keys, tie, fits).withColumn("_i", F.col("_i") - 1)
     size = df.groupBy(*keys).agg(F.count("*").alias("_len"))
-    r = _keyed(r, size, keys)
+    r = _keyed(r, size, keys, fits=fits)
     block = F.floor(F.col("_i") / BLOCK)
     near = F.array_distinct(F.array(block, F.floor((F.col("_i") - n_win) / BLOCK), F.floor((F.col("_i") + n_win) / BLOCK)))
     r = r.withColumn("_home", block).withColumn("_block", F.explode(F.filter(near, lambda b: b >= 0)))
@@ -302,36 +309,35 @@ def local_quadratic(df: DataFrame, keys: Sequence[str], time: str, value: str, h
     a0, a1, a2 = (q4 * t0 - q2 * t2) / det, t1 / q2, (n_win * t2 - q2 * t0) / det
     d = F.col("_k") - c
     fit = a0 + a1 * d + a2 * d * d
-    flat = medians(df, keys, _flat=value)
-    done = _keyed(r, flat, keys).withColumn(out, F.when(F.col("_len") >= n_win, fit).otherwise(F.col("_flat")))
+    flat = medians(df, keys, fits, _flat=value)
+    done = _keyed(r, flat, keys, fits=fits).withColumn(out, F.when(F.col("_len") >= n_win, fit).otherwise(F.col("_flat")))
     return done.select(*df.columns, out)
 
 
 def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected: str, half: int, point: str,
             passes: int = 3, sigma: float = 3.0, upper: float = 3.0) -> DataFrame:
     """Flatten each series: trend from unprotected, repeatedly sigma-clipped rows, interpolated everywhere; then drop high outliers."""
-    from surveyframe.operators.scale import materialise
-
     keys = list(keys)
+    fits = fits_in_task(df, keys)
     live = df.filter(~F.col(protected))
     trend = None
     for _ in range(passes):
         trend = materialise(local_quadratic(live, keys, time, flux, half, "_trend", point).withColumn("_res", F.col(flux) - F.col("_trend")))
         spread = trend.groupBy(*keys).agg(F.stddev_pop("_res").alias("_sd"))
-        trend = _keyed(trend, spread, keys).filter(F.abs("_res") < F.col("_sd") * sigma + 1e-14)
+        trend = _keyed(trend, spread, keys, fits=fits).filter(F.abs("_res") < F.col("_sd") * sigma + 1e-14)
         live = trend.select(*df.columns)
-    knots = cumulative(trend.select(*keys, F.col(time).alias("_t"), "_trend", F.col(point).alias("_p")), "_t", {"_r": F.lit(1).cast("bigint")}, keys, "_p")
+    knots = cumulative(trend.select(*keys, F.col(time).alias("_t"), "_trend", F.col(point).alias("_p")), "_t", {"_r": F.lit(1).cast("bigint")}, keys, "_p", fits)
     both = df.select(*df.columns, F.lit(0).alias("_is")).withColumn("_p", F.col(point)).join(
         trend.select(F.col(point).alias("_p"), F.lit(1).alias("_kept")), "_p", "left")
-    both = cumulative(both, time, {"_r": F.coalesce("_kept", F.lit(0)).cast("bigint")}, keys, point)
+    both = cumulative(both, time, {"_r": F.coalesce("_kept", F.lit(0)).cast("bigint")}, keys, point, fits)
     before = knots.select(*keys, "_r", F.col("_t").alias("_ta"), F.col("_trend").alias("_fa"))
     after = knots.select(*keys, (F.col("_r") - 1).alias("_r"), F.col("_t").alias("_tb"), F.col("_trend").alias("_fb"))
-    j = salted_join(salted_join(both, before, [*keys, "_r"], "left"), after, [*keys, "_r"], "left")
+    j = salted_join(salted_join(both, before, [*keys, "_r"], "left", fits or None), after, [*keys, "_r"], "left", fits or None)
     line = F.col("_fa") + (F.col(time) - F.col("_ta")) * (F.col("_fb") - F.col("_fa")) / F.nullif(F.col("_tb") - F.col("_ta"), F.lit(0.0))
     j = j.withColumn("trend", F.coalesce(line, F.col("_fa"), F.col("_fb"))).withColumn("flat", F.col(flux) / F.col("trend"))
-    level = medians(j, keys, _m="flat")
+    level = medians(j, keys, fits, _m="flat")
     spread = j.groupBy(*keys).agg(F.stddev_pop("flat").alias("_sd"))
-    j = _keyed(_keyed(j, level, keys), spread, keys).filter(F.col("flat") <= F.col("_m") + upper * F.col("_sd"))
+    j = _keyed(_keyed(j, level, keys, fits=fits), spread, keys, fits=fits).filter(F.col("flat") <= F.col("_m") + upper * F.col("_sd"))
     return j.select(*df.columns, "trend", "flat")
 
 

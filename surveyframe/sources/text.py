@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import CheckFailed, no_nan, require_empty
-from surveyframe.operators.scale import neighbour, quantiles, salted_join
+from surveyframe.operators.scale import fits_in_task, neighbour, quantiles, salted_join
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -159,8 +158,9 @@ def read_numeric_spectra(spark: SparkSession, path: str, catalogue: DataFrame |
 
 def with_half_widths(df: DataFrame, x: str, keys: list[str], tie: str | None = None) -> DataFrame:
     """Half the mean distance to both neighbours (`spacing_hw`); the smaller gap is `smaller_gap`.  Zero gaps count as none."""
-    both = neighbour(df, x, {"_before": x}, keys, tie)
-    both = neighbour(both, x, {"_after": x}, keys, tie, forward=True)
+    fits = fits_in_task(df, keys)
+    both = neighbour(df, x, {"_before": x}, keys, tie, fits=fits)
+    both = neighbour(both, x, {"_after": x}, keys, tie, forward=True, fits=fits)
     left, right = (F.nullif(g, F.lit(0.0)) for g in (F.col(x) - F.col("_before"), F.col("_after") - F.col(x)))
     mean = F.when(left.isNotNull() & right.isNotNull(), (left + right) / 2).otherwise(F.coalesce(left, right))
     return both.withColumn("spacing_hw", mean / 2).withColumn("smaller_gap", F.least(left, right)).drop("_before", "_after")

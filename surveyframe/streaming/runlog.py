@@ -128,8 +128,8 @@ def read_current_state(spark: SparkSession, path: str, key: str, columns: Sequen
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("o")).alias("r")).select(key, "r.*")
 
 
-def stream_sessions(stream: DataFrame, time: str, keys: Sequence[str] = (), idle: int = IDLE_SECONDS, delay: str = WATERMARK) -> DataFrame:
-    """Sessions with a gap of `idle` seconds, emitted once the watermark has passed them."""
+def stream_sessions(stream: DataFrame, time: str, keys: Sequence[str], idle: int = IDLE_SECONDS, delay: str = WATERMARK) -> DataFrame:
+    """Sessions per key (a log, mission or object) with a gap of `idle` seconds, emitted once the watermark has passed them."""
     s = F.session_window(time, f"{idle} seconds")
     return stream.withWatermark(time, delay).groupBy(*keys, s).agg(F.count("*").alias("records"), F.max(time).alias("ended")).select(
         *keys, F.col("session_window.start").alias("started"), "ended", "records")
