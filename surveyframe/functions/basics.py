@@ -17,17 +17,25 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _digest(parts: tuple) -> Column:
+    text = [F.lit(p) if isinstance(p, int) else col(p) for p in parts]
+    return F.md5(F.concat_ws("|", *[t.cast("string") for t in text]))
+
+
+def _share(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def uniform(*parts: str | Column | int) -> Column:
     """A draw in [0, 1) fixed by the text of its parts, the same on every engine and retry."""
-    text = [F.lit(p) if isinstance(p, int) else col(p) for p in parts]
-    key = F.concat_ws("|", *[t.cast("string") for t in text])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return _share(_digest(parts), 1)
 
 
 def std_normal(*parts: str | Column | int) -> Column:
-    """Box-Muller on two hashed uniforms; the first is kept off zero."""
-    u = F.greatest(uniform(*parts, F.lit("a")), F.lit(1e-10))
-    v = uniform(*parts, F.lit("b"))
+    """Box-Muller on two uniforms from one digest; the first is kept off zero."""
+    digest = _digest(parts)
+    u = F.greatest(_share(digest, 1), F.lit(1e-10))
+    v = _share(digest, 9)
     return F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
 
 

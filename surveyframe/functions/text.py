@@ -69,13 +69,18 @@ GAS_NAMES = {"CH4": r"(?:CH\s*_?\{?\s*4|CH₄|methane)", "CO2": r"(?:CO\s*_?\{?\
 
 
 def evidence(text: str | Column, name: str, positive: str = POSITIVE, negative: str = NEGATIVE,
-             tentative: str = TENTATIVE) -> dict[str, Column]:
-    """Counts of positive, negative and tentative sentences that name a term."""
-    named = F.filter(sentences(text), lambda s: s.rlike(name) & (F.length(s) > 30) & (F.length(s) < 500))
-    count = lambda test: F.size(F.filter(named, test)).cast("bigint")
-    return {"n_sentences": F.size(named).cast("bigint"),
-            "n_pos": count(lambda s: s.rlike(positive) & ~s.rlike(negative) & ~s.rlike(tentative)),
-            "n_neg": count(lambda s: s.rlike(negative)), "n_tentative": count(lambda s: s.rlike(tentative))}
+             tentative: str = TENTATIVE) -> Column:
+    """Struct of counts of the sentences that name a term, and of the positive, negative and tentative ones.
+
+    One fold over the sentences, so every pattern meets a sentence once.
+    """
+    named = F.filter(sentences(text), lambda s: (F.length(s) > 30) & (F.length(s) < 500) & s.rlike(name))
+    flags = F.transform(named, lambda s: F.struct(s.rlike(positive).alias("p"), s.rlike(negative).alias("n"), s.rlike(tentative).alias("t")))
+    one = lambda c: c.cast("bigint")
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("n_sentences", "n_pos", "n_neg", "n_tentative")])
+    return F.aggregate(flags, zero, lambda a, f: F.struct(
+        (a["n_sentences"] + 1).alias("n_sentences"), (a["n_pos"] + one(f["p"] & ~f["n"] & ~f["t"])).alias("n_pos"),
+        (a["n_neg"] + one(f["n"])).alias("n_neg"), (a["n_tentative"] + one(f["t"])).alias("n_tentative")))
 
 
 def evidence_label(n_pos: str | Column, n_neg: str | Column) -> Column:

@@ -91,23 +91,23 @@ def numbered(components_df: DataFrame, name: str = "family") -> DataFrame:
 def signal_families(df: DataFrame, row: str, star: str, period: str, epoch: str, duration_days: str) -> DataFrame:
     """(row, family_root): components of {same star} and {signal twin}, named by their smallest row.
 
-    Rows with equal period, epoch and positive duration are twins of each other, so exact copies collapse to
-    one node and only distinct signals are compared.  Stars and signals are nodes named by their first row;
-    whether two linked signals share a star does not matter, since the star links them anyway.
+    Only stars are nodes, named by their first row.  Rows with equal period, epoch and positive duration are
+    twins of each other, so exact copies collapse to one signal and tie their stars to its first star; only
+    distinct signals are compared.  Whether two linked signals share a star does not matter, since the star
+    links them anyway.
     """
     src = df.select(F.col(row).alias("id"), F.col(star).alias("star"), F.col(period).cast("double").alias("p"),
                     F.col(epoch).cast("double").alias("t"), F.col(duration_days).cast("double").alias("d"))
+    stars = src.groupBy("star").agg(F.min("id").alias("node"))
+    placed = salted_join(src, stars, ["star"])
     usable = finite("p") & finite("t") & finite("d") & (F.col("p") > 0) & (F.col("d") > 0)
-    stars = src.groupBy("star").agg(F.min("id").alias("star_node"))
-    signals = src.filter(usable).groupBy("p", "t", "d").agg(F.min("id").alias("id"))
-    signals = materialise(signals)
-    star_of = salted_join(src, stars, ["star"])
-    same = salted_join(star_of.filter(usable), signals.withColumnRenamed("id", "signal_node"), ["p", "t", "d"])
-    edges = same.select(F.col("star_node").alias("a"), F.col("signal_node").alias("b")).distinct()
-    twins = _near_pairs(signals, PERIOD_TOLERANCE, EPOCH_FACTOR, []).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    found = components(edges.unionByName(twins), stars.select(F.col("star_node").alias("node")))
-    return salted_join(star_of.select("id", "star_node"), found.withColumnRenamed("node", "star_node"), ["star_node"]).select(
-        F.col("id").alias(row), F.col("root").alias("family_root"))
+    seen = materialise(placed.filter(usable).groupBy("p", "t", "d", "node").agg(F.min("id").alias("id")))
+    signals = seen.groupBy("p", "t", "d").agg(F.min("id").alias("id"), F.min("node").alias("first"), F.count("*").alias("stars"))
+    shared = signals.filter("stars > 1").select("p", "t", "d", "first")
+    copies = salted_join(seen, shared, ["p", "t", "d"]).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    twins = _near_pairs(signals, PERIOD_TOLERANCE, EPOCH_FACTOR, ["first"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    found = components(copies.unionByName(twins), stars.select("node"))
+    return salted_join(placed.select("id", "node"), found, ["node"]).select(F.col("id").alias(row), F.col("root").alias("family_root"))
 
 
 def overlapping_sets(df: DataFrame, set_id: str, member: str) -> DataFrame:

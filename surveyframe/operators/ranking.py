@@ -162,13 +162,16 @@ def object_likelihood(objects: DataFrame, key: str, margin: str, magma: str, y:
                       models: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """model, draw, key, p, ll: probability of each object under each prior draw, averaged over its margin draws.
 
-    Equal margins of an object are counted once.  The parameters are functions of the draw number, so no
-    table of draws is joined.
+    Equal margins of an object are counted once.  The parameters of all draws are one array of a chosen,
+    fixed length, made once and unrolled next to each row.
     """
     models = models or {"both": (1, 1)}
     rows = objects.groupBy(key, magma, y, margin).agg(F.count("*").alias("_n"))
-    d = with_draws(rows, draws)
-    d = d.select("*", *[parameter(k, prior, "draw", seed).alias(k) for k in ("alpha", "beta", "gamma")])
+    spark = objects.sparkSession
+    theta = spark.range(draws).select(F.col("id").cast("int").alias("draw"))
+    theta = theta.select("draw", *[parameter(k, prior, "draw", seed).alias(k) for k in ("alpha", "beta", "gamma")])
+    packed = theta.agg(F.collect_list(F.struct("*")).alias("t")).scalar()
+    d = rows.select("*", F.inline(packed))
     d = d.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("_ub"), F.lit(g).alias("_ug")) for m, (b, g) in models.items()])))
     z = F.col("alpha") + F.col("beta") * F.col("_ub") * F.col(margin) + F.col("gamma") * F.col("_ug") * F.col(magma)
     p = d.groupBy("model", "draw", key, y).agg((F.sum(F.col("_n") / (1 + F.exp(-z))) / F.sum("_n")).alias("p"))
@@ -221,18 +224,11 @@ def model_comparison(like: DataFrame, key: str, y: str, base: str = "intercept")
 
 
 def predict(post: DataFrame, targets: DataFrame, key: str, margin: str, magma: str) -> DataFrame:
-    """key, p: posterior mean probability of new objects; the weighted draws are few and checked before they are broadcast."""
-    from surveyframe.operators.cleaning import _few
-
-    side = post.select("alpha", "beta", "gamma", "w")
-    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n"))
-    packed = side.select(F.struct("alpha", "beta", "gamma", "w").alias("d"), F.pmod(F.xxhash64("alpha", "beta"), F.lit(64)).alias("_g"))
-    # draws in 64 packets; each packet is one array of a bounded number of draws, repeated for every object row
-    packets = packed.groupBy("_g").agg(F.collect_list("d").alias("ds"))
-    j = rows.join(F.broadcast(packets) if _few(packed, 500000) else packets, F.lit(True))
+    """key, p: posterior mean probability of new objects.  The weighted draws are an array of a chosen, fixed length."""
+    draws = post.agg(F.collect_list(F.struct("alpha", "beta", "gamma", "w"))).scalar()
     z = lambda d: d["alpha"] + d["beta"] * F.col(margin) + d["gamma"] * F.col(magma)
-    s = F.aggregate("ds", F.lit(0.0), lambda a, d: a + d["w"] / (1 + F.exp(-z(d))))
-    per = j.groupBy(key, magma, margin, "_n").agg(F.sum(s).alias("_p"))
+    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n"))
+    per = rows.withColumn("_p", F.aggregate(draws, F.lit(0.0), lambda a, d: a + d["w"] / (1 + F.exp(-z(d)))))
     return per.groupBy(key).agg((F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("p"))
 
 

@@ -170,9 +170,10 @@ def sensitivity(tests: DataFrame, amplitudes: DataFrame, keys: Sequence[str], si
 
 
 def spread_over_inputs(tests: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Spread of a statistic over alternative inputs (few per key)."""
-    return tests.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("inputs"), F.min(value).alias("low"), F.percentile(value, 0.5).alias("median"),
-                                                                     F.max(value).alias("high"), F.stddev_samp(value).alias("sd"))
+    """Spread of a statistic over alternative inputs of a key."""
+    known = tests.filter(F.col(value).isNotNull())
+    g = known.groupBy(*keys).agg(F.count("*").alias("inputs"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("sd"))
+    return g.join(medians(known, keys, median=value), list(keys))
 
 
 def feature_strength(points: DataFrame, keys: Sequence[str], depth: str, err: str) -> DataFrame:

@@ -381,7 +381,7 @@ _STRIP_SQL = r"""regexp_replace(replace(replace(replace(replace(replace(replace(
 
 def _evidence(df, key, text):
     e = X.evidence(text, "(?i)(the|la|der)", "(?i)(tion|ment|lich)", "(?i)(not|un|ne )", "(?i)(ing|eau)")
-    got = df.select(key, *[c.alias(n) for n, c in e.items()])
+    got = df.select(key, e.alias("e")).select(key, "e.*")
     return got.withColumn("rule_label", X.evidence_label("n_pos", "n_neg"))
 
 

@@ -76,7 +76,7 @@ def sql_uniform(key: str) -> str:
 
 
 def sql_normal(key: str) -> str:
-    u, v = sql_uniform(f"({key})||'|a'"), sql_uniform(f"({key})||'|b'")
+    u, v = (f"(('0x'||substr(md5({key}),{i},8))::BIGINT/4294967296.0::DOUBLE)" for i in (1, 9))
     return f"(sqrt(-2.0*ln(greatest({u},1e-10)))*cos(2.0*pi()*{v}))"
 
 

@@ -80,6 +80,7 @@ def main():
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--module", default="")
     ap.add_argument("--show", action="store_true")
+    ap.add_argument("--rows-per-task", default="")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     from pyspark.sql import SparkSession
@@ -93,6 +94,8 @@ def main():
             importlib.import_module(f"surveyframe.plans.{m}")
     else:
         registry.load_all()
+    if a.rows_per_task:
+        spark.conf.set("spark.surveyframe.rowsPerTask", a.rows_per_task)
     sf_dir = f"/root/testdata/sf{a.sf}"
     con, bad = connect(sf_dir), 0
     for name, q in registry.QUERIES.items():
