@@ -226,10 +226,10 @@ def model_comparison(like: DataFrame, key: str, y: str, base: str = "intercept")
 def predict(post: DataFrame, targets: DataFrame, key: str, margin: str, magma: str) -> DataFrame:
     """key, p: posterior mean probability of new objects.  The weighted draws are an array of a chosen, fixed length."""
     draws = post.agg(F.collect_list(F.struct("alpha", "beta", "gamma", "w"))).scalar()
-    z = lambda d: d["alpha"] + d["beta"] * F.col(margin) + d["gamma"] * F.col(magma)
-    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n"))
-    per = rows.withColumn("_p", F.aggregate(draws, F.lit(0.0), lambda a, d: a + d["w"] / (1 + F.exp(-z(d)))))
-    return per.groupBy(key).agg((F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("p"))
+    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n")).select("*", F.inline(draws))
+    z = F.col("alpha") + F.col("beta") * F.col(margin) + F.col("gamma") * F.col(magma)
+    weight = F.col("_n") * F.col("w")
+    return rows.groupBy(key).agg((F.sum(weight / (1 + F.exp(-z))) / F.sum(weight)).alias("p"))
 
 
 # ---- sensitivity and design ------------------------------------------------------------------------

@@ -88,13 +88,21 @@ def row_fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(half(1)).alias("hash_a"), F.sum(half(9)).alias("hash_b"))
 
 
-def binary_screen(spark: SparkSession, path: str, magic: str, block: int = 2880) -> DataFrame:
-    """Files that are empty, not a multiple of the block size, or lack the leading bytes."""
+def binary_screen(spark: SparkSession, path: str, magic: str, expected: DataFrame | None = None, block: int = 2880) -> DataFrame:
+    """Files that are empty, not a multiple of the block size, or lack the leading bytes.
+
+    Spark does not hand out files of length 0, so those are the names of `expected` that did not arrive.
+    """
     f = files(spark, path)
     head = F.substring("content", 1, len(magic)).cast("string")
-    reason = (F.when(F.col("length") == 0, "empty").when(F.col("length") % block != 0, "size not a multiple of the block")
+    reason = (F.when(F.col("length") % block != 0, "size not a multiple of the block")
               .when(head != magic, "missing magic prefix"))
-    return f.select("path", "length", reason.alias("reason")).filter("reason is not null")
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    bad = f.select(name, "length", reason.alias("reason")).filter("reason is not null")
+    if expected is None:
+        return bad
+    gone = expected.select("name").join(f.select(name), "name", "left_anti")
+    return bad.unionByName(gone.select("name", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("reason")))
 
 
 def file_index(manifest: DataFrame, listing: DataFrame, pattern: str) -> DataFrame:

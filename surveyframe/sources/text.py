@@ -38,8 +38,8 @@ def ipac_points(spectra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFr
     cells = F.split(F.expr("substring(h[0], 2, length(h[0]) - 2)"), "\\|", -1)
     starts = F.aggregate(cells, F.array(F.lit(2)),
                          lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c) + 1)))
-    heads = heads.select("file", F.transform(cells, F.trim).alias("names"), starts.alias("starts"),
-                         F.transform(F.split(F.expr("substring(h[2], 2, length(h[2]) - 2)"), "\\|", -1), F.trim).alias("units"))
+    heads = heads.select("file", F.transform(cells, lambda c: F.trim(c)).alias("names"), starts.alias("starts"),
+                         F.transform(F.split(F.expr("substring(h[2], 2, length(h[2]) - 2)"), "\\|", -1), lambda c: F.trim(c)).alias("units"))
     body = spectra.filter(~F.col("line").startswith("\\") & ~F.col("line").startswith("|") & (F.trim("line") != ""))
     joined = salted_join(body, heads, ["file"])
 
