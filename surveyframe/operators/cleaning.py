@@ -138,17 +138,20 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def select_features(df: DataFrame, train: Column, verdict_pattern: str, leaky: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """column, used, reason: verdict-like names, reviewed leaks, ids, text and columns constant in train are left out."""
+    """column, constant, reason: verdict-like names, reviewed leaks, ids, text and columns constant in train are left out.
+
+    A column is constant when its smallest and largest value agree, so no distinct count is needed.
+    """
     types = dict(df.dtypes)
-    distinct = df.filter(train).agg(*[F.count_distinct(c).alias(c) for c in df.columns])
+    flat = df.filter(train).agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in df.columns])
     entries = []
     for c in df.columns:
         numeric = types[c] in ("int", "bigint", "double", "float", "smallint", "tinyint")
         reason = (F.when(F.lit(c).rlike(verdict_pattern), "verdict column").when(F.lit(c in leaky), "review list")
                   .when(F.lit(c in ids), "identifier").when(F.lit(not numeric), "not numeric")
-                  .when(F.col(c) <= 1, "constant in train").otherwise("used"))
-        entries.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct"), reason.alias("reason")))
-    return distinct.select(F.inline(F.array(*entries)))
+                  .when(F.col(c), "constant in train").otherwise("used"))
+        entries.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("constant"), reason.alias("reason")))
+    return flat.select(F.inline(F.array(*entries)))
 
 
 def scan_columns(tables: dict[str, DataFrame], pattern: str) -> list[tuple[str, str]]:

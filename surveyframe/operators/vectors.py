@@ -97,7 +97,7 @@ def silhouette(df: DataFrame, row: str, vector: str, label: str, block: int = BL
     types = dict(df.dtypes)
     part = meet.groupBy("_a", "_b").applyInPandas(sums, f"{row} {types[row]}, {label} {types[label]}, to {types[label]}, s double")
     n = df.groupBy(F.col(label).alias("to")).agg(F.count("*").alias("_n"))
-    t = part.groupBy(row, label, "to").agg(F.sum("s").alias("s")).join(F.broadcast(n), "to")
+    t = part.groupBy(row, label, "to").agg(F.sum("s").alias("s")).join(n, "to")
     own = F.col(label) == F.col("to")
     g = t.groupBy(row, label).agg(F.max(F.when(own & (F.col("_n") > 1), F.col("s") / (F.col("_n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("_n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

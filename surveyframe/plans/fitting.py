@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions.basics import uniform
 from surveyframe.operators import models as ML
 from surveyframe.operators import splits as SP
+from surveyframe.operators.scale import salted_join
 from surveyframe.plans.metrics import scored
 from surveyframe.plans.registry import query
 from surveyframe.plans.spectra import binned
@@ -40,7 +41,7 @@ def _(t):
 def _(t):
     x = scored(t)
     g = SP.assign_folds(SP.group_table(x.withColumn("label", F.col("y").cast("string")), "star", "label"), "star", 3, 9)
-    return ML.cross_validated_calibration(x.join(F.broadcast(g.select("star", "fold")), "star"), "fold", "y", "s2", 3)
+    return ML.cross_validated_calibration(salted_join(x, g.select("star", "fold"), ["star"]), "fold", "y", "s2", 3)
 
 
 @query("leave_one_out_platt", "M08")

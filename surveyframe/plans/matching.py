@@ -119,13 +119,13 @@ def _(t):
     return M.best_match(li, "l_orderkey", "diff", "l_quantity", "tie").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("linear_lookup", "J14", """with k as (select p_size::double as x, avg(p_retailprice) as y from part where p_size % 2 = 1 group by 1),
+@query("linear_lookup", "J14", """with k as (select p_size * 1.7::double as x, avg(p_retailprice) as y from part group by 1),
 s as (select x as x0, y as y0, lead(x) over (order by x) as x1, lead(y) over (order by x) as y1 from k),
 e as (select min(x) as lo, max(x) as hi, arg_min(y, x) as ylo, arg_max(y, x) as yhi from k)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when l_quantity < lo then ylo when l_quantity >= hi then yhi else y0 + (l_quantity - x0) * (y1 - y0) / (x1 - x0) end, 6) as looked_up
 from lineitem cross join e left join s on l_quantity >= x0 and (l_quantity < x1)""")
 def _(t):
-    knots = t.part.filter("p_size % 2 = 1").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    knots = t.part.select((F.col("p_size") * 1.7).alias("x"), F.col("p_retailprice").alias("y"))
     q = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return M.interpolate(q, "l_quantity", knots, "x", "y", "looked_up").withColumn("looked_up", F.round("looked_up", 6)).drop("l_quantity")
 

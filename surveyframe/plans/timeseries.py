@@ -72,7 +72,7 @@ def _(t):
 
 @query("detrended_series", "W10")
 def _(t):
-    p = T.gap_segments(points(t).select("event_id", "user_id", "t", "flux"), ["user_id"], "t", "event_id", gap=20).withColumn("protected", F.col("event_id") % 9 == 0)
+    p = T.gap_segments(points(t).select("event_id", "user_id", "t", "flux"), ["user_id"], "t", "event_id", gap=20).withColumn("protected", F.col("flux") > 60)
     return T.detrend(p, ["user_id", "segment"], "t", "flux", "protected", 5, "event_id").select("event_id", "user_id", "segment", "trend", "flat")
 
 
