@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import bin_index, clip, count_where
 from surveyframe.functions.stats import normal_tail, wilson
-from surveyframe.operators.scale import cumulative, fits_in_task, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, quantiles, salted_join, scalar_of
 
 
 def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFr
     fits = fits_in_task(c, keys)
     c = cumulative(c, "_down", {"tp": F.col("pos"), "fp": F.col("neg")}, keys, fits=fits)
     total = c.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    j = salted_join(c, total, list(keys), fits=fits) if keys else c.join(F.broadcast(total), F.lit(True))
+    j = salted_join(c, total, list(keys), fits=fits) if keys else attach_row(c, total)
     return j.select(*keys, F.col("s").alias("threshold"), "pos", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                     (F.col("tp") / F.nullif("_p", F.lit(0.0))).alias("recall"), (F.col("fp") / F.nullif("_n", F.lit(0.0))).alias("fpr"),
                     F.col("_p").alias("n_pos"), F.col("_n").alias("n_neg"))
@@ -135,7 +135,7 @@ def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int, keys: Seque
     fits = fits_in_task(df, keys)
     ranked = cumulative(df, value, {"_rn": F.lit(1).cast("bigint")}, keys, tie, fits)
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = salted_join(ranked, n, list(keys), fits=fits) if keys else ranked.join(F.broadcast(n), F.lit(True))
+    j = salted_join(ranked, n, list(keys), fits=fits) if keys else attach_row(ranked, n)
     q, r, i = F.floor(F.col("_n") / bins), F.col("_n") % bins, F.col("_rn") - 1
     head = r * (q + 1)
     b = F.when(i < head, F.floor(i / (q + 1))).otherwise(r + F.floor((i - head) / F.greatest(q, F.lit(1))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions.basics import uniform
 from surveyframe.functions.stats import prior_shift
 from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc, value_ranks
-from surveyframe.operators.scale import cumulative, fits_in_task, salted_join, scalar_of
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, salted_join, scalar_of
 
 REPLICATES = 2000  # fixed value: replicates per interval in use; tests and queries pass fewer
 
@@ -30,7 +30,7 @@ def replicate_weights(df: DataFrame, unit: str, replicates: int, seed: int, keys
     """keys, b, unit, w: how often each unit is drawn in each replicate (as many draws as units)."""
     units = numbered_units(df, unit, keys)
     n = units.groupBy(*keys).agg(F.count("*").alias("_n"))
-    slots = salted_join(units, n, list(keys)) if keys else units.join(F.broadcast(n), F.lit(True))
+    slots = salted_join(units, n, list(keys)) if keys else attach_row(units, n)
     drawn = slots.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")).alias("b"), "idx", "_n")
     picked = drawn.select(*keys, "b", F.floor(uniform("b", "idx", *keys, seed) * F.col("_n")).cast("bigint").alias("idx"))
     w = picked.groupBy(*keys, "b", "idx").agg(F.count("*").alias("w"))
@@ -119,7 +119,7 @@ def permutation_p(df: DataFrame, y: str, score: str, row: str, permutations: int
 def leave_one_out_rate(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Base rate of the other rows: (sum - own) / (n - 1)."""
     t = df.groupBy(*keys).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    j = salted_join(df, t, list(keys)) if keys else df.join(F.broadcast(t), F.lit(True))
+    j = salted_join(df, t, list(keys)) if keys else attach_row(df, t)
     return j.withColumn("loo_rate", F.when(F.col("_n") > 1, (F.col("_s") - F.col(y)) / (F.col("_n") - 1))).drop("_s", "_n")
 
 

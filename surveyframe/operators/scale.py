@@ -42,6 +42,12 @@ def scalar_of(df: DataFrame, **aggs: Column) -> Column:
     return df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("s")).scalar()
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery instead of a join."""
+    s = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+    return df.select("*", *[s[c].alias(c) for c in one_row.columns])
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more rows than one task should hold, with their row count `_n`; None if there are none."""
     limit = limit or rows_per_task(df.sparkSession)
@@ -57,7 +63,7 @@ def fits_in_task(df: DataFrame, keys: Sequence[str] = ()) -> bool:
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys where NULL equals NULL; the right side's key columns are dropped."""
     if not keys:
-        return left.join(F.broadcast(right), F.lit(True), how)
+        return attach_row(left, right)
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
     cond = None
@@ -171,7 +177,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, fl
     out = rows.select(*keys).distinct() if keys else None
     for column in dict.fromkeys(c for c, _ in specs.values()):
         found = _hot_quantiles(rows, keys, column, {n: p for n, (c, p) in specs.items() if c == column})
-        out = found if out is None else (_null_safe(out, found, keys) if keys else out.join(found, F.lit(True)))
+        out = found if out is None else (_null_safe(out, found, keys) if keys else attach_row(out, found))
     return out if cold is None else cold.unionByName(out)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from surveyframe.operators.scale import cumulative, fits_in_task, medians, salted_join
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, medians, salted_join
 
 
 def calibration_points(points: DataFrame, hosts: DataFrame, host: str, spectrum: Sequence[str], in_range: Column,
@@ -266,7 +266,7 @@ def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: st
     fits = fits_in_task(c, keys)
     c = cumulative(c, "_x", {"_cum": F.col("_w")}, keys, fits=fits)
     total = c.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    j = salted_join(c, total, keys, fits=fits) if keys else c.join(F.broadcast(total), F.lit(True))
+    j = salted_join(c, total, keys, fits=fits) if keys else attach_row(c, total)
     q = F.col("_cum") / F.col("_total")
     picks = []
     for n, p in probs.items():

@@ -5,10 +5,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import CheckFailed, uniform
-from surveyframe.operators.scale import cumulative, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import cumulative, fits_in_task, quantiles, salted_join, scalar_of
 
 MAX_FOLDS = 20            # fixed value: finest fraction used for a hold-out
 UNLABELED = "UNLABELED"   # stratum of rows without a label
@@ -20,30 +21,43 @@ def group_table(df: DataFrame, group: str, label: str) -> DataFrame:
     return counts.groupBy(group).agg(F.sum("n").alias("rows"), F.min_by("stratum", F.struct(-F.col("n"), "stratum")).alias("stratum"))
 
 
-def assign_folds(groups: DataFrame, group: str, n: int, seed: int, name: str = "fold") -> DataFrame:
+def assign_folds(groups: DataFrame, group: str, n: int, seed: int, name: str = "fold", fits: bool | None = None,
+                 within: tuple[str, ...] = ("stratum",)) -> DataFrame:
     """Fold of each group: its place in the cumulative row share of a hashed order inside its stratum."""
+    keys = list(within)
+    fits = fits_in_task(groups, keys) if fits is None else fits
     drawn = groups.withColumn("_u", uniform(group, seed))
-    placed = cumulative(drawn, "_u", {"_cum": F.col("rows")}, ["stratum"], tie=group)
-    total = groups.groupBy("stratum").agg(F.sum("rows").alias("_total"))
+    placed = cumulative(drawn, "_u", {"_cum": F.col("rows")}, keys, group, fits)
+    if fits:
+        placed = placed.withColumn("_total", F.sum("rows").over(W.partitionBy(*keys)))
+    else:
+        placed = placed.join(groups.groupBy(*keys).agg(F.sum("rows").alias("_total")), keys)
     at = (F.col("_cum") - F.col("rows")) * n / F.col("_total")
-    return placed.join(total, "stratum").withColumn(name, F.least(F.floor(at), F.lit(n - 1)).cast("int")).drop("_u", "_cum", "_total")
+    return placed.withColumn(name, F.least(F.floor(at), F.lit(n - 1)).cast("int")).drop("_u", "_cum", "_total")
 
 
-def hold_out(groups: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
-    """Add `held`: whole groups with about `fraction` of the rows, as k of n folds."""
+def fold_share(fraction: float) -> tuple[int, int]:
+    """A fraction as k of n folds."""
     f = Fraction(fraction).limit_denominator(MAX_FOLDS)
     if not 0 < f.numerator < f.denominator:
         raise CheckFailed(f"fraction {fraction} is not k/n with 0 < k < n <= {MAX_FOLDS}")
-    folds = assign_folds(groups, group, f.denominator, seed)
-    return folds.withColumn("held", F.col("fold") < f.numerator).drop("fold")
+    return f.numerator, f.denominator
+
+
+def hold_out(groups: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
+    """Add `held`: whole groups with about `fraction` of the rows, as k of n folds."""
+    k, n = fold_share(fraction)
+    return assign_folds(groups, group, n, seed).withColumn("held", F.col("fold") < k).drop("fold")
 
 
 def grouped_split(df: DataFrame, group: str, label: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
     """group -> split; test first, then val from what is left.  Whole groups only; a blank label is a stratum."""
-    first = hold_out(group_table(df, group, label), group, test, seed)
-    rest = hold_out(first.filter("not held").drop("held"), group, val / (1 - test), seed + 1)
-    test_part = first.filter("held").select(group, F.lit("test").alias("split"))
-    return test_part.unionByName(rest.select(group, F.when(F.col("held"), "val").otherwise("train").alias("split")))
+    groups = group_table(df, group, label)
+    fits = fits_in_task(groups, ["stratum"])
+    (k1, n1), (k2, n2) = fold_share(test), fold_share(val / (1 - test))
+    first = assign_folds(groups, group, n1, seed, "_f1", fits).withColumn("_held", F.col("_f1") < k1)
+    second = assign_folds(first, group, n2, seed + 1, "_f2", fits or None, ("stratum", "_held"))
+    return second.select(group, F.when(F.col("_held"), "test").when(F.col("_f2") < k2, "val").otherwise("train").alias("split"))
 
 
 def apply_split(df: DataFrame, split: DataFrame, group: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import finite
-from surveyframe.operators.scale import cumulative, fits_in_task, materialise, medians, neighbour, quantiles, salted_join
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, medians, neighbour, quantiles, salted_join
 
 
 def stitch_segments(df: DataFrame, segment: Sequence[str], flux: str) -> DataFrame:
@@ -77,7 +77,7 @@ MAX_DRIFT_FRACTION = 0.5    # fixed value: largest usable timing drift in durati
 
 def _keyed(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
     """Join back one row per key (or one global row when there are no keys)."""
-    return salted_join(df, other, list(keys), how, fits) if keys else df.join(F.broadcast(other), F.lit(True), how)
+    return salted_join(df, other, list(keys), how, fits) if keys else attach_row(df, other)
 
 
 def cadence(df: DataFrame, keys: Sequence[str], time: str, tie: str | None = None, fits: bool | None = None) -> DataFrame:

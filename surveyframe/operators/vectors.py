@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyframe.operators.scale import attach_row, top_rows
+
 BLOCK_ROWS = 2000
 
 
@@ -22,7 +24,7 @@ def _meetings(df: DataFrame, row: str, within: list[str], block: int) -> DataFra
     Blocks are cut by hash inside each `within` group, so a large group has many blocks and no task holds more than two.
     """
     sizes = df.groupBy(*within).agg(F.count("*").alias("_n")) if within else df.agg(F.count("*").alias("_n"))
-    j = df.join(sizes, within) if within else df.join(F.broadcast(sizes), F.lit(True))
+    j = df.join(sizes, within) if within else attach_row(df, sizes)
     k = F.ceil(F.col("_n") / block).cast("int")
     j = j.withColumn("_c", F.pmod(F.xxhash64(row), k).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), k - 1)))
     return j.withColumn("_a", F.least("_c", "_o")).withColumn("_b", F.greatest("_c", "_o")).drop("_n", "_o")
@@ -66,8 +68,6 @@ def nearest(df: DataFrame, row: str, vector: str, k: int, carry: str, exclude: s
     types = dict(df.dtypes)
     schema = f"{row} {types[row]}, other {types[row]}, distance double, {carry}_other {types[carry]}"
     found = meet.groupBy("_a", "_b").applyInPandas(best, schema)
-    from surveyframe.operators.scale import top_rows
-
     return top_rows(found, [row], [F.col("distance").asc(), F.col("other").asc()], k)
 
 
