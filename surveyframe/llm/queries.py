@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perspectives, token_counts
+from . import perspectives, pivotal_mixing, quality_rules, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.array_join("failed_rules", " ").alias("failed_rules"))
+
+
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every participant's side; spans as text "start-end start-end"."""
     out = perspectives.rotate(_read(spark, sf_dir, "conversations"))
@@ -54,8 +60,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_perspective_rotation, op8_token_counts)}
+    return {f.__name__: f for f in (op3_risk_controlled_rules, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
