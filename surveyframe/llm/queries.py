@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perspectives, pivotal_mixing, quality_rules, token_counts
+from . import perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,32 @@ def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("failed_rules", " ").alias("failed_rules"))
 
 
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_length_index.remove_repeats(docs).select("doc_id", *[F.col("repeats")[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+OP6_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (
+  select r, i, md5(substr(h, 2 * i + 1, 800)) as m from (select r, h, unnest(range(n - 399)) as i from d where n >= 400)),
+c as (select m from w group by m having count(*) > 1),
+s as (select r, i, lag(i) over (partition by r order by i) as p from w semi join c on w.m = c.m),
+g as (select r, i, sum(case when p is null or i > p + 400 then 1 else 0 end) over (partition by r order by i) as k from s),
+span as (select r, k, min(i) as a, max(i) + 400 as b from g group by r, k),
+gap as (
+  select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as p from span),
+kept as (
+  select d.r, string_agg(substr(d.h, 2 * gap.p + 1, 2 * (gap.a - gap.p)), '' order by gap.a) || substr(any_value(d.h), 2 * max(gap.b) + 1) as h,
+         sum(gap.b - gap.a) as gone, count(*) as n_spans
+  from d join gap on d.r = gap.r group by d.r)
+select d.doc_id, d.n as n_bytes, coalesce(kept.gone, 0)::bigint as n_removed, coalesce(kept.n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept on d.r = kept.r
+"""
+
+
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every participant's side; spans as text "start-end start-end"."""
     out = perspectives.rotate(_read(spark, sf_dir, "conversations"))
@@ -65,8 +91,8 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_risk_controlled_rules, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
+    return {f.__name__: f for f in (op3_risk_controlled_rules, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_perspective_rotation": OP7_SQL}
+    return {"op6_run_length_index": OP6_SQL, "op7_perspective_rotation": OP7_SQL}
