@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
+from . import order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("failed_rules", " ").alias("failed_rules"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return run_length_index.remove_repeats(docs).select("doc_id", *[F.col("repeats")[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
@@ -91,7 +95,7 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_risk_controlled_rules, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
+    return {f.__name__: f for f in (op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
