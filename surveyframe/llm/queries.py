@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
+from . import decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), " "))
+
+
 def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -95,7 +100,7 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
+    return {f.__name__: f for f in (op2_edit_embedding, op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
