@@ -62,8 +62,8 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two 64-bit hashes r1, r2 of (doc_id, text): equal rows share them, NULLs are allowed."""
-    return [F.xxhash64(F.col(doc_id), F.col(text)).alias("r1"), F.xxhash64(F.col(text), F.lit(7), F.col(doc_id)).alias("r2")]
+    """Hashes r1 (64 bits) and r2 (32 bits) of (doc_id, text): equal rows share them, NULLs are allowed."""
+    return [F.xxhash64(F.col(doc_id), F.col(text)).alias("r1"), F.hash(F.col(text), F.col(doc_id)).alias("r2")]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

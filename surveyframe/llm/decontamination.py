@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER, arrow_map, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
+from .common import LETTER, arrow_map, free_name, mix, need, row_keys, row_slices, stored, text_buffer, word_hashes
 
 MAX_EDIT_PERCENT, MIN_WORDS = 20, 5
 REPEATS, SAMPLES, SLACK = 24, 3, 3
@@ -151,7 +151,7 @@ def _candidates(docs: DataFrame, lows: list[int], pair_table: np.ndarray, key_ta
                                 out[c].append(v)
             yield out
 
-    return arrow_map(docs, run, "r1 long, r2 long, at long, sig long, around array<long>")
+    return arrow_map(docs, run, "r1 long, r2 int, at long, sig long, around array<long>")
 
 
 def free_end_distance(item: list, text: list) -> int:
@@ -180,7 +180,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sigs = items.select("item_id", "words", F.explode("sigs").alias("sig"))
     key_table = _bits(sigs.select(F.shiftrightunsigned("sig", 64 - KEY_BITS).alias("key")), "key", KEY_BITS)
     lows = sorted(r[0] for r in items.select("low").distinct().collect())      # a few size classes
-    keyed = need(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", F.lit(7), "doc_id").alias("r2"), "text")
+    keyed = need(docs, "doc_id", "text").select(*row_keys(), "text")
     found = _candidates(keyed, lows, pair_table, key_table)
     pairs = found.join(sigs, "sig").groupBy("r1", "r2", "at", "item_id").agg(F.first("around").alias("around"), F.first("words").alias("words"))
     item_type = benchmark.schema["item_id"].dataType
@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         mask = pa.array(keep, pa.bool_())
         yield {c: b.column(c).filter(mask) for c in ("r1", "r2", "item_id")} | {"edits": pa.array(edits, pa.int32()).filter(mask)}
 
-    good = arrow_map(pairs, verify, T.StructType([T.StructField("r1", T.LongType()), T.StructField("r2", T.LongType()),
+    good = arrow_map(pairs, verify, T.StructType([T.StructField("r1", T.LongType()), T.StructField("r2", T.IntegerType()),
                                                   T.StructField("item_id", item_type), T.StructField("edits", T.IntegerType())]))
     return good.groupBy("r1", "r2", "item_id").agg(F.min("edits").alias("edits"))
 
@@ -203,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids and the fewest edits of every row."""
     leaks = find_leaks(docs, benchmark).groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("edits"))
-    rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", F.lit(7), "doc_id").alias("r2"))
+    rows = need(docs, "doc_id", "text").select("doc_id", *row_keys())
     none = F.array().cast(leaks.schema["item_ids"].dataType)
     return rows.join(leaks, ["r1", "r2"], "left").select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("int").alias("n_items"),
@@ -214,5 +214,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any benchmark item, with all their columns."""
     leaks = find_leaks(docs, benchmark).select(F.xxhash64("r1", "r2").alias("leak")).distinct()
     key = free_name(docs, "leak")
-    r1, r2 = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(7), "doc_id")
-    return docs.withColumn(key, F.xxhash64(r1, r2)).join(leaks.withColumnRenamed("leak", key), key, "left_anti").drop(key)
+    return docs.withColumn(key, F.xxhash64(*row_keys())).join(leaks.withColumnRenamed("leak", key), key, "left_anti").drop(key)

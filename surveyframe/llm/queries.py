@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts
+from . import boosted_quality, decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), " "))
@@ -99,8 +103,13 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_edit_embedding, op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing)}
+    return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing,
+                                    op10_boosted_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,8 @@ A byte is repeated when a string of `window` bytes that covers it also starts an
 1. Routing.  Every window picks an anchor, the GRAM-byte string in it with the smallest hash (leftmost on ties).
    Windows that pick the same anchor are neighbours and form one segment of at most 2 windows.  Equal windows pick
    equal anchors at the same place, so only segments with the same anchor can share a window; anchors that occur
-   once are dropped.  Equal segments are collapsed to one with its number of occurrences.
+   once are dropped.  Equal segments are collapsed to one with its number of occurrences, those in a row (periodic
+   text) already where they are found.
 2. Index.  Different segments with the same anchor meet in a block of bounded size.  The block's suffixes are
    sorted, its transform is cut into runs, and only the text positions at the ends of runs are kept, with the length
    of the match to the neighbouring suffix.
@@ -53,10 +54,14 @@ def _sliding_min(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """row, a (start in the slice), ln, kg (hash of the anchor), cx (hash of the segment and the anchor's place in it)."""
+    """row, a (start in the slice), ln, kg (hash of the anchor), cx (hash of the segment and the anchor's place in it).
+
+    c equal segments in a row are one entry; `span` is the length they cover together.
+    """
     n = len(data)
+    none = {c: np.zeros(0, np.int64) for c in ("row", "a", "ln", "kg", "cx", "c", "span")}
     if n < window:
-        return {c: np.zeros(0, np.int64) for c in ("row", "a", "ln", "kg", "cx")}
+        return none
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     full = span_hash(prefix, at, at + gram)
@@ -66,7 +71,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.flatnonzero(row[:n - window + 1] == row[window - 1:])
     if not len(inside):
-        return {c: np.zeros(0, np.int64) for c in ("row", "a", "ln", "kg", "cx")}
+        return none
     p = place[inside]
     new = np.ones(len(inside), bool)
     new[1:] = (p[1:] != p[:-1]) | (np.diff(inside) != 1)
@@ -74,11 +79,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     tail = np.append(head[1:], len(inside)) - 1
     a, end, p = inside[head], inside[tail] + window, p[head]
     cx = mix(span_hash(prefix, a, end) ^ ((p - a).astype(np.uint64) << np.uint64(40)))
-    return {"row": row[a], "a": a, "ln": end - a, "kg": full[p].view(np.int64), "cx": cx.view(np.int64)}
+    kg = full[p]
+    new = np.ones(len(a), bool)
+    new[1:] = (kg[1:] != kg[:-1]) | (cx[1:] != cx[:-1]) | (row[a[1:]] != row[a[:-1]])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(a)) - 1
+    return {"row": row[a[head]], "a": a[head], "ln": (end - a)[head], "kg": kg[head].view(np.int64), "cx": cx[head].view(np.int64),
+            "c": tail - head + 1, "span": end[tail] - a[head]}
 
 
 def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """r1, r2, kg, cx, a, ln of every segment of every text; texts are cut into overlapping slices where huge."""
+    """r1, r2, kg, cx, a, ln, c, span of every segment of every text; texts are cut into overlapping slices where huge."""
     step = (1 << _PLACE_BITS) - 2 * window
 
     def run(b: pa.RecordBatch):
@@ -95,7 +106,7 @@ def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 s["a"] = s["a"] + at - off[row]
                 yield s | {"r1": r1[row], "r2": r2[row]}
 
-    return arrow_map(docs.select("r1", "r2", "text"), run, "r1 long, r2 long, kg long, cx long, a long, ln int")
+    return arrow_map(docs.select("r1", "r2", "text"), run, "r1 long, r2 int, kg long, cx long, a long, ln int, c int, span long")
 
 
 # ---- 2. and 3. index and matching statistics --------------------------------------------------------
@@ -233,9 +244,9 @@ def _count_windows(segs: DataFrame, window: int) -> DataFrame:
             n = len(at)
             yield {"r1": np.full(n, row["r1"]), "r2": np.full(n, row["r2"]), "a": row["a"] + at, "m": np.full(n, row["m"]), "x": x.view(np.int64), "y": half.view(np.int64)}
 
-    w = arrow_map(segs.select("r1", "r2", "a", "m", "bytes"), run, "r1 long, r2 long, a long, m long, x long, y long")
+    w = arrow_map(segs.select("r1", "r2", "a", "m", "bytes"), run, "r1 long, r2 int, a long, m long, x long, y long")
     twice = w.groupBy("x", "y").agg(F.sum("m").alias("n")).filter("n > 1").select("x", "y")
-    return w.filter("m = 1").join(twice, ["x", "y"], "left_semi").select("r1", "r2", "a", F.lit(window).alias("ln"))
+    return w.filter("m = 1").join(twice, ["x", "y"], "left_semi").select("r1", "r2", "a", F.lit(window).cast("long").alias("ln"))
 
 
 # ---- 4. whole corpus --------------------------------------------------------------------------------
@@ -246,13 +257,16 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     `rest` goes along so that both joins with the texts read the same columns and Spark shuffles the texts once.
     """
     occ = stored(_occurrences(keyed, window, gram))
-    several = occ.groupBy("kg").agg(F.count("*").alias("n")).filter("n > 1")
+    several = occ.groupBy("kg").agg(F.sum("c").alias("n"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).filter("n > 1")
     occ = stored(occ.join(several, "kg"))
-    seg = occ.groupBy("kg", "cx").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min(F.struct("r1", "r2", "a", "ln")).alias("o"))
+    # Inside copies all segments of an anchor are equal, which the two extremes tell; only the others are grouped.
+    mixed, span = occ.filter("lo <> hi"), ["r1", "r2", "a", F.col("span").alias("ln")]
+    seg = mixed.groupBy("kg", "cx").agg(F.sum("c").alias("m"), F.max("n").alias("n"), F.min(F.struct("r1", "r2", "a", "ln")).alias("o"))
     seg = stored(seg.select("kg", "cx", "m", "n", "o.*"))
-    whole = occ.join(seg.filter("m > 1").select("kg", "cx"), ["kg", "cx"], "left_semi").select("r1", "r2", "a", F.col("ln").cast("long").alias("ln"))
+    whole = occ.filter("lo = hi").select(*span).unionByName(
+        mixed.join(seg.filter("m > 1").select("kg", "cx"), ["kg", "cx"], "left_semi").select(*span))
 
-    met = seg.filter("m < n")
+    met = seg
     volume = met.groupBy("kg").agg(F.sum("ln").alias("bytes"))
     hot = stored(volume.filter(F.col("bytes") > hot_bytes).select("kg"))
     blocks = max(1, -(-(met.agg(F.sum("ln")).first()[0] or 0) // block_bytes))
@@ -265,7 +279,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     is_hot = not hot.isEmpty()
     cold = pieces.join(hot, "kg", "left_anti") if is_hot else pieces
     cold = cold.withColumn("block", F.pmod(F.xxhash64("kg"), F.lit(blocks)))
-    marks = cold.groupBy("block").applyInPandas(_index_blocks(window), "r1 long, r2 long, a long, ln long")
+    marks = cold.groupBy("block").applyInPandas(_index_blocks(window), "r1 long, r2 int, a long, ln long")
     if is_hot:
         marks = marks.unionByName(_count_windows(pieces.join(hot, "kg", "left_semi"), window))
     return whole.unionByName(marks).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "ln")).alias("spans"))
