@@ -27,7 +27,7 @@ from .common import LETTER, arrow_map, held_out, label_sample, mix, need, row_sl
 
 WORD_BUCKETS, BUCKETS = 1 << 16, 1 << 18
 MAX_ROWS, SHARDS, ROUNDS = 10_000, 8, 10
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 
 
 def _features(words: np.ndarray, first: np.ndarray):
