@@ -102,16 +102,15 @@ def _round(last: bool):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES,
         rows_per_group: int = ROWS_PER_GROUP, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every document."""
+    """doc_id, source, size, source_size, target, taken, copies of every document."""
     sized = stored(sizes(docs))
     goal = stored(targets(sized, weights, budget, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal_named = goal.withColumnRenamed("source", "_s")
-    rows = (sized.join(goal_named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = (sized.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
             .withColumn("whole", F.floor(rate).cast("long"))
             .withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
             .withColumn("bucket", F.pmod("h", F.ceil(F.col("n_docs") / rows_per_group))))
-    rows = rows.select("doc_id", "size", "source_size", "target", "whole", "p", "k", "bucket", "h")
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "p", "k", "bucket", "h")
     groups = goal.agg(F.max(F.ceil(F.col("n_docs") / rows_per_group))).first()[0] or 1
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     done = rows.filter(~open_)
@@ -124,4 +123,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         rows = out.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / fan_in))
         groups = -(-groups // fan_in)
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return done.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts, toxicity
+from . import boosted_quality, decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts, toxicity, url_templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +31,52 @@ def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("failed_rules", " ").alias("failed_rules"))
 
 
+def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_templates.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+    return out.withColumn("purity", F.round("purity", 6))
+
+
+def _op4_sql(levels: int = url_templates.MAX_DEPTH + 1) -> str:
+    u = url_templates
+    form = "".join(f"when regexp_matches(x, '{pattern}') then '{name}' " for name, pattern in u.FORMS)
+    fits = [(v, h, p, f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')") for v, h, p in sorted(u.RULES, key=lambda r: (len(r[1] + r[2]), r[1:]), reverse=True)]
+    rule = "case " + " ".join(f"when {c} then '{h}{p}'" for _, h, p, c in fits) + " end"
+    verdict = "case rule " + " ".join(f"when '{h}{p}' then '{v}'" for v, h, p, _ in fits) + " end"
+    steps = []
+    for d in range(levels):
+        steps.append(f"""
+s{d} as (select *, array_to_string(made[1:{d}], '/') as stem, case when len(made) > {d} then made[{d + 1}] end as seg from t{d}),
+k{d} as (select host, stem, seg, sum(n) as n, sum(labelled) as l, sum(bad) as b from s{d} where seg is not null group by host, stem, seg),
+v{d} as (select *, count(*) over w as kids, sum(n) over w as nrows, sum(b) over w / greatest(sum(l) over w, 1)::double as pooled from k{d} window w as (partition by host, stem)),
+m{d} as (select host, stem, seg from v{d} where not starts_with(seg, '{{')
+         and ((kids >= {u.MANY_CHILDREN} and nrows < {u.ROWS_PER_CHILD} * kids)
+              or (kids > 1 and abs(b - l * pooled) <= {u.DIFFER_Z}::double * sqrt(pooled * (1 - pooled) / greatest(l, 1)) * l))),
+t{d + 1} as (select host, forms, case when m{d}.seg is not null then list_concat(list_concat(made[1:{d}], ['{{any}}']), made[{d + 2}:]) else made end as made, n, labelled, bad
+          from s{d} left join m{d} using (host, stem, seg))""")
+    return f"""
+with u as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as raw from u),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) as path from h),
+f as (select page_id, host, path, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p),
+g as (select page_id, host, path, {rule} as rule,
+             array_to_string(list_concat(list_transform(parts[1:{u.MAX_DEPTH}], lambda x: case {form} else x end), case when len(parts) > {u.MAX_DEPTH} then ['{{rest}}'] else []::varchar[] end), '/') as forms from f),
+lab as (select doc_id, max(case when coalesce(quality = 0, false) or coalesce(toxic = 1, false) then 1 else 0 end) as is_bad from labels
+        where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
+t0 as (select host, forms, string_split(forms, '/') as made, count(*) as n, count(is_bad) as labelled, coalesce(sum(is_bad), 0) as bad
+       from g left join lab on g.page_id = lab.doc_id group by host, forms),
+{",".join(steps)},
+t as (select *, array_to_string(made, '/') as template from t{levels}),
+one as (select host, template, sum(labelled) as l, sum(bad) as b from t group by host, template),
+hosts as (select host, sum(l) as hl, sum(b) as hb from one group by host),
+share as (select (sum(hb) + 1) / (sum(hl) + 2)::double as s from hosts),
+rated as (select host, template, (b + {u.PRIOR}::double * ((hb + {u.PRIOR}::double * s) / (hl + {u.PRIOR}::double))) / (l + {u.PRIOR}::double) as purity from one join hosts using (host), share)
+select page_id, host, path, rule, template, round(purity, 6) as purity,
+       coalesce({verdict}, case when purity >= {u.BLOCK_FROM} then 'block' else 'allow' end) as verdict
+from g join t using (host, forms) join rated using (host, template)
+"""
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -108,9 +155,9 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing,
-                                    op10_boosted_trees)}
+    return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op4_template_tree, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing,
+                                    op10_boosted_trees)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_run_length_index": OP6_SQL, "op7_perspective_rotation": OP7_SQL}
+    return {"op4_template_tree": _op4_sql(), "op6_run_length_index": OP6_SQL, "op7_perspective_rotation": OP7_SQL}
