@@ -111,16 +111,15 @@ def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 # ---- 2. and 3. index and matching statistics --------------------------------------------------------
 
-def suffix_order(sym: np.ndarray, data: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Positions in suffix order.  rest: bytes up to the end of the segment; ends sort below all bytes, by position."""
-    n = len(data)
-    h = 7
+def suffix_order(data: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Positions in suffix order, by prefix doubling over those still tied.
+
+    rest: bytes from a position to the end of its segment; ends sort below all bytes, by position.  data is padded.
+    """
+    n, h = len(rest), 7
     key = np.zeros(n, np.uint64)
     for i in range(h):
-        c = np.zeros(n, np.uint64)
-        c[:n - i] = data[i:]
-        c[rest <= i] = 0
-        key = (key << np.uint64(8)) | c
+        key = (key << np.uint64(8)) | np.where(rest > i, data[i:n + i], 0).astype(np.uint64)
     key = (key << np.uint64(8)) | np.minimum(rest, h).astype(np.uint64)
     act = np.argsort(key, kind="stable")
     k = key[act]
@@ -181,7 +180,7 @@ class RunLengthIndex:
         self.start = np.concatenate(([0], np.cumsum(self.length + 1)))[:-1]
         rest = np.repeat(self.start + self.length, self.length + 1) - np.arange(n)
         data = self.data[:n]
-        order = suffix_order(data, data, rest)
+        order = suffix_order(self.data, rest)
         last = data[order - 1].astype(np.int64)
         at_start = np.zeros(n, bool)
         at_start[self.start] = True

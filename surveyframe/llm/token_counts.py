@@ -59,7 +59,9 @@ class Encoder:
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
 
     def _piece_tokens(self, text: str) -> list[tuple[int, int, int]]:
-        return [(p.id, p.begin, p.end) for p in self.lib.encode(text, out_type="immutable_proto").pieces]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80))).tolist()       # bytes to code points
+        return [(p.id, at[p.begin], at[p.end]) for p in self.lib.encode(text, return_type="proto").pieces]
 
     def counts(self, texts: list[str]) -> list[int]:
         return self._by_word(texts) if self.by_word else self.count_all(texts)
