@@ -212,10 +212,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         if not finer:
             break
-        failed = led.join(links, ["node", "leader"], "left_anti").select("node", "i", "key").distinct()
-        other = F.explode(F.array(*[F.pmod(F.col("i") + x, F.lit(SKETCHES)) for x in finer])).alias("j")
-        failed = failed.select("node", "i", "key", other).join(nodes.select("node", "sketch"), "node")
-        led = stored(_led(failed.select("node", "i", F.xxhash64("key", "j", F.element_at("sketch", F.col("j") + 1)).alias("key"))))
+        failed = led.join(links, ["node", "leader"], "left_anti").groupBy("node").agg(F.collect_set(F.struct("i", "key")).alias("at"))    # one per sketch and bucket
+        tries = F.flatten(F.transform("at", lambda m: F.transform(F.array(*[F.pmod(m["i"] + x, F.lit(SKETCHES)) for x in finer]), lambda j: F.struct(
+            m["i"].alias("i"), F.xxhash64(m["key"], j, F.get("sketch", j)).alias("key")))))
+        failed = failed.join(nodes.select("node", "sketch"), "node").select("node", F.explode(tries).alias("m"))
+        led = stored(_led(failed.select("node", "m.i", "m.key")))
         if led.isEmpty():
             break
     roots = components(links, "node", "leader")
