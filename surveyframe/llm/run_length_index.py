@@ -16,7 +16,7 @@ A byte is repeated when a string of `window` bytes that covers it also starts an
 4. The repeated spans of a document are merged and cut out.
 
 An anchor whose different segments exceed `hot_bytes` is not gathered: all windows of its segments are counted by a
-128-bit hash, with partial sums before the shuffle.  Nothing is sampled or capped.
+95-bit hash, with partial sums before the shuffle.  Nothing is sampled or capped.
 
 Defined cases: a NULL text counts as empty; repeated rows repeat each other, so long ones go; texts below the window
 length stay whole; an empty table gives no rows; `doc_id` may be NULL or repeated; other columns are ignored.
@@ -230,22 +230,31 @@ def _index_blocks(window: int):
 
 
 def _count_windows(segs: DataFrame, window: int) -> DataFrame:
-    """The way for hot anchors: r1, r2, a, ln of every window of a segment that occurs more than once, m counted."""
+    """The way for hot anchors: r1, r2, a, ln of the windows of single segments that occur more than once.
+
+    A window travels as two longs: x, its hash, and y, 32 more bits of it with its place and whether its segment was
+    collapsed (2) or not (1).  Windows are counted with partial sums, runs of repeated ones become one span.
+    """
 
     def run(b: pa.RecordBatch):
-        for i in range(b.num_rows):
-            row = {c: b.column(c)[i].as_py() for c in ("r1", "r2", "a", "m", "bytes")}
-            data = np.frombuffer(row["bytes"], np.uint8)
+        for kg, sid, m, raw in zip(b.column("kg").to_pylist(), b.column("sid").to_pylist(), b.column("m").to_pylist(), b.column("bytes")):
+            data = np.frombuffer(raw.as_py(), np.uint8)
             at = np.arange(len(data) - window + 1)
             prefix = prefix_hash(data)
-            x = span_hash(prefix, at, at + window)
-            half = span_hash(prefix, at, at + window // 2)
-            n = len(at)
-            yield {"r1": np.full(n, row["r1"]), "r2": np.full(n, row["r2"]), "a": row["a"] + at, "m": np.full(n, row["m"]), "x": x.view(np.int64), "y": half.view(np.int64)}
-
-    w = arrow_map(segs.select("r1", "r2", "a", "m", "bytes"), run, "r1 long, r2 int, a long, m long, x long, y long")
-    twice = w.groupBy("x", "y").agg(F.sum("m").alias("n")).filter("n > 1").select("x", "y")
-    return w.filter("m = 1").join(twice, ["x", "y"], "left_semi").select("r1", "r2", "a", F.lit(window).cast("long").alias("ln"))
+            x = mix(span_hash(prefix, at, at + window) ^ np.uint64(kg & 0xFFFFFFFFFFFFFFFF))
+            y = span_hash(prefix, at, at + window // 2) >> np.uint64(33)
+            yield {"x": x.view(np.int64), "sid": np.full(len(at), sid), "y": (y.astype(np.int64) << 32) | (at << 2) | min(m, 2)}
+
+    id_of = F.xxhash64("kg", "cx").alias("sid")
+    w = arrow_map(segs.select("kg", id_of, "m", "bytes"), run, "x long, sid long, y long")
+    half = F.shiftright("y", 32).alias("half")
+    twice = w.groupBy("x", half).agg(F.sum(F.col("y").bitwiseAND(3)).alias("n")).filter("n > 1").select("x", "half")
+    single = w.filter(F.col("y").bitwiseAND(3) == 1).select("x", half, "sid", F.shiftright(F.col("y").bitwiseAND(0xFFFFFFFF), 2).alias("o"))
+    at = single.join(twice, ["x", "half"], "left_semi").groupBy("sid").agg(F.collect_set("o").alias("o"))        # bounded by the segment
+    first = F.sort_array(F.filter("o", lambda i: ~F.array_contains("o", i - 1)))
+    last = F.sort_array(F.filter("o", lambda i: ~F.array_contains("o", i + 1)))
+    runs = at.select("sid", F.explode(F.arrays_zip(first.alias("f"), last.alias("l"))).alias("r"))
+    return segs.select("r1", "r2", "a", id_of).join(runs, "sid").select("r1", "r2", (F.col("a") + F.col("r.f")).alias("a"), (F.col("r.l") - F.col("r.f") + window).alias("ln"))
 
 
 # ---- 4. whole corpus --------------------------------------------------------------------------------
