@@ -23,11 +23,11 @@ def _digest(parts: tuple) -> Column:
 
 
 def _share(digest: Column, start: int) -> Column:
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, start, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
 
 
 def uniform(*parts: str | Column | int) -> Column:
-    """A draw in [0, 1) fixed by the text of its parts, the same on every engine and retry."""
+    """A draw in [0, 1) with 52 bits, fixed by the text of its parts, the same on every engine and retry."""
     return _share(_digest(parts), 1)
 
 
@@ -35,7 +35,7 @@ def std_normal(*parts: str | Column | int) -> Column:
     """Box-Muller on two uniforms from one digest; the first is kept off zero."""
     digest = _digest(parts)
     u = F.greatest(_share(digest, 1), F.lit(1e-10))
-    v = _share(digest, 9)
+    v = _share(digest, 14)
     return F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
 
 

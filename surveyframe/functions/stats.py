@@ -55,8 +55,9 @@ def fisher_two_sided(a: str | Column, b: str | Column, c: str | Column, d: str |
     ln_p = lambda i: fixed - ln_factorial(i) - ln_factorial(r1 - i) - ln_factorial(c1 - i) - ln_factorial(n - r1 - c1 + i)
     mean = r1.cast("double") * c1 / n
     sd = F.sqrt(mean * (1 - r1 / n) * (1 - c1 / n) * n / F.greatest(n - 1, F.lit(1))) + 1
-    lo = F.greatest(F.lit(0), r1 + c1 - n, F.floor(mean - 40 * sd))
-    hi = F.least(r1, c1, F.ceil(mean + 40 * sd))
+    # Outward from the mean and from the observed table, wherever that lies.
+    lo = F.greatest(F.lit(0), r1 + c1 - n, F.floor(F.least(mean, a.cast("double")) - 40 * sd))
+    hi = F.least(r1, c1, F.ceil(F.greatest(mean, a.cast("double")) + 40 * sd))
     seen = ln_p(a)
     total = _total(F.transform(_span(lo, hi), lambda i: F.when(ln_p(i) <= seen + 1e-7, F.exp(ln_p(i))).otherwise(0.0)))
     return F.least(F.lit(1.0), total)

@@ -1,7 +1,10 @@
-"""Names, identifiers, years and evidence sentences in text; column expressions only."""
+"""Names, identifiers, years and evidence sentences in text."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,18 +42,20 @@ def paper_link(text: str | Column) -> Column:
     return F.when(found != "", F.concat(F.lit("https://arxiv.org/abs/"), found)).otherwise("")
 
 
-# The named entities that occur in practice, '&amp;' last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+@F.pandas_udf("string")
+def unescaped(text: pd.Series) -> pd.Series:
+    """All named and numeric character references decoded; Spark has no function for them."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 INVISIBLE = ["script", "style", "annotation"]
 
 
-def strip_html(html: str | Column) -> Column:
+def strip_html(page: str | Column) -> Column:
     blocks = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in INVISIBLE)
-    t = F.regexp_replace(col(html), f"(?is){blocks}", " ")
+    t = F.regexp_replace(col(page), f"(?is){blocks}", " ")
     t = F.regexp_replace(t, "(?s)<[^>]+>", " ")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.regexp_replace(t, r"\s+", " ")
+    return F.regexp_replace(unescaped(t), r"(?U)\s+", " ")
 
 
 def sentences(text: str | Column) -> Column:
@@ -65,22 +70,28 @@ NEGATIVE = (r"(?i)(?:non-?detect|no (?:evidence|detection|significant|sign|clear
             r"|absence of|featureless|flat spectrum|rule[sd]? out|lack of|cannot confirm|does not show)")
 TENTATIVE = (r"(?i)(?:tentative|hint|marginal|possibl|weak evidence|inconclusive|low significance"
              r"|2(?:\.\d+)?\s*[-]?\s*(?:σ|sigma))")
+AMOUNT = r"\d\s*[-]?\s*(?:σ|sigma)|ppm"
 GAS_NAMES = {"CH4": r"(?:CH\s*_?\{?\s*4|CH₄|methane)", "CO2": r"(?:CO\s*_?\{?\s*2|CO₂|carbon dioxide)"}
 
 
 def evidence(text: str | Column, name: str, positive: str = POSITIVE, negative: str = NEGATIVE,
              tentative: str = TENTATIVE) -> Column:
-    """Struct of counts of the sentences that name a term, and of the positive, negative and tentative ones.
+    """Struct of counts of the sentences that name a term, of the positive, negative and tentative ones, and a snippet.
 
-    One fold over the sentences, so every pattern meets a sentence once.
+    One fold over the sentences, so every pattern meets a sentence once.  The snippet is the first 25 words of the
+    strongest sentence: one that states a result and gives a significance or an amount goes before one that does either.
     """
     named = F.filter(sentences(text), lambda s: (F.length(s) > 30) & (F.length(s) < 500) & s.rlike(name))
     flags = F.transform(named, lambda s: F.struct(s.rlike(positive).alias("p"), s.rlike(negative).alias("n"), s.rlike(tentative).alias("t")))
     one = lambda c: c.cast("bigint")
+    score = lambda s: s.rlike(f"(?:{positive})|(?:{negative})").cast("int") + s.rlike(AMOUNT).cast("int")
+    best = F.array_max(F.transform(named, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("at"), s.alias("s"))))
+    snippet = F.coalesce(F.array_join(F.slice(F.filter(F.split(best["s"], r"\s+"), lambda w: w != ""), 1, 25), " "), F.lit(""))
     zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("n_sentences", "n_pos", "n_neg", "n_tentative")])
-    return F.aggregate(flags, zero, lambda a, f: F.struct(
+    n = F.aggregate(flags, zero, lambda a, f: F.struct(
         (a["n_sentences"] + 1).alias("n_sentences"), (a["n_pos"] + one(f["p"] & ~f["n"] & ~f["t"])).alias("n_pos"),
         (a["n_neg"] + one(f["n"])).alias("n_neg"), (a["n_tentative"] + one(f["t"])).alias("n_tentative")))
+    return F.struct(*[n[c].alias(c) for c in ("n_sentences", "n_pos", "n_neg", "n_tentative")], snippet.alias("snippet"))
 
 
 def evidence_label(n_pos: str | Column, n_neg: str | Column) -> Column:

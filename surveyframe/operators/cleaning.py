@@ -55,9 +55,9 @@ def add_group_key(df: DataFrame, column: str, fallback: str | None = None, name:
     return out
 
 
-def hashed_group_key(text_parts: Sequence[Column], prefix: str = "star_") -> Column:
-    """Key of a parameter set: parts joined by '|', SHA-1, 12 hex digits."""
-    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *text_parts)), 1, 12))
+def hashed_group_key(text_parts: Sequence[Column], prefix: str = "star_", digits: int = 40) -> Column:
+    """Key of a parameter set: parts joined by '|', SHA-1 in hex.  Fewer digits can merge unrelated sets."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *text_parts)), 1, digits))
 
 
 def three_valued_rule(conditions: dict[str, Column], inputs: Sequence[Column]) -> Column:

@@ -45,18 +45,17 @@ def signal_twins(df: DataFrame, row: str, star: str, period: str, epoch: str, du
     return pairs.filter("a_star <> b_star").select("a_id", "b_id", "a_star", "b_star")
 
 
-def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "node",
-               max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """node -> root (smallest node of its component) by alternating large-star and small-star steps.
 
     A node's smallest neighbour is a combinable aggregate and the join back is salted, so a node with very
-    many neighbours is never gathered.  Each round is written to the checkpoint folder; the number of
-    rounds grows with the logarithm of the longest chain.
+    many neighbours is never gathered.  Each round is written to the checkpoint folder; rounds go on until
+    the edges no longer change, their number grows with the logarithm of the longest chain.
     """
     live = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     live = materialise(live)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
@@ -93,16 +92,17 @@ def signal_families(df: DataFrame, row: str, star: str, period: str, epoch: str,
 
     Only stars are nodes, named by their first row.  Rows with equal period, epoch and positive duration are
     twins of each other, so exact copies collapse to one signal and tie their stars to its first star; only
-    distinct signals are compared.  Whether two linked signals share a star does not matter, since the star
+    distinct signals are compared.  Copies without a duration are no twins of each other and stay apart.  Whether two linked signals share a star does not matter, since the star
     links them anyway.
     """
     src = df.select(F.col(row).alias("id"), F.col(star).alias("star"), F.col(period).cast("double").alias("p"),
                     F.col(epoch).cast("double").alias("t"), F.col(duration_days).cast("double").alias("d"))
     stars = src.groupBy("star").agg(F.min("id").alias("node"))
     placed = salted_join(src, stars, ["star"])
-    usable = finite("p") & finite("t") & finite("d") & (F.col("p") > 0) & (F.col("d") > 0)
+    usable = finite("p") & finite("t") & finite("d") & (F.col("p") > 0)
     seen = materialise(placed.filter(usable).groupBy("p", "t", "d", "node").agg(F.min("id").alias("id")))
-    signals = seen.groupBy("p", "t", "d").agg(F.min("id").alias("id"), F.min("node").alias("first"), F.count("*").alias("stars"))
+    signals = seen.filter("d > 0").groupBy("p", "t", "d").agg(F.min("id").alias("id"), F.min("node").alias("first"), F.count("*").alias("stars"))
+    signals = signals.unionByName(seen.filter("d <= 0").select("p", "t", "d", "id", F.col("node").alias("first"), F.lit(1).cast("bigint").alias("stars")))
     shared = signals.filter("stars > 1").select("p", "t", "d", "first")
     copies = salted_join(seen, shared, ["p", "t", "d"]).select(F.col("first").alias("a"), F.col("node").alias("b"))
     twins = _near_pairs(signals, PERIOD_TOLERANCE, EPOCH_FACTOR, ["first"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyframe.functions.basics import require_empty
+from surveyframe.functions.basics import no_nan, require_empty
 from surveyframe.operators.cleaning import duplicates
 from surveyframe.operators.scale import cumulative, fits_in_task, medians, salted_join, top_rows
 
-FEW_KNOTS = 4096
-
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
     """Left join that refuses a right side with repeated keys; `matched` tells which rows found one."""
@@ -95,29 +92,21 @@ def scenario_rows(df: DataFrame, **axes: Sequence) -> DataFrame:
 # ---- intervals -------------------------------------------------------------------------------------
 
 def interval_index(queries: DataFrame, x: str, knots: DataFrame, kx: str) -> DataFrame:
-    """Add `_i`, the number of knots at or below x.
+    """Add `_i`, the number of knots at or below x; NULL where x is NULL or NaN.
 
-    Few knots become the splits of a map-side binary search; many knots are merged with the distinct x
-    values and counted by a running total.
+    The distinct values of both sides are merged and the knots counted by a running total.
     """
-    few = [r[0] for r in knots.select(F.col(kx).cast("double")).distinct().limit(FEW_KNOTS + 1).collect()]
-    if len(few) <= FEW_KNOTS:
-        splits = [float("-inf"), *sorted(few), float("inf")]
-        if len(splits) < 3:
-            return queries.withColumn("_i", F.lit(0).cast("bigint"))
-        cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep")
-        return cut.transform(queries.withColumn("_x", F.col(x).cast("double"))).withColumn(
-            "_i", F.col("_b").cast("bigint")).drop("_x", "_b")
-    marks = knots.select(F.col(kx).cast("double").alias("_x"), F.lit(1).alias("_k")).distinct().unionByName(
-        queries.select(F.col(x).cast("double").alias("_x"), F.lit(0).alias("_k")))
-    marks = marks.groupBy("_x").agg(F.max("_k").alias("_k"))
+    at_x = no_nan(F.col(x).cast("double"))
+    marks = knots.select(no_nan(F.col(kx).cast("double")).alias("_x"), F.lit(1).alias("_k")).distinct().unionByName(
+        queries.select(at_x.alias("_x"), F.lit(0).alias("_k")))
+    marks = marks.filter(F.col("_x").isNotNull()).groupBy("_x").agg(F.max("_k").alias("_k"))
     at = cumulative(marks, "_x", {"_i": F.col("_k").cast("bigint")}).select("_x", "_i")
-    return salted_join(queries.withColumn("_x", F.col(x).cast("double")), at, ["_x"], "left").drop("_x")
+    return salted_join(queries.withColumn("_x", at_x), at, ["_x"], "left").drop("_x")
 
 
 def interpolate(queries: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, out: str) -> DataFrame:
-    """Piecewise-linear lookup, clamped at the ends."""
-    k = knots.groupBy(F.col(kx).cast("double").alias("x0")).agg(F.avg(ky).alias("y0"))
+    """Piecewise-linear lookup, clamped at the ends; NULL for a NULL or NaN x, knots without a number do not count."""
+    k = knots.groupBy(no_nan(F.col(kx).cast("double")).alias("x0")).agg(F.avg(ky).alias("y0")).filter(F.col("x0").isNotNull())
     k = cumulative(k, "x0", {"_i": F.lit(1).cast("bigint")})
     nxt = k.select((F.col("_i") - 1).alias("_i"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     seg = k.join(nxt, "_i", "full_outer")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import bin_index, clip, count_where
 from surveyframe.functions.stats import normal_tail, wilson
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, null_safe_join, quantiles, salted_join, scalar_of
 
 
 def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -178,7 +178,7 @@ def with_mean_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] = (
         ties = F.count("*").over(W.partitionBy(*keys, value))
         return df.filter(F.col(value).isNotNull()).withColumn(name, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
     ranks = value_ranks(df, value, keys).withColumnRenamed("rank", name).drop("ties")
-    return salted_join(df, ranks, [*keys, value])
+    return null_safe_join(df.filter(F.col(value).isNotNull()), ranks, [*keys, value], "inner")
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -269,6 +269,16 @@ def selective_prediction(df: DataFrame, wrong: Column, spread: str, row: str, sh
         "coverage", F.col("_rn").alias("kept"), (F.col("_err") / F.col("_rn")).alias("error_rate"))
 
 
+def selective_auc(df: DataFrame, y: str, score: str, wrong: Column, spread: str, row: str, shares: Sequence[float]) -> DataFrame:
+    """coverage, auc of the rows kept, and error_auc: how well the spread ranks errors above right answers."""
+    ranked = cumulative(df.withColumn("_w", wrong.cast("int")), spread, {"_rn": F.lit(1).cast("bigint")}, tie=row)
+    n = scalar_of(df, n=F.count("*"))["n"]
+    picks = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    kept = ranked.select(y, score, "_rn", picks.alias("coverage"), n.alias("_n")).filter(F.col("_rn") <= F.bround(F.col("coverage") * F.col("_n")).cast("bigint"))
+    of_errors = roc_auc(df.withColumn("_w", wrong.cast("int")), "_w", spread).select("auc").scalar()
+    return roc_auc(kept, y, score, ["coverage"]).select("coverage", "auc", of_errors.alias("error_auc"))
+
+
 def top_k_overlap(df: DataFrame, a: str, b: str, key: str, k: int) -> DataFrame:
     """How many of the k best by a are also among the k best by b."""
     best = lambda c: df.orderBy(F.col(c).desc(), F.col(key).asc()).limit(k).select(key)

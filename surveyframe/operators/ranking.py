@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import clip, std_normal, uniform
-from surveyframe.operators.scale import cumulative, fits_in_task, salted_join
+from surveyframe.operators.scale import cumulative, fits_in_task, null_safe_join, salted_join
 
 
 def sorted_positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -121,13 +121,16 @@ def weighted_score(weights: dict[str, float]) -> Column:
 
 
 def shared_rank(df: DataFrame, value: str, keys: Sequence[str], name: str = "rank") -> DataFrame:
-    """Rank from the largest value down; equal values share the better rank."""
+    """Rank from the largest value down; equal values share the better rank, NULLs the one after all others."""
     if fits_in_task(df, keys):
         return df.withColumn(name, F.rank().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).desc())).cast("bigint"))
-    c = df.groupBy(*keys, value).agg(F.count("*").alias("_t")).withColumn("_down", -F.col(value))
-    c = cumulative(c, "_down", {"_cum": F.col("_t")}, keys)
+    known = df.filter(F.col(value).isNotNull())
+    down = F.when(F.isnan(F.col(value)), float("-inf")).otherwise(-F.col(value))       # NaN is the largest value
+    c = cumulative(known.groupBy(*keys, value).agg(F.count("*").alias("_t")).withColumn("_down", down), "_down", {"_cum": F.col("_t")}, keys)
     ranks = c.select(*keys, value, (F.col("_cum") - F.col("_t") + 1).alias(name))
-    return salted_join(df, ranks, [*keys, value])
+    total = known.groupBy(*keys).agg(F.count("*").alias("_known"))
+    j = null_safe_join(null_safe_join(df, ranks, [*keys, value]), total, keys)
+    return j.withColumn(name, F.coalesce(name, F.coalesce("_known", F.lit(0)) + 1)).drop("_known")
 
 
 def rank_distribution(ranked: DataFrame, key: str, rank: str = "rank", top: int = 10) -> DataFrame:

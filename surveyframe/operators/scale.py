@@ -16,9 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from surveyframe.functions.basics import CheckFailed
 
 ROWS_PER_TASK = "spark.surveyframe.rowsPerTask"
-MAX_RANGES = 2048
 
 
 def rows_per_task(spark: SparkSession) -> int:
@@ -26,11 +28,13 @@ def rows_per_task(spark: SparkSession) -> int:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder the cluster names, or one of our own if unset."""
+    """Cut the lineage through the checkpoint folder the cluster names; only a local session gets one of our own."""
     spark = df.sparkSession
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if conf_dir is None and not sc.master.startswith("local"):
+            raise CheckFailed("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="surveyframe-checkpoint-"))
@@ -60,7 +64,7 @@ def fits_in_task(df: DataFrame, keys: Sequence[str] = ()) -> bool:
     return hot_groups(df, keys) is None
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys where NULL equals NULL; the right side's key columns are dropped."""
     if not keys:
         return attach_row(left, right)
@@ -73,8 +77,20 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _edges(df: DataFrame, value: str, n: int) -> tuple[list[float], list[float]]:
-    """Range cuts near the n-quantiles, and the values so frequent that they need a range of their own."""
+def _is_number(df: DataFrame, value: str) -> bool:
+    return isinstance(df.schema[value].dataType, (T.NumericType, T.BooleanType))
+
+
+def _edges(df: DataFrame, value: str, n: int) -> tuple[list, list]:
+    """Range cuts near the n-quantiles, and the values so frequent that they need a range of their own.
+
+    Numbers are cut by approximate quantiles, other types in their own order by a bounded sample of the values.
+    """
+    if not _is_number(df, value):
+        rows = df.select(F.col(value).alias("v")).filter("v is not null").orderBy(F.rand(7)).limit(50 * n).collect()
+        seen = sorted(r["v"] for r in rows)
+        cuts = seen[50::50] if len(seen) > 50 else seen[1:]
+        return sorted(set(cuts)), sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     probs = [i / n for i in range(1, n)]
     approx = F.percentile_approx(F.col(value).cast("double"), probs, max(10000, 20 * n))
     edges = [e for e in (df.agg(approx.alias("e")).first()["e"] or []) if math.isfinite(e)]
@@ -83,10 +99,13 @@ def _edges(df: DataFrame, value: str, n: int) -> tuple[list[float], list[float]]
     return cuts, heavy
 
 
-def _number(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame:
+def _number(df: DataFrame, value: str, cuts: list, out: str) -> DataFrame:
     """Index of the range [cut, next cut) a value lies in; 0 when there are no cuts."""
     if not cuts:
         return df.withColumn(out, F.lit(0))
+    if not _is_number(df, value):
+        at = F.array(*[F.lit(c) for c in cuts])
+        return df.withColumn(out, F.coalesce(F.size(F.filter(at, lambda c: c <= F.col(value))), F.lit(0)))
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_cutv", outputCol="_cutb", handleInvalid="keep")
     df = cutter.transform(df.withColumn("_cutv", F.col(value).cast("double")))
     return df.withColumn(out, F.coalesce(F.col("_cutb").cast("int"), F.lit(0))).drop("_cutv", "_cutb")
@@ -95,7 +114,7 @@ def _number(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame
 def split_ranges(df: DataFrame, value: str, keys: Sequence[str] = (), tie: str | None = None) -> DataFrame | None:
     """Add `_part`, rising with (value, tie) inside hot groups and 0 elsewhere; None if no group is hot.
 
-    `value` must be numeric and not NULL.  Frequent values are cut again by `tie`.
+    `value` must not be NULL; any type that can be ordered will do.  Frequent values are cut again by `tie`.
     """
     keys = list(keys)
     limit = rows_per_task(df.sparkSession)
@@ -103,13 +122,13 @@ def split_ranges(df: DataFrame, value: str, keys: Sequence[str] = (), tie: str |
     if hot is None:
         return None
     size = hot.agg(F.sum("_n").alias("rows")).first()["rows"]
-    n = max(2, min(MAX_RANGES, 2 * math.ceil(size / limit)))
-    tagged = _null_safe(df, hot.withColumnRenamed("_n", "_hot_n"), keys) if keys else df.withColumn("_hot_n", F.lit(size))
+    n = max(2, 2 * math.ceil(size / limit))
+    tagged = null_safe_join(df, hot.withColumnRenamed("_n", "_hot_n"), keys) if keys else df.withColumn("_hot_n", F.lit(size))
     cuts, heavy = _edges(tagged.filter(F.col("_hot_n").isNotNull()), value, n)
     tagged = _number(tagged, value, cuts, "_part")
     part = F.col("_part").cast("long")
     if tie is not None and heavy:
-        in_heavy = F.col(value).cast("double").isin(heavy)
+        in_heavy = (F.col(value).cast("double") if _is_number(tagged, value) else F.col(value)).isin(heavy)
         tie_cuts, _ = _edges(tagged.filter(in_heavy), tie, n)
         tagged = _number(tagged, tie, tie_cuts, "_sub")
         part = part * F.lit(len(tie_cuts) + 2) + F.when(in_heavy, F.col("_sub")).otherwise(0)
@@ -134,7 +153,7 @@ def cumulative(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequenc
     totals = parts.groupBy(*keys, "_part").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, "_part", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
-    joined = _null_safe(local, carried, [*keys, "_part"])
+    joined = null_safe_join(local, carried, [*keys, "_part"])
     done = [(F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums]
     return joined.select(*df.columns, *done)
 
@@ -156,7 +175,7 @@ def neighbour(df: DataFrame, value: str, cols: dict[str, str], keys: Sequence[st
     ends = parts.groupBy(*keys, "_part").agg((F.min_by if forward else F.max_by)(taken, rank).alias("_end"))
     across = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
     ends = ends.select(*keys, "_part", near("_end").over(across).alias("_over"))
-    joined = _null_safe(local, ends, [*keys, "_part"])
+    joined = null_safe_join(local, ends, [*keys, "_part"])
     got = F.coalesce("_near", "_over")
     return joined.select(*df.columns, *[got[n].alias(n) for n in cols])
 
@@ -169,7 +188,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, fl
     if hot is None:
         return df.groupBy(*keys).agg(*direct)
     if keys:
-        marked = _null_safe(df, hot, keys)
+        marked = null_safe_join(df, hot, keys)
         cold = marked.filter(F.col("_n").isNull()).groupBy(*keys).agg(*direct)
         rows = marked.filter(F.col("_n").isNotNull()).drop("_n")
     else:
@@ -177,7 +196,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, fl
     out = rows.select(*keys).distinct() if keys else None
     for column in dict.fromkeys(c for c, _ in specs.values()):
         found = _hot_quantiles(rows, keys, column, {n: p for n, (c, p) in specs.items() if c == column})
-        out = found if out is None else (_null_safe(out, found, keys) if keys else attach_row(out, found))
+        out = found if out is None else (null_safe_join(out, found, keys) if keys else attach_row(out, found))
     return out if cold is None else cold.unionByName(out)
 
 
@@ -187,7 +206,7 @@ def _hot_quantiles(df: DataFrame, keys: list[str], column: str, probs: dict[str,
               .agg(F.count("*").alias("_c")))
     running = cumulative(counts, "_v", {"_cum": F.col("_c")}, keys)
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    running = _null_safe(running, total, keys)
+    running = null_safe_join(running, total, keys)
     picks = []
     for i, p in enumerate(probs.values()):
         at = F.lit(p) * (F.col("_total") - 1)
@@ -213,15 +232,8 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
-    """Equi-join whose hot left keys are spread over several tasks; their right rows are repeated per salt."""
-    on = list(on)
-    limit = rows_per_task(left.sparkSession)
-    hot = None if fits else hot_groups(left, on, limit)
-    if hot is None:
-        return left.join(right, on, how)
-    salts = hot.select(*on, F.least(F.ceil(F.col("_n") / limit), F.lit(1024)).cast("int").alias("_k"))
-    spread = left.join(salts, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
-    repeated = right.join(salts, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
-    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
+    """Equi-join under skew: Spark's adaptive skew join splits the partitions of hot keys while the query runs.
+
+    Nothing is counted while the plan is built.  `fits` is accepted for callers that know their groups and has no effect.
+    """
+    return left.join(right, list(on), how)

@@ -40,7 +40,7 @@ def _(t):
     return C.add_group_key(df, "host", "c_name").select("c_custkey", "star_group_id")
 
 
-@query("hashed_group_key", "P04", """select p_partkey, 'star_'||substr(sha1(p_type||'|'||p_size||'|'||floor(p_retailprice)::bigint), 1, 12) as star_group_id from part""")
+@query("hashed_group_key", "P04", """select p_partkey, 'star_'||substr(sha1(p_type||'|'||p_size||'|'||floor(p_retailprice)::bigint), 1, 40) as star_group_id from part""")
 def _(t):
     parts = [F.col("p_type"), F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string")]
     return t.part.select("p_partkey", C.hashed_group_key(parts).alias("star_group_id"))
@@ -132,11 +132,11 @@ def _(t):
     return e.groupBy(C.error_bucket("snr", "value", cut).alias("bucket")).agg(F.count("*").alias("rows"))
 
 
-@query("suffix_matched_files", "P14", """with p as (select page_id, url, split_part(url, '/', -1) as base from pages where url like '%/en/%'),
+@query("suffix_matched_files", "P14", """with p as (select page_id, url, split_part(url, '/', -1) as base from pages),
 f as (select distinct 'survey_'||lower(base) as file from p)
 select page_id, base, count(file) as n_matches, min(file) as file from p left join f on file = lower(base) or ends_with(file, '_'||lower(base)) group by page_id, base""")
 def _(t):
-    p = t.pages.filter(F.col("url").contains("/en/")).select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"))
+    p = t.pages.select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"))
     f = p.select(F.concat(F.lit("survey_"), F.lower("base")).alias("file")).distinct()
     low = p.withColumn("key", F.lower("base"))
     got = C.match_by_suffix(low, f, "key", "file", check=False)
@@ -274,9 +274,9 @@ def _(t):
 
 
 @query("first_value_set", "W04", """select o_custkey, o_totalprice, case when d then 'catalogue' else 'other set' end as o_totalprice_source from (select *, o_orderstatus = 'F' as d,
-row_number() over (partition by o_custkey order by (o_orderstatus = 'F') desc, o_orderdate desc, o_orderkey) as rn from orders where o_totalprice > 20000) where rn = 1""")
+row_number() over (partition by o_custkey order by (o_orderstatus = 'F') desc, o_orderdate desc, o_orderkey) as rn from orders) where rn = 1""")
 def _(t):
-    return C.first_value_set(t.orders.filter("o_totalprice > 20000"), "o_custkey", "o_totalprice", F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")
+    return C.first_value_set(t.orders, "o_custkey", "o_totalprice", F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")
 
 
 @query("latest_record", "W05", """select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")
@@ -287,12 +287,12 @@ def _(t):
 # ---- sorts, top-k, samples -------------------------------------------------------------------------
 
 @query("nulls_last_sort", "T01", """select row_number() over (order by o_totalprice desc nulls last, n_nationkey) as pos, n_nationkey, o_totalprice from (
-select n_nationkey, max(o_totalprice) as o_totalprice from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9500 left join orders on o_custkey = c_custkey group by 1)""")
+select n_nationkey, max(case when c_acctbal > 9500 then o_totalprice end) as o_totalprice from nation left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1)""")
 def _(t):
     from surveyframe.operators.ranking import sorted_positions
-    c = t.customer.filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("o_custkey"))
+    c = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 9500).alias("rich"))
     j = t.nation.join(c, "n_nationkey", "left").join(t.orders, "o_custkey", "left")
-    return sorted_positions(j.groupBy("n_nationkey").agg(F.max("o_totalprice").alias("o_totalprice")),
+    return sorted_positions(j.groupBy("n_nationkey").agg(F.max(F.when(F.col("rich"), F.col("o_totalprice"))).alias("o_totalprice")),
                             [F.col("o_totalprice").desc_nulls_last(), F.col("n_nationkey").asc()], "pos")
 
 
@@ -370,13 +370,16 @@ def _evidence_sql(table, key, text):
 lambda x: regexp_matches(x, '(?i)(the|la|der)') and length(x) > 30 and length(x) < 500) as l from {table}),
 c as (select {key}, len(l)::bigint as n_sentences,
 len(list_filter(l, lambda x: regexp_matches(x, '(?i)(tion|ment|lich)') and not regexp_matches(x, '(?i)(not|un|ne )') and not regexp_matches(x, '(?i)(ing|eau)')))::bigint as n_pos,
-len(list_filter(l, lambda x: regexp_matches(x, '(?i)(not|un|ne )')))::bigint as n_neg, len(list_filter(l, lambda x: regexp_matches(x, '(?i)(ing|eau)')))::bigint as n_tentative from s)
+len(list_filter(l, lambda x: regexp_matches(x, '(?i)(not|un|ne )')))::bigint as n_neg, len(list_filter(l, lambda x: regexp_matches(x, '(?i)(ing|eau)')))::bigint as n_tentative,
+coalesce(array_to_string(list_filter(string_split_regex(list_max(list_transform(l, lambda x, i: {{'score': regexp_matches(x, '(?:(?i)(tion|ment|lich))|(?:(?i)(not|un|ne ))')::int + regexp_matches(x, '\d\s*[-]?\s*(?:σ|sigma)|ppm')::int, 'at': -i, 's': x}})).s, '\s+'), lambda x: x <> '')[1:25], ' '), '') as snippet from s)
 select *, case when n_pos >= 3 and n_pos >= 2 * greatest(n_neg, 1) then '1' when n_neg >= 2 and n_neg >= n_pos then '0' else 'unclear' end as rule_label from c"""
 
 
-_STRIP_SQL = r"""regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
-'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<annotation[^>]*>.*?</annotation>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')"""
+_STRIP_SQL = r"""regexp_replace(regexp_replace(html,
+'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<annotation[^>]*>.*?</annotation>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"""
+for _entity, _char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}.items():      # those in the pages
+    _STRIP_SQL = f"replace({_STRIP_SQL}, '{_entity}', '{_char}')"
+_STRIP_SQL = rf"regexp_replace(regexp_replace({_STRIP_SQL}, '&amp;?', '&', 'g'), '\s+', ' ', 'g')"
 
 
 def _evidence(df, key, text):

@@ -27,16 +27,16 @@ def _(t):
     return salted_join(left, r, ["l_orderkey", "l_linenumber"], "left")
 
 
-@query("value_fallback_chain", "J08", """with d as (select o_custkey, o_totalprice as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders where o_orderstatus = 'F' and o_totalprice > 300000) where rn = 1),
-o as (select o_custkey, o_totalprice as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders where o_orderstatus = 'O' and o_totalprice > 300000) where rn = 1),
+@query("value_fallback_chain", "J08", """with d as (select o_custkey, case when o_totalprice > 300000 then o_totalprice end as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders where o_orderstatus = 'F') where rn = 1),
+o as (select o_custkey, case when o_totalprice > 300000 then o_totalprice end as v from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders where o_orderstatus = 'O') where rn = 1),
 e as (select o_custkey, avg(o_totalprice) as v from orders group by 1)
 select c_custkey, round(coalesce(d.v, o.v, e.v), 6) as price, case when d.v is not null then 'catalogue' when o.v is not null then 'other set' when e.v is not null then 'estimated' else 'missing' end as price_source
 from customer left join d on d.o_custkey = c_custkey left join o on o.o_custkey = c_custkey left join e on e.o_custkey = c_custkey""")
 def _(t):
     def newest(status):
-        rows = t.orders.filter((F.col("o_orderstatus") == status) & (F.col("o_totalprice") > 300000))
+        rows = t.orders.filter(F.col("o_orderstatus") == status)
         best = top_rows(rows, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()])
-        return best.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("price"))
+        return best.select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice")).alias("price"))
     est = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"))
     got = M.fallback_chain(t.customer.select("c_custkey"), "c_custkey", "price", [("catalogue", newest("F")), ("other set", newest("O")), ("estimated", est)])
     return got.withColumn("price", F.round("price", 6))

@@ -341,6 +341,14 @@ def _(t):
     return r6(M.selective_prediction(e, F.col("wrong"), "sd", "doc_id", [1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5]), "error_rate")
 
 
+@query("selective_auc", "A60", f"""with {SEEDS}, o as (select doc_id, y, mean, round(sd, 9) as sd, ((mean >= 0.5)::int <> y)::int as wrong, row_number() over (order by round(sd, 9), doc_id) as rn, count(*) over () as n from en),
+c as (select unnest([1.0::double, 0.95::double, 0.9::double, 0.8::double, 0.7::double, 0.6::double, 0.5::double]) as coverage), k as (select coverage, y, mean from c join o on rn <= round_even(coverage * n, 0))
+select coverage, round(auc, 6) as auc, (select round(auc, 6) from {auc_sql('o', 'sd', y='wrong')}) as error_auc from {auc_sql('k', 'mean', keys='coverage')}""")
+def _(t):
+    e = ensemble(t).withColumn("sd", F.round("sd", 9)).withColumn("wrong", (F.col("mean") >= 0.5).cast("int") != F.col("y"))
+    return r6(M.selective_auc(e, "y", "mean", F.col("wrong"), "sd", "doc_id", [1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5]), "auc", "error_auc")
+
+
 @query("ranking_consistency", "A62", """with x as (select p_partkey, p_retailprice as a, p_retailprice + p_size * 10 as b from part), ta as (select p_partkey from x order by a desc, p_partkey limit 50), tb as (select p_partkey from x order by b desc, p_partkey limit 50),
 r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0::double as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0::double as rb from x)
 select (select count(*) from (select * from ta intersect select * from tb)) as shared, (select round(corr(ra, rb), 6) from r) as spearman""")

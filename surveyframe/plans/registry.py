@@ -72,11 +72,11 @@ def load_all() -> dict[str, Query]:
 # ---- SQL fragments shared by the twins -------------------------------------------------------------
 
 def sql_uniform(key: str) -> str:
-    return f"(('0x'||substr(md5({key}),1,8))::BIGINT/4294967296.0::DOUBLE)"
+    return f"(('0x'||substr(md5({key}),1,13))::BIGINT/4503599627370496.0::DOUBLE)"
 
 
 def sql_normal(key: str) -> str:
-    u, v = (f"(('0x'||substr(md5({key}),{i},8))::BIGINT/4294967296.0::DOUBLE)" for i in (1, 9))
+    u, v = (f"(('0x'||substr(md5({key}),{i},13))::BIGINT/4503599627370496.0::DOUBLE)" for i in (1, 14))
     return f"(sqrt(-2.0*ln(greatest({u},1e-10)))*cos(2.0*pi()*{v}))"
 
 

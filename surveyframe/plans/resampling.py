@@ -7,7 +7,7 @@ from surveyframe.operators import resample as R
 from surveyframe.plans.metrics import SC, auc_sql, r6, scored
 from surveyframe.plans.registry import query, sql_uniform
 
-B = 40
+B = 2000
 UNITS = f"units as (select star, row_number() over (order by {sql_uniform(chr(39) + chr(39) + '||star||' + chr(39) + '|77' + chr(39))}, star) - 1 as idx from (select distinct star from sc))"
 DRAWS = f"""dr as (select b, floor({sql_uniform("b||'|'||idx||'|1'")} * (select count(*) from units))::bigint as idx from units, range({B}) r(b)), wt as (select b, star, count(*)::double as w from dr join units using (idx) group by 1, 2)"""
 
@@ -61,7 +61,7 @@ def _clip(x):
 @query("few_label_correction", "M10", f"""with {SC}, x as (select sc.doc_id, y, s2 as p, case when sc.n_chars < 600 then 0 when sc.n_chars < 2000 then 1 else 2 end as band, lang from sc join documents d on d.doc_id = sc.doc_id),
 pr as (select band, avg(y) as pi_s from x where lang = 'en' group by 1), ov as (select avg(y) as o from x where lang = 'en'),
 tg as (select * from x where lang <> 'en'), tr as (select band, avg(y) as pi_true, count(*) as size from tg group by 1), rt as (select tr.*, coalesce(pi_s, o) as pi_s from tr left join pr using (band), ov),
-m as (select tg.*, b, row_number() over (partition by b, band order by {sql_uniform("b||'|'||doc_id||'|1'")}, doc_id) as rn from tg, range(20) r(b)),
+m as (select tg.*, b, row_number() over (partition by b, band order by {sql_uniform("b||'|'||doc_id||'|1'")}, doc_id) as rn from tg, range(200) r(b)),
 l as (select m.*, pi_true, pi_s, rn <= 10 and size > 10 as lab from m join rt using (band)), e as (select b, band, avg(case when lab then y end) as est from l group by 1, 2),
 h as (select l.b, doc_id, y, p, pi_s, pi_true, coalesce(est, pi_s) as est from l join e on e.b = l.b and e.band = l.band where not lab),
 k as (select b, doc_id, y, 'few' as kind, {_SHIFT.format(t=_clip('est'), s=_clip('pi_s'))} as q from h union all select b, doc_id, y, 'oracle', {_SHIFT.format(t=_clip('pi_true'), s=_clip('pi_s'))} from h union all select b, doc_id, y, 'frozen', p from h),
@@ -69,4 +69,4 @@ nt as (select *, ntile(10) over (partition by b, kind order by q, doc_id) as bin
 a as {auc_sql('k', 'q', keys='b, kind')} select kind, round(median(ece), 6) as ece, round(median(auc), 6) as auc, count(*) as draws from ec join a using (b, kind) group by 1""")
 def _(t):
     x = scored(t).join(t.documents.select("doc_id", "lang"), "doc_id").withColumn("band", M.band_of("n_chars", [0, 600, 2000, float("inf")]))
-    return r6(R.few_label(x.filter("lang <> 'en'"), x.filter("lang = 'en'"), "band", "y", "s2", "doc_id", 10, 20), "ece", "auc")
+    return r6(R.few_label(x.filter("lang <> 'en'"), x.filter("lang = 'en'"), "band", "y", "s2", "doc_id", 10, 200), "ece", "auc")

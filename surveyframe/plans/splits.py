@@ -126,12 +126,12 @@ def _(t):
     return got.select("id", "split")
 
 
-@query("overlapping_sets", "J18", """with recursive m as (select distinct doc_id as s, md5(trim(p)) as p from (select doc_id, unnest(string_split(text, chr(10))) as p from documents) where length(trim(p)) >= 20),
+@query("overlapping_sets", "J18", """with recursive m as (select distinct doc_id as s, md5(trim(p)) as p from (select doc_id, unnest(string_split(text, chr(10))) as p from documents) where length(trim(p)) >= 1),
 link as (select distinct a.s as x, b.s as y from m a join m b on a.p = b.p and a.s <> b.s),
 reach as (select distinct s, s as r from m union select reach.s, y from reach join link on x = reach.r)
 select s as doc_id, min(r) as "group" from reach group by 1""")
 def _(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) >= 20)
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) >= 1)
     return G.overlapping_sets(lines.select("doc_id", F.md5(F.trim("line")).alias("line")), "doc_id", "line")
 
 

@@ -10,12 +10,19 @@ from surveyframe.operators.scale import fits_in_task, neighbour, quantiles, salt
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A catalogue CSV with a pinned schema; '#' starts a comment only when the file opens with one."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    if first and first[0]["value"].lstrip().startswith("#"):
-        reader = reader.option("comment", "#")
-    return reader.csv(path)
+    """Catalogue CSVs with a pinned schema; '#' starts a comment only in files that open with one."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("at"),
+        F.ltrim("value").startswith("#").alias("comment"))
+    opens = {r["file"]: r["comment"] for r in lines.groupBy("file").agg(F.min_by("comment", "at").alias("comment")).collect()}    # one short row per file
+    out = None
+    for comment in (False, True):
+        files = sorted(f for f, c in opens.items() if c == comment)
+        if files or (comment is False and not opens):
+            reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            part = (reader.option("comment", "#") if comment else reader).csv(files or path)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
