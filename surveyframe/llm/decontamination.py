@@ -11,7 +11,7 @@ an item of n words when some stretch of it is at most n * MAX_EDIT_PERCENT / 100
    distance becomes a small Hamming distance of the emitted words.
 3. Bit sampling.  Each of REPEATS walks is read at SAMPLES random steps within the size class; equal samples of a
    window and an item make a candidate.  Signatures meet in a join, so the benchmark may have any size.
-4. Every candidate is aligned with the item exactly, from a start near the window's and with a free end.
+4. Neighbouring candidate windows form one stretch of the text, in which the item is aligned exactly with free ends.
 
 Defined cases: NULL and wordless texts contain nothing; items that are NULL or have fewer than `min_words` words can
 not be told from ordinary phrases and match nothing; repeated items and rows count each; an empty table on either side
@@ -128,42 +128,67 @@ def _windows(words: np.ndarray, first: np.ndarray, pair_table: np.ndarray, low:
     return start[(hits[last] - hits[start] >= max(wanted, 1)) & (reach - start >= low - most)]
 
 
+def _clusters(starts: np.ndarray, keys: np.ndarray, first: np.ndarray, low: int):
+    """Stretches of neighbouring hits: (row, start, end, distinct keys), each at most about four class sizes long."""
+    at, which = np.unique(starts, return_inverse=True)
+    row = np.searchsorted(first, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > low) | (row[1:] != row[:-1])
+    head = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    new[1:] |= np.diff((at - head) // (2 * low)) != 0
+    group = np.cumsum(new) - 1
+    lo = at[new]
+    hi = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1])
+    of = group[which]
+    order = np.lexsort((keys, of))
+    cut = np.searchsorted(of[order], np.arange(len(lo) + 1))
+    for g in range(len(lo)):
+        r = row[new][g]
+        yield int(r), max(int(lo[g]) - SLACK, int(first[r])), min(int(hi[g]) + 2 * low + SLACK, int(first[r + 1])), np.unique(keys[order[cut[g]:cut[g + 1]]])
+
+
 def _candidates(docs: DataFrame, lows: list[int], pair_table: np.ndarray, key_table: np.ndarray) -> DataFrame:
-    """doc key, item-class signature and the words around every window whose signature some item has."""
+    """Row keys, place and words of every stretch of windows whose signatures some item has, with those signatures."""
 
     def run(b: pa.RecordBatch):
         r1, r2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("r1", "r2"))
         for lo, words, first in _words(b.column("text")):
-            row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            out = {c: [] for c in ("r1", "r2", "at", "sig", "around")}
+            out = {c: [] for c in ("r1", "r2", "at", "sigs", "around")}
             for low in lows:
                 starts = _windows(words, first, pair_table, low)
+                hits = []
                 for part in np.array_split(starts, max(1, len(starts) // 8192)):
                     sig = signatures(words, part, low)
                     # The walk may run past its row's end there; such samples differ from every item's, as they should.
                     hit = _get(key_table, (sig >> np.uint64(64 - KEY_BITS)).astype(np.int64).ravel()).reshape(sig.shape).astype(bool)
-                    for i in np.flatnonzero(hit.any(axis=1)):
-                        s, row = int(part[i]), row_of[part[i]]
-                        a, z = max(s - SLACK, int(first[row])), min(s + 2 * low + SLACK, int(first[row + 1]))
-                        around = words[a:z].view(np.int64).tolist()
-                        for key in sig[i, hit[i]].view(np.int64).tolist():
-                            for c, v in zip(out, (r1[lo + row], r2[lo + row], s - first[row], key, around)):
-                                out[c].append(v)
+                    i, j = np.nonzero(hit)
+                    hits.append((part[i], sig[i, j]))
+                at, keys = (np.concatenate(x) for x in zip(*hits))
+                if not len(at):
+                    continue
+                for row, a, z, found in _clusters(at, keys, first, low):
+                    for c, v in zip(out, (r1[lo + row], r2[lo + row], a - int(first[row]), found.view(np.int64).tolist(), words[a:z].view(np.int64).tolist())):
+                        out[c].append(v)
             yield out
 
-    return arrow_map(docs, run, "r1 long, r2 int, at long, sig long, around array<long>")
+    return arrow_map(docs, run, "r1 long, r2 int, at long, sigs array<long>, around array<long>")
 
 
 def free_end_distance(item: list, text: list) -> int:
-    """Fewest word edits between the item and any stretch of the text."""
-    row = np.arange(len(item) + 1)
-    best, a, i = len(item), np.array(item), np.arange(len(item) + 1)
+    """Fewest word edits between the item and any stretch of the text; bit t of a vector stands for the item's word t."""
+    where: dict = {}
+    for i, w in enumerate(item):
+        where[w] = where.get(w, 0) | 1 << i
+    mask, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, score, best = mask, 0, len(item), len(item)
     for w in text:
-        new = np.empty_like(row)
-        new[0] = 0
-        new[1:] = np.minimum(row[:-1] + (a != w), row[1:] + 1)
-        row = np.minimum.accumulate(new - i) + i
-        best = min(best, int(row[-1]))
+        eq = where.get(w, 0)
+        diag = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (mask & ~(diag | up)), diag & up
+        score += bool(right & top) - bool(left & top)
+        best = min(best, score)
+        right, left = right << 1, left << 1
+        up, down = mask & (left | ~(diag | right)), mask & right & diag
     return best
 
 
@@ -177,12 +202,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield {"pair": _pairs(np.array(w.as_py(), np.int64).view(np.uint64))}
 
     pair_table = _bits(arrow_map(items.select("words"), item_pairs, pair_schema), "pair", PAIR_BITS)
-    sigs = items.select("item_id", "words", F.explode("sigs").alias("sig"))
+    sigs = items.select("item_id", F.explode("sigs").alias("sig"))
     key_table = _bits(sigs.select(F.shiftrightunsigned("sig", 64 - KEY_BITS).alias("key")), "key", KEY_BITS)
     lows = sorted(r[0] for r in items.select("low").distinct().collect())      # a few size classes
     keyed = need(docs, "doc_id", "text").select(*row_keys(), "text")
     found = _candidates(keyed, lows, pair_table, key_table)
-    pairs = found.join(sigs, "sig").groupBy("r1", "r2", "at", "item_id").agg(F.first("around").alias("around"), F.first("words").alias("words"))
+    met = found.select("r1", "r2", "at", "around", F.explode("sigs").alias("sig")).join(sigs, "sig")
+    met = met.groupBy("r1", "r2", "at", "item_id").agg(F.first("around").alias("around"))
+    pairs = met.join(items.select(F.col("item_id").alias("_i"), "words"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i", "at")
     item_type = benchmark.schema["item_id"].dataType
 
     def verify(b: pa.RecordBatch):
@@ -200,6 +227,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return good.groupBy("r1", "r2", "item_id").agg(F.min("edits").alias("edits"))
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, edits of every item found in a row."""
+    rows = need(docs, "doc_id", "text").select("doc_id", *row_keys())
+    return rows.join(find_leaks(docs, benchmark), ["r1", "r2"]).select("doc_id", "item_id", "edits")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids and the fewest edits of every row."""
     leaks = find_leaks(docs, benchmark).groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("edits"))

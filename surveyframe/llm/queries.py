@@ -21,8 +21,8 @@ def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), " "))
+    """One row for each benchmark item found in a document, with its word edits."""
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,10 @@ def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 with d as (
   select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
-w as (
-  select r, i, md5(substr(h, 2 * i + 1, 800)) as m from (select r, h, unnest(range(n - 399)) as i from d where n >= 400)),
+piece as (      -- 1,024 windows each, as substr reads its whole string
+  select r, p, substr(h, 2 * p + 1, 2 * (1024 + 399)) as s, least(1024, n - 399 - p) as k
+  from (select r, h, n, unnest(range(0, n - 399, 1024)) as p from d where n >= 400)),
+w as (select r, p + i as i, md5(substr(s, 2 * i + 1, 800)) as m from (select r, p, s, unnest(range(k)) as i from piece)),
 c as (select m from w group by m having count(*) > 1),
 s as (select r, i, lag(i) over (partition by r order by i) as p from w semi join c on w.m = c.m),
 g as (select r, i, sum(case when p is null or i > p + 400 then 1 else 0 end) over (partition by r order by i) as k from s),
