@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ["catalog", "cleaning", "matching", "splits", "metrics", "resampling", "timeseries", "spectra",
-           "ranking", "screens", "fitting", "runlog"]
+           "ranking", "screens", "fitting", "runlog", "lines"]
 
 
 class Tables:

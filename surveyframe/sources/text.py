@@ -75,11 +75,15 @@ def artefact_kind(x: str | Column, y: str | Column, e1: str | Column, e2: str |
 
 
 def read_archive_spectra(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return archive_spectra(read_lines(spark, path))
+
+
+def archive_spectra(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points: file, wl, depth_ppm, err_ppm; report per file) from column-headed archive tables.
 
     Depth in percent; files with only a radius ratio r get 100 r^2 and errors 200 r |dr|.
     """
-    rows, units = ipac_points(read_lines(spark, path), IPAC_COLUMNS)
+    rows, units = ipac_points(lines, IPAC_COLUMNS)
     has_depth = rows.groupBy("file").agg(F.bool_or(F.col("PL_TRANDEP").isNotNull()).alias("has_depth"),
                                          F.bool_or(F.col("PL_RATROR").isNotNull()).alias("has_ratio"))
     bad = has_depth.join(units, "file").filter(
@@ -107,8 +111,11 @@ def read_archive_spectra(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
 
 def read_fixed_width(spark: SparkSession, path: str, layout: list[tuple[int, int, str, str]]) -> DataFrame:
+    return fixed_width(read_lines(spark, path), layout)
+
+
+def fixed_width(lines: DataFrame, layout: list[tuple[int, int, str, str]]) -> DataFrame:
     """Rows after the last dashed line of each file; layout is (start, end, name, type) with 0-based ends."""
-    lines = read_lines(spark, path)
     rule = lines.filter(F.col("line").startswith("-----")).groupBy("file").agg(
         F.max(F.struct("block", "seq")).alias("rule"))
     body = salted_join(lines, rule, ["file"]).filter(
@@ -178,10 +185,14 @@ UNIT_FACTOR = {"ppm": 1.0, "percent": 1e4, "fraction": 1e6}  # fixed values: fac
 
 def read_point_table(spark: SparkSession, path: str, columns: tuple[int, int, int] = (0, 1, 2), unit: str = "ppm",
                      delimiter: str = "\\s+") -> DataFrame:
+    return point_table(read_lines(spark, path), columns, unit, delimiter)
+
+
+def point_table(lines: DataFrame, columns: tuple[int, int, int] = (0, 1, 2), unit: str = "ppm", delimiter: str = "\\s+") -> DataFrame:
     """wl, depth_ppm, err_ppm of one or several parts, from chosen column positions; parts stack by wavelength."""
     if unit not in UNIT_FACTOR:
         raise CheckFailed(f"unknown unit {unit}")
-    lines = read_lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter(F.col("line") != "")
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter(F.col("line") != "")
     cells = F.split("line", delimiter)
     value = lambda i: cells[columns[i]].cast("double")
     f = UNIT_FACTOR[unit]
