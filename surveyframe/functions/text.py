@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyframe.functions.basics import col
 
@@ -42,7 +43,7 @@ def paper_link(text: str | Column) -> Column:
     return F.when(found != "", F.concat(F.lit("https://arxiv.org/abs/"), found)).otherwise("")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """All named and numeric character references decoded; Spark has no function for them."""
     return text.map(html.unescape, na_action="ignore")
