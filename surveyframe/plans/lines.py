@@ -18,8 +18,9 @@ def _header(body, *lines):
     return body.unionByName(heads.select("file", "block", "h.seq", "h.line"))
 
 
-FILE = F.concat(F.lit("t"), F.col("l_suppkey") % 7)
-SEQ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+def _item_lines(t, line):
+    """A line per line item, dealt over seven files."""
+    return _lines(t.lineitem, F.concat(F.lit("t"), F.col("l_suppkey") % 7), F.col("l_orderkey") * 10 + F.col("l_linenumber"), line)
 
 
 @query("fixed_width_lines", "S06", """select 't'||(l_suppkey % 7) as file, l_orderkey as target, l_linenumber::integer as planet, case when l_returnflag <> 'N' then round(l_extendedprice, 2) end as period,
@@ -28,7 +29,7 @@ def _(t):
     """Fixed columns after a dashed line; text where a number belongs gives NULL."""
     price = F.when(F.col("l_returnflag") != "N", F.format_string("%12.2f", F.col("l_extendedprice").cast("double"))).otherwise(F.lit("    no value"))
     line = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, " "), F.lpad(F.col("l_linenumber").cast("string"), 4, " "), price, F.lit("  "), F.col("l_linestatus"))
-    lines = _header(_lines(t.lineitem, FILE, SEQ, line), "title", "-----", "note 5 5 5", "---------")
+    lines = _header(_item_lines(t, line), "title", "-----", "note 5 5 5", "---------")
     got = X.fixed_width(lines, [(0, 12, "target", "bigint"), (12, 16, "planet", "int"), (16, 28, "period", "double"), (30, 45, "mode", "string")])
     return got
 
@@ -38,7 +39,7 @@ def _(t):
     """Columns picked by position, percent to ppm, comments after '#'."""
     n = lambda c: F.col(c).cast("double").cast("string")
     line = F.concat_ws(",", n("l_tax"), F.lit("skip"), n("l_discount"), (F.col("l_quantity").cast("double") / 7).cast("string"))
-    lines = _header(_lines(t.lineitem, FILE, SEQ, F.concat(line, F.lit("  # late"))), "# tax,x,depth,wl", "")
+    lines = _header(_item_lines(t, F.concat(line, F.lit("  # late"))), "# tax,x,depth,wl", "")
     got = X.point_table(lines, (3, 2, 0), "percent", ",")
     return got.select("file", *[F.round(c, 6).alias(c) for c in ("wl", "depth_ppm", "err_ppm")])
 
@@ -55,7 +56,7 @@ def _(t):
     body = F.concat(F.lit(" "), cell("l_quantity", line == 4), F.lit(" "), cell("l_discount", line.isin(3, 4)), F.lit(" "), cell("l_tax", F.lit(False)), F.lit(" "), cell("l_tax", F.lit(False)))
     row = lambda cells: "|" + "|".join(c.ljust(width) for c in cells) + "|"
     head = ["\\KEY = 'value'", row(["CENTRALWAVELNG", "PL_TRANDEP", "PL_TRANDEPERR1", "PL_TRANDEPERR2"]), row(["double"] * 4), row(["microns", "%", "%", "%"]), row(["null"] * 4)]
-    points, report = X.archive_spectra(_header(_lines(t.lineitem, FILE, SEQ, body), *head))
+    points, report = X.archive_spectra(_header(_item_lines(t, body), *head))
     sums = points.groupBy("file").agg(F.round(F.sum("depth_ppm"), 3).alias("depth_sum"), F.round(F.sum("err_ppm"), 3).alias("err_sum"))
     return report.join(sums, "file")
 

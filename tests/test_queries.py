@@ -51,6 +51,14 @@ def test_same_rows_with_one_and_with_many_partitions(spark, con):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+
+    root = os.path.dirname(entry.__file__)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+
+
 def test_driver_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
