@@ -7,7 +7,7 @@ distance rather than with the overlap of sets alone.
 
 Exact copies are collapsed first.  Texts with an equal sketch meet in a bucket and each is compared with the bucket's
 first text in one random priority, never all with all.  Memberships whose comparison fails (the texts share a passage
-only) meet again in finer buckets, that add other sketches, in two further rounds, so that a foreign first text does
+only) meet again in finer buckets, that add another sketch, in three further rounds, so that a foreign first text does
 not hide a pair.  A pair is linked when its words align with at most a fifth of edits (similarity 1 - d / longer
 >= 0.8), found exactly by a bit-parallel alignment in a band.  Classes are the connected components of the links.
 
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import SPACE, arrow_map, components, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 32, 80
-#: Other sketches, counted from a failed one, that refine its bucket in the later rounds.
-REFINE = ((1, 7, 13, 22), (3, 11, 17, 27))
+#: The other sketch, counted from a failed one, that refines its bucket in each later round.
+REFINE = (1, 7, 13)
 _BLOCK = 1024
 
 
@@ -202,7 +202,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     same = (F.col("d.node") == F.col("r.node")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     texts = stored(d.alias("d").join(rep.alias("r"), same).select("d.node", "text").dropDuplicates(["node"]))
     links, tried = None, None
-    for finer in (*REFINE, ()):
+    for step in (*REFINE, None):
         pairs = led.select("node", "leader").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["node", "leader"], "left_anti")
@@ -210,11 +210,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         good = stored(_verified(pairs, texts))
         links = good if links is None else links.union(good)
         tried = pairs if tried is None else tried.union(pairs)
-        if not finer:
+        if step is None:
             break
         failed = led.join(links, ["node", "leader"], "left_anti").groupBy("node").agg(F.collect_set(F.struct("i", "key")).alias("at"))    # one per sketch and bucket
-        tries = F.flatten(F.transform("at", lambda m: F.transform(F.array(*[F.pmod(m["i"] + x, F.lit(SKETCHES)) for x in finer]), lambda j: F.struct(
-            m["i"].alias("i"), F.xxhash64(m["key"], j, F.get("sketch", j)).alias("key")))))
+        other = lambda m: F.pmod(m["i"] + step, F.lit(SKETCHES))  # noqa: B023, E731
+        tries = F.transform("at", lambda m: F.struct(m["i"].alias("i"), F.xxhash64(m["key"], other(m), F.get("sketch", other(m))).alias("key")))  # noqa: B023
         failed = failed.join(nodes.select("node", "sketch"), "node").select("node", F.explode(tries).alias("m"))
         led = stored(_led(failed.select("node", "m.i", "m.key")))
         if led.isEmpty():
