@@ -72,7 +72,7 @@ hosts as (select host, sum(l) as hl, sum(b) as hb from one group by host),
 share as (select (sum(hb) + 1) / (sum(hl) + 2)::double as s from hosts),
 rated as (select host, template, (b + {u.PRIOR}::double * ((hb + {u.PRIOR}::double * s) / (hl + {u.PRIOR}::double))) / (l + {u.PRIOR}::double) as purity from one join hosts using (host), share)
 select page_id, host, path, rule, template, round(purity, 6) as purity,
-       coalesce({verdict}, case when purity >= {u.BLOCK_FROM} then 'block' else 'allow' end) as verdict
+       coalesce({verdict}, case when purity > {u.BLOCK_ABOVE} then 'block' else 'allow' end) as verdict
 from g join t using (host, forms) join rated using (host, template)
 """
 

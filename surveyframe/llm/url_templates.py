@@ -7,7 +7,7 @@ wildcard where they are many and mostly seen once, or where their labelled share
 this runs; pages meet it once, spread over SALTS tasks per template.
 
 A template's purity is its share of bad labels, smoothed towards its host's, which is smoothed towards all pages'; a
-template is blocked from BLOCK_FROM on.  Rules on (host, path prefix) go before: the one with the longest host and path
+template is blocked above BLOCK_ABOVE.  Rules on (host, path prefix) go before: the one with the longest host and path
 that fits decides.
 
 A page is bad when its label has quality 0 or toxic 1.  Defined cases: NULL urls and urls without "://" have an empty
@@ -24,7 +24,7 @@ from .common import need, stored
 
 MAX_DEPTH, SALTS = 6, 16
 MANY_CHILDREN, ROWS_PER_CHILD = 8, 3
-DIFFER_Z, PRIOR, BLOCK_FROM = 1.96, 8.0, 0.5
+DIFFER_Z, PRIOR, BLOCK_ABOVE = 1.96, 8.0, 0.5
 #: Rules of the contract: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Forms of segments that stand for values, in the order they are tried.
@@ -125,6 +125,6 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     tree = template_tree(p, labels).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")
+    own = F.when(F.col("purity") > BLOCK_ABOVE, "block").otherwise("allow")
     out = p.join(tree, ["host", "forms", "salt"], "left").withColumn("rule", rule)
     return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce(verdict_of(F.col("rule"), rules), own).alias("verdict"))
