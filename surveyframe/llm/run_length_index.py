@@ -229,11 +229,12 @@ def _index_blocks(window: int):
     return run
 
 
-def _count_windows(segs: DataFrame, window: int) -> DataFrame:
+def _count_windows(segs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """The way for hot anchors: r1, r2, a, ln of the windows of single segments that occur more than once.
 
     A window travels as two longs: x, its hash, and y, 32 more bits of it with its place and whether its segment was
     collapsed (2) or not (1).  Windows are counted with partial sums, runs of repeated ones become one span.
+    segs: kg, cx, m, bytes, rest; places: r1, r2, a, kg, cx.
     """
 
     def run(b: pa.RecordBatch):
@@ -246,7 +247,7 @@ def _count_windows(segs: DataFrame, window: int) -> DataFrame:
             yield {"x": x.view(np.int64), "sid": np.full(len(at), sid), "y": (y.astype(np.int64) << 32) | (at << 2) | min(m, 2)}
 
     id_of = F.xxhash64("kg", "cx").alias("sid")
-    w = arrow_map(segs.select("kg", id_of, "m", "bytes"), run, "x long, sid long, y long")
+    w = arrow_map(segs.select("kg", id_of, "m", "bytes", "rest"), run, "x long, sid long, y long")     # rest: see repeated_spans
     half = F.shiftright("y", 32).alias("half")
     twice = w.groupBy("x", half).agg(F.sum(F.col("y").bitwiseAND(3)).alias("n")).filter("n > 1").select("x", "half")
     single = w.filter(F.col("y").bitwiseAND(3) == 1).select("x", half, "sid", F.shiftright(F.col("y").bitwiseAND(0xFFFFFFFF), 2).alias("o"))
@@ -254,7 +255,7 @@ def _count_windows(segs: DataFrame, window: int) -> DataFrame:
     first = F.sort_array(F.filter("o", lambda i: ~F.array_contains("o", i - 1)))
     last = F.sort_array(F.filter("o", lambda i: ~F.array_contains("o", i + 1)))
     runs = at.select("sid", F.explode(F.arrays_zip(first.alias("f"), last.alias("l"))).alias("r"))
-    return segs.select("r1", "r2", "a", id_of).join(runs, "sid").select("r1", "r2", (F.col("a") + F.col("r.f")).alias("a"), (F.col("r.l") - F.col("r.f") + window).alias("ln"))
+    return places.select("r1", "r2", "a", id_of).join(runs, "sid").select("r1", "r2", (F.col("a") + F.col("r.f")).alias("a"), (F.col("r.l") - F.col("r.f") + window).alias("ln"))
 
 
 # ---- 4. whole corpus --------------------------------------------------------------------------------
@@ -262,7 +263,7 @@ def _count_windows(segs: DataFrame, window: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """r1, r2 and the set of spans (a, ln) that are repeated, from a table of r1, r2, text and the other columns, rest.
 
-    `rest` goes along so that both joins with the texts read the same columns and Spark shuffles the texts once.
+    `rest` goes along so that all joins with the texts read the same columns and Spark shuffles the texts once.
     """
     occ = stored(_occurrences(keyed, window, gram))
     several = occ.groupBy("kg").agg(F.sum("c").alias("n"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).filter("n > 1")
@@ -289,7 +290,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     cold = cold.withColumn("block", F.pmod(F.xxhash64("kg"), F.lit(blocks)))
     marks = cold.groupBy("block").applyInPandas(_index_blocks(window), "r1 long, r2 int, a long, ln long")
     if is_hot:
-        marks = marks.unionByName(_count_windows(pieces.join(hot, "kg", "left_semi"), window))
+        marks = marks.unionByName(_count_windows(pieces.join(hot, "kg", "left_semi"), met.join(hot, "kg", "left_semi"), window))
     return whole.unionByName(marks).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "ln")).alias("spans"))
 
 
