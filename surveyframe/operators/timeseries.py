@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from surveyframe.functions.basics import finite
+from surveyframe.functions.basics import finite, no_nan
 from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, medians, neighbour, quantiles, salted_join
 
 
@@ -341,6 +341,30 @@ def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected:
     return j.select(*df.columns, "trend", "flat")
 
 
+MIN_WINDOW_DAYS, EVENTS_PER_WINDOW = 1.0, 3.0     # fixed values: shortest smoothing window, and its length in longest events
+
+
+def smoothing_window(df: DataFrame, keys: Sequence[str], time: str, point: str, longest: str, order: int = 2) -> DataFrame:
+    """keys, cadence, window_days, window: the odd number of cadences that holds three longest events and at least a day.
+
+    `longest` is the length in days of the series' longest event, the same on all its rows; NULL and NaN count as none.
+    """
+    keys = list(keys)
+    steps = neighbour(df, time, {"_before": time}, keys, tie=point).withColumn("_step", F.col(time) - F.col("_before"))
+    cadence = medians(steps, keys, cadence="_step")
+    days = df.groupBy(*keys).agg(F.greatest(F.lit(MIN_WINDOW_DAYS), EVENTS_PER_WINDOW * F.coalesce(F.max(no_nan(longest)), F.lit(0.0))).alias("window_days"))
+    odd = F.bround(F.col("window_days") / F.col("cadence")).cast("bigint").bitwiseOR(F.lit(1).cast("bigint"))
+    return salted_join(cadence, days, keys).filter(F.col("cadence") > 0).select(
+        *keys, "cadence", "window_days", F.greatest(odd, F.lit(order + 3).cast("bigint")).alias("window"))
+
+
+def filled_errors(df: DataFrame, keys: Sequence[str], err: str) -> DataFrame:
+    """Errors that are not finite become the median of their series' finite ones."""
+    known = df.withColumn("_e", F.when(finite(err), F.col(err)))
+    middle = medians(known, list(keys), _m="_e")
+    return salted_join(known, middle, list(keys), "left").withColumn(err, F.coalesce("_e", "_m")).select(*df.columns)
+
+
 # ---- paired responses ------------------------------------------------------------------------------
 
 def paired_excess(df: DataFrame, group: str, level: str, control, value: str, gain: float, share: float) -> DataFrame:

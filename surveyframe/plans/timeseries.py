@@ -76,6 +76,23 @@ def _(t):
     return T.detrend(p, ["user_id", "segment"], "t", "flux", "protected", 5, "event_id").select("event_id", "user_id", "segment", "trend", "flat")
 
 
+@query("smoothing_window", "W10", f"""with p as (select user_id, {D} as t, event_id, case when user_id % 4 > 0 then user_id % 4 * 0.3::double end as longest from events),
+d as (select user_id, t - lag(t) over (partition by user_id order by t, event_id) as step, longest from p),
+c as (select user_id, median(step) as cadence, greatest(1.0::double, 3.0::double * coalesce(max(longest), 0)) as window_days from d group by 1)
+select user_id, round(cadence, 6) as cadence, round(window_days, 6) as window_days, greatest(round_even(window_days / cadence, 0)::bigint | 1, 5)::bigint as window from c where cadence > 0""")
+def _(t):
+    p = t.events.select("user_id", "event_id", epoch_days("ts").alias("t"), F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 4 * 0.3).alias("longest"))
+    return r6(T.smoothing_window(p, ["user_id"], "t", "event_id", "longest"), "cadence", "window_days")
+
+
+@query("filled_errors", "W10", """with e as (select event_id, user_id, case when event_id % 7 = 0 then null when event_id % 11 = 0 then 'inf'::double else value / 10.0::double end as err from events),
+m as (select user_id, median(err) filter (where err < 'inf'::double) as m from e group by 1)
+select event_id, user_id, round(case when err < 'inf'::double then err else m end, 6) as err from e left join m using (user_id)""")
+def _(t):
+    err = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 11 == 0, float("inf")).otherwise(F.col("value") / 10)
+    return r6(T.filled_errors(t.events.select("event_id", "user_id", err.cast("double").alias("err")), ["user_id"], "err"), "err")
+
+
 _FAST = "fast as (select event_id, user_id, event_type, {d} / 4000 as t, value as flux, 0.1::double + 0.01::double * value as err from events)".format(d=D)
 
 
