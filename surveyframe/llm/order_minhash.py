@@ -6,9 +6,11 @@ labelled k-mers are kept in text order and hashed, so a sketch agrees with a pro
 distance rather than with the overlap of sets alone.
 
 Exact copies are collapsed first.  Texts with an equal sketch meet in a bucket and each is compared with the bucket's
-first text in one random priority, never all with all.  Memberships whose comparison fails (the texts share a passage
-only) meet again in finer buckets, that add another sketch, in three further rounds, so that a foreign first text does
-not hide a pair.  A pair is linked when its words align with at most a fifth of edits (similarity 1 - d / longer
+first text in one random priority.  Then the buckets that still hold several classes are cut into pieces, and every
+piece meets every piece: all pairs of different classes are held against an exact lower bound of their edit distance
+(counts of hashed words, `_bags`), first only each text's closest partner is aligned, then, with the classes contracted,
+every pair that the bound allows.  So any two texts of a bucket are compared or already in one class; nothing is capped.
+A pair is linked when its words align with at most a fifth of edits (similarity 1 - d / longer
 >= 0.8), found exactly by a bit-parallel alignment in a band.  Classes are the connected components of the links.
 
 Defined cases: a NULL text is a class of its own; texts without words are copies only of the very same text; equal
@@ -19,6 +21,7 @@ an empty table gives no rows; other columns are ignored.  Texts are told apart b
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 from .common import SPACE, arrow_map, components, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 32, 80
-#: The other sketch, counted from a failed one, that refines its bucket in each later round.
-REFINE = (1, 7, 13)
+#: Texts of a piece of a bucket, and the fewest and most bins of a text's word counts.
+PIECE, BINS = 1024, (64, 1024)
 _BLOCK = 1024
 
 
@@ -84,8 +87,23 @@ def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int,
     return rows
 
 
+def _bags(column: pa.Array) -> list[bytes]:
+    """Counts of each text's words, hashed to a power of two of bins, one byte each (255 stands for more).
+
+    Half the sum of the differences of two bags, folded to the same size, never exceeds what the edits can change.
+    """
+    data, off = text_buffer(column, lower=True)
+    out = []
+    for lo, hi in row_slices(off):
+        words, first = word_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], ~SPACE)
+        for a, b in zip(first[:-1], first[1:]):
+            size = min(max(1 << int(b - a).bit_length() - 1 if b > a else 0, BINS[0]), BINS[1])
+            out.append(np.minimum(np.bincount((words[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes())
+    return out
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (hash of the text), doc_id, n_words, sketch of every text that is not NULL."""
+    """node (hash of the text), doc_id, n_words, bag, sketch of every text that is not NULL."""
     d = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("node"), "text")
 
     def run(b: pa.RecordBatch):
@@ -93,11 +111,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             part = b.slice(i, 1024)
             n, rows = sketch_rows(part.column("text"))
             flat = pa.array(rows.view(np.int64).ravel())
-            yield {"doc_id": part.column("doc_id"), "node": part.column("node"), "n_words": n,
+            yield {"doc_id": part.column("doc_id"), "node": part.column("node"), "n_words": n, "bag": pa.array(_bags(part.column("text")), pa.binary()),
                    "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * rows.shape[1]), flat)}
 
     return arrow_map(d, run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()),
-                                           T.StructField("n_words", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))
+                                           T.StructField("n_words", T.LongType()), T.StructField("bag", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))
 
 
 # ---- verification -----------------------------------------------------------------------------------
@@ -182,6 +200,96 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(both, run, "node long, leader long")
 
 
+# ---- pairs of a bucket ------------------------------------------------------------------------------
+
+def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, bags: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of the pairs of different classes that may be linked; with `nearest` the closest partner of each i only.
+
+    `side` is the piece of each row: rows of two pieces pair across them, rows of one piece with each other.
+    """
+    across = side.min() != side.max()
+    size = np.array([len(b) for b in bags])
+    at, left, right, bound = np.argsort(n, kind="stable"), [], [], []
+    for m in np.unique(size):
+        own, twice = at[size[at] == m], at[size[at] == 2 * m]
+        rows = np.concatenate((own, twice))
+        flat = np.frombuffer(b"".join(bags[i] for i in own), np.uint8).reshape(-1, m).astype(np.int16)
+        fold = np.frombuffer(b"".join(bags[i] for i in twice), np.uint8).reshape(-1, 2, m).sum(1, dtype=np.int16)
+        counts = np.minimum(np.concatenate((flat, fold)), 255).astype(np.int16)
+        total = counts.sum(1, dtype=np.int64)
+        length = n[rows]
+        for x in range(len(own)):       # own is in order of length, and so is twice
+            j = np.arange(x + 1, len(rows))
+            most = np.maximum(length[j], length[x]) * (100 - SIMILARITY_PERCENT) // 100
+            ok = (np.abs(length[j] - length[x]) <= most) & (cls[rows[j]] != cls[rows[x]])
+            if across:
+                ok &= side[rows[j]] != side[rows[x]]
+            j, most = j[ok], most[ok]
+            if not len(j):
+                continue
+            more = np.maximum(counts[j] - counts[x], 0).sum(1, dtype=np.int64)
+            d = np.maximum(more, more - total[j] + total[x])
+            ok = d <= most
+            left.append(np.full(int(ok.sum()), rows[x]))
+            right.append(rows[j[ok]])
+            bound.append(d[ok])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(bound)
+    if nearest and len(i):
+        one, two = np.concatenate((i, j)), np.concatenate((j, i))
+        order = np.lexsort((np.concatenate((d, d)), one))
+        first = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))]
+        i, j = one[first], two[first]
+    return i, j
+
+
+def _bucket_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (node, leader) of different classes that share a bucket and may be linked, node the larger."""
+    roots = components(links, "node", "leader")
+    m = members.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit("set"), "node")).alias("set"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    once = mixed.groupBy("n", "set").agg(F.min("key").alias("key"))      # buckets of the very same texts
+    pieces = F.ceil(F.col("n") / PIECE)
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "node"), pieces)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("o")
+    b = m.join(once.drop("set"), "key").select("node", "class", "key", piece.alias("piece"), other)
+    block = F.xxhash64("key", F.least("piece", "o"), F.greatest("piece", "o")).alias("block")
+    rows = b.select("node", "class", block, "piece").join(nodes.select("node", "n_words", "bag"), "node")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table):
+            block, node, cls, n, side = (t.column(c).to_numpy() for c in ("block", "node", "class", "n_words", "piece"))
+            bags = t.column("bag").to_pylist()
+            cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            found = [np.zeros((2, 0), np.int64)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if hi - lo > 1:
+                    i, j = _near_pairs(cls[lo:hi], n[lo:hi], side[lo:hi], bags[lo:hi], nearest)
+                    found.append(np.array([node[lo + i], node[lo + j]]))
+            both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["node", "leader"])
+
+        kept: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block = b.column("block").to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(block, block[-1]))       # the last block may go on in the next batch
+            if last:
+                yield pairs(pa.Table.from_batches([*kept, b.slice(0, last)]))
+                kept = []
+            elif kept and kept[0].column("block")[0].as_py() != block[0]:
+                yield pairs(pa.Table.from_batches(kept))
+                kept = []
+            kept.append(b.slice(last))
+        if kept:
+            yield pairs(pa.Table.from_batches(kept))
+
+    return rows.mapInArrow(run, "node long, leader long").distinct()
+
+
 # ---- classes ----------------------------------------------------------------------------------------
 
 def _led(members: DataFrame) -> DataFrame:
@@ -192,8 +300,8 @@ def _led(members: DataFrame) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """node, class_id for every text of docs (doc_id, text) that is not NULL."""
-    nodes = stored(sketches(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.max("n_words").alias("n_words")))
-    members = nodes.filter("n_words > 0").select("node", F.posexplode("sketch").alias("i", "s")).select("node", "i", F.xxhash64("i", "s").alias("key"))
+    nodes = stored(sketches(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.max("n_words").alias("n_words"), F.first("bag").alias("bag")))
+    members = nodes.filter("n_words > 0").select("node", F.posexplode("sketch").alias("i", "s")).select("node", F.xxhash64("i", "s").alias("key"))
     led = stored(_led(members))
     meeting = led.select("node").union(led.select("leader")).distinct()
     rep = nodes.join(meeting, "node", "left_semi").select("node", F.col("doc_id").alias("rep"))
@@ -201,24 +309,13 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     d = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), "doc_id", "text")
     same = (F.col("d.node") == F.col("r.node")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     texts = stored(d.alias("d").join(rep.alias("r"), same).select("d.node", "text").dropDuplicates(["node"]))
-    links, tried = None, None
-    for step in (*REFINE, None):
-        pairs = led.select("node", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        pairs = stored(pairs)
-        good = stored(_verified(pairs, texts))
-        links = good if links is None else links.union(good)
-        tried = pairs if tried is None else tried.union(pairs)
-        if step is None:
-            break
-        failed = led.join(links, ["node", "leader"], "left_anti").groupBy("node").agg(F.collect_set(F.struct("i", "key")).alias("at"))    # one per sketch and bucket
-        other = lambda m: F.pmod(m["i"] + step, F.lit(SKETCHES))  # noqa: B023, E731
-        tries = F.transform("at", lambda m: F.struct(m["i"].alias("i"), F.xxhash64(m["key"], other(m), F.get("sketch", other(m))).alias("key")))  # noqa: B023
-        failed = failed.join(nodes.select("node", "sketch"), "node").select("node", F.explode(tries).alias("m"))
-        led = stored(_led(failed.select("node", "m.i", "m.key")))
-        if led.isEmpty():
-            break
+    tried = stored(led.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct())
+    links = stored(_verified(tried, texts))
+    met = members.join(led.select("key").distinct(), "key", "left_semi")
+    for nearest in (True, False):
+        pairs = stored(_bucket_pairs(met, nodes, links, nearest).join(tried, ["node", "leader"], "left_anti"))
+        links = links.union(stored(_verified(pairs, texts)))
+        tried = tried.union(pairs)
     roots = components(links, "node", "leader")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")
