@@ -41,3 +41,19 @@ def test_one_original_with_many_independent_copies(spark):
     out, pairs = classes(spark, texts), meet(texts)
     want = [j for j in range(1, len(texts)) if (0, j) in pairs and order_minhash.linked(texts[0], texts[j])]
     assert len(want) > 400 and all(out[j] == out[0] for j in want)
+
+
+def test_copies_among_foreign_pages_of_one_template(spark):
+    """Pages share 60 of 100 words and are foreign to each other; pairs of near copies hide among them."""
+    rng = random.Random(11)
+    shared, texts = fresh(rng, 60), []
+    for _ in range(400):
+        own = fresh(rng, 40)
+        texts += [" ".join(shared[:30] + own + shared[30:]), " ".join(edited(rng, shared[:30] + own + shared[30:], 0.16))]
+    texts += [" ".join(shared[:30] + fresh(rng, 40) + shared[30:]) for _ in range(1200)]
+    pairs = meet(texts)
+    want = [i for i in range(0, 800, 2) if (i, i + 1) in pairs and order_minhash.linked(texts[i], texts[i + 1])]
+    out = classes(spark, texts)
+    assert len(want) > 300 and all(out[i] == out[i + 1] for i in want)
+    assert not any(order_minhash.linked(texts[i], texts[j]) for i, j in rng.sample(sorted(pairs), 2000) if i // 2 != j // 2 or i >= 800)
+    assert all(out[i] == i for i in range(800, 2000))
