@@ -1,9 +1,11 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-Words are the runs of non-space characters, lower-cased; a text's k-mers are its five-word shingles (all words of a
-shorter text), each labelled with its occurrence number.  For each of SKETCHES random orders the two smallest
-labelled k-mers are kept in text order and hashed, so a sketch agrees with a probability that falls with the edit
-distance rather than with the overlap of sets alone.
+Words are the runs of non-space characters, lower-cased.  Texts of up to TINY words meet by what is left of them without
+any fifth of their words, which no pair within the limit escapes.  Texts of SHORT lengths meet by two-word shingles, each
+labelled with its occurrence number: for each of SKETCHES random orders the two smallest are kept in text order and
+hashed, so a sketch agrees with a probability that falls with the edit distance rather than with the overlap of sets
+alone.  LONG texts meet by the smallest labelled five-word shingle of each order: of a pair at the limit a third of the
+shingles survive, too few for two common minima.
 
 Exact copies are collapsed first.  Texts with an equal sketch meet in a bucket and each is compared with the bucket's
 first text in one random priority.  Then the buckets that still hold several classes are cut into pieces, and every
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 from .common import SPACE, arrow_map, components, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 32, 80
+#: Most words of texts met by deletions; fewest and most words of those met by pairs of SHORT_K-word and single K-word minima.
+TINY, SHORT_K, SHORT, LONG = 14, 2, (12, 75), (60, 1 << 62)
 #: Texts of a piece of a bucket, and the fewest and most bins of a text's word counts.
 PIECE, BINS = 1024, (64, 1024)
 _BLOCK = 1024
@@ -51,7 +56,7 @@ def sketch_rows(column: pa.Array, k: int = K, n_sketches: int = SKETCHES) -> tup
     return n_words, out
 
 
-def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int, n_sketches: int) -> np.ndarray:
+def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int, n_sketches: int, single: bool = False) -> np.ndarray:
     rows = np.zeros((len(n), n_sketches), np.uint64)
     full = np.flatnonzero(n > 0)
     if not len(full):
@@ -80,6 +85,9 @@ def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int,
         seed = mix(np.array([t + 1], np.uint64))[0]
         v = (((label ^ seed) * np.uint64(0x9FB21C651E98DF25)) & ~low) | here
         a = (np.minimum.reduceat(v, start[:-1]) & low).astype(np.int64)
+        if single:
+            rows[full, t] = mix(label[a] ^ seed)
+            continue
         v[a] = most
         b = np.minimum.reduceat(v, start[:-1])
         b = np.where(b == most, a, (b & low).astype(np.int64))
@@ -87,6 +95,45 @@ def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int,
     return rows
 
 
+def _deletions(words: np.ndarray) -> list[int]:
+    """Hashes of what is left of a text without any fifth of its words or fewer: texts within the limit share one."""
+    most, w = len(words) // 5, words.tolist()
+    left = {tuple(x for i, x in enumerate(w) if i not in out) for d in range(most + 1) for out in combinations(range(len(w)), d)}
+    rows = np.zeros((len(left), len(w) + 1), np.uint64)
+    for r, t in enumerate(left):
+        rows[r, :len(t)] = t
+        rows[r, -1] = len(t)
+    h = np.zeros(len(left), np.uint64)
+    for c in rows.T:
+        h = mix(h * np.uint64(3) + c)
+    return h.tolist()
+
+
+def bucket_keys(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of words and the keys of the buckets of each text, of one to three families by its length.
+
+    Lengths of two families overlap by more than a fifth, so that any pair that can be linked has one in common.
+    """
+    data, off = text_buffer(column, lower=True)
+    n_words, out = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
+    for lo, hi in row_slices(off):
+        words, first = word_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], ~SPACE)
+        n = np.diff(first)
+        n_words[lo:hi] = n
+        for i in np.flatnonzero((n > 0) & (n <= TINY)):
+            out[lo + i].append(np.array(_deletions(words[first[i]:first[i + 1]]), np.uint64))
+        for k, sketches_, single, least, most in ((SHORT_K, SKETCHES, False, *SHORT), (K, SKETCHES, True, *LONG)):
+            rows = np.flatnonzero((n >= least) & (n <= most))
+            if len(rows):
+                some = np.concatenate([words[first[i]:first[i + 1]] for i in rows])
+                at = np.concatenate(([0], np.cumsum(n[rows])))
+                mh = _order_minhash(some, at, n[rows], k, sketches_, single)
+                mh = mix(mh + (np.arange(sketches_, dtype=np.uint64) + np.uint64(1000 * k)) * np.uint64(0x9E3779B97F4A7C15))
+                for i, row in zip(rows, mh):
+                    out[lo + i].append(row)
+    return n_words, [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
+
+
 def _bags(column: pa.Array) -> list[bytes]:
     """Counts of each text's words, hashed to a power of two of bins, one byte each (255 stands for more).
 
@@ -109,10 +156,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch):
         for i in range(0, b.num_rows, 1024):
             part = b.slice(i, 1024)
-            n, rows = sketch_rows(part.column("text"))
-            flat = pa.array(rows.view(np.int64).ravel())
+            n, keys = bucket_keys(part.column("text"))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
+            flat = pa.array(np.concatenate(keys).view(np.int64))
             yield {"doc_id": part.column("doc_id"), "node": part.column("node"), "n_words": n, "bag": pa.array(_bags(part.column("text")), pa.binary()),
-                   "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * rows.shape[1]), flat)}
+                   "sketch": pa.ListArray.from_arrays(pa.array(ends), flat)}
 
     return arrow_map(d, run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()),
                                            T.StructField("n_words", T.LongType()), T.StructField("bag", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))
@@ -301,7 +349,7 @@ def _led(members: DataFrame) -> DataFrame:
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """node, class_id for every text of docs (doc_id, text) that is not NULL."""
     nodes = stored(sketches(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.max("n_words").alias("n_words"), F.first("bag").alias("bag")))
-    members = nodes.filter("n_words > 0").select("node", F.posexplode("sketch").alias("i", "s")).select("node", F.xxhash64("i", "s").alias("key"))
+    members = nodes.filter("n_words > 0").select("node", F.explode("sketch").alias("key"))
     led = stored(_led(members))
     meeting = led.select("node").union(led.select("leader")).distinct()
     rep = nodes.join(meeting, "node", "left_semi").select("node", F.col("doc_id").alias("rep"))

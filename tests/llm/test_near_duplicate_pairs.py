@@ -57,3 +57,20 @@ def test_copies_among_foreign_pages_of_one_template(spark):
     assert len(want) > 300 and all(out[i] == out[i + 1] for i in want)
     assert not any(order_minhash.linked(texts[i], texts[j]) for i, j in rng.sample(sorted(pairs), 2000) if i // 2 != j // 2 or i >= 800)
     assert all(out[i] == i for i in range(800, 2000))
+
+
+def test_pairs_at_the_limit_are_found_at_every_length(spark):
+    rng = random.Random(3)
+    lengths, texts = [5, 8, 10, 12, 15, 20, 40, 60, 75, 76, 100, 200], []
+    for n in lengths * 40:
+        w = fresh(rng, n)
+        texts += [" ".join(w), " ".join(edited(rng, w, 0.2))]
+    w = fresh(rng, 14)                                   # deletions and insertions
+    texts += [" ".join(w), " ".join(w[:4] + w[5:9] + w[10:])]
+    w = fresh(rng, 10)                                   # one edit in the middle of ten words
+    texts += [" ".join(w), " ".join(w[:5] + ["edit"] + w[6:])]
+    out = classes(spark, texts)
+    found = [out[i] == out[i + 1] for i in range(0, len(texts), 2)]
+    assert all(order_minhash.linked(texts[i], texts[i + 1]) for i in range(0, len(texts), 2))
+    assert found[-1] and found[-2] and sum(found) >= 0.985 * len(found)
+    assert all(x for x, n in zip(found, lengths * 40) if n < 15)
