@@ -292,6 +292,21 @@ def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, bags: list[byt
     return i, j
 
 
+def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (node, leader) whose bags allow a link; the others need no alignment, so their texts are not read."""
+    bags = nodes.select("node", "n_words", "bag")
+    both = pairs.join(bags.toDF("node", "n", "x"), "node").join(bags.toDF("leader", "m", "y"), "leader")
+
+    def run(b: pa.RecordBatch):
+        ok = np.zeros(b.num_rows, bool)
+        for i, (n, m, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "m", "x", "y")))):
+            i_, _ = _near_pairs(np.array([0, 1]), np.array([n, m]), np.zeros(2), [x, y], False)
+            ok[i] = len(i_) > 0
+        yield {c: b.column(c).filter(pa.array(ok)) for c in ("node", "leader")}
+
+    return arrow_map(both, run, "node long, leader long")
+
+
 def _bucket_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (node, leader) of different classes that share a bucket and may be linked, node the larger."""
     roots = components(links, "node", "leader")
@@ -358,7 +373,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     same = (F.col("d.node") == F.col("r.node")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     texts = stored(d.alias("d").join(rep.alias("r"), same).select("d.node", "text").dropDuplicates(["node"]))
     tried = stored(led.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct())
-    links = stored(_verified(tried, texts))
+    links = stored(_verified(stored(_allowed(tried, nodes)), texts))
     met = members.join(led.select("key").distinct(), "key", "left_semi")
     for nearest in (True, False):
         pairs = stored(_bucket_pairs(met, nodes, links, nearest).join(tried, ["node", "leader"], "left_anti"))
