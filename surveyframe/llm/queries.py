@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, decontamination, order_minhash, perspectives, pivotal_mixing, quality_rules, run_length_index, token_counts, toxicity, url_templates
+from . import boosted_quality, collocations, decontamination, order_minhash, perspectives, piece_codec, pivotal_mixing, quality_rules, run_length_index, token_counts, toxicity, url_templates, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -156,10 +156,76 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with p as (select coalesce(lang, 'und') as lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+           from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as ws from p),
+u as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+g as (select lang, s, array_to_string(ws[i:i + s - 1], ' ') as phrase from u, (values (1), (2), (3)) t(s) where i + s - 1 <= len(ws)),
+f as (select lang, s, phrase, count(*) as f from g group by lang, s, phrase),
+total as (select lang, sum(f)::bigint as n from f where s = 1 group by lang),
+cand as (select lang, s, phrase, f as a, string_split(phrase, ' ') as ws from f where s >= 2 and f >= 10),
+cut as (select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as lp, array_to_string(ws[k + 1:], ' ') as rp
+        from (select *, unnest(range(1, s)) as k from cand)),
+rated as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
+          from cut c join f x on c.lang = x.lang and c.lp = x.phrase join f y on c.lang = y.lang and c.rp = y.phrase),
+best as (select * from rated qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (select lang, array_to_string(ws[i:i + 1], ' ') as phrase, max(a) as most from (select *, unnest([1, 2]) as i from cand where s = 3) group by 1, 2),
+kept as (select b.* from best b left join held h on b.lang = h.lang and b.phrase = h.phrase where coalesce(100 * h.most < 50 * b.a, true)),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from placed join total using (lang) where rank <= 2000
+"""
+
+
+def op12_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    v = vector_codes
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} as (select x.row, x.pos, b.entry, sum((x.v - b.v) * (x.v - b.v)) as dist from x join b{i} b on x.pos = b.pos and x.dim = b.dim group by x.row, x.pos, b.entry),
+a{i} as (select row, pos, entry, dist from d{i} qualify row_number() over (partition by row, pos order by dist, entry) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select a.pos, a.entry, x.dim, sum(x.v)::hugeint as s, count(*)::hugeint as c from x join a{i} a on x.row = a.row and x.pos = a.pos group by a.pos, a.entry, x.dim),
+b{i + 1} as (select b.pos, b.entry, b.dim, coalesce((m.s - ((m.s % m.c) + m.c) % m.c) // m.c, b.v)::bigint as v
+        from b{i} b left join m{i} m on b.pos = m.pos and b.entry = m.entry and b.dim = m.dim)""")
+    return f"""
+with k as (select vec_id, label, row_number() over (order by vec_id nulls last, embedding) as row, embedding, len(embedding) // {v.PARTS} as size
+           from embeddings where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+e as (select row, unnest(embedding) as c, unnest(range(len(embedding))) as i, size from k),
+x as (select row, i // size as pos, i % size as dim, floor({v.SCALE} * c::double)::bigint as v from e),
+b0 as (select pos, row - 1 as entry, dim, v from x where row <= {v.ENTRIES}),
+{",".join(steps)},
+book as (select sha256(string_agg(v::varchar, ',' order by pos, entry, dim)) as h from b{rounds}),
+coded as (select row, string_agg(format('{{:02x}}', entry), '' order by pos) as code, sum(dist)::bigint as error from a{rounds} group by row),
+lab as (select label, sum(error)::bigint as t from coded join k using (row) group by label)
+select k.vec_id, code, error, t as label_error, h as codebooks_sha256
+from coded join k using (row) join lab on k.label is not distinct from lab.label, book
+"""
+
+
+def op13_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids, of their spans and of the decoded text."""
+    out = piece_codec.encode(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")), packed=True)
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                      F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op4_template_tree, op5_order_minhash, op6_run_length_index, op7_perspective_rotation, op8_token_counts, op9_pivotal_mixing,
-                                    op10_boosted_trees)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op4_template_tree, op5_order_minhash, op6_run_length_index, op7_perspective_rotation,
+                                    op8_token_counts, op9_pivotal_mixing, op10_boosted_trees, op11_misra_gries_phrases, op12_trie_codes, op13_piece_spans)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_template_tree": _op4_sql(), "op6_run_length_index": OP6_SQL, "op7_perspective_rotation": OP7_SQL}
+    return {"op4_template_tree": _op4_sql(), "op6_run_length_index": OP6_SQL, "op7_perspective_rotation": OP7_SQL,
+            "op11_misra_gries_phrases": OP11_SQL, "op12_trie_codes": _op12_sql()}

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if n == "pipeline" or (n.startswith("op") and n[2].isdigit())]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 # ---- URLs -------------------------------------------------------------------------------------------
