@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, mix, need, prefix_hash, row_slices, span_hash, stored, text_buffer
 
 LEAST, LONGEST, COVERED_PERCENT, TOP, MILLION = 10, 3, 50, 2000, 1_000_000
-BYTES_PER_PARTITION = 32 << 20
-SLICE, HELD = 4 << 20, 6_000_000
+BYTES_PER_PARTITION = 16 << 20
+SLICE, HELD = 2 << 20, 4_000_000
 FILTER_BITS = 26
 #: Rows one task ranks at a time while the best of a language are picked, in lists of TOP.
 LISTS = 32
@@ -151,12 +151,23 @@ def lang_salt(lang: str) -> np.uint64:
 
 # ---- Misra-Gries ------------------------------------------------------------------------------------
 
-def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[at], np.add.reduceat(c, at) if len(at) else c[:0]
+def pack(h: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Hash and count in one integer: the hash loses its last bits to the count, which ends at `least`."""
+    bits = np.uint64(least.bit_length())
+    return (h >> bits << bits) | np.minimum(n, least).astype(np.uint64)
+
+
+def unpack(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.uint64(least.bit_length())
+    return v >> bits, (v & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+
+
+def fold(v: np.ndarray, least: int) -> np.ndarray:
+    """Packed hashes in order, equal ones added up; sorts its input in place."""
+    v.sort()
+    key, n = unpack(v, least)
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(v) else np.zeros(0, np.int64)
+    return (key[at] << np.uint64(least.bit_length())) | np.minimum(np.add.reduceat(n, at), least).astype(np.uint64) if len(at) else v
 
 
 class Summary:
@@ -167,7 +178,11 @@ class Summary:
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts = _add([self.keys, keys], [self.counts, counts])
+        k, c = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+        self.keys, self.counts = k[at], np.add.reduceat(c, at) if len(at) else c
         if len(self.keys) > self.capacity:
             off = np.partition(self.counts, len(self.counts) - self.capacity - 1)[len(self.counts) - self.capacity - 1]
             self.taken += int(off)
@@ -180,53 +195,47 @@ class Summary:
 
 
 def summaries(docs: DataFrame, partitions: int, least: int, longest: int) -> DataFrame:
-    """(p, mass, keys, counts): each task's summaries by hash partition, packed; counts end at `least`."""
-
-    def cut(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        counts = np.minimum(counts, least).astype(np.uint8 if least < 256 else np.int64)
-        p = (mix(keys) % np.uint64(partitions)).astype(np.int64)
-        order = np.argsort(p, kind="stable")
-        p, keys, counts = p[order], keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(p))
-        spans = list(zip(at.tolist(), ends.tolist()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(p[at]), pa.array([int(counts[a:b].sum(dtype=np.int64)) for a, b in spans], pa.int64()),
-             pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype("<i8").tobytes() if least >= 256 else counts[a:b].tobytes() for a, b in spans], pa.binary())],
-            names=["p", "mass", "keys", "counts"])
+    """(p, mass, counters): each task's summaries by hash partition, packed; counts end at `least`."""
+
+    def cut(v: np.ndarray) -> pa.RecordBatch:
+        p = ((v >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)       # rises with the hash
+        at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+        n = unpack(v, least)[1]
+        return pa.RecordBatch.from_arrays([pa.array(p[at]), pa.array(np.add.reduceat(n, at)), pa.array([x.tobytes() for x in np.split(v, at[1:])], pa.binary())],
+                                          names=["p", "mass", "counters"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        parts, held = [], 0
         for b in batches:
             for lang, data, off, skip in slices(b, longest):
                 ids, words, piece = words_of(data, off)
                 word_hash, salt = dictionary_hashes(words), lang_salt(lang)
                 for size, places, n in grams(ids, piece, len(words), longest, skip):
-                    keys.append(gram_hash(word_hash, ids, places, size, salt))
-                    counts.append(n)
+                    parts.append(pack(gram_hash(word_hash, ids, places, size, salt), n, least))
                     held += len(n)
                 if held > HELD:
-                    k, c = _add(keys, counts)
-                    if len(k) > HELD // 2:
-                        yield cut(k, c)
-                        k, c = k[:0], c[:0]
-                    keys, counts, held = [k], [c], len(k)
+                    v = np.concatenate(parts)
+                    parts.clear()
+                    v = fold(v, least)
+                    if len(v) > HELD // 2:
+                        yield cut(v)
+                        v = v[:0]
+                    parts, held = [v], len(v)
         if held:
-            yield cut(*_add(keys, counts))
+            yield cut(fold(np.concatenate(parts), least))
 
-    return need(docs, "lang", "text").mapInArrow(run, "p long, mass long, keys binary, counts binary")
+    return need(docs, "lang", "text").mapInArrow(run, "p long, mass long, counters binary")
 
 
 def survivors(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bytes_per_partition: int = BYTES_PER_PARTITION) -> DataFrame:
-    """h: hashes that hold every n-gram occurring `least` times, and some others."""
+    """h: hashes (without the bits of the count) that hold every n-gram occurring `least` times, and some others."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = int(size // bytes_per_partition) + 1
-    kind = np.uint8 if least < 256 else np.dtype("<i8")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         s = Summary(int(pdf["mass"].sum()) // least + 1)
-        for k, c in zip(pdf["keys"], pdf["counts"]):
-            s.merge(np.frombuffer(k, np.uint64), np.frombuffer(c, kind).astype(np.int64))
+        for x in pdf["counters"]:
+            s.merge(*unpack(np.frombuffer(x, np.uint64), least))
         return pd.DataFrame({"h": s.frequent(least).view(np.int64)})
 
     return summaries(docs, partitions, least, longest).groupBy("p").applyInPandas(merge, "h long")
@@ -235,14 +244,14 @@ def survivors(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bytes
 def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """2 ** bits flags as bytes, set where a hash ends; the rows that travel are the flags' words, at most 2 ** (bits - 6)."""
     slot = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     found = words.toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return table
 
 
-def count_phrases(docs: DataFrame, table: np.ndarray, longest: int = LONGEST, bits: int = FILTER_BITS) -> DataFrame:
+def count_phrases(docs: DataFrame, table: np.ndarray, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS) -> DataFrame:
     """(lang, phrase, size, f) of all n-grams whose hash is flagged, and one row a language with size 0: all its words."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = ["lang", "phrase", "size", "f"]
@@ -257,7 +266,7 @@ def count_phrases(docs: DataFrame, table: np.ndarray, longest: int = LONGEST, bi
                 out = [(pa.array([""]), [0], [len(ids) - skip])]
                 for size, places, n in grams(ids, piece, len(words), longest, skip):
                     h = gram_hash(word_hash, ids, places, size, salt)
-                    slot = h & np.uint64((1 << bits) - 1)
+                    slot = (h >> np.uint64(least.bit_length())) & np.uint64((1 << bits) - 1)
                     on = (flags[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
                     places, n = places[on], n[on]
                     parts = [text.take(pa.array(ids[places + j])) for j in range(size)]
@@ -313,7 +322,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pe
                  bytes_per_partition: int = BYTES_PER_PARTITION, bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words."""
     table = bit_table(survivors(docs, least, longest, bytes_per_partition), bits)
-    counts = stored(count_phrases(docs, table, longest, bits).filter((F.col("size") == 0) | (F.col("f") >= least)))
+    counts = stored(count_phrases(docs, table, least, longest, bits).filter((F.col("size") == 0) | (F.col("f") >= least)))
     total = counts.filter("size = 0").select(F.col("lang").alias("_g"), F.col("f").alias("n"))
     freq = counts.filter("size > 0")
     kept = stored(uncovered(scored(freq), freq, percent))
