@@ -102,7 +102,7 @@ def _round(last: bool):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES,
         rows_per_group: int = ROWS_PER_GROUP, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies of every document."""
+    """doc_id, size, source_size, target, taken, source, copies of every document."""
     sized = stored(sizes(docs))
     goal = stored(targets(sized, weights, budget, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -123,4 +123,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         rows = out.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / fan_in))
         groups = -(-groups // fan_in)
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))

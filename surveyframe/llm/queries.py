@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,7 +222,7 @@ def op13_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ftrl_toxicity, op2_edit_embedding, op3_risk_controlled_rules, op4_template_tree, op5_order_minhash, op6_run_length_index, op7_perspective_rotation,
-                                    op8_token_counts, op9_pivotal_mixing, op10_boosted_trees, op11_misra_gries_phrases, op12_trie_codes, op13_piece_spans)} | {"pipeline": corpus_pipeline.run}
+                                    op8_token_counts, op9_pivotal_mixing, op10_boosted_trees, op11_misra_gries_phrases, op12_trie_codes, op13_piece_spans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -294,23 +294,47 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     return whole.unionByName(marks).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "ln")).alias("spans"))
 
 
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The bytes that stay, how many go and in how many maximal runs."""
-    keep, at, gone, runs, end = [], 0, 0, 0, -1
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal [start, end) runs of overlapping or adjoining spans (start, length)."""
+    out: list[tuple[int, int]] = []
     for a, ln in sorted(spans):
-        if a > end:
-            keep.append(text[at:a])
-            runs, at, end = runs + 1, a, a
-        if a + ln > end:
-            gone, end = gone + a + ln - end, a + ln
-            at = end
-    keep.append(text[at:])
-    return b"".join(keep), gone, runs
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], a + ln)
+        else:
+            out.append((a, a + ln))
+    return out
+
+
+def _whole_words(text: bytes, a: int, b: int) -> tuple[int, int, int]:
+    """(number, start, end) of the words of text that lie inside [a, b) from end to end."""
+    while a < b and a > 0 and not text[a:a + 1].isspace() and not text[a - 1:a].isspace():
+        a += 1
+    while a < b < len(text) and not text[b - 1:b].isspace() and not text[b:b + 1].isspace():
+        b -= 1
+    inside = text[a:b]
+    words = inside.split()
+    lead = len(inside) - len(inside.lstrip())
+    return len(words), a + lead, b - (len(inside) - len(inside.rstrip()) if words else 0)
+
+
+def _cut(text: bytes, spans: list[tuple[int, int]], min_words: int = 0) -> tuple[bytes, int, int]:
+    """The bytes that stay, how many go and in how many maximal runs.
+
+    With min_words a run goes only if it holds as many whole words, and then from its first to its last whole word.
+    """
+    runs = _runs(spans)
+    if min_words:
+        runs = [(a, b) for n, a, b in (_whole_words(text, *r) for r in runs) if n >= min_words]
+    ends = [0, *(b for _, b in runs)]
+    keep = [text[e:a] for e, a in zip(ends, [*(a for a, _ in runs), len(text)])]
+    return b"".join(keep), sum(b - a for a, b in runs), len(runs)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES,
+                   min_words: int = 0) -> DataFrame:
     """The columns of docs, then n_bytes, n_removed, n_spans, kept_sha256 and kept_text in one struct `repeats`.
 
+    With min_words only maximal runs of as many whole words are cut, at word bounds; the others stay.
     kept_text is the kept bytes as text, without characters that a cut has split.  Where docs has a column of that
     name already, the struct's name gets a leading underscore.
     """
@@ -326,7 +350,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
             for text, found in zip(part.column("text"), part.column("spans")):
                 raw = (text.as_py() or "").encode()
-                kept, gone, runs = _cut(raw, [(s["a"], s["ln"]) for s in found.as_py() or ()])
+                kept, gone, runs = _cut(raw, [(s["a"], s["ln"]) for s in found.as_py() or ()], min_words)
                 for c, v in zip(out, (len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"))):
                     out[c].append(v)
             yield out | {"text": part.column("text"), "rest": part.column("rest")}

@@ -146,3 +146,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 def test_pipeline_runs_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < 200 and out.filter("taken > 2 * size").count() == 0
+
+
+def test_repeated_passages_of_over_50_words_leave_the_pipeline(spark, tmp_path):
+    """Passages of 54 short words, about 300 bytes: cut wherever they stand; 50 words, or a phrase of the prose, stay."""
+    from surveyframe.llm import stages
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.choice([3, 4, 5, 6])))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short, few = text(54), text(50), text(51)
+    assert len(long) < 330
+    rows = [(i, f"{text(80)} {long} {text(70)}") for i in range(3)] + [(10 + i, f"{text(90)}\n{short}\n{text(60)}") for i in range(3)]
+    rows += [(20 + i, f"{text(90)} {few} {text(60)}") for i in range(2)] + [(50 + i, text(150)) for i in range(20)] + [(40, long), (41, None), (42, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in stages.repeated_passage_stage(spark, docs, str(tmp_path)).collect()}
+    before = dict(rows)
+    for i in (0, 1, 2, 20, 21):
+        gone = long if i < 10 else few
+        assert gone not in out[i]["text"] and out[i]["text"].split() == before[i].replace(gone, "").split() and out[i]["n_chars"] == len(out[i]["text"])
+    assert 40 not in out                                                       # nothing but the passage
+    assert all(out[i]["text"] == before[i] for i in before if i in (10, 11, 12, 41, 42) or i >= 50)

@@ -381,3 +381,22 @@ def test_empty_tables(empty, labels, docs):
     assert run_length_index.remove_repeats(empty).count() == 0
     assert token_counts.count_tokens(empty, str(public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
     assert pivotal_mixing.mix(empty).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=8), st.integers(0, 4))
+@settings(max_examples=200, deadline=None)
+def test_cuts_of_few_words_stay(spans, least):
+    text = b"ab c  def g\thi jk l mnop qr s tu"
+    spans = [(a, min(n, len(text) - a)) for a, n in spans if a < len(text)]
+    gone = {i for a, n in spans for i in range(a, a + n)}
+    runs, at = [], 0
+    while at < len(text):
+        end = at
+        while end in gone:
+            end += 1
+        if end > at:
+            words = [m for m in __import__("re").finditer(rb"\S+", text) if m.start() >= at and m.end() <= end]
+            runs += ([(at, end)] if not least else [(words[0].start(), words[-1].end())]) if len(words) >= least else []
+        at = max(end, at + 1)
+    kept, n, k = run_length_index._cut(text, spans, least)
+    assert (kept, n, k) == (bytes(c for i, c in enumerate(text) if not any(a <= i < b for a, b in runs)), sum(b - a for a, b in runs), len(runs))
