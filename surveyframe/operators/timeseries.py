@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import finite, no_nan
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, medians, neighbour, quantiles, salted_join
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, medians, neighbour, null_safe_join, quantiles, salted_join
 
 
 def stitch_segments(df: DataFrame, segment: Sequence[str], flux: str) -> DataFrame:
@@ -267,56 +267,80 @@ def process_signals(points: DataFrame, events: DataFrame, key: str, point: str,
 
 # ---- detrending ------------------------------------------------------------------------------------
 
-BLOCK = 20000  # rows of a series smoothed together; neighbours are repeated across block edges
+WINDOWS_PER_BLOCK, LEAST_BLOCK = 4, 256     # rows of a block: so many windows of its series, and this many at least
 
 
-def local_quadratic(df: DataFrame, keys: Sequence[str], time: str, value: str, half: int, out: str, tie: str | None = None) -> DataFrame:
-    """Savitzky-Golay smoothing of order 2 over 2 half + 1 rows of each series, as windowed sums.
+def local_quadratic(df: DataFrame, keys: Sequence[str], time: str, value: str, half: int | str, out: str, tie: str | None = None) -> DataFrame:
+    """Savitzky-Golay smoothing of order 2 over 2 half + 1 rows of each series; `half` is a number or a column, the same on all rows of a series.
 
-    Inside a series the smoothed value is a fixed combination of sum y, sum k y and sum k^2 y over the
-    window; the first and last `half` rows take the quadratic fitted to the first or last full window.
-    Series shorter than a window take their median.  Long series are cut into blocks whose neighbours'
-    edge rows are repeated, so a block never grows with the series.
+    The smoothed value is a fixed combination of sum y, sum k y and sum k^2 y over the window.  These moments are kept
+    as running totals inside blocks of a few windows, so a window is two look-ups whatever its width: the totals at
+    its end and before its start, and those of the block between if it crosses an edge.  The first and last `half`
+    rows take the quadratic fitted to the first or last full window; series shorter than a window take their median.
+    A block grows with the window only, never with the series.
     """
     keys = list(keys)
-    n_win = 2 * half + 1
     fits = fits_in_task(df, keys)
+    level = medians(df, keys, fits, _level=value)
+    size = df.groupBy(*keys).agg(F.count("*").alias("_len"), F.max(half if isinstance(half, str) else F.lit(half)).cast("bigint").alias("_h"))
+    series = salted_join(size, level, keys) if keys else attach_row(size, level)
+    series = series.withColumn("_size", F.greatest(WINDOWS_PER_BLOCK * (2 * F.col("_h") + 1), F.lit(LEAST_BLOCK)))
     r = cumulative(df, time, {"_i": F.lit(1).cast("bigint")}, keys, tie, fits).withColumn("_i", F.col("_i") - 1)
-    size = df.groupBy(*keys).agg(F.count("*").alias("_len"))
-    r = _keyed(r, size, keys, fits=fits)
-    block = F.floor(F.col("_i") / BLOCK)
-    near = F.array_distinct(F.array(block, F.floor((F.col("_i") - n_win) / BLOCK), F.floor((F.col("_i") + n_win) / BLOCK)))
-    r = r.withColumn("_home", block).withColumn("_block", F.explode(F.filter(near, lambda b: b >= 0)))
-    k = (F.col("_i") - F.col("_block") * BLOCK).cast("double")
-    centre = F.least(F.greatest(F.col("_i"), F.lit(half)), F.col("_len") - half - 1)  # window centre a row is read from
-    r = r.withColumn("_k", k).withColumn("_centre", centre)
-    base = W.partitionBy(*keys, "_block").orderBy("_i")
-    # the sums of the window centred on `_centre`: at the ends the row reads its neighbour's window
-    mid = base.rowsBetween(-half, half)
-    r = r.withColumn("_s", F.struct(F.col("_i").alias("i"), F.sum(value).over(mid).alias("s0"), F.sum(F.col("_k") * F.col(value)).over(mid).alias("s1"),
-                                    F.sum(F.col("_k") * F.col("_k") * F.col(value)).over(mid).alias("s2"), F.col("_k").alias("k")))
-    # end rows read the one full window nearest to them
-    head = F.max(F.when(F.col("_i") == half, F.col("_s"))).over(base.rowsBetween(0, half))
-    tail = F.max(F.when(F.col("_i") == F.col("_len") - half - 1, F.col("_s"))).over(base.rowsBetween(-half, 0))
-    s = F.when(F.col("_i") < half, head).when(F.col("_i") > F.col("_len") - half - 1, tail).otherwise(F.col("_s"))
-    r = r.withColumn("_z", s).filter(F.col("_home") == F.col("_block"))
-    c = F.col("_z.k")
-    t0, t1 = F.col("_z.s0"), F.col("_z.s1") - c * F.col("_z.s0")
-    t2 = F.col("_z.s2") - 2 * c * F.col("_z.s1") + c * c * F.col("_z.s0")
-    q2 = half * (half + 1) * (2 * half + 1) / 3.0                                  # sum of j^2
-    q4 = q2 * (3 * half * half + 3 * half - 1) / 5.0                               # sum of j^4
-    det = n_win * q4 - q2 * q2
-    a0, a1, a2 = (q4 * t0 - q2 * t2) / det, t1 / q2, (n_win * t2 - q2 * t0) / det
-    d = F.col("_k") - c
-    fit = a0 + a1 * d + a2 * d * d
-    flat = medians(df, keys, fits, _flat=value)
-    done = _keyed(r, flat, keys, fits=fits).withColumn(out, F.when(F.col("_len") >= n_win, fit).otherwise(F.col("_flat")))
-    return done.select(*df.columns, out)
-
-
-def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected: str, half: int, point: str,
+    r = _keyed(r, series, keys, fits=fits)
+    r = r.withColumn("_block", F.floor(F.col("_i") / F.col("_size"))).withColumn("_k", (F.col("_i") - F.col("_block") * F.col("_size")).cast("double"))
+    inside = r.filter(F.col("_len") > 2 * F.col("_h"))
+
+    # running totals of the moments of y - level around the block's first row, and the whole block's
+    y, k = F.col(value) - F.col("_level"), F.col("_k")
+    moments = {"m0": y, "m1": k * y, "m2": k * k * y}
+    block = W.partitionBy(*keys, "_block")
+    upto = block.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    at = inside.select(*keys, "_i", "_h", "_len", "_block", "_size", F.struct("_block", *[F.sum(m).over(upto).alias(n) for n, m in moments.items()]).alias("_to"),
+                       F.struct(*[F.sum(m).over(block).alias(n) for n, m in moments.items()]).alias("_all"))
+    # a row is the end of the window around _i - half and lies just before the one around _i + half + 1
+    roles = F.explode(F.array(F.struct((F.col("_i") - F.col("_h")).alias("c"), F.lit(1).alias("end")), F.struct((F.col("_i") + F.col("_h") + 1).alias("c"), F.lit(0).alias("end"))))
+    sent = at.select("*", roles.alias("_r")).filter((F.col("_r.c") >= F.col("_h")) & (F.col("_r.c") <= F.col("_len") - F.col("_h") - 1))
+    role = lambda end, c: F.max(F.when(F.col("_r.end") == end, F.col(c)))
+    w = sent.groupBy(*keys, F.col("_r.c").alias("_c")).agg(F.max("_h").alias("_h"), F.max("_len").alias("_len"), F.max("_size").alias("_size"),
+                                                         role(1, "_to").alias("_b"), role(0, "_to").alias("_a"), role(0, "_all").alias("_t"))
+
+    def around_centre(part: str, origin: Column) -> tuple[Column, Column, Column]:
+        """Moments kept around `origin`, moved to the window's centre; none where there is no such row."""
+        d = (origin - F.col("_c")).cast("double")
+        m0, m1, m2 = (F.coalesce(F.col(part)[m], F.lit(0.0)) for m in moments)
+        return m0, m1 + d * m0, m2 + 2 * d * m1 + d * d * m0
+
+    zero = F.lit(0).cast("bigint")
+    first = F.coalesce(F.col("_a")["_block"], zero) * F.col("_size")
+    ends = around_centre("_b", F.col("_b")["_block"] * F.col("_size"))
+    starts = around_centre("_a", first)
+    crossed = F.coalesce(F.col("_a")["_block"] < F.col("_b")["_block"], F.lit(False))
+    between = around_centre("_t", first)
+    t0, t1, t2 = (e - s + F.when(crossed, b).otherwise(0.0) for e, s, b in zip(ends, starts, between))
+    h = F.col("_h").cast("double")
+    n = 2 * h + 1
+    q2 = h * (h + 1) * n / 3                                  # sum of j^2
+    q4 = q2 * (3 * h * h + 3 * h - 1) / 5                     # sum of j^4
+    det = n * q4 - q2 * q2
+    fit = w.withColumn("_fit", F.when(h == 0, F.struct(t0.alias("a0"), F.lit(0.0).alias("a1"), F.lit(0.0).alias("a2"))).otherwise(
+        F.struct(((q4 * t0 - q2 * t2) / det).alias("a0"), (t1 / q2).alias("a1"), ((n * t2 - q2 * t0) / det).alias("a2"))))
+    # the first and the last full window also serve the rows beyond their centres
+    last = F.col("_len") - F.col("_h") - 1
+    lo = F.when(F.col("_c") == F.col("_h"), zero).otherwise(F.col("_c"))
+    hi = F.when(F.col("_c") == last, F.col("_len") - 1).otherwise(F.col("_c"))
+    fit = fit.select(*keys, "_c", "_fit", F.explode(F.sequence(lo, hi)).alias("_i"))
+    done = null_safe_join(r, fit, [*keys, "_i"])
+    d = (F.col("_i") - F.col("_c")).cast("double")
+    curve = F.col("_fit.a0") + F.col("_fit.a1") * d + F.col("_fit.a2") * d * d
+    return done.withColumn(out, F.col("_level") + F.coalesce(curve, F.lit(0.0))).select(*df.columns, out)
+
+
+def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected: str, half: int | str, point: str,
             passes: int = 3, sigma: float = 3.0, upper: float = 3.0) -> DataFrame:
-    """Flatten each series: trend from unprotected, repeatedly sigma-clipped rows, interpolated everywhere; then drop high outliers."""
+    """Flatten each series: trend from unprotected, repeatedly sigma-clipped rows, interpolated everywhere; then drop high outliers.
+
+    `half` is half the window in rows, a number or the name of a column of each series (see smoothing_window).
+    """
     keys = list(keys)
     fits = fits_in_task(df, keys)
     live = df.filter(~F.col(protected))
@@ -341,6 +365,14 @@ def detrend(df: DataFrame, keys: Sequence[str], time: str, flux: str, protected:
     return j.select(*df.columns, "trend", "flat")
 
 
+def detrend_events(df: DataFrame, star: Sequence[str], time: str, flux: str, protected: str, longest: str, point: str, gap: float = BREAK_CADENCES, **how) -> DataFrame:
+    """Gap segments, each star's own smoothing window and the flattened rows: df's columns, segment, window, trend, flat."""
+    window = smoothing_window(df, star, time, point, longest).select(*star, "window")
+    cut = gap_segments(df, star, time, point, gap)
+    rows = salted_join(cut, window, list(star)).withColumn("_half", F.floor(F.col("window") / 2))
+    return detrend(rows, [*star, "segment"], time, flux, protected, "_half", point, **how).drop("_half")
+
+
 MIN_WINDOW_DAYS, EVENTS_PER_WINDOW = 1.0, 3.0     # fixed values: shortest smoothing window, and its length in longest events
 
 

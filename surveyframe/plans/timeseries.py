@@ -70,10 +70,29 @@ def _(t):
     return T.gap_segments(points(t), ["user_id"], "t", "event_id").select("event_id", "user_id", "segment")
 
 
+def stars(t):
+    """Every user's events as the light curve of a star with known events (or none) of its own length."""
+    longest = F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 4 * 0.3)
+    return points(t).select("event_id", "user_id", "t", "flux").withColumn("longest", longest).withColumn("protected", F.col("flux") > 60)
+
+
 @query("detrended_series", "W10")
 def _(t):
-    p = T.gap_segments(points(t).select("event_id", "user_id", "t", "flux"), ["user_id"], "t", "event_id", gap=20).withColumn("protected", F.col("flux") > 60)
-    return T.detrend(p, ["user_id", "segment"], "t", "flux", "protected", 5, "event_id").select("event_id", "user_id", "segment", "trend", "flat")
+    """Each star is smoothed over its own window: three of its longest events, a day at least."""
+    out = T.detrend_events(stars(t), ["user_id"], "t", "flux", "protected", "longest", "event_id", gap=20)
+    return out.select("event_id", "user_id", "segment", "window", "trend", "flat")
+
+
+@query("smoothed_series", "W10", f"""with {PTS}, r as (select *, row_number() over (partition by user_id order by t, event_id) - 1 as i, count(*) over (partition by user_id) as len, median(flux) over (partition by user_id) as lev, (3 + user_id % 5)::bigint as h from pts),
+c as (select *, case when len > 2 * h then least(greatest(i, h), len - h - 1) end as c from r),
+s as (select a.event_id, any_value(a.user_id) as user_id, any_value(a.lev) as lev, any_value(a.h)::double as h, any_value(a.i - a.c)::double as d, sum(b.flux - b.lev) as t0, sum((b.i - a.c) * (b.flux - b.lev)) as t1, sum((b.i - a.c) * (b.i - a.c) * (b.flux - b.lev)) as t2
+      from c a left join c b on a.user_id = b.user_id and b.i between a.c - a.h and a.c + a.h group by a.event_id),
+q as (select *, 2 * h + 1 as n, h * (h + 1) * (2 * h + 1) / 3 as q2, h * (h + 1) * (2 * h + 1) / 3 * (3 * h * h + 3 * h - 1) / 5 as q4 from s)
+select event_id, user_id, round(lev + coalesce((q4 * t0 - q2 * t2) / (n * q4 - q2 * q2) + t1 / q2 * d + (n * t2 - q2 * t0) / (n * q4 - q2 * q2) * d * d, 0), 5) as smooth from q""")
+def _(t):
+    p = points(t).select("event_id", "user_id", "t", "flux").withColumn("half", 3 + F.col("user_id") % 5)
+    out = T.local_quadratic(p, ["user_id"], "t", "flux", "half", "smooth", "event_id")
+    return out.select("event_id", "user_id", F.round("smooth", 5).alias("smooth"))
 
 
 @query("smoothing_window", "W10", f"""with p as (select user_id, {D} as t, event_id, case when user_id % 4 > 0 then user_id % 4 * 0.3::double end as longest from events),

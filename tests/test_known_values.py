@@ -142,11 +142,54 @@ def test_local_quadratic_is_a_least_squares_filter(spark):
 def test_detrend_blocks_do_not_change_the_result(spark, monkeypatch):
     lc = light_curve(spark).limit(400).select("star", "id", "t", "flux")
     a = [r.s for r in T.local_quadratic(lc, ["star"], "t", "flux", 6, "s", "id").orderBy("id").collect()]
-    monkeypatch.setattr(T, "BLOCK", 37)
+    monkeypatch.setattr(T, "LEAST_BLOCK", 1)
+    monkeypatch.setattr(T, "WINDOWS_PER_BLOCK", 1)
     b = [r.s for r in T.local_quadratic(lc, ["star"], "t", "flux", 6, "s", "id").orderBy("id").collect()]
     assert np.allclose(a, b, atol=1e-10)
 
 
+def plain_savgol(y, h):
+    if len(y) <= 2 * h:
+        return np.full(len(y), np.median(y))
+    centre = np.clip(np.arange(len(y)), h, len(y) - 1 - h)
+    return np.array([np.polyval(np.polyfit(np.arange(-h, h + 1), y[c - h:c + h + 1], 2), i - c) for i, c in enumerate(centre)])
+
+
+def plain_detrend(t, y, protected, h):
+    live = ~protected
+    for _ in range(3):
+        trend = plain_savgol(y[live], h)
+        res = y[live] - trend
+        keep = np.abs(res) < 3 * res.std() + 1e-14
+        knots, trend = t[live][keep], trend[keep]
+        live[np.flatnonzero(live)[~keep]] = False
+    full = np.interp(t, knots, trend)
+    flat = y / full
+    return full, flat, flat <= np.median(flat) + 3 * flat.std()
+
+
+def test_every_star_is_detrended_over_its_own_window(spark):
+    """Stars of different cadence and longest event, with gaps, against numpy; one star is shorter than its window."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for star, (n, step, longest) in enumerate([(400, 0.02, None), (300, 0.05, 0.9), (260, 0.1, 0.5), (12, 0.05, 2.0), (700, 0.01, 0.6)]):
+        t = np.arange(n) * step
+        t[n // 2:] += 50 * step                                        # one gap
+        y = 1 + 0.01 * np.sin(t / 3) + 0.001 * rng.standard_normal(n)
+        y[5::37] += 0.03
+        protected = rng.random(n) < 0.1
+        y[protected] -= 0.005
+        window = max(int(round(max(1.0, 3 * (longest or 0)) / np.median(np.diff(t)))) | 1, 5)
+        for part in (slice(0, n // 2), slice(n // 2, n)):
+            full, flat, stay = plain_detrend(t[part], y[part], protected[part].copy(), window // 2)
+            want.update({star * 1000 + part.start + i: (window, full[i], flat[i]) for i in np.flatnonzero(stay)})
+        rows += [(star, star * 1000 + i, float(t[i]), float(y[i]), bool(protected[i]), longest) for i in range(n)]
+    assert len({w for w, _, _ in want.values()}) == 5
+    df = spark.createDataFrame(rows, "star long, id long, t double, flux double, protected boolean, longest double").repartition(3)
+    got = {r.id: (r.window, r.trend, r.flat) for r in T.detrend_events(df, ["star"], "t", "flux", "protected", "longest", "id").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and got[i][1:] == pytest.approx(want[i][1:], abs=1e-9) for i in want)
+
+
 def test_drift_flag(spark):
     p = spark.createDataFrame([(1, 0.0), (1, 1000.0)], "star long, t double")
     e = spark.createDataFrame([("a", 1, 10.0, 0.0, 0.1, 1e-5, 1e-3), ("b", 1, 10.0, 0.0, 0.1, 1e-2, 1e-3), ("c", 1, 10.0, 0.0, 0.1, None, 1e-3)],
