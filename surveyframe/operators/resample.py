@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import uniform
 from surveyframe.functions.stats import prior_shift
-from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc, value_ranks
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, salted_join, scalar_of
+from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, salted_join
 
 REPLICATES = 2000  # fixed value: replicates per interval in use; tests and queries pass fewer
 
@@ -97,23 +99,85 @@ def median_gap_change(df: DataFrame, unit: str, group: str, new: str, old: str,
     return interval(med.groupBy("b").agg(F.sum(sign * F.col("median")).alias("value")))
 
 
-def permutation_p(df: DataFrame, y: str, score: str, row: str, permutations: int, seed: int = 1) -> DataFrame:
-    """Share of random relabellings whose AUC reaches the observed one.
+PERMUTATIONS, PER_CHUNK, FAN = 100_000, 1000, 1024     # fixed value: permutations in use; those drawn together; children of a node
 
-    A relabelling gives the positives to the first n1 rows of a hashed order; the order is ranked by range
-    inside each permutation.
+
+def _taken(rng: np.random.Generator, good: int, bad: int, n: np.ndarray) -> np.ndarray:
+    """How many of n draws without replacement are good; beyond numpy's 10^9 rows a normal draw of the same mean and variance, rounded."""
+    if good + bad < 1_000_000_000:
+        return rng.hypergeometric(good, bad, n)
+    all_, share = float(good + bad), good / float(good + bad)
+    sd = np.sqrt(n * share * (1 - share) * np.maximum(all_ - n, 0) / (all_ - 1))
+    return np.clip(np.rint(rng.normal(n * share, sd)), np.maximum(n - bad, 0), np.minimum(n, good)).astype(np.int64)
+
+
+def dealt(rng: np.random.Generator, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n[i] draws without replacement from groups of the given sizes, by halves: groups x len(n)."""
+    if len(counts) == 1:
+        return n[None, :]
+    half = len(counts) // 2
+    left = _taken(rng, int(counts[:half].sum()), int(counts[half:].sum()), n)
+    return np.concatenate((dealt(rng, counts[:half], left), dealt(rng, counts[half:], n - left)))
+
+
+def permutation_p(df: DataFrame, y: str, score: str, permutations: int = PERMUTATIONS, seed: int = 1, fan: int = FAN) -> DataFrame:
+    """Share of random relabellings whose AUC reaches the observed one: p, permutations, auc.
+
+    The AUC needs only the number of positives at each distinct score.  Over all relabellings these are the counts of
+    a draw without replacement, so a permutation is dealt down a tree over the scores: every node passes its positives
+    on to its children.  The work is distinct scores times permutations; no row is repeated and a task holds one node's
+    children and one chunk of permutations.  Rows without a label or a score are left out.
     """
-    known = df.filter(F.col(y).isNotNull())
-    n = scalar_of(known, n1=F.sum(y), n0=F.sum(1 - F.col(y)))
-    ranked = salted_join(known.select(row, y, score), value_ranks(known, score).select(score, "rank"), [score])
-    obs = ranked.agg(F.sum(F.when(F.col(y) == 1, F.col("rank"))).alias("s")).scalar()
-    many = ranked.select(row, "rank", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)).cast("array<bigint>")).alias("b"))
-    many = many.withColumn("_u", uniform("b", row, seed))
-    placed = cumulative(many, "_u", {"_rn": F.lit(1).cast("bigint")}, ["b"], tie=row, fits=fits_in_task(known))
-    sums = placed.filter(F.col("_rn") <= n["n1"]).groupBy("b").agg(F.sum("rank").alias("s"))
-    auc = lambda s: (s - n["n1"] * (n["n1"] + 1) / 2) / (n["n1"] * n["n0"])
-    return sums.agg(F.avg((auc(F.col("s")) >= auc(obs) - 1e-12).cast("double")).alias("p"), F.count("*").alias("permutations"),
-                    F.first(auc(obs)).alias("auc"))
+    known = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
+    c = known.groupBy(score).agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("_pos"))
+    c = cumulative(c, score, {"_cum": F.col("n"), "id": F.lit(1).cast("bigint")})
+    leaves = materialise(c.select((F.col("id") - 1).alias("id"), "n", (F.col("_cum") - (F.col("n") - 1) / 2).alias("rank"), "_pos"))
+    n1, rows, obs, values = leaves.agg(F.sum("_pos"), F.sum("n"), F.sum(F.col("_pos") * F.col("rank")), F.count("*")).first()
+    spark = df.sparkSession
+    if not n1 or n1 == rows:
+        return spark.createDataFrame([(None, 0, None)], "p double, permutations long, auc double")
+    levels = [leaves.select("id", F.floor(F.col("id") / fan).alias("parent"), "n", "rank")]
+    while values > fan:
+        values = -(-values // fan)
+        up = levels[-1].groupBy(F.col("parent").alias("id")).agg(F.sum("n").alias("n"))
+        levels.append(up.select("id", F.floor(F.col("id") / fan).alias("parent"), "n", F.lit(0.0).alias("rank")))
+    chunks = -(-permutations // PER_CHUNK)
+
+    def rng_of(level: int, node: int, chunk: int) -> np.random.Generator:
+        return np.random.default_rng([seed, level, node, chunk])
+
+    def pass_on(level: int):
+        def run(frames):
+            for f in frames:
+                for node, chunk, pos, kids in zip(f["node"], f["chunk"], f["pos"], f["kids"]):
+                    got = dealt(rng_of(level, node, chunk), np.array([k["n"] for k in kids]), np.frombuffer(pos, np.int64))
+                    yield pd.DataFrame({"node": [k["id"] for k in kids], "chunk": chunk, "pos": [g.tobytes() for g in got]})
+        return run
+
+    def add_up(frames):
+        total: dict[int, np.ndarray] = {}
+        for f in frames:
+            for node, chunk, pos, kids in zip(f["node"], f["chunk"], f["pos"], f["kids"]):
+                got = dealt(rng_of(0, node, chunk), np.array([k["n"] for k in kids]), np.frombuffer(pos, np.int64))
+                total[chunk] = total.get(chunk, 0) + np.array([k["rank"] for k in kids]) @ got
+        for chunk, s in total.items():
+            yield pd.DataFrame({"b": chunk * PER_CHUNK + np.arange(len(s)), "s": s})
+
+    def start(frames):
+        for f in frames:
+            for chunk in f["id"]:
+                n = min(PER_CHUNK, permutations - chunk * PER_CHUNK)
+                yield pd.DataFrame({"node": [0], "chunk": [chunk], "pos": [np.full(n, int(n1), np.int64).tobytes()]})
+
+    state = spark.range(chunks, numPartitions=min(chunks, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(start, "node long, chunk long, pos binary")
+    for i in range(len(levels) - 1, -1, -1):
+        kids = levels[i].groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("id", "n", "rank"))).alias("kids"))
+        met = state.join(kids, F.col("node") == F.col("parent")).drop("parent").repartition("node", "chunk")
+        state = met.mapInPandas(pass_on(i), "node long, chunk long, pos binary") if i else met.mapInPandas(add_up, "b long, s double")
+    sums = state.groupBy("b").agg(F.sum("s").alias("s"))
+    n0 = rows - n1
+    auc = lambda s: (s - n1 * (n1 + 1) / 2) / (n1 * n0)
+    return sums.agg(F.avg((auc(F.col("s")) >= auc(obs) - 1e-12).cast("double")).alias("p"), F.count("*").alias("permutations"), F.lit(auc(obs)).alias("auc"))
 
 
 def leave_one_out_rate(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:

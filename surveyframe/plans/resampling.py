@@ -38,12 +38,10 @@ def _(t):
     return r6(R.median_gap_change(scored(t), "doc_id", "y", "s2", "s", B), "low", "high")
 
 
-@query("permutation_p_value", "A34", f"""with {SC}, r as (select doc_id, y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as r from sc), n as (select sum(y)::double as n1, sum(1 - y)::double as n0, sum(r) filter (where y = 1) as obs from r),
-p as (select b, r, row_number() over (partition by b order by {sql_uniform("b||'|'||doc_id||'|1'")}, doc_id) as rn from r, range(100) x(b)),
-a as (select b, (sum(r) - n1 * (n1 + 1) / 2) / (n1 * n0) as a from p, n where rn <= n1 group by b, n1, n0)
-select round(avg((a >= (obs - n1 * (n1 + 1) / 2) / (n1 * n0) - 1e-12)::int), 6) as p, count(*) as permutations, round(any_value((obs - n1 * (n1 + 1) / 2) / (n1 * n0)), 6) as auc from a, n""")
+@query("permutation_p_value", "A34")
 def _(t):
-    return r6(R.permutation_p(scored(t), "y", "s", "doc_id", 100), "p", "auc")
+    """100,000 relabellings; DuckDB cannot follow them, the tests compare with all relabellings of small tables."""
+    return r6(R.permutation_p(scored(t), "y", "s"), "auc")
 
 
 @query("leave_one_out_rate", "A46", f"""with {SC} select doc_id, round((sum(y) over (partition by star) - y) / nullif(count(*) over (partition by star) - 1, 0)::double, 6) as loo_rate from sc""")
