@@ -34,7 +34,7 @@ from .common import SLICE_BYTES, mix, need, prefix_hash, row_slices, span_hash,
 
 LEAST, LONGEST, COVERED_PERCENT, TOP, MILLION = 10, 3, 50, 2000, 1_000_000
 BYTES_PER_PARTITION = 16 << 20
-SLICE, HELD = 2 << 20, 4_000_000
+SLICE, HELD = 2 << 20, 3_000_000
 FILTER_BITS = 26
 #: Rows one task ranks at a time while the best of a language are picked, in lists of TOP.
 LISTS = 32
@@ -162,12 +162,19 @@ def unpack(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return v >> bits, (v & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
 
-def fold(v: np.ndarray, least: int) -> np.ndarray:
-    """Packed hashes in order, equal ones added up; sorts its input in place."""
+def fold(v: np.ndarray, least: int, block: int = 1 << 18) -> np.ndarray:
+    """Packed hashes in order, equal ones added up; sorts its input in place and works through it in blocks, to spare memory."""
     v.sort()
-    key, n = unpack(v, least)
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(v) else np.zeros(0, np.int64)
-    return (key[at] << np.uint64(least.bit_length())) | np.minimum(np.add.reduceat(n, at), least).astype(np.uint64) if len(at) else v
+    bits, out, lo = np.uint64(least.bit_length()), 0, 0
+    while lo < len(v):
+        hi = min(lo + block, len(v))
+        if hi < len(v):         # up to the end of a key's entries
+            hi = int(np.searchsorted(v, ((v[hi - 1] >> bits) + np.uint64(1)) << bits)) if v[hi - 1] >> bits < np.uint64((1 << 64 - int(bits)) - 1) else len(v)
+        key, n = unpack(v[lo:hi], least)
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        v[out:out + len(at)] = (key[at] << bits) | np.minimum(np.add.reduceat(n, at), least).astype(np.uint64)
+        out, lo = out + len(at), hi
+    return v[:out].copy()
 
 
 class Summary:
@@ -197,12 +204,16 @@ class Summary:
 def summaries(docs: DataFrame, partitions: int, least: int, longest: int) -> DataFrame:
     """(p, mass, counters): each task's summaries by hash partition, packed; counts end at `least`."""
 
-    def cut(v: np.ndarray) -> pa.RecordBatch:
-        p = ((v >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)       # rises with the hash
-        at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        n = unpack(v, least)[1]
-        return pa.RecordBatch.from_arrays([pa.array(p[at]), pa.array(np.add.reduceat(n, at)), pa.array([x.tobytes() for x in np.split(v, at[1:])], pa.binary())],
-                                          names=["p", "mass", "counters"])
+    # partition p holds the hashes from edges[p - 1] on; the hash's first 32 bits are dealt evenly
+    edges = np.array([-(-(p << 32) // partitions) << 32 for p in range(1, partitions)], np.uint64)
+
+    def cut(v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.concatenate(([0], np.searchsorted(v, edges), [len(v)])).tolist()
+        for p, (lo, hi) in enumerate(zip(at, at[1:])):
+            if hi > lo:
+                mass = int(unpack(v[lo:hi], least)[1].sum())
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([mass], pa.int64()), pa.array([v[lo:hi].tobytes()], pa.binary())],
+                                                 names=["p", "mass", "counters"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -218,11 +229,11 @@ def summaries(docs: DataFrame, partitions: int, least: int, longest: int) -> Dat
                     parts.clear()
                     v = fold(v, least)
                     if len(v) > HELD // 2:
-                        yield cut(v)
+                        yield from cut(v)
                         v = v[:0]
                     parts, held = [v], len(v)
         if held:
-            yield cut(fold(np.concatenate(parts), least))
+            yield from cut(fold(np.concatenate(parts), least))
 
     return need(docs, "lang", "text").mapInArrow(run, "p long, mass long, counters binary")
 

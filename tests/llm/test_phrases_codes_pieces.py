@@ -261,3 +261,15 @@ def test_users_own_symbols_are_not_normalised():
     blob = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).normalizer_spec.precompiled_charsmap
     text, source = piece_codec.CharMap(blob, ["ﬁ", "ﬁx"]).apply("ﬁxﬁﬀ")
     assert text == "ﬁxﬁff" and source.tolist() == [0, 3, 4, 7, 7, 10]
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_folded_counters_add_up_equal_hashes(block):
+    rng = np.random.default_rng(6)
+    h = rng.choice(np.append(rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2), np.uint64((1 << 64) - 1)), 500)
+    n = rng.integers(1, 14, 500)
+    key, count = collocations.unpack(collocations.fold(collocations.pack(h, n, 10), 10, block), 10)
+    want = Counter()
+    for k, c in zip((h >> np.uint64(4)).tolist(), n.tolist()):
+        want[k] += min(c, 10)
+    assert dict(zip(key.tolist(), count.tolist())) == {k: min(c, 10) for k, c in want.items()} and (np.diff(key.astype(object)) > 0).all()
