@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import lookup
-from surveyframe.operators.scale import (cumulative, medians, neighbour, quantiles, salted_join, scalar_of,
+from surveyframe.operators.scale import (attach_row, cumulative, fits_in_task, medians, neighbour, quantiles, salted_join, scalar_of,
                                          top_rows)
 
 
@@ -318,26 +318,128 @@ def loo_r2_subsets(df: DataFrame, target: str, predictors: Sequence[str], max_k:
     return centred.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
 
-def permuted(df: DataFrame, column: str, row: str, seed: int, name: str) -> DataFrame:
-    """Add `name`: the column in a hashed random order, by matching two numberings of the rows."""
-    from surveyframe.functions.basics import uniform
+PERMUTATIONS, FLAG_R2, MAX_SUBSET = 500, 0.98, 3     # fixed values: shuffles of a null distribution, score of a derived column, columns of a search
 
+
+def shuffles(df: DataFrame, column: str, row: str, permutations: int, seed: int, name: str) -> DataFrame:
+    """df once per permutation (column `permutation`) with `name`, the column's values in a hashed random order.
+
+    All permutations are one plan: the rows are numbered inside every permutation by a hash of (row, permutation), and
+    meet the values numbered once.
+    """
     one = F.lit(1).cast("bigint")
-    here = cumulative(df.withColumn("_u", uniform(row, seed)), "_u", {"_r": one}, tie=row)
-    there = cumulative(df.select(row, F.col(column).alias(name)).withColumn("_u", uniform(row, seed + 7919)), "_u", {"_r": one}, tie=row)
-    return here.join(there.select("_r", name), "_r").drop("_u", "_r")
+    fits = fits_in_task(df)
+    values = cumulative(df.select(row, F.col(column).alias(name)).withColumn("_u", F.xxhash64(row, F.lit(-1), F.lit(seed))), "_u", {"_r": one}, tie=row, fits=fits)
+    many = df.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    many = cumulative(many.withColumn("_u", F.xxhash64(row, "permutation", F.lit(seed))), "_u", {"_r": one}, ["permutation"], tie=row, fits=fits)
+    return many.join(values.select("_r", name), "_r").drop("_u", "_r")
+
+
+def _subsets(n_columns: int, max_k: int) -> list[tuple[int, ...]]:
+    import itertools
+
+    return [s for k in range(1, min(max_k, n_columns) + 1) for s in itertools.combinations(range(n_columns), k)]
+
 
+def subset_scores(df: DataFrame, target: str, predictors: Sequence[str], row: str, max_k: int = MAX_SUBSET, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """permutation, subset (positions), loo_r2 of every subset of up to max_k predictors; permutation -1 is the target as it is.
 
-def derived_null(df: DataFrame, target: str, predictors: Sequence[str], row: str, permutations: int) -> DataFrame:
-    """permutation, best: the best single-predictor leave-one-out R2 after the target is shuffled."""
+    With x and y centred, the leave-one-out residual of a row is (y - x'b) / (1 - h), its leverage h known from x alone.
+    So the sum of their squares needs, per permutation and subset, sum w y^2, sum w y x and sum w x x' with
+    w = 1 / (1 - h)^2, and sum y x for b: partial sums leave a task, whatever the number of rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cols, k = list(predictors), len(predictors)
+    both = [*cols, target]
+    m = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(both)]).first()
+    n = m["n"]
+    if not n:
+        return df.sparkSession.createDataFrame([], "permutation int, subset array<int>, loo_r2 double")
+    centred = df.select(row, *[(F.col(c).cast("double") - F.lit(m[f"m{i}"])).alias(f"x{i}" if i < k else "y") for i, c in enumerate(both)])
+    names = [f"x{i}" for i in range(k)]
+    g = centred.agg(F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:]]).first()
+    gram = np.array([[g[f"x{min(i, j)}x{max(i, j)}"] for j in range(k)] for i in range(k)]).reshape(k, k)
+    subsets = _subsets(k, max_k)
+    inverse = [np.linalg.pinv(gram[np.ix_(s, s)], hermitian=True) for s in subsets]
+    size = k + len(subsets) * (1 + k + k * k)          # sum y x; per subset sum w y^2, sum w y x, sum w x x'
+
+    def moments(x, y):
+        out = np.zeros(size)
+        out[:k] = y @ x
+        at = k
+        for s, inv in zip(subsets, inverse):
+            z = x[:, s]
+            w = (1 - np.minimum(1 / n + np.einsum("ij,jk,ik->i", z, inv, z), 1 - 1e-9)) ** -2
+            out[at], out[at + 1:at + 1 + k] = (w * y) @ y, (w * y) @ x
+            out[at + 1 + k:at + 1 + k + k * k] = ((x * w[:, None]).T @ x).ravel()
+            at += 1 + k + k * k
+        return out
+
+    def partial(frames):
+        total: dict[int, np.ndarray] = {}
+        for f in frames:
+            x, y, p = f[names].to_numpy(), f["s"].to_numpy(), f["permutation"].to_numpy()
+            order = np.argsort(p, kind="stable")
+            cuts = np.flatnonzero(np.diff(p[order])) + 1
+            for rows in np.split(order, cuts):
+                if len(rows):
+                    q = int(p[rows[0]])
+                    total[q] = total.get(q, 0) + moments(x[rows], y[rows])
+        yield pd.DataFrame([(q, i, float(v)) for q, t in total.items() for i, v in enumerate(t)], columns=["permutation", "i", "v"])
+
+    def solve(f):
+        t = np.zeros(size)
+        t[f["i"].to_numpy()] = f["v"].to_numpy()
+        out, at = [], k
+        for s, inv in zip(subsets, inverse):
+            i = list(s)
+            beta = inv @ t[:k][i]
+            yx, xx = t[at + 1:at + 1 + k][i], t[at + 1 + k:at + 1 + k + k * k].reshape(k, k)[np.ix_(i, i)]
+            out.append((int(f["permutation"].iloc[0]), i, 1 - (t[at] - 2 * beta @ yx + beta @ xx @ beta) / g["yy"] if g["yy"] > 0 else None))
+            at += 1 + k + k * k
+        return pd.DataFrame(out, columns=["permutation", "subset", "loo_r2"])
+
+    as_is = centred.select(*names, F.col("y").alias("s"), F.lit(-1).alias("permutation"))
+    rows = as_is if not permutations else as_is.unionByName(shuffles(centred, "y", row, permutations, seed, "s").select(*names, "s", "permutation"))
+    sums = rows.mapInPandas(partial, "permutation int, i int, v double").groupBy("permutation", "i").agg(F.sum("v").alias("v"))
+    return sums.groupBy("permutation").applyInPandas(solve, "permutation int, subset array<int>, loo_r2 double")
+
+
+def derived_search(df: DataFrame, target: str, predictors: Sequence[str], row: str, max_k: int = MAX_SUBSET, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """form (linear, log), loo_r2, subset, k, null_p999, flagged: the best subset of predictors against its own null, per form.
+
+    log fits logarithms, so power laws become linear; only predictors that are positive everywhere take part, and there
+    is no such row where the target is not.  The smallest subset that reaches FLAG_R2 is preferred.  The null holds, per
+    shuffle of the target, the best score that the same search reaches.
+    """
+    cols = list(predictors)
+    low = df.agg(F.min(target).alias("y"), *[F.min(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    forms = {"linear": (df.select(row, *cols, target), cols)}
+    positive = [c for i, c in enumerate(cols) if low[f"m{i}"] is not None and low[f"m{i}"] > 0]
+    if low["y"] is not None and low["y"] > 0 and positive:
+        forms["log"] = (df.select(row, *[F.ln(c).alias(c) for c in [*positive, target]]), positive)
     out = None
-    for i in range(permutations):
-        p = permuted(df.select(row, target, *predictors), target, row, i + 1, "_shuffled")
-        one = loo_r2(p, "_shuffled", predictors).agg(F.max("loo_r2").alias("best")).select(F.lit(i).alias("permutation"), "best")
+    for form, (rows, names) in forms.items():           # at most two forms
+        scores = subset_scores(rows, target, names, row, max_k, permutations, seed)
+        null = scores.filter("permutation >= 0").groupBy("permutation").agg(F.max("loo_r2").alias("best")).agg(F.percentile("best", 0.999).alias("null_p999"))
+        real = scores.filter("permutation = -1").withColumn("k", F.size("subset")).withColumn("_reaches", F.col("loo_r2") >= FLAG_R2)
+        small = F.when(F.col("_reaches"), F.struct(-F.col("k"), F.col("loo_r2"), F.transform("subset", lambda i: -i)))
+        best = real.orderBy(F.col("_reaches").desc(), small.desc(), F.col("loo_r2").desc_nulls_last()).limit(1)
+        at = F.array(*[F.lit(c) for c in names])
+        one = attach_row(best, null).select(F.lit(form).alias("form"), "loo_r2", F.array_join(F.transform("subset", lambda i: at[i]), ", ").alias("subset"), "k", "null_p999",
+                                            (F.col("_reaches") & (F.col("loo_r2") > F.col("null_p999"))).alias("flagged"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def derived_null(df: DataFrame, target: str, predictors: Sequence[str], row: str, max_k: int = MAX_SUBSET, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """permutation, best: the best leave-one-out R2 of the search after the target is shuffled."""
+    scores = subset_scores(df, target, predictors, row, max_k, permutations, seed).filter("permutation >= 0")
+    return scores.groupBy("permutation").agg(F.max("loo_r2").alias("best"))
+
+
 def separable_levels(df: DataFrame, level: str, columns: Sequence[str]) -> DataFrame:
     """column, separable: whether the levels have non-overlapping ranges of a column (levels are its bins)."""
     cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
@@ -346,14 +448,13 @@ def separable_levels(df: DataFrame, level: str, columns: Sequence[str]) -> DataF
     return near.groupBy("column").agg(F.bool_and(F.col("_before").isNull() | (F.col("lo") > F.col("_before"))).alias("separable"))
 
 
-def separable_p(df: DataFrame, level: str, column: str, row: str, permutations: int) -> DataFrame:
-    """Chance that shuffled levels are separable too."""
-    hits = None
-    for i in range(permutations):
-        p = permuted(df.select(row, level, column), level, row, i + 1, "_l")
-        one = separable_levels(p, "_l", [column]).select(F.col("separable").cast("int").alias("hit"))
-        hits = one if hits is None else hits.unionByName(one)
-    return hits.agg(((1 + F.sum("hit")) / (1 + F.count("*"))).alias("p"))
+def separable_p(df: DataFrame, level: str, column: str, row: str, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """p, permutations: the chance that shuffled levels are separable too, counting the levels as they are as one more shuffle."""
+    many = shuffles(df.select(row, level, F.col(column).cast("double").alias("_v")), level, row, permutations, seed, "_l")
+    ranges = many.groupBy("permutation", "_l").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    near = neighbour(ranges, "lo", {"_before": "hi"}, ["permutation"])
+    hit = near.groupBy("permutation").agg(F.bool_and(F.col("_before").isNull() | (F.col("lo") > F.col("_before"))).cast("int").alias("hit"))
+    return hit.agg(((1 + F.sum("hit")) / (1 + F.count("*"))).alias("p"), F.count("*").alias("permutations"))
 
 
 def evidence_rows(df: DataFrame, key: str, values: dict[str, tuple[str, str]]) -> DataFrame:

@@ -98,7 +98,15 @@ def _(t):
 
 @query("derived_null_distribution", "A57")
 def _(t):
-    return S.derived_null(t.part.withColumn("sq", F.col("p_retailprice") * F.col("p_retailprice")), "p_retailprice", ["sq", "p_size"], "p_partkey", 3)
+    """500 shuffles of the target, each searched as the target itself; the tests compare with numpy."""
+    return S.derived_null(t.part.withColumn("sq", F.col("p_retailprice") * F.col("p_retailprice")), "p_retailprice", ["sq", "p_size"], "p_partkey")
+
+
+@query("derived_search", "A57")
+def _(t):
+    """Subsets of up to three columns, in linear and in logarithmic form, against 500 shuffles."""
+    p = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 97 + 1).cast("double").alias("mod"))
+    return S.derived_search(p.withColumn("flux", F.col("price") * F.col("size") * F.col("size") / F.sqrt("mod")), "flux", ["size", "price", "mod"], "p_partkey")
 
 
 @query("binned_columns", "A58", """with b as (select least(floor((p_retailprice - 900) / 40), 4)::int as level, p_retailprice as price, p_size::double as size from part), r as (select 'price' as "column", level, min(price) as lo, max(price) as hi from b group by 2 union all select 'size', level, min(size), max(size) from b group by 2),
@@ -111,7 +119,7 @@ def _(t):
 @query("binned_column_p", "A58")
 def _(t):
     b = t.part.select("p_partkey", F.least(F.floor((F.col("p_retailprice") - 900) / 40), F.lit(4)).alias("level"), F.col("p_retailprice").alias("price"))
-    return S.separable_p(b, "level", "price", "p_partkey", 3)
+    return S.separable_p(b, "level", "price", "p_partkey")
 
 
 _EV = """e as (select c_custkey, case when c_acctbal > 0 then 1 end as a, case when c_nationkey < 20 then c_mktsegment end as sa, case when c_nationkey > 3 then 0 end as b, c_name as sb from customer),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyframe.operators import resample as RS
+from surveyframe.operators import screens as SC
 
 
 def plain_auc(y, s):
@@ -43,3 +44,53 @@ def test_dealt_positives_are_draws_without_replacement():
 
 def test_one_class_has_no_p(spark):
     assert tuple(RS.permutation_p(spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double"), "y", "s").first()) == (None, 0, None)
+
+
+# ---- derived columns ---------------------------------------------------------------------------------
+
+def plain_loo_r2(x, y):
+    """The reference definition, refitted without each row."""
+    e = []
+    for i in range(len(y)):
+        rest = np.arange(len(y)) != i
+        a = np.column_stack([np.ones(len(y)), x])
+        e.append(y[i] - a[i] @ np.linalg.lstsq(a[rest], y[rest], rcond=None)[0])
+    return 1 - np.sum(np.square(e)) / np.sum((y - y.mean()) ** 2)
+
+
+def derived_rows(n=60):
+    rng = np.random.default_rng(5)
+    a, b, c = rng.uniform(1, 4, n), rng.uniform(0.5, 2, n), rng.normal(size=n)
+    return a, b, c, a ** 2 / b
+
+
+def test_subsets_of_predictors_and_their_null_against_refits(spark):
+    a, b, c, y = derived_rows()
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(a, b, c, y))], "row long, a double, b double, c double, y double").repartition(3)
+    x = np.column_stack([a, b, c])
+    got = {tuple(r.subset): r.loo_r2 for r in SC.subset_scores(df, "y", ["a", "b", "c"], "row", 3, 0).collect()}
+    assert len(got) == 7 and all(v == pytest.approx(plain_loo_r2(x[:, list(s)], y), abs=1e-9) for s, v in got.items())
+    shuffled = SC.shuffles(df, "y", "row", 6, 4, "s").collect()
+    assert all(sorted(r.s for r in shuffled if r.permutation == p) == sorted(y) for p in range(6))
+    assert len({tuple(r.s for r in sorted((r for r in shuffled if r.permutation == p), key=lambda r: r.row)) for p in range(6)}) == 6
+    null = {r.permutation: r.best for r in SC.derived_null(df, "y", ["a", "b", "c"], "row", 2, 6, 4).collect()}
+    for p in range(6):
+        rows = sorted((r for r in shuffled if r.permutation == p), key=lambda r: r.row)
+        z = np.array([r.s for r in rows])
+        want = max(plain_loo_r2(x[:, list(s)], z) for s in SC._subsets(3, 2))
+        assert null[p] == pytest.approx(want, abs=1e-9)
+
+
+def test_a_power_law_is_found_in_logarithms_only(spark):
+    a, b, c, y = derived_rows()
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(a, b, c, y))], "row long, a double, b double, c double, y double")
+    got = {r.form: r for r in SC.derived_search(df, "y", ["c", "a", "b"], "row", 3).collect()}
+    assert got["log"].subset == "a, b" and got["log"].k == 2 and got["log"].loo_r2 == pytest.approx(1) and got["log"].flagged and 0 < got["log"].null_p999 < 0.6
+    assert not got["linear"].flagged and got["linear"].loo_r2 < 0.98
+    assert set(r.form for r in SC.derived_search(df.withColumn("y", -F.col("y")), "y", ["c", "a"], "row", 2, 20).collect()) == {"linear"}
+
+
+def test_shuffled_levels_are_rarely_separable(spark):
+    rows = [(i, i // 4, float(i)) for i in range(8)]
+    got = SC.separable_p(spark.createDataFrame(rows, "row long, level long, v double"), "level", "v", "row").first()
+    assert got.permutations == 500 and got.p == pytest.approx((1 + 500 * 2 / 70) / 501, abs=0.03)      # 2 of 70 ways to deal the levels
