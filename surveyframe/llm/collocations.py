@@ -34,7 +34,7 @@ from .common import SLICE_BYTES, mix, need, prefix_hash, row_slices, span_hash,
 
 LEAST, LONGEST, COVERED_PERCENT, TOP, MILLION = 10, 3, 50, 2000, 1_000_000
 BYTES_PER_PARTITION = 16 << 20
-SLICE, HELD = 2 << 20, 3_000_000
+SLICE, HELD, ROWS_READ = 2 << 20, 2_000_000, 2048
 FILTER_BITS = 26
 #: Rows one task ranks at a time while the best of a language are picked, in lists of TOP.
 LISTS = 32
@@ -96,17 +96,17 @@ def gram_hash(word_hash: np.ndarray, ids: np.ndarray, places: np.ndarray, size:
 
 def slices(b: pa.RecordBatch, longest: int, limit: int = SLICE) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
     """(lang, bytes, row offsets, words repeated from the slice before) with texts of one language each."""
-    lang = pc.fill_null(b.column("lang").cast(pa.string()), "und")
-    for value in pc.unique(lang).to_pylist():
-        column = b.column("text").filter(pc.equal(lang, value))
-        data, off = text_buffer(column)
-        data = LOWER[data]
-        for lo, hi in row_slices(off, limit):
-            part = data[off[lo]:off[hi]]
-            if len(part) <= 2 * limit:
-                yield value, part, off[lo:hi + 1] - off[lo], 0
-            else:
-                yield from ((value, *x) for x in _cut(part, longest, limit))
+    for at in range(0, b.num_rows, ROWS_READ):
+        rows = b.slice(at, ROWS_READ)
+        lang = pc.fill_null(rows.column("lang").cast(pa.string()), "und")
+        for value in pc.unique(lang).to_pylist():
+            data, off = text_buffer(rows.column("text").filter(pc.equal(lang, value)))
+            for lo, hi in row_slices(off, limit):
+                part = LOWER[data[off[lo]:off[hi]]]
+                if len(part) <= 2 * limit:
+                    yield value, part, off[lo:hi + 1] - off[lo], 0
+                else:
+                    yield from ((value, *x) for x in _cut(part, longest, limit))
 
 
 def _cut(text: np.ndarray, longest: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
