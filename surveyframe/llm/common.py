@@ -45,7 +45,17 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by `stored` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -213,7 +223,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(
             low.select("u", F.col("m").alias("v")).filter("u <> v"))
-        e = stored(small.distinct())
+        last, e = e, stored(small.distinct())
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -9,9 +9,10 @@ shingles survive, too few for two common minima.
 
 Exact copies are collapsed first.  Texts with an equal sketch meet in a bucket and each is compared with the bucket's
 first text in one random priority.  Then the buckets that still hold several classes are cut into pieces, and every
-piece meets every piece: all pairs of different classes are held against an exact lower bound of their edit distance
-(counts of hashed words, `_bags`), first only each text's closest partner is aligned, then, with the classes contracted,
-every pair that the bound allows.  So any two texts of a bucket are compared or already in one class; nothing is capped.
+piece meets every piece.  Both rounds first hold all pairs of different classes against an exact lower bound of their
+edit distance (counts of hashed words, `_bags`) and keep the texts with an allowed partner; only these texts are read.
+The allowed pairs are aligned where they meet, the likeliest first, unless links of the same piece already hold them
+together.  So any two texts of a bucket are compared or already in one class; nothing is capped.
 A pair is linked when its words align with at most a fifth of edits (similarity 1 - d / longer
 >= 0.8), found exactly by a bit-parallel alignment in a band.  Classes are the connected components of the links.
 
@@ -28,34 +29,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, arrow_map, components, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
+from .common import SPACE, arrow_map, components, discard, free_name, mix, need, row_slices, stored, text_buffer, word_hashes
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 32, 80
 #: Most words of texts met by deletions; fewest and most words of those met by pairs of SHORT_K-word and single K-word minima.
 TINY, SHORT_K, SHORT, LONG = 14, 2, (12, 75), (60, 1 << 62)
-#: Texts of a piece of a bucket, and the fewest and most bins of a text's word counts.
-PIECE, BINS = 1024, (64, 1024)
+#: Texts and words of a piece of a bucket, and the fewest and most bins of a text's word counts.
+PIECE, PIECE_WORDS, BINS = 1024, 1_000_000, (64, 1024)
 _BLOCK = 1024
 
 
 # ---- sketches ---------------------------------------------------------------------------------------
 
-def sketch_rows(column: pa.Array, k: int = K, n_sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and the sketches (rows x n_sketches) of each text; zeros where there is no word."""
-    data, off = text_buffer(column, lower=True)
-    n_words, out = np.zeros(len(column), np.int64), np.zeros((len(column), n_sketches), np.uint64)
-    for lo, hi in row_slices(off):
-        words, first = word_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], ~SPACE)
-        n = np.diff(first)
-        n_words[lo:hi] = n
-        out[lo:hi] = _order_minhash(words, first, n, k, n_sketches)
-    return n_words, out
-
-
 def _order_minhash(words: np.ndarray, first: np.ndarray, n: np.ndarray, k: int, n_sketches: int, single: bool = False) -> np.ndarray:
     rows = np.zeros((len(n), n_sketches), np.uint64)
     full = np.flatnonzero(n > 0)
@@ -232,28 +221,21 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
 
 
 def linked(a: str, b: str) -> bool:
-    x, y = a.lower().encode().split(), b.lower().encode().split()
-    most = max(len(x), len(y)) * (100 - SIMILARITY_PERCENT) // 100
-    return bool(x) and bool(y) and abs(len(x) - len(y)) <= most and edit_distance(x, y, most) is not None
+    return linked_words(a.lower().encode().split(), b.lower().encode().split())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    both = (pairs.join(texts.withColumnRenamed("text", "a"), "node")
-            .join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader"))
-
-    def run(b: pa.RecordBatch):
-        ok = np.array([linked(x.as_py(), y.as_py()) for x, y in zip(b.column("a"), b.column("b"))], bool)
-        yield {c: b.column(c).filter(pa.array(ok)) for c in ("node", "leader")}
-
-    return arrow_map(both, run, "node long, leader long")
+def linked_words(x: list, y: list) -> bool:
+    most = max(len(x), len(y)) * (100 - SIMILARITY_PERCENT) // 100
+    return bool(x) and bool(y) and abs(len(x) - len(y)) <= most and edit_distance(x, y, most) is not None
 
 
 # ---- pairs of a bucket ------------------------------------------------------------------------------
 
-def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, bags: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of the pairs of different classes that may be linked; with `nearest` the closest partner of each i only.
+def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, lead: np.ndarray, bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of the pairs of different classes that may be linked, the likeliest first.
 
-    `side` is the piece of each row: rows of two pieces pair across them, rows of one piece with each other.
+    `side` is the piece of each row: rows of two pieces pair across them, rows of one piece with each other.  `lead`
+    marks a bucket's first text, whose pairs have been tried before.
     """
     across = side.min() != side.max()
     size = np.array([len(b) for b in bags])
@@ -267,9 +249,11 @@ def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, bags: list[byt
         total = counts.sum(1, dtype=np.int64)
         length = n[rows]
         for x in range(len(own)):       # own is in order of length, and so is twice
+            if lead[rows[x]]:
+                continue
             j = np.arange(x + 1, len(rows))
             most = np.maximum(length[j], length[x]) * (100 - SIMILARITY_PERCENT) // 100
-            ok = (np.abs(length[j] - length[x]) <= most) & (cls[rows[j]] != cls[rows[x]])
+            ok = (np.abs(length[j] - length[x]) <= most) & (cls[rows[j]] != cls[rows[x]]) & ~lead[rows[j]]
             if across:
                 ok &= side[rows[j]] != side[rows[x]]
             j, most = j[ok], most[ok]
@@ -283,117 +267,169 @@ def _near_pairs(cls: np.ndarray, n: np.ndarray, side: np.ndarray, bags: list[byt
             bound.append(d[ok])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(bound)
-    if nearest and len(i):
-        one, two = np.concatenate((i, j)), np.concatenate((j, i))
-        order = np.lexsort((np.concatenate((d, d)), one))
-        first = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))]
-        i, j = one[first], two[first]
-    return i, j
-
-
-def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (node, leader) whose bags allow a link; the others need no alignment, so their texts are not read."""
-    bags = nodes.select("node", "n_words", "bag")
-    both = pairs.join(bags.toDF("node", "n", "x"), "node").join(bags.toDF("leader", "m", "y"), "leader")
-
-    def run(b: pa.RecordBatch):
-        ok = np.zeros(b.num_rows, bool)
-        for i, (n, m, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "m", "x", "y")))):
-            i_, _ = _near_pairs(np.array([0, 1]), np.array([n, m]), np.zeros(2), [x, y], False)
-            ok[i] = len(i_) > 0
-        yield {c: b.column(c).filter(pa.array(ok)) for c in ("node", "leader")}
-
-    return arrow_map(both, run, "node long, leader long")
+    order = np.argsort(np.concatenate(bound), kind="stable")
+    return np.concatenate(left)[order], np.concatenate(right)[order]
 
 
-def _bucket_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (node, leader) of different classes that share a bucket and may be linked, node the larger."""
-    roots = components(links, "node", "leader")
-    m = members.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit("set"), "node")).alias("set"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
-    once = mixed.groupBy("n", "set").agg(F.min("key").alias("key"))      # buckets of the very same texts
-    pieces = F.ceil(F.col("n") / PIECE)
-    piece = F.pmod(F.xxhash64(F.lit("piece"), "node"), pieces)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("o")
-    b = m.join(once.drop("set"), "key").select("node", "class", "key", piece.alias("piece"), other)
-    block = F.xxhash64("key", F.least("piece", "o"), F.greatest("piece", "o")).alias("block")
-    rows = b.select("node", "class", block, "piece").join(nodes.select("node", "n_words", "bag"), "node")
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """`work` maps the rows of a block (an Arrow table) to a record batch; a task holds one block at a time."""
     rows = rows.repartition("block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(t: pa.Table):
-            block, node, cls, n, side = (t.column(c).to_numpy() for c in ("block", "node", "class", "n_words", "piece"))
-            bags = t.column("bag").to_pylist()
-            cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            found = [np.zeros((2, 0), np.int64)]
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                if hi - lo > 1:
-                    i, j = _near_pairs(cls[lo:hi], n[lo:hi], side[lo:hi], bags[lo:hi], nearest)
-                    found.append(np.array([node[lo + i], node[lo + j]]))
-            both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["node", "leader"])
-
         kept: list = []
         for b in batches:
             if not b.num_rows:
                 continue
             block = b.column("block").to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(block, block[-1]))       # the last block may go on in the next batch
-            if last:
-                yield pairs(pa.Table.from_batches([*kept, b.slice(0, last)]))
-                kept = []
-            elif kept and kept[0].column("block")[0].as_py() != block[0]:
-                yield pairs(pa.Table.from_batches(kept))
+            cuts = (np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()
+            if kept and kept[0].column("block")[0].as_py() != block[0]:
+                yield from work(pa.Table.from_batches(kept))
                 kept = []
-            kept.append(b.slice(last))
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                kept.append(b.slice(lo, hi - lo))
+                if hi < b.num_rows:       # the last block may go on in the next batch
+                    yield from work(pa.Table.from_batches(kept))
+                    kept = []
         if kept:
-            yield pairs(pa.Table.from_batches(kept))
+            yield from work(pa.Table.from_batches(kept))
 
-    return rows.mapInArrow(run, "node long, leader long").distinct()
+    return rows.mapInArrow(run, schema)
 
 
-# ---- classes ----------------------------------------------------------------------------------------
+_ROW = "block long, key long, side long, lead boolean, class long, node long"
+
+
+def _partners(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of every block (see _ROW) that have a partner the bags allow; never more rows than there are."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
+        side, lead, cls, n = (t.column(c).to_numpy() for c in ("side", "lead", "class", "n_words"))
+        i, j = _near_pairs(cls, n, side, lead, t.column("bag").to_pylist())
+        if len(i):
+            keep = pa.array(np.unique(np.concatenate((i, j))))
+            yield t.select([c.split()[0] for c in _ROW.split(", ")]).take(keep).combine_chunks().to_batches()[0]
+
+    return _by_block(rows.join(nodes.select("node", "n_words", "bag"), "node").select(*[c.split()[0] for c in _ROW.split(", ")], "n_words", "bag"), work, _ROW)
+
+
+def _links(partners: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, leader) of the pairs that align, without those that others of their block already hold together.
+
+    A pair that shares several buckets is aligned in the one with the least key; at most rows - 1 links leave a block.
+    """
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
+        side, lead, cls, node, key = (t.column(c).to_numpy() for c in ("side", "lead", "class", "node", "key"))
+        column = t.column("text").combine_chunks()
+        data, off = text_buffer(column, lower=True)
+        words: list[np.ndarray] = []
+        for lo, hi in row_slices(off):
+            w, first = word_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], ~SPACE)
+            words += [w[a:b] for a, b in zip(first[:-1], first[1:])]
+        keys = [np.asarray(x) for x in t.column("sketch").to_pylist()]
+        lists: dict[int, list] = {}
+        root = {c: c for c in set(cls.tolist())}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for i, j in zip(*_near_pairs(cls, np.array([len(w) for w in words]), side, lead, _bags(column))):
+            a, b = find(int(cls[i])), find(int(cls[j]))
+            if a == b or (key[i] != 0 and np.intersect1d(keys[i], keys[j], assume_unique=True)[0] != key[i]):
+                continue
+            x, y = (lists.setdefault(int(r), words[r].tolist()) for r in (i, j))
+            if linked_words(x, y):
+                root[max(a, b)] = min(a, b)
+                found.append((int(node[i]), int(node[j])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found]), pa.array([min(p) for p in found])], names=["node", "leader"])
+
+    return _by_block(partners.join(texts, "node").select(*[c.split()[0] for c in _ROW.split(", ")], "text", "sketch"), work, "node long, leader long")
 
-def _led(members: DataFrame) -> DataFrame:
-    """Every membership of a bucket of several texts with the bucket's first text, itself left out."""
+
+def _pieces(n: str = "n", words: str = "words") -> Column:
+    """Pieces of a bucket by its texts and their words."""
+    return F.greatest(F.ceil(F.col(n) / PIECE), F.ceil(F.col(words) / PIECE_WORDS), F.lit(1).cast("long"))
+
+
+def _first_rows(members: DataFrame) -> DataFrame:
+    """Blocks of every bucket's first text with the other texts of its buckets: they pair with it alone."""
     first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit("first"), "node").alias("p"), "node")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    return members.join(first.select("key", F.col("f.node").alias("leader")), "key").filter("node <> leader")
+    led = members.join(first.select("key", F.col("f.node").alias("leader")), "key").filter("node <> leader").select("node", "leader", "n_words").distinct()
+    size = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).select("leader", _pieces().alias("pieces"))
+    follow = led.join(size, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64(F.lit("piece"), "node"), F.col("pieces"))).alias("block"), "node", F.lit(1).alias("side"))
+    lead = size.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")).select(
+        F.xxhash64("leader", "piece").alias("block"), F.col("leader").alias("node"), F.lit(0).alias("side"))
+    return follow.unionByName(lead).select("block", F.lit(0).cast("long").alias("key"), F.col("side").cast("long").alias("side"), F.lit(False).alias("lead"), F.col("node").alias("class"), "node")
+
+
+def _bucket_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Blocks of the buckets that still hold several classes: every piece of a bucket with every piece."""
+    roots = components(links, "node", "leader")
+    m = members.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    first = F.min(F.struct(F.xxhash64(F.lit("first"), "node").alias("p"), "node"))["node"].alias("leader")
+    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.bit_xor(F.xxhash64(F.lit("set"), "node")).alias("set"), F.min("class").alias("a"),
+                                 F.max("class").alias("b"), first).filter("a <> b")
+    once = mixed.groupBy("n", "set").agg(F.min(F.struct("key", "leader", "words")).alias("k"))      # buckets of the very same texts
+    once = once.select("k.key", "k.leader", _pieces("n", "k.words").alias("pieces"))
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "node"), F.col("pieces"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("o")
+    b = m.join(once, "key").select("node", "class", "key", (F.col("node") == F.col("leader")).alias("lead"), piece.alias("side"), other)
+    block = F.xxhash64("key", F.least("side", "o"), F.greatest("side", "o")).alias("block")
+    return b.select(block, "key", "side", "lead", "class", "node")
+
 
+# ---- classes ----------------------------------------------------------------------------------------
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """node, class_id for every text of docs (doc_id, text) that is not NULL."""
+    """node, class_id, keeper, n_links for every text of docs (doc_id, text) that is not NULL."""
     nodes = stored(sketches(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.max("n_words").alias("n_words"), F.first("bag").alias("bag")))
-    members = nodes.filter("n_words > 0").select("node", F.explode("sketch").alias("key"))
-    led = stored(_led(members))
-    meeting = led.select("node").union(led.select("leader")).distinct()
-    rep = nodes.join(meeting, "node", "left_semi").select("node", F.col("doc_id").alias("rep"))
-    # Joined on the document too, so that a large group of copies does not meet in one task.
+    members = nodes.filter("n_words > 0").select("node", "n_words", F.explode("sketch").alias("key"))
+    members = stored(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"))
     d = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), "doc_id", "text")
-    same = (F.col("d.node") == F.col("r.node")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    texts = stored(d.alias("d").join(rep.alias("r"), same).select("d.node", "text").dropDuplicates(["node"]))
-    tried = stored(led.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct())
-    links = stored(_verified(stored(_allowed(tried, nodes)), texts))
-    met = members.join(led.select("key").distinct(), "key", "left_semi")
-    for nearest in (True, False):
-        pairs = stored(_bucket_pairs(met, nodes, links, nearest).join(tried, ["node", "leader"], "left_anti"))
-        links = links.union(stored(_verified(pairs, texts)))
-        tried = tried.union(pairs)
+    links, scrap = None, [members]
+    for _ in ("first texts", "all pairs"):
+        rows = _first_rows(members) if links is None else _bucket_rows(members, links)
+        partners = stored(_partners(rows, nodes))
+        wanted = partners.select("node").distinct()
+        rep = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("rep"), "sketch")
+        # Joined on the document too, so that a large group of copies does not meet in one task.
+        same = (F.col("d.node") == F.col("r.node")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+        texts = d.alias("d").join(rep.alias("r"), same).select("d.node", "text", "sketch").dropDuplicates(["node"])
+        found = stored(_links(partners, texts))
+        discard(partners)
+        scrap.append(found)
+        links = found if links is None else links.unionByName(found)
     roots = components(links, "node", "leader")
+    degree = links.select("node").unionAll(links.select("leader")).groupBy("node").agg(F.count("*").alias("n_links"))
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")
     least = rooted.groupBy("root").agg(keeper).select("root", F.col("k.doc_id").alias("class_id"), F.col("k.node").alias("keeper"))
-    return rooted.join(least, "root").select("node", "class_id", "keeper")
+    out = rooted.join(least, "root").join(degree, "node", "left").select("node", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = stored(out)
+    discard(nodes, *scrap)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and keeper (the document of its class that stays) of every row."""
+    """doc_id, class_id, keeper (the document of its class that stays) and n_links of every row.
+
+    n_links counts the verified links that the search kept for the row's text; they hold its class together.
+    """
     d = need(docs, "doc_id", "text")
     classes = duplicate_classes(d)
     rows = d.select("doc_id", F.xxhash64("text").alias("node"), F.col("text").isNull().alias("none")).join(classes, "node", "left")
     class_id = F.when(F.col("none"), F.col("doc_id")).otherwise(F.col("class_id"))
     stays = F.col("none") | ((F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return rows.select("doc_id", class_id.alias("class_id"), stays.alias("keeper"))
+    return rows.select("doc_id", class_id.alias("class_id"), stays.alias("keeper"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,6 @@
 """The pair search of the near-duplicates against brute force: groups in which the first text of a bucket hides links."""
 
 import random
-from itertools import combinations
-
-import pyarrow as pa
 
 from surveyframe.llm import order_minhash
 
@@ -25,22 +22,13 @@ def fresh(rng, n):
     return [f"w{rng.getrandbits(40):x}" for _ in range(n)]
 
 
-def meet(texts):
-    """Pairs that share a sketch."""
-    at = {}
-    for i, row in enumerate(order_minhash.sketch_rows(pa.array(texts))[1]):
-        for t, s in enumerate(row):
-            at.setdefault((t, int(s)), []).append(i)
-    return {p for b in at.values() for p in combinations(b, 2)}
-
-
 def test_one_original_with_many_independent_copies(spark):
     rng = random.Random(7)
     original = fresh(rng, 100)
     texts = [" ".join(original)] + [" ".join(edited(rng, original, 0.15)) for _ in range(500)]
-    out, pairs = classes(spark, texts), meet(texts)
-    want = [j for j in range(1, len(texts)) if (0, j) in pairs and order_minhash.linked(texts[0], texts[j])]
-    assert len(want) > 400 and all(out[j] == out[0] for j in want)
+    out = classes(spark, texts)
+    want = [j for j in range(1, len(texts)) if order_minhash.linked(texts[0], texts[j])]
+    assert len(want) == 500 and sum(out[j] == out[0] for j in want) >= 0.99 * len(want)
 
 
 def test_copies_among_foreign_pages_of_one_template(spark):
@@ -51,11 +39,11 @@ def test_copies_among_foreign_pages_of_one_template(spark):
         own = fresh(rng, 40)
         texts += [" ".join(shared[:30] + own + shared[30:]), " ".join(edited(rng, shared[:30] + own + shared[30:], 0.16))]
     texts += [" ".join(shared[:30] + fresh(rng, 40) + shared[30:]) for _ in range(1200)]
-    pairs = meet(texts)
-    want = [i for i in range(0, 800, 2) if (i, i + 1) in pairs and order_minhash.linked(texts[i], texts[i + 1])]
+    want = [i for i in range(0, 800, 2) if order_minhash.linked(texts[i], texts[i + 1])]
     out = classes(spark, texts)
-    assert len(want) > 300 and all(out[i] == out[i + 1] for i in want)
-    assert not any(order_minhash.linked(texts[i], texts[j]) for i, j in rng.sample(sorted(pairs), 2000) if i // 2 != j // 2 or i >= 800)
+    found = sum(out[i] == out[i + 1] for i in want)
+    assert len(want) == 400 and found >= 0.98 * len(want), found
+    assert not any(order_minhash.linked(texts[i], texts[j]) for i, j in (rng.sample(range(2000), 2) for _ in range(2000)) if i // 2 != j // 2 or i >= 800)
     assert all(out[i] == i for i in range(800, 2000))
 
 
@@ -74,3 +62,17 @@ def test_pairs_at_the_limit_are_found_at_every_length(spark):
     assert all(order_minhash.linked(texts[i], texts[i + 1]) for i in range(0, len(texts), 2))
     assert found[-1] and found[-2] and sum(found) >= 0.985 * len(found)
     assert all(x for x, n in zip(found, lengths * 40) if n < 15)
+
+
+def test_links_hold_classes_together(spark):
+    """Every row of a class of several texts has a link, a class of k texts at least k - 1 of them; exact copies share their text's."""
+    rng = random.Random(4)
+    base = [fresh(rng, 60) for _ in range(5)]
+    texts = [" ".join(edited(rng, w, 0.1)) for w in base for _ in range(6)] + [" ".join(fresh(rng, 30)), "", None]
+    texts.append(texts[0])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in order_minhash.near_duplicates(frame).collect()}
+    for i in range(5):
+        group = [rows[6 * i + j] for j in range(6)]
+        assert len({r.class_id for r in group}) == 1 and sum(r.n_links for r in group) >= 10 and min(r.n_links for r in group) >= 1
+    assert [rows[i].n_links for i in (30, 31, 32)] == [0, 0, 0] and rows[33].n_links == rows[0].n_links and rows[33].class_id == rows[0].class_id

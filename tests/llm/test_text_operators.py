@@ -155,10 +155,9 @@ def test_recall_of_edited_copies(spark):
 def test_order_matters_to_the_sketch():
     import pyarrow as pa
 
-    w = [f"w{i}" for i in range(200)]
-    moved = w[100:] + w[:100]
-    _, s = order_minhash.sketch_rows(pa.array([" ".join(w), " ".join(w), " ".join(moved)]))
-    assert (s[0] == s[1]).all() and (s[0] == s[2]).mean() < 0.8
+    w = [f"w{i}" for i in range(50)]
+    _, s = order_minhash.bucket_keys(pa.array([" ".join(w), " ".join(w), " ".join(w[25:] + w[:25])]))
+    assert s[0].tolist() == s[1].tolist() and len(np.intersect1d(s[0], s[2])) < 0.8 * len(s[0])
 
 
 # ---- repeated passages ------------------------------------------------------------------------------
