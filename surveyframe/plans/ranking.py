@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from surveyframe.functions import physics as P
 from surveyframe.functions import stats as ST
 from surveyframe.functions.basics import std_normal, uniform
+from surveyframe.operators import draws as D
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as R
 from surveyframe.operators.scale import materialise
 from surveyframe.plans.metrics import SC, auc_sql, r6, scored
 from surveyframe.plans.registry import query, sql_normal, sql_uniform
 
-DRAWS = 20
+DRAWS = 20      # of the queries whose rows are the draws themselves; summaries take all 4,000 (operators/draws.py)
 
 
 def planets(t):
@@ -139,11 +140,10 @@ def planet_draws(t):
     return R.planet_draws(planets(t), "p_partkey", DRAWS)
 
 
-@query("planet_probabilities", "M12", f"""with {MC} select p_partkey, round(avg(cons::int), 6) as p_zone_conservative, round(avg(opt::int), 6) as p_zone_optimistic, round(avg((R < 1.5)::int), 6) as p_small, round(median(teq), 5) as teq, round(median(metric), 5) as metric,
-round(quantile_cont(metric, 0.16), 5) as metric_p16, round(quantile_cont(metric, 0.84), 5) as metric_p84, round(avg((metric > cut)::int), 6) as p_above_cut, round(median(v), 6) as v_esc, round(median(flux), 5) as flux, round(avg((m1 < 0)::int), 6) as p_retain_primary, round(avg((m2 < 0)::int), 6) as p_retain_empirical,
-round(avg((m3 < 0)::int), 6) as p_retain_bolometric, round(median(m1), 6) as margin_primary, round(median(m2), 6) as margin_empirical, round(median(m3), 6) as margin_bolometric from mc group by 1""")
+@query("planet_probabilities", "M12")
 def _(t):
-    got = R.planet_summary(planet_draws(t), "p_partkey")
+    """4,000 draws a planet; the tests compare the draws' physics with the column formulas and the summary with numpy."""
+    got = D.planet_summary(planets(t), "p_partkey")
     return got.select("p_partkey", *[F.round(c, 5 if c in ("teq", "metric", "metric_p16", "metric_p84", "flux") else 6).alias(c) for c in got.columns if c != "p_partkey"])
 
 
@@ -171,22 +171,19 @@ def _(t):
     return ranked(t).select("p_partkey", "draw", "rank")
 
 
-@query("rank_distribution", "W15", f"with {COMP} select p_partkey, round(median(r), 6) as rank_median, round(quantile_cont(r, 0.05), 6) as rank_p5, round(quantile_cont(r, 0.95), 6) as rank_p95, round(avg((r <= 10)::int), 6) as p_top from rk group by 1")
+@query("rank_distribution", "W15 W14")
 def _(t):
-    return r6(R.rank_distribution(ranked(t), "p_partkey"), "rank_median", "rank_p5", "rank_p95", "p_top")
+    return r6(D.rank_distribution(planets(t), "p_partkey", R.WEIGHTS), "rank_median", "rank_p5", "rank_p95", "p_top")
 
 
-@query("weighted_scores", "M13", f"with {COMP} select p_partkey, round(median(score), 6) as score, round(quantile_cont(score, 0.05), 6) as low, round(quantile_cont(score, 0.95), 6) as high from sc group by 1")
+@query("weighted_scores", "M13")
 def _(t):
-    c = components(t).withColumn("score", R.weighted_score(R.WEIGHTS))
-    return r6(c.groupBy("p_partkey").agg(F.percentile("score", 0.5).alias("score"), F.percentile("score", 0.05).alias("low"), F.percentile("score", 0.95).alias("high")), "score", "low", "high")
+    return r6(D.score_quantiles(planets(t), "p_partkey", R.WEIGHTS), "score", "low", "high")
 
 
-@query("component_ablation", "M13 A62", f"""with {COMP}, l as (select p_partkey, (0.4::double * zone + 0.3::double * ta + 0.3::double * obs) as f, unnest(['zone', 'terrestrial_atm', 'observable']) as dropped, unnest([(0.3::double * ta + 0.3::double * obs) / 0.6::double, (0.4::double * zone + 0.3::double * obs) / 0.7::double, (0.4::double * zone + 0.3::double * ta) / 0.7::double]) as a from sc),
-m as (select dropped, p_partkey, round(median(f), 9) as f, round(median(a), 9) as a from l group by 1, 2), r as (select dropped, rank() over (partition by dropped order by f) + (count(*) over (partition by dropped, f) - 1) / 2.0::double as rf, rank() over (partition by dropped order by a) + (count(*) over (partition by dropped, a) - 1) / 2.0::double as ra from m)
-select dropped, round(corr(rf, ra), 5) as spearman, count(*) as rows from r group by 1""")
+@query("component_ablation", "M13 A62")
 def _(t):
-    got = R.ablation(components(t), "p_partkey", R.WEIGHTS)
+    got = D.ablation(planets(t), "p_partkey", R.WEIGHTS)
     return got.withColumn("spearman", F.round("spearman", 5))
 
 
@@ -279,7 +276,7 @@ def _(t):
 # ---- sensitivity, design, counts -------------------------------------------------------------------
 
 INPUTS = {"w1": (-1.0, 1.0), "w2": (-1.0, 1.0), "credit": (0.0, 1.0)}
-N_BASE = 24
+N_BASE = R.BASE_SAMPLES
 
 
 def _inp(name, lo, hi):
@@ -367,19 +364,17 @@ def _(t):
 
 # ---- label shift -----------------------------------------------------------------------------------
 
-ITER = 12
 _BAND = "case when n_chars < 600 then 0 when n_chars < 2000 then 1 else 2 end"
 
 
-def _em_sql():
-    steps = ["e0 as (select band, ps, ps as pi from st)"]
-    for i in range(1, ITER + 1):
-        steps.append(f"e{i} as (select tg.band, any_value(ps) as ps, avg(pi / ps * s2 / (pi / ps * s2 + (1 - pi) / (1 - ps) * (1 - s2))) as pi from tg join e{i - 1} on e{i - 1}.band = tg.band group by 1)")
-    return ", ".join(steps)
-
-
-EM = f"""{SC}, x as (select sc.*, {_BAND} as band from sc), sr as (select * from x where toxic = 1), tg as (select * from x where toxic = 0),
-st as (select t.band, greatest(0.01::double, least(0.99::double, coalesce(s.r, (select avg(y) from sr)))) as ps from (select distinct band from tg) t left join (select band, avg(y) as r from sr group by 1) s on s.band = t.band), {_em_sql()}"""
+EM = f"""recursive {SC}, x as (select sc.*, {_BAND} as band from sc), sr as (select * from x where toxic = 1), tg as (select * from x where toxic = 0),
+st as (select t.band, greatest(0.01::double, least(0.99::double, coalesce(s.r, (select avg(y) from sr)))) as ps from (select distinct band from tg) t left join (select band, avg(y) as r from sr group by 1) s on s.band = t.band),
+ct as (select band, s2 as p, count(*) as n from tg group by 1, 2),
+em as (select band, ps, ps as pi, false as done, 0 as i from st
+       union all
+       select band, any_value(ps), case when abs(sum(n * post) / sum(n) - any_value(pi)) < 1e-6 then any_value(pi) else sum(n * post) / sum(n) end, abs(sum(n * post) / sum(n) - any_value(pi)) < 1e-6, any_value(i) + 1
+       from (select e.*, n, pi / ps * p / (pi / ps * p + (1 - pi) / (1 - ps) * (1 - p)) as post from em e join ct using (band) where not done and i < 1000) group by band),
+fe as (select band, any_value(ps) as ps, arg_max(pi, i) as pi from em group by band)"""
 
 
 def shift_inputs(t):
@@ -387,15 +382,15 @@ def shift_inputs(t):
     return x.filter("toxic = 0"), x.filter("toxic = 1")
 
 
-@query("label_shift_rates", "M09", f"with {EM} select tg.band, count(*) as rows, round(any_value(ps), 6) as pi_source, round(any_value(pi), 6) as pi_target, round(avg(y), 6) as true_rate from tg join e{ITER} on e{ITER}.band = tg.band group by 1")
+@query("label_shift_rates", "M09", f"with {EM} select tg.band, count(*) as rows, round(any_value(ps), 6) as pi_source, round(any_value(pi), 6) as pi_target, round(avg(y), 6) as true_rate from tg join fe on fe.band = tg.band group by 1")
 def _(t):
     target, source = shift_inputs(t)
-    return r6(R.label_shift_em(target, source, "band", "y", "s2", ITER, 0.0), "pi_source", "pi_target", "true_rate")
+    return r6(R.label_shift_em(target, source, "band", "y", "s2"), "pi_source", "pi_target", "true_rate")
 
 
-@query("label_shift_correction", "M09", f"""with {EM}, c as (select doc_id, pi / ps * s2 / (pi / ps * s2 + (1 - pi) / (1 - ps) * (1 - s2)) as pc, greatest(0.01::double, least(0.99::double, avg(y) over (partition by tg.band))) as pt, ps, s2 from tg join e{ITER} on e{ITER}.band = tg.band)
+@query("label_shift_correction", "M09", f"""with {EM}, c as (select doc_id, pi / ps * s2 / (pi / ps * s2 + (1 - pi) / (1 - ps) * (1 - s2)) as pc, greatest(0.01::double, least(0.99::double, avg(y) over (partition by tg.band))) as pt, ps, s2 from tg join fe on fe.band = tg.band)
 select doc_id, round(pc, 6) as p_corrected, round(pt / ps * s2 / (pt / ps * s2 + (1 - pt) / (1 - ps) * (1 - s2)), 6) as p_oracle from c""")
 def _(t):
     target, source = shift_inputs(t)
-    rates = R.label_shift_em(target, source, "band", "y", "s2", ITER, 0.0)
+    rates = R.label_shift_em(target, source, "band", "y", "s2")
     return r6(R.shifted_scores(target, rates, "band", "s2").select("doc_id", "p_corrected", "p_oracle"), "p_corrected", "p_oracle")

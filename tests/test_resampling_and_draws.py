@@ -2,9 +2,12 @@
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from surveyframe.functions import physics as PH
+from surveyframe.operators import draws as DR
 from surveyframe.operators import ranking as RK
 from surveyframe.operators import resample as RS
 from surveyframe.operators import screens as SC
@@ -162,3 +165,138 @@ def test_models_are_compared_as_in_numpy(spark):
     for model, (marginal, score) in want.items():
         assert (got[model].log_marginal, got[model].loo_score) == pytest.approx((marginal, score), abs=1e-9)
         assert got[model].ln_bayes_factor == pytest.approx(marginal - want["intercept"][0], abs=1e-9)
+
+
+# ---- draws of planets --------------------------------------------------------------------------------
+
+def planet_rows(n=30):
+    rng, rows = np.random.default_rng(21), []
+    for i in range(n):
+        r = {"key": i, "mass_measured": bool(i % 3 == 0), "transiting": bool(i % 7 != 6)}
+        for c, lo, hi in (("insol", 0.2, 2), ("teff", 2500, 7500), ("rade", 0.6, 4.5), ("mass", 0.5, 9), ("rs", 0.1, 1.1), ("axis", 0.02, 0.2), ("lum", -3, 0)):
+            v = float(rng.uniform(lo, hi))
+            r |= {c: v, f"{c}_err1": abs(v) * 0.1, f"{c}_err2": -abs(v) * 0.05}
+        if i % 4 == 0:
+            r["insol_err1"] = None
+        if i % 5 == 0:
+            r |= {"lum": None, "lum_err1": None, "lum_err2": None}
+        if i % 6 == 0:
+            r["rade_err2"] = None
+        rows.append(r | {"jmag": float(rng.uniform(7, 12))})
+    return pd.DataFrame(rows)
+
+
+def planet_frame(spark, rows):
+    columns = [*DR.QUANTITIES]
+    data = [(r["key"], *[None if pd.isna(r[c]) else float(r[c]) for c in columns], bool(r["mass_measured"]), bool(r["transiting"])) for _, r in rows.iterrows()]
+    return spark.createDataFrame(data, "key long, " + ", ".join(f"{c} double" for c in columns) + ", mass_measured boolean, transiting boolean").repartition(3)
+
+
+def hashed(spark, rows):
+    h = {r.key: r.h for r in planet_frame(spark, rows).select("key", F.xxhash64("key").alias("h")).collect()}
+    return rows.assign(_h=[h[k] for k in rows["key"]])
+
+
+def test_drawn_physics_follows_the_column_formulas(spark):
+    rows = hashed(spark, planet_rows())
+    d = DR.physics(rows, np.arange(5))
+    flat = [(int(k), j, *[float(d[c][i, j]) for c in ("S", "T", "R", "M", "Rs", "A", "L")], float(rows["jmag"].iloc[i])) for i, k in enumerate(rows["key"]) for j in range(5)]
+    df = spark.createDataFrame(flat, "key long, draw int, S double, T double, R double, M double, Rs double, A double, L double, jmag double")
+    df = df.withColumn("teq", PH.equilibrium_temperature("T", "Rs", "A"))
+    cons, opt = PH.in_zone("S", "T")
+    metric, cut = PH.spectroscopy_metric("R", "M", "Rs", "teq", "jmag")
+    got = df.select("key", "draw", "teq", cons.alias("cons"), opt.alias("opt"), metric.alias("metric"), cut.alias("cut"), PH.escape_velocity("M", "R").alias("v_esc"),
+                    PH.cumulative_flux("S", "L").alias("flux"), PH.shoreline_margins(PH.escape_velocity("M", "R"), F.col("S"), F.col("L"), F.lit(0.0), F.lit(0.0))["bolometric"].alias("margin_bolometric")).collect()
+    at = {k: i for i, k in enumerate(rows["key"])}
+    for r in got:
+        i, j = at[r.key], r.draw
+        for c in ("teq", "cut", "v_esc", "flux", "margin_bolometric"):
+            assert d[c][i, j] == pytest.approx(r[c], rel=1e-9)
+        assert (d["cons"][i, j], d["opt"][i, j]) == (r.cons, r.opt)
+        assert d["metric"][i, j] == pytest.approx(r.metric, rel=1e-9) if rows["transiting"].iloc[i] else np.isnan(d["metric"][i, j])
+    free = ~rows["mass_measured"].to_numpy()
+    mass = df.select("key", "draw", PH.mass_from_radius("R").alias("m"), PH.mass_scatter_dex("R").alias("s")).collect()
+    z = DR.normals(rows["_h"].to_numpy(), np.arange(5), "m", 1)
+    assert all(d["M"][at[r.key], r.draw] == pytest.approx(r.m * 10 ** (z[at[r.key], r.draw] * r.s), rel=1e-9) for r in mass if free[at[r.key]])
+
+
+def test_draws_have_the_quoted_spread_and_depend_on_the_planet_alone(spark):
+    rows = hashed(spark, planet_rows())
+    d = DR.physics(rows, np.arange(20_000))
+    above = (d["T"] > rows["teff"].to_numpy()[:, None])
+    assert above.mean() == pytest.approx(0.5, abs=0.01)
+    step = (d["T"] / rows["teff"].to_numpy()[:, None] - 1)
+    assert np.sqrt((step[above] ** 2).mean()) == pytest.approx(0.1, rel=0.02) and np.sqrt((step[~above] ** 2).mean()) == pytest.approx(0.05, rel=0.02)
+    no_low = rows["rade_err2"].isna().to_numpy()
+    assert (d["R"][no_low] >= rows["rade"].to_numpy()[no_low, None] - 1e-12).all()
+    alone = DR.physics(rows.iloc[7:8], np.arange(100, 120))
+    assert np.array_equal(alone["R"][0], d["R"][7, 100:120])
+    u = DR.uniforms(np.arange(50), np.arange(4000), "i", 1)
+    assert abs(np.corrcoef(u)[np.triu_indices(50, 1)]).max() < 0.08 and u.mean() == pytest.approx(0.5, abs=0.005)
+
+
+def test_summaries_and_ranks_equal_numpy(spark, monkeypatch):
+    rows = hashed(spark, planet_rows())
+    df, n = planet_frame(spark, rows), 700
+    d = DR.physics(rows, np.arange(n))
+    got = {r.key: r for r in DR.planet_summary(df, "key", n).collect()}
+    for i, k in enumerate(rows["key"]):
+        assert got[k].teq == pytest.approx(np.median(d["teq"][i])) and got[k].p_retain_primary == pytest.approx((d["margin_primary"][i] < 0).mean())
+        if rows["transiting"].iloc[i]:
+            assert got[k].metric_p84 == pytest.approx(np.quantile(d["metric"][i], 0.84)) and got[k].p_above_cut == pytest.approx((d["metric"][i] > d["cut"][i]).mean())
+        else:
+            assert got[k].metric is None and got[k].p_above_cut is None
+    seen = rows["transiting"].to_numpy()
+    s = DR.score(DR.components(d), RK.WEIGHTS)[seen].round(9)
+    ranks = np.array([[1 + (s[:, j] > s[i, j]).sum() for j in range(n)] for i in range(len(s))])
+    assert (ranks[:, 0] >= 1).all() and len(np.unique(ranks[:, 0])) < len(s)            # some planets share a rank
+    want = {k: (np.median(r), np.quantile(r, 0.05), np.quantile(r, 0.95), (r <= 10).mean()) for k, r in zip(rows["key"][seen], ranks)}
+    monkeypatch.setattr(DR, "CELLS", 26 * 100)                                          # several blocks of draws
+    for limit in ("2000000", "20"):                                                     # and ranked as rows
+        spark.conf.set("spark.surveyframe.rowsPerTask", limit)
+        out = {r.key: (r.rank_median, r.rank_p5, r.rank_p95, r.p_top) for r in DR.rank_distribution(df, "key", RK.WEIGHTS, n).collect()}
+        spark.conf.unset("spark.surveyframe.rowsPerTask")
+        assert out.keys() == want.keys() and all(out[k] == pytest.approx(want[k]) for k in want)
+    q = {r.key: (r.low, r.score, r.high) for r in DR.score_quantiles(df, "key", RK.WEIGHTS, n).collect()}
+    full = DR.score(DR.components(d), RK.WEIGHTS)[seen]
+    assert all(q[k] == pytest.approx(tuple(np.quantile(x, (0.05, 0.5, 0.95)))) for k, x in zip(rows["key"][seen], full))
+    assert {r.dropped for r in DR.ablation(df, "key", RK.WEIGHTS, 50).collect()} == set(RK.WEIGHTS)
+
+
+# ---- sensitivity, label shift ------------------------------------------------------------------------
+
+def test_indices_of_the_ishigami_function(spark):
+    pi = float(np.pi)
+    one = spark.createDataFrame([(1,)], "id int")
+    d = RK.sobol_designs(one, RK.BASE_SAMPLES, {"x1": (-pi, pi), "x2": (-pi, pi), "x3": (-pi, pi)})
+    assert d.count() == 5 * 4096
+    f = d.withColumn("f", F.sin("x1") + 7 * F.pow(F.sin("x2"), 2) + 0.1 * F.pow("x3", 4) * F.sin("x1"))
+    got = {r.input: (r.first_order, r.total) for r in RK.sobol_indices(f, "f", ["x1", "x2", "x3"]).collect()}
+    for name, want in {"x1": (0.3139, 0.5576), "x2": (0.4424, 0.4424), "x3": (0.0, 0.2437)}.items():
+        assert got[name] == pytest.approx(want, abs=0.06)
+
+
+@pytest.mark.parametrize("limit, tolerance", [("2000000", 1e-6), ("5", 0.01)])       # in a task; by rounds over the counts
+def test_label_shift_runs_to_its_fixed_point(spark, limit, tolerance):
+    rng = np.random.default_rng(9)
+    rows = []
+    for band, rate in ((0, 0.2), (1, 0.6), (None, 0.4)):
+        y = rng.random(400) < rate
+        rows += [(band, int(v), float(round(np.clip(rng.normal(0.65 if v else 0.35, 0.15), 0.02, 0.98), 2))) for v in y]
+    source = [(0, int(i % 2), 0.5) for i in range(50)] + [(1, int(i % 4 == 0), 0.5) for i in range(40)]
+    schema = "band int, y int, p double"
+    spark.conf.set("spark.surveyframe.rowsPerTask", limit)
+    got = {r.band: r for r in RK.label_shift_em(spark.createDataFrame(rows, schema), spark.createDataFrame(source, schema), "band", "y", "p", tolerance=tolerance).collect()}
+    spark.conf.unset("spark.surveyframe.rowsPerTask")
+    overall = (25 + 10) / 90
+    for band, start in ((0, 0.5), (1, 0.25), (None, overall)):
+        p = np.array([r[2] for r in rows if r[0] == band])
+        pi, steps = start, 0
+        while True:
+            a, b = pi / start * p, (1 - pi) / (1 - start) * (1 - p)
+            new, steps = (a / (a + b)).mean(), steps + 1
+            if abs(new - pi) < tolerance:
+                break
+            pi = new
+        assert steps > 2 and got[band].pi_target == pytest.approx(pi, abs=1e-9) and got[band].pi_source == pytest.approx(start) and got[band].rows == 400
+        assert abs(new - got[band].pi_target) < tolerance                                    # one more step changes nothing
