@@ -112,45 +112,46 @@ def cross_validated_calibration(df: DataFrame, fold: str, y: str, score: str, fo
 def leave_one_out_platt(df: DataFrame, row: str, y: str, score: str, ridge: float = 1.0, steps: int = 8, block: int = 4000) -> DataFrame:
     """row, y, p_loo: each row's probability from a ridge logistic fit to all other rows.
 
-    Newton's method runs for all held rows at once.  In every step blocks of held rows meet blocks of
-    training rows as small matrices and only five sums per held row leave a task; the held row's own term
-    is taken out of the sums.
+    Rows with the same score and label have the same fit, so distinct (score, label) pairs with their counts stand for
+    them: one held fit per pair, and the work follows the distinct values.  Newton's method runs for all held pairs at
+    once; in every step blocks of held pairs meet blocks of training pairs as small matrices and only five sums per held
+    pair leave a task.  One row's own term is taken out of the sums.
     """
-    base = df.select(row, F.col(y).cast("double").alias("_y"), logit(score).alias("_x"))
-    n = base.count()
-    k = max(1, math.ceil(n / block))
-    part = lambda d, name: d.withColumn(name, F.pmod(F.xxhash64(row), F.lit(k)))
-    base = materialise(part(base, "_c"))
-    meet = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    train = base.select(F.col("_c").alias("_t"), "_x", "_y").withColumn("_h", meet)
-    held = base.select(row, "_x", "_y", F.col("_c").alias("_h"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    types = dict(df.dtypes)
+    rows = df.select(row, F.col(y).cast("double").alias("_y"), logit(score).alias("_x"))
+    base = materialise(rows.groupBy("_x", "_y").agg(F.count("*").cast("double").alias("_n")).withColumn("_id", F.xxhash64("_x", "_y")))
+    k = max(1, math.ceil(base.count() / block))
+    base = base.withColumn("_c", F.pmod("_id", F.lit(k)))
+    meet = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    train = base.select(F.col("_c").alias("_t"), "_x", "_y", "_n").withColumn("_h", meet)
+    held = base.select("_id", "_x", "_y", F.col("_c").alias("_h"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
 
     def sums(h: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if h.empty or t.empty:
-            return pd.DataFrame({row: h[row][:0], "g0": [], "g1": [], "h00": [], "h01": [], "h11": []})
-        x, yy = t["_x"].to_numpy(), t["_y"].to_numpy()
+            return pd.DataFrame({"_id": h["_id"][:0], "g0": [], "g1": [], "h00": [], "h01": [], "h11": []})
+        x, yy, n = (t[c].to_numpy() for c in ("_x", "_y", "_n"))
         out = {c: [] for c in ("g0", "g1", "h00", "h01", "h11")}
         a, b = h["a"].to_numpy(), h["b"].to_numpy()
         for i in range(0, len(h), 500):
             p = 1 / (1 + np.exp(-(a[i:i + 500, None] * x[None] + b[i:i + 500, None])))
-            r, w = p - yy[None], p * (1 - p)
+            r, w = n * (p - yy[None]), n * p * (1 - p)
             for c, v in (("g0", r), ("g1", r * x), ("h00", w), ("h01", w * x), ("h11", w * x * x)):
                 out[c].append(v.sum(1))
-        return pd.DataFrame({row: h[row].to_numpy(), **{c: np.concatenate(v) for c, v in out.items()}})
+        return pd.DataFrame({"_id": h["_id"].to_numpy(), **{c: np.concatenate(v) for c, v in out.items()}})
 
-    schema = f"{row} {types[row]}, g0 double, g1 double, h00 double, h01 double, h11 double"
+    schema = "_id long, g0 double, g1 double, h00 double, h01 double, h11 double"
     for _ in range(steps):
         left = held.withColumn("_t", meet)
         got = left.groupBy("_h", "_t").cogroup(train.groupBy("_h", "_t")).applyInPandas(sums, schema)
-        g = held.join(got.groupBy(row).agg(*[F.sum(c).alias(c) for c in ("g0", "g1", "h00", "h01", "h11")]), row)
+        g = held.join(got.groupBy("_id").agg(*[F.sum(c).alias(c) for c in ("g0", "g1", "h00", "h01", "h11")]), "_id")
         p = sigmoid(F.col("a") * F.col("_x") + F.col("b"))
         r, w, x = p - F.col("_y"), p * (1 - p), F.col("_x")
         g0, g1 = F.col("g0") - r, F.col("g1") - r * x + ridge * F.col("a")
         h00, h01, h11 = F.col("h00") - w, F.col("h01") - w * x, F.col("h11") - w * x * x + ridge
         det = h00 * h11 - h01 * h01
-        held = materialise(g.select(row, "_x", "_y", "_h", (F.col("a") - (h00 * g1 - h01 * g0) / det).alias("a"), (F.col("b") - (h11 * g0 - h01 * g1) / det).alias("b")))
-    return held.select(row, F.col("_y").alias("y"), sigmoid(F.col("a") * F.col("_x") + F.col("b")).alias("p_loo"))
+        held = materialise(g.select("_id", "_x", "_y", "_h", (F.col("a") - (h00 * g1 - h01 * g0) / det).alias("a"), (F.col("b") - (h11 * g0 - h01 * g1) / det).alias("b")))
+    fits = held.select(F.col("_x").alias("_hx"), F.col("_y").alias("_hy"), sigmoid(F.col("a") * F.col("_x") + F.col("b")).alias("p_loo"))
+    same = F.col("_x").eqNullSafe(F.col("_hx")) & F.col("_y").eqNullSafe(F.col("_hy"))
+    return rows.join(fits, same).select(row, F.col("_y").alias("y"), "p_loo")
 
 
 def log_score_against_base(loo: DataFrame, y: str = "y", p: str = "p_loo") -> DataFrame:
@@ -292,6 +293,76 @@ def visit_information(binned: DataFrame, visit: str, x: str, signal: str, sigma:
     return binned.groupBy(visit).applyInPandas(fit, f"{visit} {types[visit]}, points long, info_white double, info_correlated double")
 
 
+LOG_AMPLITUDES, GRID = (-4.5, 0.0), 361     # fixed values: range of the logarithm of the amplitude, points of its profile
+
+
+class NoiseProfile:
+    """Likelihood of residuals under base + amplitude^2 x shape, for any amplitude at the cost of a sum.
+
+    With base = L L', the eigenvectors of L^-1 shape L'^-1 turn the residuals into independent terms whose variances
+    are 1 + amplitude^2 x eigenvalue, whatever the amplitude.
+    """
+
+    def __init__(self, residual: np.ndarray, base: np.ndarray, shape: np.ndarray):
+        n = len(residual)
+        low = np.linalg.cholesky(base + 1e-9 * np.eye(n))
+        inner = np.linalg.solve(low, np.linalg.solve(low, shape).T)
+        self.eigen, turn = np.linalg.eigh((inner + inner.T) / 2)
+        self.eigen = np.maximum(self.eigen, 0.0)
+        self.z2 = (turn.T @ np.linalg.solve(low, residual)) ** 2
+        self.constant = -np.log(np.diag(low)).sum() - 0.5 * n * math.log(2 * math.pi)
+
+    def log_likelihood(self, log10_amplitude) -> np.ndarray:
+        """At one or many logarithms of the amplitude; minus infinity is an amplitude of zero."""
+        v = 1 + np.multiply.outer(10.0 ** (2 * np.asarray(log10_amplitude, float)), self.eigen)
+        return self.constant - 0.5 * (self.z2 / v + np.log(v)).sum(axis=-1)
+
+    def best(self, bounds: tuple[float, float] = LOG_AMPLITUDES, steps: int = GRID) -> tuple[float, float, float, float, float]:
+        """(log10 amplitude, lnL there, lnL without, low, high): where the likelihood stays within 0.5 of its best.
+
+        The amplitude is 0 (minus infinity) where none improves on it; low is minus infinity where the range's start is inside.
+        """
+        grid = np.linspace(*bounds, steps)
+        profile = self.log_likelihood(grid)
+        i = int(profile.argmax())
+        lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, steps - 1)]
+        for _ in range(60):                      # the peak is single inside one cell
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (a, hi) if self.log_likelihood(a) < self.log_likelihood(b) else (lo, b)
+        at, none = (lo + hi) / 2, float(self.log_likelihood(-np.inf))
+        top = float(self.log_likelihood(at))
+        if top <= none:
+            at, top = -np.inf, none
+        inside = grid[profile >= top - 0.5]
+        if not len(inside):
+            return at, top, none, -np.inf, -np.inf
+        return at, top, none, -np.inf if inside[0] <= bounds[0] + 1e-9 else float(inside[0]), float(inside[-1])
+
+
+def amplitude_profile(points: DataFrame, visit: str, x: str, y: str, sigma: str, level: str, templates: dict[str, float], offset_sd: float, length: float,
+                      weight: str | None = None, bounds: tuple[float, float] = LOG_AMPLITUDES, steps: int = GRID) -> DataFrame:
+    """visit, points, log10_amplitude, lnl, lnl_none, low, high: noise correlated over `length` in x, fitted to each visit.
+
+    The base noise is sigma plus the templates (columns, with the prior deviation of their amplitudes, in units of
+    `level`) and a free offset; the correlated part follows `level` and, where given, the column `weight`.  A visit is
+    a fixed grid of at most a few hundred rows, so it is one small eigenproblem.
+    """
+    types = dict(points.dtypes)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(x)
+        t, d = p[x].to_numpy(float), p[level].to_numpy(float)
+        basis = np.column_stack([*[d * p[c].to_numpy(float) for c in templates], np.ones(len(p))])
+        prior = np.array([*templates.values(), offset_sd]) ** 2
+        base = np.diag(p[sigma].to_numpy(float) ** 2) + (basis * prior) @ basis.T
+        w = d * (p[weight].to_numpy(float) if weight else 1.0)
+        shape = np.outer(w, w) * np.exp(-0.5 * ((t[:, None] - t[None]) / length) ** 2)
+        found = NoiseProfile(p[y].to_numpy(float) - d, base, shape).best(bounds, steps)
+        return pd.DataFrame([(p[visit].iloc[0], len(p), *found)], columns=[visit, "points", "log10_amplitude", "lnl", "lnl_none", "low", "high"])
+
+    return points.groupBy(visit).applyInPandas(fit, f"{visit} {types[visit]}, points long, log10_amplitude double, lnl double, lnl_none double, low double, high double")
+
+
 def joint_information(points: DataFrame, keys: Sequence[str], signal: str, weight: str) -> DataFrame:
     """Squared signal-to-noise with one free offset, from weighted sums."""
     w, s = F.col(weight), F.col(signal)

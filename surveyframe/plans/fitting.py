@@ -60,6 +60,14 @@ def _(t):
     return ML.visit_information(b, "user_id", "bin", "signal", "unc", ["slope"], 0.1, 2.0)
 
 
+@query("amplitude_profile", "M19")
+def _(t):
+    """Correlated noise of every user's binned series about its mean, with the interval where the likelihood falls by a half."""
+    b = binned(t).filter("unc > 0").withColumn("spot", F.col("bin") / 24.0 - 0.5).withColumn("x", F.ln(F.col("bin") + 1.0))
+    level = b.groupBy("user_id").agg((F.sum(F.col("depth") / F.pow("unc", 2)) / F.sum(1 / F.pow("unc", 2))).alias("level"))
+    return ML.amplitude_profile(salted_join(b, level, ["user_id"]), "user_id", "x", "depth", "unc", "level", {"spot": 0.3}, 50.0, 0.3, "spot")
+
+
 @query("offset_free_information", "M19", """with e as (select user_id, sin(value) as s, 1 / power(0.1::double + 0.01::double * value, 2) as w from events), g as (select user_id, sum(w) as w, sum(w * s) as ws, sum(w * s * s) as q from e group by 1) select user_id, round(q - ws * ws / w, 5) as information from g""")
 def _(t):
     e = t.events.select("user_id", F.sin("value").alias("s"), (1 / F.pow(0.1 + 0.01 * F.col("value"), 2)).alias("w"))

@@ -246,6 +246,7 @@ def test_success_distribution_against_convolution(spark):
 def test_leave_one_out_platt_against_brute_force(spark):
     rng = np.random.default_rng(3)
     s, y = rng.uniform(0.05, 0.95, 25), rng.integers(0, 2, 25)
+    s[10:14], s[14:17] = s[3], s[4]                       # rows with the same score, and some with the same label too
     fit_rows = lambda lab: [(i, int(b), float(a)) for i, (a, b) in enumerate(zip(s, lab))]
     run = lambda lab, block: [r.p_loo for r in ML.leave_one_out_platt(spark.createDataFrame(fit_rows(lab), "id long, y int, s double"), "id", "y", "s", block=block).orderBy("id").collect()]
     got = run(y, 4000)
@@ -264,6 +265,44 @@ def test_leave_one_out_platt_against_brute_force(spark):
     assert run(flipped, 10)[0] == pytest.approx(got[0], abs=1e-9)
 
 
+def dense_log_likelihood(r, c):
+    low = np.linalg.cholesky(c)
+    z = np.linalg.solve(low, r)
+    return -0.5 * z @ z - np.log(np.diag(low)).sum() - 0.5 * len(r) * np.log(2 * np.pi)
+
+
+def test_amplitude_profiles_against_dense_likelihoods(spark):
+    rng, rows = np.random.default_rng(4), []
+    n, length = 40, 0.2
+    x = np.sort(rng.uniform(0, 1, n))
+    spot, kernel = 1 + 0.3 * np.sin(3 * x), np.exp(-0.5 * ((x[:, None] - x[None]) / length) ** 2)
+    want = {}
+    for visit, amplitude in enumerate((0.0, 0.02, 0.1)):
+        level, sigma = 10.0, rng.uniform(0.05, 0.15, n)
+        shape = np.outer(level * spot, level * spot) * kernel
+        y = level + rng.multivariate_normal(np.zeros(n), np.diag(sigma ** 2) + amplitude ** 2 * shape)
+        b = np.column_stack([level * spot, np.ones(n)])
+        base = np.diag(sigma ** 2) + (b * np.array([0.01, 0.5]) ** 2) @ b.T
+        grid = np.linspace(-4.5, 0.0, 361)
+        profile = np.array([dense_log_likelihood(y - level, base + 10 ** (2 * a) * shape + 1e-9 * np.eye(n)) for a in grid])
+        fast = ML.NoiseProfile(y - level, base, shape)
+        assert np.allclose(fast.log_likelihood(grid), profile, atol=1e-5)
+        want[visit] = grid, profile, dense_log_likelihood(y - level, base + 1e-9 * np.eye(n))
+        rows += [(visit, float(a), float(v), float(e), level, float(w)) for a, v, e, w in zip(x, y, sigma, spot)]
+    df = spark.createDataFrame(rows, "visit long, x double, y double, s double, d double, spot double").repartition(3)
+    got = {r.visit: r for r in ML.amplitude_profile(df, "visit", "x", "y", "s", "d", {"spot": 0.01}, 0.5, length, "spot").collect()}
+    for visit, (grid, profile, none) in want.items():
+        r = got[visit]
+        assert r.points == n and r.lnl_none == pytest.approx(none, abs=1e-5) and r.lnl >= max(profile.max(), none) - 1e-5
+        if r.lnl > none + 1e-9:
+            assert abs(r.log10_amplitude - grid[profile.argmax()]) <= grid[1] - grid[0] and r.lnl - profile.max() < 0.01
+        else:
+            assert r.log10_amplitude == -math.inf
+        inside = grid[profile >= r.lnl - 0.5]
+        assert r.high == pytest.approx(inside[-1]) and (r.low == -math.inf if inside[0] <= -4.5 else r.low == pytest.approx(inside[0]))
+    assert got[2].low > -2 and abs(got[2].log10_amplitude + 1) < 0.4
+
+
 def test_information_and_projection():
     rng = np.random.default_rng(1)
     t = np.linspace(0, 1, 60)
