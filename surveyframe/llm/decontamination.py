@@ -4,17 +4,19 @@ Texts and benchmark items become sequences of words (letters and digits, lower-c
 an item of n words when some stretch of it is at most n * MAX_EDIT_PERCENT / 100 word edits from the item.
 
 1. Windows.  A window starts at every word.  It can only match an item of a size class if enough of the word pairs in
-   it are word pairs of items (an edit destroys two pairs at most), which running sums over a bit table of the
-   items' pairs tell for all starts at once; this bound is exact and drops no match.
+   it are word pairs of items (an edit destroys two pairs at most, and a window may hold all edits that the largest
+   item of the class allows), which running sums over a bit table of the items' pairs tell for all starts at once;
+   this bound is exact and drops no match.  Items below MIN_WORDS words allow no edit: their whole hash is the sample.
 2. Embedding.  A walk over the window emits its current word at every step and then moves on or stays, as a random
    function of step and word says.  Edits delay one walk against the other for a few steps only, so that a small edit
    distance becomes a small Hamming distance of the emitted words.
-3. Bit sampling.  Each of REPEATS walks is read at SAMPLES random steps within the size class; equal samples of a
-   window and an item make a candidate.  Signatures meet in a join, so the benchmark may have any size.
+3. Bit sampling.  Each of several walks is read at SAMPLES random steps within the size class; equal samples of a
+   window and an item make a candidate.  The number of walks of a class is the least that brings simulated items at the
+   edit limit to TARGET_RECALL.  Signatures meet in a join, so the benchmark may have any size.
 4. Neighbouring candidate windows form one stretch of the text, in which the item is aligned exactly with free ends.
 
-Defined cases: NULL and wordless texts contain nothing; items that are NULL or have fewer than `min_words` words can
-not be told from ordinary phrases and match nothing; repeated items and rows count each; an empty table on either side
+Defined cases: NULL and wordless texts contain nothing; items that are NULL or have no word match nothing, those
+of up to four words match where they stand unchanged; repeated items and rows count each; an empty table on either side
 gives uncontaminated rows or none; other columns are ignored by `find_leaks` and kept by `clean`.
 """
 
@@ -29,19 +31,44 @@ from pyspark.sql import types as T
 from .common import LETTER, arrow_map, free_name, mix, need, row_keys, row_slices, stored, text_buffer, word_hashes
 
 MAX_EDIT_PERCENT, MIN_WORDS = 20, 5
-REPEATS, SAMPLES, SLACK = 24, 3, 3
+SAMPLES, SLACK = 3, 3
+TARGET_RECALL, TRIALS, WALKS = 0.98, 800, (16, 24, 32, 40, 48, 56, 64, 80, 96, 128, 192, 256)
 PAIR_BITS, KEY_BITS = 22, 24
 _SEED = 0x2545F4914F6CDD1D
 
 
 def size_class(n: int) -> int:
-    """The smallest item size of the class of n; classes grow by about a third."""
+    """The smallest item size of the class of n; classes grow by about a third, below MIN_WORDS each size is its own."""
+    if n < MIN_WORDS:
+        return n
     low = MIN_WORDS
     while low * 4 // 3 + 1 <= n:
         low = low * 4 // 3 + 1
     return low
 
 
+def most_edits(low: int) -> int:
+    """Edits that the largest item of a class allows."""
+    high = low if low < MIN_WORDS else low * 4 // 3
+    return high * MAX_EDIT_PERCENT // 100
+
+
+def walks_of(low: int, target: float = TARGET_RECALL) -> int:
+    """The least number of walks that makes `target` of simulated items of the class, edited up to the limit, candidates."""
+    if low < MIN_WORDS:
+        return 1
+    rng = np.random.default_rng(low)
+    n, gap = low * 4 // 3, 2 * low + 2
+    items = np.zeros((TRIALS, n + gap), np.uint64)
+    items[:, :n] = rng.integers(1, 1 << 62, (TRIALS, n))
+    copies = items.copy()
+    for row in copies:
+        row[rng.choice(n, most_edits(low), replace=False)] = rng.integers(1, 1 << 62, most_edits(low)).astype(np.uint64)
+    starts = np.arange(TRIALS) * (n + gap)
+    found = signatures(items.ravel(), starts, low, WALKS[-1]) == signatures(copies.ravel(), starts, low, WALKS[-1])
+    return next((w for w in WALKS if found[:, :w].any(axis=1).mean() >= target), WALKS[-1])
+
+
 def _words(column: pa.Array):
     """Word hashes of row slices: (first row, words, index of each row's first word)."""
     data, off = text_buffer(column, lower=True)
@@ -60,11 +87,16 @@ def _steps(low: int, repeat: int) -> np.ndarray:
     return np.sort(rng.choice(np.arange(2 * low - 2), SAMPLES, replace=False))
 
 
-def signatures(words: np.ndarray, starts: np.ndarray, low: int) -> np.ndarray:
-    """len(starts) x REPEATS hashes of the sampled steps of the walks from each start; words past the end are 0."""
+def signatures(words: np.ndarray, starts: np.ndarray, low: int, walks: int) -> np.ndarray:
+    """len(starts) x walks hashes of the sampled steps of the walks from each start; words past the end are 0."""
     padded = np.concatenate((words, np.zeros(2 * low + 2, np.uint64)))
-    out = np.empty((len(starts), REPEATS), np.uint64)
-    for r in range(REPEATS):
+    out = np.empty((len(starts), walks), np.uint64)
+    if low < MIN_WORDS:
+        out[:, 0] = mix(np.array([low], np.uint64))[0]
+        for i in range(low):
+            out[:, 0] = mix(out[:, 0] * np.uint64(3) + padded[starts + i])
+        return out
+    for r in range(walks):
         at, steps = starts.copy(), _steps(low, r)
         key = np.full(len(starts), mix(np.array([low * 1000 + r + 1], np.uint64))[0], np.uint64)
         for step in range(int(steps[-1]) + 1):
@@ -79,16 +111,27 @@ def signatures(words: np.ndarray, starts: np.ndarray, low: int) -> np.ndarray:
 
 # ---- benchmark --------------------------------------------------------------------------------------
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words of every item that is long enough, its size class and its signatures."""
+def _classes(benchmark: DataFrame) -> dict[int, int]:
+    """Walks of every size class that the benchmark has items of; the classes grow with the logarithm of the sizes."""
+
+    def run(b: pa.RecordBatch):
+        for _, _, first in _words(b.column("text")):
+            yield {"low": np.array(sorted({size_class(int(n)) for n in np.diff(first) if n > 0}), np.int32)}
+
+    lows = arrow_map(need(benchmark, "text"), run, "low int").distinct().collect()
+    return {low: walks_of(low) for low in sorted(r[0] for r in lows)}
+
+
+def _items(benchmark: DataFrame, walks: dict[int, int]) -> DataFrame:
+    """item_id and words of every item, its size class and its signatures."""
 
     def run(b: pa.RecordBatch):
         text, ids = b.column("text"), b.column("item_id")
         for lo, words, first in _words(text):
-            rows = [i for i in range(len(first) - 1) if first[i + 1] - first[i] >= MIN_WORDS]
+            rows = [i for i in range(len(first) - 1) if first[i + 1] > first[i]]
             seqs = [words[first[i]:first[i + 1]] for i in rows]
             low = [size_class(len(s)) for s in seqs]
-            sigs = [signatures(s, np.zeros(1, np.int64), c)[0].view(np.int64).tolist() for s, c in zip(seqs, low)]
+            sigs = [signatures(s, np.zeros(1, np.int64), c, walks[c])[0].view(np.int64).tolist() for s, c in zip(seqs, low)]
             yield {"item_id": ids.take(pa.array([lo + i for i in rows], pa.int64())), "low": low, "words": [s.view(np.int64).tolist() for s in seqs], "sigs": sigs}
 
     return arrow_map(need(benchmark, "item_id", "text"), run, T.StructType([
@@ -114,7 +157,7 @@ def _get(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _windows(words: np.ndarray, first: np.ndarray, pair_table: np.ndarray, low: int) -> np.ndarray:
     """Starts whose window has enough item pairs for an item of the class of `low`, at any allowed edit distance."""
     n = len(words)
-    most = low * MAX_EDIT_PERCENT // 100
+    most = most_edits(low)
     wanted = low - 1 - 2 * most
     hits = np.zeros(n + 1, np.int32)
     if n > 1:
@@ -125,7 +168,7 @@ def _windows(words: np.ndarray, first: np.ndarray, pair_table: np.ndarray, low:
     start = np.arange(n)
     reach = np.minimum(start + low + most, np.repeat(first[1:], np.diff(first)))
     last = np.maximum(reach - 1, start)
-    return start[(hits[last] - hits[start] >= max(wanted, 1)) & (reach - start >= low - most)]
+    return start[(hits[last] - hits[start] >= max(wanted, int(low > 1))) & (reach - start >= low - most)]
 
 
 def _clusters(starts: np.ndarray, keys: np.ndarray, first: np.ndarray, low: int):
@@ -147,18 +190,18 @@ def _clusters(starts: np.ndarray, keys: np.ndarray, first: np.ndarray, low: int)
         yield int(r), max(int(lo[g]) - SLACK, int(first[r])), min(int(hi[g]) + 2 * low + SLACK, int(first[r + 1])), np.unique(keys[order[cut[g]:cut[g + 1]]])
 
 
-def _candidates(docs: DataFrame, lows: list[int], pair_table: np.ndarray, key_table: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, walks: dict[int, int], pair_table: np.ndarray, key_table: np.ndarray) -> DataFrame:
     """Row keys, place and words of every stretch of windows whose signatures some item has, with those signatures."""
 
     def run(b: pa.RecordBatch):
         r1, r2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("r1", "r2"))
         for lo, words, first in _words(b.column("text")):
             out = {c: [] for c in ("r1", "r2", "at", "sigs", "around")}
-            for low in lows:
+            for low, n_walks in walks.items():
                 starts = _windows(words, first, pair_table, low)
                 hits = []
                 for part in np.array_split(starts, max(1, len(starts) // 8192)):
-                    sig = signatures(words, part, low)
+                    sig = signatures(words, part, low, n_walks)
                     # The walk may run past its row's end there; such samples differ from every item's, as they should.
                     hit = _get(key_table, (sig >> np.uint64(64 - KEY_BITS)).astype(np.int64).ravel()).reshape(sig.shape).astype(bool)
                     i, j = np.nonzero(hit)
@@ -194,7 +237,8 @@ def free_end_distance(item: list, text: list) -> int:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """r1, r2 (hashes of doc_id and text), item_id and edits, one row for each item found in a text."""
-    items = stored(_items(benchmark))
+    walks = _classes(benchmark)
+    items = stored(_items(benchmark, walks))
     pair_schema = "pair long"
 
     def item_pairs(b: pa.RecordBatch):
@@ -204,9 +248,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pair_table = _bits(arrow_map(items.select("words"), item_pairs, pair_schema), "pair", PAIR_BITS)
     sigs = items.select("item_id", F.explode("sigs").alias("sig"))
     key_table = _bits(sigs.select(F.shiftrightunsigned("sig", 64 - KEY_BITS).alias("key")), "key", KEY_BITS)
-    lows = sorted(r[0] for r in items.select("low").distinct().collect())      # a few size classes
     keyed = need(docs, "doc_id", "text").select(*row_keys(), "text")
-    found = _candidates(keyed, lows, pair_table, key_table)
+    found = _candidates(keyed, walks, pair_table, key_table)
     met = found.select("r1", "r2", "at", "around", F.explode("sigs").alias("sig")).join(sigs, "sig")
     met = met.groupBy("r1", "r2", "at", "item_id").agg(F.first("around").alias("around"))
     pairs = met.join(items.select(F.col("item_id").alias("_i"), "words"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i", "at")
