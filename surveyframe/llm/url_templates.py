@@ -3,7 +3,8 @@
 A url's host and path give a branch of a tree per host.  Segments that look like values (numbers, hex strings, uuids,
 dates, very long words) become wildcards by form; then, level by level from the root, the children of a node become one
 wildcard where they are many and mostly seen once, or where their labelled shares of bad pages do not differ
-(two-proportion test against the pooled share).  What is left is a small table of templates per host, on which all of
+(two-proportion test against the pooled share).  A branch goes down as deep as its path until nothing else shares its
+node.  What is left is a small table of templates per host, on which all of
 this runs; pages meet it once, spread over SALTS tasks per template.
 
 A template's purity is its share of bad labels, smoothed towards its host's, which is smoothed towards all pages'; a
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import need, stored
 
-MAX_DEPTH, SALTS = 6, 16
+SALTS = 16
 MANY_CHILDREN, ROWS_PER_CHILD = 8, 3
 DIFFER_Z, PRIOR, BLOCK_ABOVE = 1.96, 8.0, 0.5
 #: Rules of the contract: verdict, host, path.
@@ -59,7 +60,7 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 
 def form_template(path: Column) -> Column:
-    """Segments of a path with values replaced by their form; deeper ones become one "{rest}"."""
+    """Segments of a path with values replaced by their form."""
 
     def form(x: Column) -> Column:
         out = x
@@ -68,8 +69,7 @@ def form_template(path: Column) -> Column:
         return out
 
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    kept = F.transform(F.slice(parts, 1, MAX_DEPTH), form)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(kept, F.array(F.lit("{rest}")))).otherwise(kept)
+    return F.transform(parts, form)
 
 
 def _generalise(t: DataFrame, depth: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _generalise(t: DataFrame, depth: int) -> DataFrame:
     thin = (F.col("kids") >= MANY_CHILDREN) & (F.col("rows") < ROWS_PER_CHILD * F.col("kids"))
     merge = k.filter(F.col("seg").rlike(r"^\{") == F.lit(False)).filter(thin | ((F.col("kids") > 1) & alike)).select("host", "stem", "seg", F.lit(True).alias("merge"))
     out = t.join(merge, ["host", "stem", "seg"], "left")
-    changed = F.concat(F.slice("made", 1, depth) if depth else F.array().cast("array<string>"), F.array(F.lit("{any}")), F.slice("made", depth + 2, MAX_DEPTH + 1))
+    changed = F.concat(F.slice("made", 1, depth) if depth else F.array().cast("array<string>"), F.array(F.lit("{any}")), F.slice("made", F.lit(depth + 2), F.greatest(F.size("made") - depth - 1, F.lit(0))))
     return out.withColumn("made", F.when(F.col("merge"), changed).otherwise(F.col("made"))).drop("stem", "seg", "merge")
 
 
@@ -103,10 +103,15 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("is_bad"))
     seen = pages.join(known, pages["page_id"] == known["doc_id"], "left")
     t = seen.groupBy("host", "forms").agg(F.count("*").alias("n"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
-    t = stored(t.withColumn("made", F.split("forms", "/")))
-    for depth in range(t.agg(F.max(F.size("made"))).first()[0] or 0):      # at most MAX_DEPTH + 1
-        t = _generalise(t, depth)
-    t = stored(t.withColumn("template", F.array_join("made", "/")))
+    live, done, depth = stored(t.withColumn("made", F.split("forms", "/"))), None, 0
+    while not live.isEmpty():       # a branch is done where its path ends or nothing else shares its node
+        t = _generalise(live, depth).withColumn("_node", F.array_join(F.slice("made", 1, depth + 1), "/"))
+        alone = t.groupBy("host", "_node").agg(F.count("*").alias("_branches")).withColumnRenamed("host", "_host").withColumnRenamed("_node", "_key")
+        t = stored(t.join(alone, (F.col("host") == F.col("_host")) & (F.col("_node") == F.col("_key"))).withColumn("_done", (F.size("made") <= depth + 1) | (F.col("_branches") == 1)))
+        ended = t.filter("_done").drop("_node", "_host", "_key", "_branches", "_done")
+        done = ended if done is None else done.unionByName(ended)
+        live, depth = t.filter("not _done").drop("_node", "_host", "_key", "_branches", "_done"), depth + 1
+    t = (live if done is None else done).withColumn("template", F.array_join("made", "/"))
     one = t.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     hosts = one.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
     every = hosts.agg(F.struct(F.coalesce(F.sum("hl"), F.lit(0)).alias("l"), F.coalesce(F.sum("hb"), F.lit(0)).alias("b")).alias("s")).scalar()
