@@ -265,6 +265,32 @@ def test_leave_one_out_platt_against_brute_force(spark):
     assert run(flipped, 10)[0] == pytest.approx(got[0], abs=1e-9)
 
 
+def test_every_held_object_has_a_fit_without_it(spark):
+    """Against a plain Newton fit per object; objects come from the data, NULL among them, features may be missing."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(240):
+        o = ("a", "b", "c", None)[i % 4]
+        d = ("a", "b", "c", None)[rng.integers(4)] if rng.random() < 0.2 else o
+        x1, x2 = rng.normal(), rng.normal(3, 2)
+        rows.append((i, o, d, int(rng.random() < 1 / (1 + np.exp(-(1.5 * x1 - 0.4 * (x2 - 3))))), float(x1), None if i % 11 == 0 else float(x2)))
+    schema = "id long, obj string, donor string, y int, x1 double, x2 double"
+    got = ML.held_out_scores(spark.createDataFrame(rows, schema).repartition(3), "obj", "obj", "donor", ["x1", "x2"], "y").collect()
+    assert len(got) == 240
+    for o in ("a", "b", "c", None):
+        train = [r for r in rows if r[1] != o and r[2] != o]
+        fill = np.mean([r[5] for r in train if r[5] is not None])
+        z = lambda rs: np.array([[1, r[4], fill if r[5] is None else r[5]] for r in rs])  # noqa: B023,E731
+        w, t = np.zeros(3), np.array([r[3] for r in train])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-z(train) @ w))
+            w -= np.linalg.solve((z(train) * (p * (1 - p))[:, None]).T @ z(train), z(train).T @ (p - t))
+        want = sorted(1 / (1 + np.exp(-z([r for r in rows if r[1] == o]) @ w)))
+        assert np.allclose(sorted(r.score for r in got if r.held == o), want, atol=1e-5)
+    one = spark.createDataFrame([(1, "a", "a", 1, 0.1, 0.2), (2, "b", "b", 0, 0.3, 0.1)], schema)
+    assert {r.held: r.score for r in ML.held_out_scores(one, "obj", "obj", "donor", ["x1", "x2"], "y").collect()} == {"a": 0.0, "b": 1.0}
+    assert ML.held_out_scores(one.filter("id > 5"), "obj", "obj", "donor", ["x1"], "y").collect() == []
+
+
 def dense_log_likelihood(r, c):
     low = np.linalg.cholesky(c)
     z = np.linalg.solve(low, r)
