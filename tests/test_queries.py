@@ -16,7 +16,7 @@ from surveyframe.plans.registry import Tables, load_all  # noqa: E402
 SF = "/root/testdata/sf0.001"
 ALL = load_all()
 SHORT = ["class_balance", "signal_twins", "ordered_dedup", "tie_break_stages", "exclusion_merge", "normalised_name_join", "grid_comparison", "roc_auc", "precision_at_recall",
-         "threshold_sweep", "cluster_bootstrap_auc", "global_median_view", "sibling_removal", "band_statistic", "shape_features", "planet_probabilities", "posterior_weights",
+         "threshold_sweep", "cluster_bootstrap_auc", "global_median_view", "sibling_removal", "band_statistic", "shape_features", "smoothed_series", "label_shift_rates", "posterior_weights",
          "derived_column_fit", "failure_runs", "evidence_sentences", "knn_separability", "early_late_update"]
 SPLIT = ["segment_stitch", "quota_sample", "linear_lookup", "signal_families", "average_precision", "spearman", "kolmogorov_smirnov", "scatter_over_error", "weighted_quantiles",
          "percentile_in_reference", "started_sessions"]
