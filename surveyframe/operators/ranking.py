@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import clip, std_normal, uniform
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, null_safe_join, salted_join
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, null_safe_join, salted_join, spread
 
 
 def sorted_positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -176,7 +176,8 @@ def _meetings(objects: DataFrame, key: str, margin: str, magma: str, y: str | No
     rows = materialise(rows)
     blocks = max(1, -(-rows.count() // ROWS_PER_BLOCK))
     every = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))).alias("dblock")
-    return rows.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), every)
+    met = rows.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), every)
+    return spread(met, blocks * -(-draws // DRAWS_PER_BLOCK), "block", "dblock")
 
 
 def _numbered(rows: pd.DataFrame) -> pd.DataFrame:

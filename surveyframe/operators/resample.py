@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from surveyframe.functions.basics import uniform
 from surveyframe.functions.stats import prior_shift
 from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, salted_join
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, salted_join, spread
 
 REPLICATES = 2000  # fixed value: replicates per interval in use; tests and queries pass fewer
 
@@ -172,7 +172,8 @@ def permutation_p(df: DataFrame, y: str, score: str, permutations: int = PERMUTA
     state = spark.range(chunks, numPartitions=min(chunks, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(start, "node long, chunk long, pos binary")
     for i in range(len(levels) - 1, -1, -1):
         kids = levels[i].groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("id", "n", "rank"))).alias("kids"))
-        met = state.join(kids, F.col("node") == F.col("parent")).drop("parent").repartition("node", "chunk")
+        met = state.join(kids, F.col("node") == F.col("parent")).drop("parent")
+        met = spread(met, 1 << 30, "node", "chunk")
         state = met.mapInPandas(pass_on(i), "node long, chunk long, pos binary") if i else met.mapInPandas(add_up, "b long, s double")
     sums = state.groupBy("b").agg(F.sum("s").alias("s"))
     n0 = rows - n1

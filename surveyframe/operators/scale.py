@@ -41,6 +41,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, pieces: int, *columns: str) -> DataFrame:
+    """Deal few rows of much work over the cluster: a fixed number of partitions, which Spark does not merge for their small size."""
+    spark = df.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(pieces, most)), *columns)
+
+
 def scalar_of(df: DataFrame, **aggs: Column) -> Column:
     """Global aggregates as one struct column usable inside any projection (a scalar subquery)."""
     return df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("s")).scalar()
