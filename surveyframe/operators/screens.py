@@ -335,6 +335,11 @@ def shuffles(df: DataFrame, column: str, row: str, permutations: int, seed: int,
     return many.join(values.select("_r", name), "_r").drop("_u", "_r")
 
 
+def permuted(df: DataFrame, column: str, row: str, seed: int, name: str) -> DataFrame:
+    """Add `name`: the column in one hashed random order."""
+    return shuffles(df, column, row, 1, seed, name).drop("permutation")
+
+
 def _subsets(n_columns: int, max_k: int) -> list[tuple[int, ...]]:
     import itertools
 
