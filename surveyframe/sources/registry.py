@@ -17,14 +17,15 @@ def registry_problems(registry: DataFrame, excluded: DataFrame | None = None) ->
     upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
                        lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     above = registry.select("path", "role", F.explode(upto).alias("folder")).filter(F.col("folder") != F.col("path"))
-    owners = registry.select(F.col("path").alias("folder"), F.col("role").alias("owner"))
-    nested = above.join(owners, "folder").filter(F.col("owner") != F.col("role")).select(
+    # one row per folder: some owner has another role if the least or the largest role is another
+    owners = registry.groupBy(F.col("path").alias("folder")).agg(F.min("role").alias("least"), F.max("role").alias("largest"))
+    nested = above.join(owners, "folder").filter((F.col("least") != F.col("role")) | (F.col("largest") != F.col("role"))).select(
         "path", F.lit("inside another role's folder").alias("problem"))
     bare = registry.filter(F.coalesce(F.trim("provenance"), F.lit("")) == "").select(
         "path", F.lit("no provenance").alias("problem"))
     out = two_roles.unionByName(nested).unionByName(bare)
     if excluded is not None:
-        banned = excluded.select(F.col("path").alias("folder"))
+        banned = excluded.select(F.col("path").alias("folder")).distinct()
         under = above.select("path", "folder").union(registry.select("path", F.col("path").alias("folder")))
         out = out.unionByName(under.join(banned, "folder").select("path", F.lit("under an excluded folder").alias("problem")))
     return out.distinct()

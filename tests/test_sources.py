@@ -94,6 +94,21 @@ def test_registry_rules(spark):
         R.assert_role(ok, "/root/testdata/sf0.001/nation.parquet", "other")
 
 
+def test_registry_rules_meet_a_folder_once(spark):
+    """Rows that repeat a folder must not multiply: 400 owners of one folder, three roles, and 400 paths below it."""
+    rows = [("d/a", ("x", "y", None)[i % 3], "p") for i in range(400)] + [(f"d/a/{i}", ("x", "y", "z", None)[i % 4], "p") for i in range(400)] + [("d/b", None, "p"), ("d/b/c", "x", "p")]
+    got = R.registry_problems(spark.createDataFrame(rows, "path string, role string, provenance string"))
+    assert {(r.path, r.problem) for r in got.collect()} == {("d/a", "in two roles")} | {(f"d/a/{i}", "inside another role's folder") for i in range(400) if i % 4 != 3}
+    joined, todo = [], [got._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            joined.append(node.metrics().apply("numOutputRows").value())
+        below = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        todo += below
+    assert joined and max(joined) <= 400
+
+
 def test_file_screens(spark):
     d = folder(a__fits=b"SIMPLE  =" + b" " * (2880 - 9), b__fits=b"", c__fits=b"SIMPLE  =" + b" " * 10, d__fits=b"x" * 2880)
     names = spark.createDataFrame([(n,) for n in os.listdir(d)], "name string")
