@@ -109,21 +109,124 @@ def cross_validated_calibration(df: DataFrame, fold: str, y: str, score: str, fo
 
 # ---- leave-one-out fits ----------------------------------------------------------------------------
 
+ORDER, ALLOWED = 5, 1e-10       # terms of the expansion round the full fit; the error of a held row's log odds up to which it is used
+
+
+def _full_platt(base: DataFrame, ridge: float) -> tuple[float, float] | None:
+    """Slope and intercept of the ridge logistic fit to all rows; None where Newton's method does not settle."""
+    a = b = 0.0
+    for _ in range(25):
+        p = sigmoid(a * F.col("_x") + b)
+        r, w, x = F.col("_n") * (p - F.col("_y")), F.col("_n") * p * (1 - p), F.col("_x")
+        g0, g1, h00, h01, h11 = base.agg(*[F.sum(v) for v in (r, r * x, w, w * x, w * x * x)]).first()
+        if g0 is None or not math.isfinite(g0 + g1 + h11) or h00 * (h11 + ridge) - h01 * h01 <= 0:
+            return None
+        g1, h11 = g1 + ridge * a, h11 + ridge
+        det = h00 * h11 - h01 * h01
+        da, db = (h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < 1e-9:
+            return a, b
+    return None
+
+
+def _near_full_fit(base: DataFrame, ridge: float, steps: int) -> DataFrame | None:
+    """_id, _x, _y, a, b, _ok: held fits from the sums of all rows expanded round the full fit, the held row's own term exact.
+
+    One row moves a fit to many others little, so the sums over all rows at its parameters follow from their derivatives
+    at the full fit, a few moments made in one pass.  _ok says that the fit has settled and that the first term left out,
+    bounded by moments too, moves the held row's log odds by less than ALLOWED.
+    """
+    full = _full_platt(base, ridge)
+    if full is None or base.filter(F.col("_x").isNull() | F.col("_y").isNull()).count():
+        return None
+    a0, b0 = full
+    last = ORDER + 1                                  # an even power
+    kinds = [(d, j) for d in range(ORDER + 1) for j in range(d + 2)] + [("x", j) for j in range(last + 3)]
+
+    def moments(frames):
+        total = np.zeros(len(kinds))
+        for f in frames:
+            x, y, n = (f[c].to_numpy() for c in ("_x", "_y", "_n"))
+            p, poly = 1 / (1 + np.exp(-(a0 * x + b0))), np.polynomial.Polynomial([0.0, 1.0])
+            for d in range(ORDER + 1):
+                v = n * (poly(p) - (y if d == 0 else 0.0))
+                for j in range(d + 2):
+                    total[kinds.index((d, j))] += (v * x ** j).sum()
+                poly = poly.deriv() * np.polynomial.Polynomial([0.0, 1.0, -1.0])       # the next derivative by the log odds
+            for j in range(last + 3):
+                total[kinds.index(("x", j))] += (n * x ** j).sum()
+        yield pd.DataFrame({"i": np.arange(len(kinds)), "v": total})
+
+    got = base.mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    m = {kinds[r["i"]]: r["v"] for r in got}
+
+    def at(da, db, derivative, power):
+        out = 0.0
+        for d in range(ORDER + 1 - derivative):
+            for j in range(d + 1):
+                out = out + m[d + derivative, j + power] / (math.factorial(j) * math.factorial(d - j)) * da ** j * db ** (d - j)
+        return out
+
+    def left_out(da, db, power):
+        """The sum of x^power times the change of the log odds to the first power left out, by its factorial; no derivative passes 1."""
+        return sum(m["x", j + power] / (math.factorial(j) * math.factorial(last - j)) * da ** j * db ** (last - j) for j in range(last + 1))
+
+    def fit(frames):
+        for f in frames:
+            x, y = f["_x"].to_numpy(), f["_y"].to_numpy()
+            da, db, moved = np.zeros(len(f)), np.zeros(len(f)), np.full(len(f), np.inf)
+            with np.errstate(all="ignore"):
+                for _ in range(steps):
+                    p = 1 / (1 + np.exp(-((a0 + da) * x + b0 + db)))
+                    r, w = p - y, p * (1 - p)
+                    g0, g1 = at(da, db, 0, 0) - r, at(da, db, 0, 1) - r * x + ridge * (a0 + da)
+                    h00, h01, h11 = at(da, db, 1, 0) - w, at(da, db, 1, 1) - w * x, at(da, db, 1, 2) - w * x * x + ridge
+                    det = h00 * h11 - h01 * h01
+                    sa, sb = (h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det
+                    da, db, moved = da - sa, db - sb, np.abs(sa * x) + np.abs(sb)
+                e0 = left_out(da, db, 0)
+                e1 = (e0 + left_out(da, db, 2)) / 2            # |x| is at most (1 + x^2) / 2
+                error = (np.abs(x) * (h00 * e1 + np.abs(h01) * e0) + h11 * e0 + np.abs(h01) * e1) / det
+                ok = (np.abs(error) <= ALLOWED) & (det > 0) & (moved < ALLOWED)
+            yield pd.DataFrame({"_id": f["_id"], "_x": x, "_y": y, "a": a0 + da, "b": b0 + db, "_ok": ok})
+
+    return base.select("_id", "_x", "_y").mapInPandas(fit, "_id long, _x double, _y double, a double, b double, _ok boolean")
+
+
 def leave_one_out_platt(df: DataFrame, row: str, y: str, score: str, ridge: float = 1.0, steps: int = 8, block: int = 4000) -> DataFrame:
     """row, y, p_loo: each row's probability from a ridge logistic fit to all other rows.
 
     Rows with the same score and label have the same fit, so distinct (score, label) pairs with their counts stand for
     them: one held fit per pair, and the work follows the distinct values.  Newton's method runs for all held pairs at
-    once; in every step blocks of held pairs meet blocks of training pairs as small matrices and only five sums per held
+    once.  Tables beyond a block take the sums over all rows from their expansion round the full fit, so each pair costs
+    a few numbers.  Pairs too far from the full fit for that, and all pairs of small tables, meet every training pair:
+    in every step blocks of held pairs meet blocks of training pairs as small matrices and only five sums per held
     pair leave a task.  One row's own term is taken out of the sums.
     """
     rows = df.select(row, F.col(y).cast("double").alias("_y"), logit(score).alias("_x"))
     base = materialise(rows.groupBy("_x", "_y").agg(F.count("*").cast("double").alias("_n")).withColumn("_id", F.xxhash64("_x", "_y")))
-    k = max(1, math.ceil(base.count() / block))
-    base = base.withColumn("_c", F.pmod("_id", F.lit(k)))
-    meet = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
-    train = base.select(F.col("_c").alias("_t"), "_x", "_y", "_n").withColumn("_h", meet)
-    held = base.select("_id", "_x", "_y", F.col("_c").alias("_h"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    pairs = base.count()
+    near = _near_full_fit(base, ridge, steps) if pairs > block else None
+    if near is None:
+        held = _held_fits(base, base.select("_id", "_x", "_y"), pairs, pairs, ridge, steps, block)
+    else:
+        near = materialise(near)
+        far = near.filter(~F.col("_ok")).count()
+        held = near.filter("_ok").drop("_ok")
+        if far:
+            held = held.unionByName(_held_fits(base, near.filter(~F.col("_ok")).select("_id", "_x", "_y"), pairs, far, ridge, steps, block))
+    fits = held.select(F.col("_x").alias("_hx"), F.col("_y").alias("_hy"), sigmoid(F.col("a") * F.col("_x") + F.col("b")).alias("p_loo"))
+    same = F.col("_x").eqNullSafe(F.col("_hx")) & F.col("_y").eqNullSafe(F.col("_hy"))
+    return rows.join(fits, same).select(row, F.col("_y").alias("y"), "p_loo")
+
+
+def _held_fits(base: DataFrame, pairs: DataFrame, n_base: int, n_pairs: int, ridge: float, steps: int, block: int) -> DataFrame:
+    """_id, _x, _y, a, b of held pairs that meet every training pair of base."""
+    k, kh = (max(1, math.ceil(n / block)) for n in (n_base, n_pairs))
+    meet = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    train = base.select(F.pmod("_id", F.lit(k)).alias("_t"), "_x", "_y", "_n").withColumn("_h", meet(kh))
+    held = pairs.select("_id", "_x", "_y", F.pmod("_id", F.lit(kh)).alias("_h"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
 
     def sums(h: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if h.empty or t.empty:
@@ -140,7 +243,7 @@ def leave_one_out_platt(df: DataFrame, row: str, y: str, score: str, ridge: floa
 
     schema = "_id long, g0 double, g1 double, h00 double, h01 double, h11 double"
     for _ in range(steps):
-        left = held.withColumn("_t", meet)
+        left = held.withColumn("_t", meet(k))
         got = left.groupBy("_h", "_t").cogroup(train.groupBy("_h", "_t")).applyInPandas(sums, schema)
         g = held.join(got.groupBy("_id").agg(*[F.sum(c).alias(c) for c in ("g0", "g1", "h00", "h01", "h11")]), "_id")
         p = sigmoid(F.col("a") * F.col("_x") + F.col("b"))
@@ -149,9 +252,7 @@ def leave_one_out_platt(df: DataFrame, row: str, y: str, score: str, ridge: floa
         h00, h01, h11 = F.col("h00") - w, F.col("h01") - w * x, F.col("h11") - w * x * x + ridge
         det = h00 * h11 - h01 * h01
         held = materialise(g.select("_id", "_x", "_y", "_h", (F.col("a") - (h00 * g1 - h01 * g0) / det).alias("a"), (F.col("b") - (h11 * g0 - h01 * g1) / det).alias("b")))
-    fits = held.select(F.col("_x").alias("_hx"), F.col("_y").alias("_hy"), sigmoid(F.col("a") * F.col("_x") + F.col("b")).alias("p_loo"))
-    same = F.col("_x").eqNullSafe(F.col("_hx")) & F.col("_y").eqNullSafe(F.col("_hy"))
-    return rows.join(fits, same).select(row, F.col("_y").alias("y"), "p_loo")
+    return held.drop("_h")
 
 
 def log_score_against_base(loo: DataFrame, y: str = "y", p: str = "p_loo") -> DataFrame:

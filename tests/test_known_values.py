@@ -265,6 +265,20 @@ def test_leave_one_out_platt_against_brute_force(spark):
     assert run(flipped, 10)[0] == pytest.approx(got[0], abs=1e-9)
 
 
+def test_leave_one_out_platt_meets_no_pairs_near_the_full_fit(spark, monkeypatch):
+    """The expansion round the full fit against the fits of every pair; two rows of great leverage are too far for it."""
+    rng = np.random.default_rng(4)
+    s = np.append(rng.uniform(0.05, 0.95, 1500).round(3), [1e-9, 1 - 1e-9])
+    y = np.append((rng.uniform(size=1500) < 0.3 + 0.5 * s[:1500]).astype(int), [1, 0])
+    df = spark.createDataFrame([(i, int(b), float(a)) for i, (a, b) in enumerate(zip(s, y))], "id long, y int, s double")
+    run = lambda block: {r.id: r.p_loo for r in ML.leave_one_out_platt(df, "id", "y", "s", steps=12, block=block).collect()}
+    want, met, plain = run(4000), [], ML._held_fits
+    monkeypatch.setattr(ML, "_held_fits", lambda base, pairs, n, m, *rest: met.append((n, m)) or plain(base, pairs, n, m, *rest))
+    got = run(200)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(p, abs=1e-10) for i, p in want.items())
+    assert all(m < n / 10 for n, m in met)
+
+
 def test_every_held_object_has_a_fit_without_it(spark):
     """Against a plain Newton fit per object; objects come from the data, NULL among them, features may be missing."""
     rng, rows = np.random.default_rng(5), []
