@@ -1,23 +1,26 @@
 """Cluster bootstrap, paired differences, permutation tests, leave-one-out rates and few-label correction.
 
-Replicates are rows: a hashed draw picks whole groups for every (replicate, slot), the picks collapse to
-weights per (replicate, group), and a statistic is an ordinary weighted aggregate keyed by replicate.
-Rows are reduced to one per (group, label, score) before they meet the replicates.
+A hashed draw picks whole groups for every (replicate, slot), and the picks collapse to weights per (replicate, group).
+Tables whose numbers fit in a task are held there once for a share of the replicates, so rows travel once per task.  For
+larger ones replicates are rows, and a statistic is an ordinary weighted aggregate keyed by replicate.  Rows are reduced
+to one per (group, label, score) before they meet the replicates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import uniform
 from surveyframe.functions.stats import prior_shift
 from surveyframe.operators.metrics import auc_from_counts, ece_equal_count, roc_auc
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, materialise, salted_join, spread
+from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, fits_packed, materialise, salted_join, spread
 
 REPLICATES = 2000  # fixed value: replicates per interval in use; tests and queries pass fewer
 
@@ -39,6 +42,65 @@ def replicate_weights(df: DataFrame, unit: str, replicates: int, seed: int, keys
     return w.join(units, [*keys, "idx"]).drop("idx")
 
 
+def _picked(b: int, n: int, key: str | None, seed: int) -> np.ndarray:
+    """How often each of n units is drawn in replicate b: the draws of `replicate_weights`."""
+    md5, tail = hashlib.md5, f"|{key}|{seed}" if key is not None else f"|{seed}"
+    digests = b"".join([md5(f"{b}|{i}{tail}".encode()).digest()[:8] for i in range(n)])
+    u = (np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(float) / 2.0 ** 52
+    return np.bincount(np.floor(u * n).astype(np.int64), minlength=n)
+
+
+def in_tasks(rows: DataFrame, unit: str, replicates: int, seed: int, work: Callable, columns: Sequence[str], key: str | None = None) -> DataFrame | None:
+    """b and the columns: a row per replicate and group of the key; None if the rows do not fit in a task.
+
+    A task has the rows of one group and a share of the replicates; `work(table)` gives the function that makes the
+    columns of a replicate from the weight of every row.
+    """
+    keys = [key] if key else []
+    if not fits_packed(rows, rows.count()):
+        return None
+    units = numbered_units(rows, unit, keys)
+    n = units.groupBy(*keys).agg(F.count("*").alias("_units"))
+    units = salted_join(units, n, keys) if keys else attach_row(units, n)
+    text = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    tasks = max(1, min(replicates, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.join(units, [*keys, unit]).drop(unit).withColumn("_key", text).withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    fields = pa.schema([("b", pa.int64()), *[(c, pa.float64()) for c in columns]])
+
+    def run(table: pa.Table) -> pa.Table:
+        one = lambda c: table.column(c)[0].as_py()
+        slot, n, text, mine = table.column("idx").to_numpy(), one("_units"), one("_key"), range(one("_task"), replicates, tasks)
+        value = work(table)
+        got = np.array([value(_picked(b, n, text, seed)[slot]) for b in mine], float).reshape(len(mine), len(columns))
+        return pa.table([pa.array(list(mine), pa.int64()), *[pa.array(c, pa.float64(), from_pandas=True) for c in got.T]], schema=fields)
+
+    return spread(dealt, 1 << 30, *keys, "_task").groupBy(*keys, "_task").applyInArrow(run, "b long, " + ", ".join(f"{c} double" for c in columns))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Ranks of the distinct values from 1, NaN the largest; 0 for NULL."""
+    known = column.is_valid().to_numpy()
+    out = np.zeros(len(known), np.int64)
+    out[known] = np.unique(column.to_numpy()[known], return_inverse=True)[1] + 1
+    return out
+
+
+def _auc_in_task(table: pa.Table, y: str, score: str) -> Callable[[np.ndarray], float]:
+    """The AUC of weighted rows, as `weighted_auc` gives it."""
+    code = _codes(table.column(score))
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    label = table.column(y).to_numpy(zero_copy_only=False)[order] == 1
+    rows = table.column("_rows").to_numpy()[order]
+
+    def auc(w: np.ndarray) -> float:
+        w = w[order] * rows
+        pos, neg = (np.add.reduceat(np.where(side, w, 0), first).astype(float) for side in (label, ~label))
+        pairs = pos.sum() * neg.sum()
+        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs > 0 else np.nan
+    return auc
+
+
 def bootstrap(df: DataFrame, unit: str, statistic: Callable[[DataFrame], DataFrame], replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Replicate values of `statistic`, which maps rows with (b, w) to one row per b."""
     return statistic(salted_join(df, replicate_weights(df, unit, replicates, seed), [unit]))
@@ -52,7 +114,7 @@ def weighted_auc(y: str, score: str) -> Callable[[DataFrame], DataFrame]:
     return stat
 
 
-def _reduced(df: DataFrame, *cols: str) -> DataFrame:
+def _reduced(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("_rows"))
 
 
@@ -64,15 +126,30 @@ def interval(values: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def auc_interval(df: DataFrame, unit: str, y: str, score: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
-    got = interval(bootstrap(_reduced(df, unit, y, score), unit, weighted_auc(y, score), replicates, seed))
+    rows = _reduced(df, unit, y, F.col(score).cast("double").alias(score))
+
+    def work(table):
+        auc = _auc_in_task(table, y, score)
+        return lambda w: (auc(w),)
+
+    values = in_tasks(rows, unit, replicates, seed, work, ["value"])
+    got = interval(bootstrap(rows, unit, weighted_auc(y, score), replicates, seed) if values is None else values)
     return got.withColumn("auc", roc_auc(df, y, score).select("auc").scalar())
 
 
 def paired_auc_difference(df: DataFrame, unit: str, y: str, a: str, b: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Difference of two AUCs on the same replicates, its interval and whether that excludes zero."""
-    rows = salted_join(_reduced(df, unit, y, a, b), replicate_weights(df, unit, replicates, seed), [unit])
-    one = lambda s, n: weighted_auc(y, s)(rows).withColumnRenamed("value", n)
-    diff = one(a, "_a").join(one(b, "_b"), "b").select("b", (F.col("_a") - F.col("_b")).alias("value"))
+    reduced = _reduced(df, unit, y, *[F.col(c).cast("double").alias(c) for c in (a, b)])
+
+    def work(table):
+        one, other = _auc_in_task(table, y, a), _auc_in_task(table, y, b)
+        return lambda w: (one(w) - other(w),)
+
+    diff = in_tasks(reduced, unit, replicates, seed, work, ["value"])
+    if diff is None:
+        rows = salted_join(reduced, replicate_weights(df, unit, replicates, seed), [unit])
+        one = lambda s, n: weighted_auc(y, s)(rows).withColumnRenamed("value", n)
+        diff = one(a, "_a").join(one(b, "_b"), "b").select("b", (F.col("_a") - F.col("_b")).alias("value"))
     auc = lambda s: roc_auc(df, y, s).select("auc").scalar()
     return interval(diff).withColumn("delta", auc(a) - auc(b)).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
@@ -90,8 +167,34 @@ def weighted_medians(df: DataFrame, keys: Sequence[str], value: str, weight: str
     return j.groupBy(*keys).agg(((lo + hi) / 2).alias("median"))
 
 
+def _median_in_task(table: pa.Table, column: str) -> Callable[[np.ndarray], float]:
+    """The median of rows counted by weight, as `weighted_medians` gives it: NULL stands below all values and is never one."""
+    code = _codes(table.column(column))
+    order = np.argsort(code, kind="stable")
+    values, missing = table.column(column).to_numpy()[order], int((code == 0).sum())
+
+    def median(w: np.ndarray) -> float:
+        cum = np.cumsum(w[order])
+        at = (cum[-1] - 1) / 2
+        least = cum[missing - 1] if missing else 0
+        lo, hi = (int(np.searchsorted(cum, max(f(at), least), "right")) for f in (np.floor, np.ceil))
+        return (values[lo] + values[hi]) / 2 if cum[-1] and hi < len(values) else np.nan
+    return median
+
+
 def median_gap_change(df: DataFrame, unit: str, group: str, new: str, old: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Interval of the change in (median of group 1 minus median of group 0) from `old` to `new`, resampling each group's rows."""
+    rows = df.select(group, unit, *[F.col(c).cast("double").alias(c) for c in (new, old)]).filter(F.col(group).isNotNull())
+
+    def work(table):
+        sides = [_median_in_task(table, c) for c in (new, old)]
+        sign = 1 if table.column(group)[0].as_py() == 1 else -1
+        return lambda w: (sign * sides[0](w), -sign * sides[1](w))
+
+    made = in_tasks(rows, unit, replicates, seed, work, ["up", "down"], group)
+    if made is not None:
+        each = made.select("b", F.explode(F.array("up", "down")).alias("m"))
+        return interval(each.groupBy("b").agg(F.sum("m").alias("value")))
     w = replicate_weights(df, unit, replicates, seed, [group])
     long = df.select(group, unit, F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col(new).alias("v")), F.struct(F.lit(-1).alias("side"), F.col(old).alias("v")))))
     med = weighted_medians(salted_join(long, w, [group, unit]), ["b", "side", group], "v", "w")

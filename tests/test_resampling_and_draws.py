@@ -130,6 +130,26 @@ def test_packed_shuffles_are_those_of_the_rows_and_nothing_is_broadcast(spark):
     assert packed.keys() == rows.keys() and all(v == pytest.approx(rows[i], abs=1e-12) for i, v in packed.items()) and p == q
 
 
+def test_replicates_in_tasks_are_those_of_the_rows(spark):
+    """Intervals of AUCs and median gaps with ties, NULL labels and scores, repeated units, against replicates as rows."""
+    rng = np.random.default_rng(6)
+    data = [(i if i % 11 else 3, i % 7 if i % 13 else None, None if i % 17 == 0 else int(rng.uniform() < 0.6), None if i % 8 == 0 else round(float(rng.uniform()), 1), float(rng.normal())) for i in range(80)]
+    df = spark.createDataFrame(data, "id long, star long, y int, s double, s2 double").repartition(3)
+
+    def every():
+        return [tuple(f.first()) for f in (RS.auc_interval(df, "star", "y", "s", 30), RS.paired_auc_difference(df, "id", "y", "s", "s2", 30), RS.median_gap_change(df, "id", "y", "s", "s2", 30))]
+
+    packed = every()
+    assert RS.in_tasks(df, "id", 4, 1, lambda t: lambda w: (w.sum(),), ["n"]).count() == 4
+    spark.conf.set("spark.surveyframe.rowsPerTask", "1")
+    try:
+        assert RS.in_tasks(df, "id", 4, 1, lambda t: lambda w: (w.sum(),), ["n"]) is None
+        rows = every()
+    finally:
+        spark.conf.unset("spark.surveyframe.rowsPerTask")
+    assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(packed, rows))
+
+
 # ---- posterior over prior draws ----------------------------------------------------------------------
 
 def plain_draws(n, prior=RK.PRIOR, seed=1):
