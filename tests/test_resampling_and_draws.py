@@ -313,6 +313,17 @@ def test_summaries_and_ranks_equal_numpy(spark, monkeypatch):
     assert {r.dropped for r in DR.ablation(df, "key", RK.WEIGHTS, 50).collect()} == set(RK.WEIGHTS)
 
 
+def test_planets_travel_once_per_share_of_the_draws(spark, monkeypatch):
+    """A table of many blocks of draws is copied per task, not per block, and gives the same ranks."""
+    df = planet_frame(spark, planet_rows())
+    run = lambda: {r.key: tuple(r) for r in DR.rank_distribution(df, "key", RK.WEIGHTS, 400).collect()}
+    want, dealt, plain = run(), [], DR.spread
+    monkeypatch.setattr(DR, "CELLS", 26)                      # a draw at a time
+    monkeypatch.setattr(DR, "RANKED", 3, raising=False)
+    monkeypatch.setattr(DR, "spread", lambda rows, *rest: dealt.append(rows.count()) or plain(rows, *rest))
+    assert run() == want and dealt[0] <= 2 * spark.sparkContext.defaultParallelism * len(want)
+
+
 # ---- sensitivity, label shift ------------------------------------------------------------------------
 
 def test_indices_of_the_ishigami_function(spark):
