@@ -290,27 +290,33 @@ rr as (select j, design, rank() over (partition by j, design order by score) + (
 rho as (select j, design, corr(r1, r2) as rho from rr group by 1, 2)"""
 
 
-def sobol_scores(t):
+ROW = ["a", "b", "c"]
+
+
+def sobol_rows(t):
     s = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10000).alias("a"), ((F.col("s_suppkey") * 7 % 11) / 11.0).alias("b"), ((F.col("s_nationkey") % 5) / 5.0).alias("c"))
-    d = R.sobol_designs(s, N_BASE, INPUTS)
-    wa, wb = 0.6 * F.pow(F.lit(2.0), "w1"), 0.4 * F.pow(F.lit(2.0), "w2")
-    score = (wa * (F.col("a") + F.col("credit") * F.col("c")) + wb * F.col("b")) / (wa + wb)
-    return d.select("sample", "design", "id", F.round(F.col("a") + F.col("b") + 0.5 * F.col("c"), 9).alias("reg"), F.round(score, 9).alias("score"))
+    return s.withColumn("reg", F.round(F.col("a") + F.col("b") + 0.5 * F.col("c"), 9))
+
+
+def sobol_score(r, d):
+    wa, wb = 0.6 * 2.0 ** d["w1"], 0.4 * 2.0 ** d["w2"]
+    return (wa * (r["a"] + d["credit"] * r["c"]) + wb * r["b"]) / (wa + wb)
 
 
 @query("sensitivity_indices", "M16", f"""with {SOBOL}, v as (select var_pop(rho) as v from rho where design in ('A', 'B')), p as (select a.j, a.rho as fa, b.rho as fb, x.design as input, x.rho as fx from rho a join rho b on a.j = b.j and a.design = 'A' and b.design = 'B' join rho x on x.j = a.j and x.design not in ('A', 'B'))
 select input, round(avg(fb * (fx - fa)) / any_value(v), 4) as first_order, round(0.5 * avg((fa - fx) * (fa - fx)) / any_value(v), 4) as total from p, v group by 1""")
 def _(t):
-    rho = M.spearman(sobol_scores(t), "score", "reg", ["sample", "design"])
+    rows = sobol_rows(t)
+    rho = R.design_spearman(rows, R.sobol_table(rows.sparkSession, N_BASE, INPUTS), ROW, list(INPUTS), sobol_score, "reg")
     got = R.sobol_indices(rho, "spearman", list(INPUTS))
     return got.select("input", F.round("first_order", 4).alias("first_order"), F.round("total", 4).alias("total"))
 
 
 @query("top_membership", "M16", f"""with {SOBOL}, k as (select id, rank() over (partition by j, design order by score desc) as r from ss where design in ('A', 'B')) select id, round(avg((r <= 10)::int), 6) as p_top from k group by 1""")
 def _(t):
-    s = sobol_scores(t).filter("design in ('A', 'B')")
-    k = R.shared_rank(s, "score", ["sample", "design"])
-    return k.groupBy("id").agg(F.round(F.avg((F.col("rank") <= 10).cast("int")), 6).alias("p_top"))
+    rows = sobol_rows(t)
+    both = R.sobol_table(rows.sparkSession, N_BASE, INPUTS).filter("design in ('A', 'B')")
+    return R.design_top_share(rows, both, "id", ROW, list(INPUTS), sobol_score).select("id", F.round("p_top", 6).alias("p_top"))
 
 
 def _tail_sql(z):
