@@ -399,3 +399,14 @@ def test_cuts_of_few_words_stay(spans, least):
         at = max(end, at + 1)
     kept, n, k = run_length_index._cut(text, spans, least)
     assert (kept, n, k) == (bytes(c for i, c in enumerate(text) if not any(a <= i < b for a, b in runs)), sum(b - a for a, b in runs), len(runs))
+
+
+def test_toxicity_examples_are_dealt_once(spark, monkeypatch):
+    for buckets in ([], [0], [65535, 65536, 262143], list(range(0, 1 << 18, 7))):
+        assert toxicity._unpacked(toxicity._packed(np.array(buckets, np.int64))).tolist() == buckets
+    docs, labels = labelled(spark, 300)
+    kept, plain = [], toxicity.checkpointed
+    monkeypatch.setattr(toxicity, "checkpointed", lambda df: kept.append(plain(df)) or kept[0])
+    toxicity.fit(docs, labels, rounds=1)
+    places = kept[0].select("shard", F.spark_partition_id().alias("at")).distinct()      # so that no round shuffles them
+    assert places.count() == kept[0].select("shard").distinct().count() == toxicity.SHARDS
