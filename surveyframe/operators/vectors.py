@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from surveyframe.operators.scale import attach_row, top_rows
 
 BLOCK_ROWS = 2000
+BLOCKS, MOST_ROWS = 32, 32_000                    # blocks of a large table, rows of a block
+CELLS, FOUND = 1 << 18, 1 << 22                   # distances made at a time, so that they stay in the cache; candidates held at a time
 
 
 def _meetings(df: DataFrame, row: str, within: list[str], block: int) -> DataFrame:
@@ -44,26 +46,87 @@ def _unit(x: np.ndarray, centred: bool) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)
 
 
-def nearest(df: DataFrame, row: str, vector: str, k: int, carry: str, exclude: str | None = None, block: int = BLOCK_ROWS) -> DataFrame:
-    """row, other, distance, <carry>_other for the k nearest rows by Euclidean distance; `exclude` must differ."""
+def _first_of(i: np.ndarray, j: np.ndarray, d: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of every i in the order (d, others[j])."""
+    order = np.lexsort((others[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    kept = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i))) < k
+    return i[kept], j[kept], d[kept]
+
+
+def _edge(d2: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """A bound that at least k squared distances along the axis do not pass, with room for rounding: the k-th of the least of each of many pieces."""
+    n, pieces = d2.shape[axis], max(64, 4 * k)
+    if n > pieces:
+        d2 = np.minimum.reduceat(d2, np.arange(pieces) * n // pieces, axis=axis)
+    elif n < k:
+        return np.full(d2.shape[1 - axis], np.inf)
+    return (np.sqrt(np.maximum(np.partition(d2, k - 1, axis=axis).take(k - 1, axis=axis), 0)) + 2e-9) ** 2
+
+
+def nearest(df: DataFrame, row: str, vector: str, k: int, carry: str, exclude: str | None = None, block: int | None = None) -> DataFrame:
+    """row, other, distance, <carry>_other for the k nearest rows by Euclidean distance; `exclude` must differ.
+
+    The number of blocks is fixed until they hold MOST_ROWS, so that what travels follows the rows; a task holds two
+    blocks and the distances of some rows of one to the other, which serve both sides; only those within a bound are ordered.
+    """
     cols = [row, vector, carry, *([exclude] if exclude and exclude != carry else [])]
+    if block is None:
+        block = min(MOST_ROWS, max(BLOCK_ROWS, -(-df.count() // BLOCKS)))
     meet = _meetings(df.select(*cols), row, [], block)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for q, r in _sides(pdf)[1]:
-            x, y = np.stack(q[vector].to_numpy()).astype(float), np.stack(r[vector].to_numpy()).astype(float)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-            bad = q[row].to_numpy()[:, None] == r[row].to_numpy()[None]
-            if exclude:
-                bad |= q[exclude].to_numpy()[:, None] == r[exclude].to_numpy()[None]
-            d = np.where(bad, np.inf, np.round(d, 9))
-            order = np.lexsort((np.broadcast_to(r[row].to_numpy(), d.shape), d), axis=1)[:, :k]
-            i = np.repeat(np.arange(len(q)), order.shape[1])
-            j = order.ravel()
-            out.append(pd.DataFrame({row: q[row].to_numpy()[i], "other": r[row].to_numpy()[j], "distance": d[i, j], f"{carry}_other": r[carry].to_numpy()[j]}))
-        got = pd.concat(out, ignore_index=True)
-        return got[np.isfinite(got["distance"])]
+
+        def add(q: pd.DataFrame, r: pd.DataFrame, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+            out.append(pd.DataFrame({row: q[row].to_numpy()[i], "other": r[row].to_numpy()[j], "distance": d, f"{carry}_other": r[carry].to_numpy()[j]}))
+
+        def within(d2: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i, j = np.divmod(np.flatnonzero(d2 <= edge), d2.shape[1])
+            seen = np.isfinite(d2[i, j])
+            i, j = i[seen], j[seen]
+            return i, j, np.round(np.sqrt(np.maximum(d2[i, j], 0)), 9)
+
+        q, sides = _sides(pdf)
+        r = sides[0][1]
+        if len(q) and len(r):
+            alone = q is r
+            q, r = (f.sort_values(exclude, kind="stable") if exclude else f for f in (q, r))
+            x, y = (np.stack(f[vector].to_numpy()).astype(float) for f in (q, r))
+            xx, yy, step, y = (x * x).sum(1), (y * y).sum(1), max(1, CELLS // len(r)), -2 * y.T
+            own, other = q[row].to_numpy(), r[row].to_numpy()
+            back, held = [], 0
+            if not alone:                                          # bounds of the other side from some rows of this one
+                some = np.unique(np.linspace(0, len(q) - 1, max(4 * k, FOUND // len(r))).astype(int))
+                d2 = x[some] @ y + xx[some, None] + yy
+                if exclude:
+                    d2[q[exclude].to_numpy()[some, None] == r[exclude].to_numpy()] = np.inf
+                edge = _edge(d2, k, 0)
+            for lo in range(0, len(q), step):
+                d2 = x[lo:lo + step] @ y
+                d2 += xx[lo:lo + step, None]
+                d2 += yy
+                if exclude:                                        # both are in its order: rectangles
+                    values, first = np.unique(q[exclude].to_numpy()[lo:lo + step], return_index=True)
+                    for v, f, t in zip(values, first, [*first[1:], len(d2)]):
+                        d2[f:t, slice(*(np.searchsorted(r[exclude].to_numpy(), v, side) for side in ("left", "right")))] = np.inf
+                if alone:                                          # a row is in one block
+                    d2[own[lo:lo + step, None] == other] = np.inf
+                i, j, d = within(d2, _edge(d2, k, 1)[:, None])
+                add(q, r, *_first_of(i + lo, j, d, other, k))
+                if not alone:
+                    i, j, d = within(d2, edge)
+                    back.append((j, i + lo, d))
+                    held += len(j)
+                    if held > FOUND:
+                        back = [_first_of(*(np.concatenate(c) for c in zip(*back)), own, k)]
+                        many, held = np.bincount(back[0][0], minlength=len(r)), len(back[0][0])
+                        full = many >= k
+                        edge[full] = np.minimum(edge[full], (back[0][2][np.cumsum(many)[full] - 1] + 2e-9) ** 2)
+            if back:
+                add(r, q, *_first_of(*(np.concatenate(c) for c in zip(*back)), own, k))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[row, "other", "distance", f"{carry}_other"])
 
     types = dict(df.dtypes)
     schema = f"{row} {types[row]}, other {types[row]}, distance double, {carry}_other {types[carry]}"

@@ -1,9 +1,11 @@
 """Steps whose work must not outgrow their input: held against the plain form on small tables."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as RK
+from surveyframe.operators import vectors as V
 
 INPUTS = {"u": (-1.0, 1.0), "v": (0.0, 1.0)}
 
@@ -28,3 +30,49 @@ def test_designs_meet_rows_in_tasks(spark, monkeypatch, limit):
     assert got == pytest.approx(want) and len(got) == 160
     assert top == pytest.approx({r.id: r.p for r in ranked})
     assert (limit == "5") == (not dealt) and all(n <= 4 * spark.sparkContext.defaultParallelism * len(rows) for n in dealt)
+
+
+@pytest.mark.parametrize("limit", ["2000000", "5"])       # multiplied out; at the roots of unity
+def test_success_distribution_in_tasks(spark, limit):
+    rng = np.random.default_rng(4)
+    p = {"a": rng.random(1), "b": rng.random(64), "c": rng.random(65) * 0.01, "d": np.concatenate([rng.random(300), [0, 1, 1]])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in p.items() for x in v] + [("a", None)], "g string, p double")
+    spark.conf.set("spark.surveyframe.rowsPerTask", limit)
+    try:
+        plan = RK.success_distribution(df, ["g"], "p")
+        got = {(r.g, r.k): r.probability for r in plan.collect()}
+    finally:
+        spark.conf.unset("spark.surveyframe.rowsPerTask")
+    want = {}
+    for g, v in p.items():
+        f = np.ones(1)
+        for x in [*v, *([0.0] if g == "a" else [])]:
+            f = np.convolve(f, [1 - x, x])
+        want |= {(g, k): x for k, x in enumerate(f)}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert ("explode" in plan._jdf.queryExecution().toString()) == (limit == "5")       # rows x points, only for groups beyond a task
+
+
+@pytest.mark.parametrize("block", [None, 7, 40])
+def test_nearest_rows_of_blocks(spark, monkeypatch, block):
+    """Ties, equal vectors, excluded folds, slabs of a few rows: the same as a full sort."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (90, 3)).astype(float)
+    df = spark.createDataFrame([(i, x[i].tolist(), i % 4, i % 5) for i in range(90)], "id int, v array<double>, label int, fold int")
+    monkeypatch.setattr(V, "CELLS", 100)
+    monkeypatch.setattr(V, "FOUND", 60, raising=False)
+    near = V.nearest(df, "id", "v", 4, "label", "fold", block).collect()
+    want = set()
+    for i in range(90):
+        d = [(round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 9), j) for j in range(90) if i % 5 != j % 5]
+        want |= {(i, j, d, j % 4) for d, j in sorted(d)[:4]}
+    assert {(r.id, r.other, round(r.distance, 9), r.label_other) for r in near} == want and len(near) == 360
+
+
+def test_blocks_of_nearest_rows_grow_with_the_table(spark, monkeypatch):
+    """What travels follows the rows: a row goes to as many meetings as there are blocks."""
+    seen, plain = [], V._meetings
+    monkeypatch.setattr(V, "_meetings", lambda df, row, within, block: seen.append(block) or plain(df, row, within, block))
+    for n in (1000, 200_000, 400_000):
+        V.nearest(spark.range(n).select("id", F.array(F.lit(1.0)).alias("v"), F.lit(1).alias("label")), "id", "v", 1, "label")
+    assert seen[0] == V.BLOCK_ROWS and seen[2] == 2 * seen[1] and -(-200_000 // seen[1]) <= 32
