@@ -76,3 +76,20 @@ def test_blocks_of_nearest_rows_grow_with_the_table(spark, monkeypatch):
     for n in (1000, 200_000, 400_000):
         V.nearest(spark.range(n).select("id", F.array(F.lit(1.0)).alias("v"), F.lit(1).alias("label")), "id", "v", 1, "label")
     assert seen[0] == V.BLOCK_ROWS and seen[2] == 2 * seen[1] and -(-200_000 // seen[1]) <= 32
+
+
+def test_log_likelihoods_of_equal_objects_share_their_logarithms(monkeypatch):
+    rng = np.random.default_rng(8)
+    p, y = np.clip(rng.random((500, 6)) ** 40, 1e-9, 1 - 1e-9), np.array([0.0, 0.25, 0.6, 1.0])[np.arange(500) % 4]
+    want = (y[:, None] * np.log(p) + (1 - y[:, None]) * np.log(1 - p)).sum(axis=0)
+    assert RK._log_likelihood(p, y) == pytest.approx(want, rel=1e-12)
+    assert RK._log_likelihood(p, rng.random(500)).shape == (6,)
+    made, plain = [], RK.hashlib.md5
+    monkeypatch.setattr(RK.hashlib, "md5", lambda x: made.append(x) or plain(x))
+    RK._normal_block.cache_clear()
+    first, again = (RK.prior_block(97, 200_000, prior, 1) for prior in (RK.PRIOR, RK.NEUTRAL))
+    assert len(made) == 3 * len(first["alpha"]) == 3 * (200_000 - 97 * RK.DRAWS_PER_BLOCK)       # made once for both
+    h = plain(f"{97 * RK.DRAWS_PER_BLOCK + 5}|beta|1".encode()).hexdigest()
+    u, v = int(h[:13], 16) / 2 ** 52, int(h[13:26], 16) / 2 ** 52
+    z = np.sqrt(-2 * np.log(max(u, 1e-10))) * np.cos(2 * np.pi * v)
+    assert first["beta"][5] == pytest.approx(-2 + z, abs=1e-12) and again["beta"][5] == pytest.approx(2 * z, abs=1e-12)
