@@ -12,9 +12,13 @@ def _lines(df, file, seq, line):
 
 
 def _header(body, *lines):
-    """The same leading lines for every file of the body; the body's own seq is not negative."""
+    """The same leading lines for every file of the body; the body's own seq is not negative.
+
+    A body line's text is made once, as a file would hold it: a generator keeps the readers' filters from writing it again.
+    """
     at = F.array(*[F.struct(F.lit(i - len(lines)).cast("bigint").alias("seq"), F.lit(x).alias("line")) for i, x in enumerate(lines)])
     heads = body.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("block"), F.explode(at).alias("h"))
+    body = body.select("file", "block", "seq", F.explode(F.array("line")).alias("line"))
     return body.unionByName(heads.select("file", "block", "h.seq", "h.line"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import CheckFailed, no_nan, require_empty
-from surveyframe.operators.scale import fits_in_task, neighbour, quantiles, salted_join
+from surveyframe.operators.scale import fits_in_task, materialise, neighbour, quantiles, salted_join, small_join
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -38,6 +38,11 @@ def _in_order(c: str) -> Column:
     return F.transform(rows, lambda r: r[c])
 
 
+def _once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Columns made once a row: those of a generator are not folded into whatever reads them, nor filtered before it."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ipac_points(spectra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """Split the lines of column-headed files into (values per row, units per file)."""
     header = spectra.filter(F.col("line").startswith("|"))
@@ -48,15 +53,14 @@ def ipac_points(spectra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFr
     heads = heads.select("file", F.transform(cells, lambda c: F.trim(c)).alias("names"), starts.alias("starts"),
                          F.transform(F.split(F.expr("substring(h[2], 2, length(h[2]) - 2)"), "\\|", -1), lambda c: F.trim(c)).alias("units"))
     body = spectra.filter(~F.col("line").startswith("\\") & ~F.col("line").startswith("|") & (F.trim("line") != ""))
-    joined = salted_join(body, heads, ["file"])
-
-    def cell(name: str) -> Column:
-        i = F.array_position("names", name).cast("int")
-        at = F.get("starts", i - 1)
-        text = F.trim(F.col("line").substr(at, F.get("starts", i) - at))
-        return F.when(i > 0, no_nan(text.try_cast("double"))).alias(name)
-
-    rows = joined.select("file", "block", "seq", *[cell(n) for n in names])
+    heads = materialise(heads)
+    at = lambda name: F.array_position("names", name).cast("int")
+    places = [F.struct(F.get("starts", at(n) - 1).alias("from"), (F.get("starts", at(n)) - F.get("starts", at(n) - 1)).alias("len")).alias(f"_{n}") for n in names]
+    joined = small_join(body, heads.select("file", *[F.when(at(n) > 0, p).alias(f"_{n}") for n, p in zip(names, places)]), ["file"])
+    key = ["file", "block", "seq"]
+    texts = _once(joined, key, {n: F.trim(F.col("line").substr(F.col(f"_{n}.from"), F.col(f"_{n}.len"))) for n in names})
+    numbers = _once(texts, key, {n: F.when(F.col(n) != "", F.col(n).try_cast("double")) for n in names})     # an empty cell is told from its length, not by a failed cast
+    rows = numbers.select(*key, *[no_nan(n).alias(n) for n in names])
     units = heads.select("file", *[F.get("units", F.array_position("names", n).cast("int") - 1).alias(n) for n in names])
     return rows, units
 
@@ -84,8 +88,8 @@ def archive_spectra(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Depth in percent; files with only a radius ratio r get 100 r^2 and errors 200 r |dr|.
     """
     rows, units = ipac_points(lines, IPAC_COLUMNS)
-    has_depth = rows.groupBy("file").agg(F.bool_or(F.col("PL_TRANDEP").isNotNull()).alias("has_depth"),
-                                         F.bool_or(F.col("PL_RATROR").isNotNull()).alias("has_ratio"))
+    has_depth = materialise(rows.groupBy("file").agg(F.bool_or(F.col("PL_TRANDEP").isNotNull()).alias("has_depth"),
+                                                     F.bool_or(F.col("PL_RATROR").isNotNull()).alias("has_ratio")))
     bad = has_depth.join(units, "file").filter(
         ~F.coalesce(F.col("CENTRALWAVELNG").contains("micron"), F.lit(False))
         | (F.col("has_depth") & ~F.coalesce(F.trim("PL_TRANDEP").isin("%", "percent"), F.lit(False)))
@@ -93,7 +97,7 @@ def archive_spectra(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     require_empty(bad.select("file", "CENTRALWAVELNG", "PL_TRANDEP"), "unexpected units or no depth column")
     r = F.col("PL_RATROR")
     pick = lambda own, other: F.when(F.col("has_depth"), F.col(own)).otherwise(other)
-    rows = salted_join(rows, has_depth, ["file"]).select(
+    rows = small_join(rows, has_depth, ["file"]).select(
         "file", F.col("CENTRALWAVELNG").alias("wl"), pick("PL_TRANDEP", 100 * r * r).alias("depth"),
         F.abs(pick("PL_TRANDEPERR1", 200 * r * F.abs("PL_RATRORERR1"))).alias("e1"),
         F.abs(pick("PL_TRANDEPERR2", 200 * r * F.abs("PL_RATRORERR2"))).alias("e2"), "has_depth")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as RK
 from surveyframe.operators import vectors as V
+from surveyframe.sources import text as X
 
 INPUTS = {"u": (-1.0, 1.0), "v": (0.0, 1.0)}
 
@@ -93,3 +94,17 @@ def test_log_likelihoods_of_equal_objects_share_their_logarithms(monkeypatch):
     u, v = int(h[:13], 16) / 2 ** 52, int(h[13:26], 16) / 2 ** 52
     z = np.sqrt(-2 * np.log(max(u, 1e-10))) * np.cos(2 * np.pi * v)
     assert first["beta"][5] == pytest.approx(-2 + z, abs=1e-12) and again["beta"][5] == pytest.approx(2 * z, abs=1e-12)
+
+
+def test_cells_of_a_line_are_cut_out_once(spark):
+    """Files meet their header without a shuffle, and a cell is cut out of its line at one place of the plan."""
+    row = lambda cells: "|" + "|".join(c.ljust(16) for c in cells) + "|"
+    head = [row(["CENTRALWAVELNG", "PL_TRANDEP", "PL_TRANDEPERR1", "PL_TRANDEPERR2"]), row(["double"] * 4), row(["microns", "%", "%", "%"])]
+    body = ["".join(" " + c.ljust(16) for c in cells) for cells in (["2.0", "0.5", "nan", "0.1"], ["2.1", "text", "0.1", "0.1"], ["", "", "0.1", "0.1"])]
+    lines = spark.createDataFrame([("a", 0, i, x) for i, x in enumerate(head + body)], "file string, block long, seq long, line string")
+    points, report = X.archive_spectra(lines)
+    assert [(r.wl, r.depth_ppm, r.err_ppm) for r in points.collect()] == [(2.0, 5000.0, 1000.0)]
+    r = report.first()
+    assert (r.rows_raw, r.all_null, r.partial, r.rows_kept) == (3, 1, 1, 1)
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substr(line#") == len(X.IPAC_COLUMNS) and plan.count("strategy=broadcast") == 2
