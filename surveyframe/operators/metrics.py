@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import bin_index, clip, count_where
 from surveyframe.functions.stats import normal_tail, wilson
-from surveyframe.operators.scale import attach_row, cumulative, fits_in_task, null_safe_join, quantiles, salted_join, scalar_of
+from surveyframe.operators.scale import FEW, attach_row, cumulative, fits_in_task, materialise, null_safe_join, quantiles, salted_join, scalar_of
 
 
 def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -182,10 +182,33 @@ def with_mean_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] = (
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, spearman, rows; NULL where one column has a single value in groups beyond a task.
+
+    Such groups are summed up per value of b, so rows meet the ranks of a only; a with few values is the cheaper way round.
+    """
+    keys = list(keys)
     both = df.select(*keys, a, b).dropna(subset=[a, b])
-    fits = fits_in_task(both, keys)
-    ranked = with_mean_rank(with_mean_rank(both, a, "_ra", keys, fits), b, "_rb", keys, fits)
-    return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("rows"))
+    if fits_in_task(both, keys):
+        ranked = with_mean_rank(with_mean_rank(both, a, "_ra", keys, True), b, "_rb", keys, True)
+        return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("rows"))
+    both = df.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).dropna(subset=["_a", "_b"])
+    counts = materialise(both.groupBy(*keys, "_a").agg(F.count("*").alias("_n")))
+    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+
+    def centred(values: DataFrame, value: str) -> DataFrame:
+        """The mean rank of every value, less that of its group, as `_r`."""
+        ranked = null_safe_join(cumulative(values, value, {"_cum": F.col("_n")}, keys), size, keys)
+        return ranked.withColumn("_r", F.col("_cum") - (F.col("_n") - 1) / 2 - (F.col("_rows") + 1) / 2).drop("_cum", "_rows")
+
+    at_a = centred(counts, "_a")
+    ranks = at_a.select(*keys, "_a", "_r")
+    few = counts.limit(FEW + 1).count() <= FEW
+    met = null_safe_join(both, F.broadcast(ranks) if few else ranks, [*keys, "_a"], "inner")
+    at_b = centred(materialise(met.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("_r").alias("_s"))), "_b")
+    spread_a = at_a.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_r") * F.col("_r")).alias("_va"))
+    sums = at_b.groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_r")).alias("_ab"), F.sum(F.col("_n") * F.col("_r") * F.col("_r")).alias("_vb"), F.sum("_n").alias("rows"))
+    out = null_safe_join(sums, spread_a, keys)
+    return out.select(*keys, (F.col("_ab") / F.nullif(F.sqrt("_va") * F.sqrt("_vb"), F.lit(0.0))).alias("spearman"), "rows")
 
 
 def correlations_with(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

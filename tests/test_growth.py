@@ -1,5 +1,6 @@
 """Steps whose work must not outgrow their input: held against the plain form on small tables."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,21 @@ def test_chords_are_averaged_as_arrays(spark):
     want = sum(np.sqrt(1.02 ** 2 - (i / 200) ** 2) for i in range(201)) / 201
     assert got == pytest.approx({0: want, 1: np.sqrt(1.5 ** 2 - 0.09), 2: float("nan"), 3: 0.0, 4: 0.0}, nan_ok=True)
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_correlation_sums_up_per_value(spark, tiny_tasks, monkeypatch):
+    """Groups beyond a task: NULL keys, ties, a single value; only one rank is joined to the rows."""
+    rng = np.random.default_rng(9)
+    rows = [(g, float(x), float(x + e)) for g in ("u", None) for x, e in zip(rng.integers(0, 9, 120), rng.integers(0, 30, 120))]
+    rows += [("flat", 1.0, float(i)) for i in range(50)] + [("u", None, 1.0), ("u", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    monkeypatch.setattr(M, "with_mean_rank", None)
+    for few in (M.FEW, 1):                        # ranks sent to the tasks; ranks that travel
+        monkeypatch.setattr(M, "FEW", few)
+        got = {r.g: (r.spearman, r.rows) for r in M.spearman(df, "a", "b", ["g"]).collect()}
+        for g in ("u", None):
+            x = pd.DataFrame([r[1:] for r in rows if r[0] == g], columns=["a", "b"]).dropna().rank()
+            assert got[g] == (pytest.approx(x["a"].corr(x["b"]), abs=1e-12), 120)
+        assert got["flat"] == (None, 50) and len(got) == 3
+    one = M.spearman(df.filter("g = 'u'"), "b", "a").first()
+    assert (one.spearman, one.rows) == (pytest.approx(got["u"][0], abs=1e-12), 120)
