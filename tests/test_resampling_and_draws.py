@@ -313,6 +313,30 @@ def test_summaries_and_ranks_equal_numpy(spark, monkeypatch):
     assert {r.dropped for r in DR.ablation(df, "key", RK.WEIGHTS, 50).collect()} == set(RK.WEIGHTS)
 
 
+def test_median_scores_are_drawn_once(spark, monkeypatch):
+    """Ranks read the table of median scores several times; it must hold values by then, not draws to be made again."""
+    from surveyframe.operators import metrics as MT
+
+    seen, plain = [], MT.spearman
+    monkeypatch.setattr(MT, "spearman", lambda df, *a: seen.append(df) or plain(df, *a))
+    got = {r.dropped: r.rows for r in DR.ablation(planet_frame(spark, planet_rows()), "key", RK.WEIGHTS, 20).collect()}
+    assert len(seen) == 1 and "MapInPandas" not in seen[0]._jdf.queryExecution().toString()
+    assert set(got.values()) == {int(planet_rows()["transiting"].sum())}
+
+
+def test_a_score_draws_only_what_it_is_made_of(spark):
+    rows = hashed(spark, planet_rows())
+    every, some = DR.physics(rows, np.arange(300)), DR.physics(rows, np.arange(300), only=DR.SCORED)
+    assert "margin_empirical" not in some and "flux" not in some
+    assert all(np.array_equal(some[c], every[c], equal_nan=True) for c in DR.SCORED)
+    u = np.linspace(0, 1, 10_001)
+    assert abs(DR._cos_turns(u.copy()) - np.cos(2 * np.pi * u)).max() < 1e-15
+    x = np.random.default_rng(3).normal(size=(40, 101))
+    x[3, 5], x[7] = np.nan, np.nan
+    low, mid = DR._quantiles(x, (0.16, 0.5))
+    assert low[3] == np.nanquantile(x[3], 0.16) and np.isnan(mid[7]) and np.array_equal(mid[8:], np.quantile(x[8:], 0.5, axis=1))
+
+
 def test_planets_travel_once_per_share_of_the_draws(spark, monkeypatch):
     """A table of many blocks of draws is copied per task, not per block, and gives the same ranks."""
     df = planet_frame(spark, planet_rows())
