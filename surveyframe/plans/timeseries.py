@@ -160,7 +160,7 @@ sz as (select object_id as target, count(*) as own from own group by 1), bl as (
 select e.object_id as target, event_id, h.object_id from hits h join eph e using (user_id) where e.object_id <> h.object_id and not exists (select 1 from bl where bl.target = e.object_id and bl.object_id = h.object_id)""")
 def _(t):
     e = ephemerides(t)
-    return T.sibling_removal(points(t).select("event_id", "user_id", "t"), e, e, "user_id", "event_id", "t")
+    return T.sibling_removal(points(t).select("event_id", "user_id", "t"), e, e, "user_id", "event_id", "t").drop("user_id")
 
 
 @query("neighbour_half_widths", "W17", """with o as (select o_custkey, o_orderkey, epoch_us(o_orderdate)/86400e6::double as x from orders), g as (select *, nullif(x - lag(x) over w, 0) as l, nullif(lead(x) over w - x, 0) as r from o window w as (partition by o_custkey order by x, o_orderkey))

@@ -311,6 +311,25 @@ def dense_log_likelihood(r, c):
     return -0.5 * z @ z - np.log(np.diag(low)).sum() - 0.5 * len(r) * np.log(2 * np.pi)
 
 
+def test_folded_rows_are_not_shuffled_again_for_views_and_diagnostics(spark):
+    """Rows that lie with their series are summed up there: one deal of the rows, no join that carries them."""
+    rows = spark.range(400).select((F.col("id") % 5).alias("star"), (F.col("id") / 40 - 5).alias("phase"), (1 + F.col("id") % 7 / 10).alias("flux"),
+                                   F.lit(0.1).alias("err"), F.lit(10.0).alias("period"), F.lit(0.5).alias("duration")).repartition(4, "star")
+    few = T.transit_diagnostics(rows, ["star"], True)
+    plan = few._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    spark.conf.set("spark.surveyframe.rowsPerTask", "20")
+    many = {r.star: r for r in T.transit_diagnostics(rows, ["star"]).collect()}
+    slow = sorted((r.star, r.bin, r.value, r.err) for r in T.local_view(rows, ["star"], 21).collect())
+    spark.conf.unset("spark.surveyframe.rowsPerTask")
+    for r in few.collect():
+        assert tuple(r) == pytest.approx(tuple(many[r.star]))
+    view = T.local_view(rows, ["star"], 21, True)
+    assert view._jdf.queryExecution().sparkPlan().toString().count("Join") == 1         # one row a series meets its bins
+    fast = sorted((r.star, r.bin, r.value, r.err) for r in view.collect())
+    assert len(fast) == 5 * 21 and all(a == pytest.approx(b) for a, b in zip(fast, slow))
+
+
 def test_amplitude_profiles_against_dense_likelihoods(spark):
     rng, rows = np.random.default_rng(4), []
     n, length = 40, 0.2
