@@ -291,15 +291,88 @@ def leave_one_out_rate(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataF
     return j.withColumn("loo_rate", F.when(F.col("_n") > 1, (F.col("_s") - F.col(y)) / (F.col("_n") - 1))).drop("_s", "_n")
 
 
+KINDS = ("few", "oracle", "frozen")
+
+
+def _ece_and_auc(q: np.ndarray, y: np.ndarray, bins: int = 10) -> tuple[float, float]:
+    """Equal-count calibration error and AUC of rows in the order of their scores, as `ece_equal_count` and `roc_auc` give them."""
+    each, rest = divmod(len(q), bins)
+    size = np.array([each + 1] * rest + [each] * (bins - rest))
+    size = size[size > 0]
+    ece = np.abs(np.add.reduceat(y - q, np.cumsum(size) - size)).sum() / len(q)
+    first = np.flatnonzero(np.diff(q, prepend=-1.0))
+    pos, neg = (np.add.reduceat(side.astype(float), first) for side in (y == 1, y != 1))
+    pairs = pos.sum() * neg.sum()
+    return ece, float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs > 0 else np.nan
+
+
+def _few_label_in_task(table: pa.Table, stratum: str, y: str, p: str, row: str, m: int, seed: int) -> Callable[[int], list[tuple[float, float]]]:
+    """ECE and AUC of every kind for one draw.  Only the few-label scores depend on the draw, the others are ordered once."""
+    table = table.sort_by(row)
+    text = [f"|{r}|{seed}".encode() for r in table.column(row).to_pylist()]
+    score, label, pi_s, pi_true = (table.column(c).to_numpy().astype(float) for c in (p, y, "pi_s", "pi_true"))
+    groups = [np.flatnonzero(code) for s in np.unique(table.column(stratum).to_numpy()) for code in [table.column(stratum).to_numpy() == s]]
+
+    def shifted(to: np.ndarray) -> np.ndarray:
+        s, t = np.clip(pi_s, 0.01, 0.99), np.clip(to, 0.01, 0.99)
+        good, bad = t / s * score, (1 - t) / (1 - s) * (1 - score)
+        return good / (good + bad)
+
+    fixed = [(q, np.argsort(q, kind="stable")) for q in (shifted(pi_true), score)]
+
+    def draw(b: int) -> list[tuple[float, float]]:
+        start = hashlib.md5(str(b).encode())
+
+        def digest(t: bytes) -> bytes:
+            h = start.copy()
+            h.update(t)
+            return h.digest()[:8]
+
+        u = np.frombuffer(b"".join([digest(t) for t in text]), ">u8") >> np.uint64(12)
+        held, rate = np.ones(len(u), bool), pi_s.copy()
+        for rows in groups:
+            if len(rows) > m:
+                near = rows[u[rows] <= np.partition(u[rows], m - 1)[m - 1]]
+                known = near[np.argsort(u[near], kind="stable")[:m]]
+                held[known], rate[rows] = False, label[known].mean()
+        if not held.any():
+            return []
+        q = shifted(rate)
+        orders = [(q, np.argsort(q, kind="stable")), *fixed]
+        return [_ece_and_auc(q[o], label[o]) for q, order in orders for o in [order[held[order]]]]
+    return draw
+
+
+def _few_label_draws(rows: DataFrame, stratum: str, y: str, p: str, row: str, m: int, draws: int, seed: int) -> DataFrame:
+    """b, kind, ece, auc: every task has all rows, a few numbers each, and a share of the draws."""
+    tasks = max(1, min(draws, 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    fields = pa.schema([("b", pa.int64()), ("kind", pa.string()), ("ece", pa.float64()), ("auc", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        draw = _few_label_in_task(table, stratum, y, p, row, m, seed)
+        got = [(b, kind, *found) for b in range(table.column("_task")[0].as_py(), draws, tasks) for kind, found in zip(KINDS, draw(b))]
+        b, kind, ece, auc = zip(*got) if got else ((), (), (), ())
+        return pa.table([pa.array(b, pa.int64()), pa.array(kind, pa.string()), pa.array(ece, pa.float64()), pa.array(np.array(auc, float), pa.float64(), from_pandas=True)], schema=fields)
+
+    return spread(dealt, 1 << 30, "_task").groupBy("_task").applyInArrow(run, "b long, kind string, ece double, auc double")
+
+
 def few_label(target: DataFrame, source: DataFrame, stratum: str, y: str, p: str, row: str, m: int, draws: int, seed: int = 1) -> DataFrame:
     """Held-out ECE and AUC, as medians over draws, after base rates are re-estimated from m labels per stratum.
 
-    Strata with at most m rows keep the source rate; labelled rows are left out of the score.
+    Strata with at most m rows keep the source rate; labelled rows are left out of the score.  Tables that a task can hold
+    meet their draws there; in larger ones, and where values are missing, draws are rows.
     """
     prior = source.groupBy(stratum).agg(F.avg(y).alias("pi_s"))
     overall = source.agg(F.avg(y)).scalar()
     truth = target.groupBy(stratum).agg(F.avg(y).alias("pi_true"), F.count("*").alias("_size"))
     rates = truth.join(prior, stratum, "left").withColumn("pi_s", F.coalesce("pi_s", overall))
+    gap = F.col(row).isNull() | F.col(stratum).isNull() | F.col(y).isNull() | F.col(p).isNull() | F.isnan(F.col(p).cast("double"))
+    size, gaps = target.agg(F.count("*"), F.count_if(gap)).first()
+    if not gaps and fits_packed(target, size) and m > 0 and target.schema[row].dataType.typeName() in ("long", "integer", "string"):
+        rows = target.select(row, stratum, y, p).join(F.broadcast(rates.select(stratum, "pi_s", "pi_true")), stratum)
+        return _few_label_summary(_few_label_draws(rows, stratum, y, p, row, m, draws, seed))
     many = target.select(row, stratum, y, p, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")).alias("b"))
     fits = fits_in_task(many, ["b", stratum])
     many = cumulative(many.withColumn("_u", uniform("b", row, seed)), "_u", {"_rn": F.lit(1).cast("bigint")}, ["b", stratum], tie=row, fits=fits)
@@ -313,5 +386,8 @@ def few_label(target: DataFrame, source: DataFrame, stratum: str, y: str, p: str
         F.struct(F.lit("frozen").alias("kind"), F.col(p).alias("q")))))
     ece = ece_equal_count(j, y, "q", row, keys=["b", "kind"])
     auc = roc_auc(j, y, "q", ["b", "kind"]).select("b", "kind", "auc")
-    return ece.join(auc, ["b", "kind"]).groupBy("kind").agg(F.percentile("ece", 0.5).alias("ece"), F.percentile("auc", 0.5).alias("auc"),
-                                                          F.count("*").alias("draws"))
+    return _few_label_summary(ece.join(auc, ["b", "kind"]))
+
+
+def _few_label_summary(found: DataFrame) -> DataFrame:
+    return found.groupBy("kind").agg(F.percentile("ece", 0.5).alias("ece"), F.percentile("auc", 0.5).alias("auc"), F.count("*").alias("draws"))

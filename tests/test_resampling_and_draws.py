@@ -313,6 +313,25 @@ def test_summaries_and_ranks_equal_numpy(spark, monkeypatch):
     assert {r.dropped for r in DR.ablation(df, "key", RK.WEIGHTS, 50).collect()} == set(RK.WEIGHTS)
 
 
+def test_few_label_draws_in_tasks_equal_draws_as_rows(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, "abc"[i % 3] if i > 3 else "d", int(rng.random() < 0.4), round(float(rng.random()), 2)) for i in range(160)]
+    df = spark.createDataFrame(data, "row long, band string, y int, p double")
+    found = lambda: {r.kind: tuple(r) for r in RS.few_label(df.filter("row < 110"), df.filter("row >= 90"), "band", "y", "p", "row", 5, 3).collect()}
+    tasks, plain = [], RS.spread
+    try:
+        RS.spread = lambda *a: tasks.append(1) or plain(*a)
+        few = found()
+        assert len(tasks) == 1
+        spark.conf.set("spark.surveyframe.rowsPerTask", "20")
+        many = found()
+        assert len(tasks) == 1                                                          # the rows did not fit
+    finally:
+        RS.spread = plain
+        spark.conf.unset("spark.surveyframe.rowsPerTask")
+    assert few.keys() == many.keys() == {"few", "oracle", "frozen"} and all(few[k] == pytest.approx(many[k]) for k in few)
+
+
 def test_median_scores_are_drawn_once(spark, monkeypatch):
     """Ranks read the table of median scores several times; it must hold values by then, not draws to be made again."""
     from surveyframe.operators import metrics as MT
