@@ -163,7 +163,7 @@ def components(t):
 
 def ranked(t):
     c = components(t).withColumn("score", F.round(R.weighted_score(R.WEIGHTS), 9))
-    return R.shared_rank(c, "score", ["draw"])
+    return R.shared_rank(c.select("p_partkey", "draw", "score"), "score", ["draw"])
 
 
 @query("draw_ranks", "W14", f"with {COMP} select p_partkey, draw::int as draw, r as rank from rk")

@@ -332,6 +332,20 @@ def test_few_label_draws_in_tasks_equal_draws_as_rows(spark):
     assert few.keys() == many.keys() == {"few", "oracle", "frozen"} and all(few[k] == pytest.approx(many[k]) for k in few)
 
 
+def test_drawn_rows_are_dealt_and_ranked_from_one_copy(spark):
+    """A single file of planets is drawn in many tasks, and ranks of large draws read scores that are made once."""
+    planets = planet_frame(spark, planet_rows()).coalesce(1)
+    d = RK.planet_draws(planets, "key", 4)
+    assert d.rdd.getNumPartitions() > 1
+    score = RK.score_components(d, "key").select("key", "draw", F.round(RK.weighted_score(RK.WEIGHTS), 9).alias("score"))
+    want = {(r.key, r.draw): r["rank"] for r in RK.shared_rank(score, "score", ["draw"]).collect()}
+    spark.conf.set("spark.surveyframe.rowsPerTask", "20")
+    got = RK.shared_rank(score, "score", ["draw"])
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.key, r.draw): r["rank"] for r in got.collect()} == want
+    spark.conf.unset("spark.surveyframe.rowsPerTask")
+
+
 def test_median_scores_are_drawn_once(spark, monkeypatch):
     """Ranks read the table of median scores several times; it must hold values by then, not draws to be made again."""
     from surveyframe.operators import metrics as MT
