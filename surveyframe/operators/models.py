@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.stats import logit, sigmoid
-from surveyframe.operators.scale import materialise, salted_join, scalar_of
+from surveyframe.operators.scale import materialise, salted_join, scalar_of, spread
 
 
 def majority_baseline(df: DataFrame, label: str, train: Column) -> DataFrame:
@@ -485,43 +485,55 @@ class NoiseProfile:
     """Likelihood of residuals under base + amplitude^2 x shape, for any amplitude at the cost of a sum.
 
     With base = L L', the eigenvectors of L^-1 shape L'^-1 turn the residuals into independent terms whose variances
-    are 1 + amplitude^2 x eigenvalue, whatever the amplitude.
+    are 1 + amplitude^2 x eigenvalue, whatever the amplitude.  Visits of equal length may be stacked: residuals of shape
+    (visits, n), base and shape of (visits, n, n); the results then have one element per visit.
     """
 
     def __init__(self, residual: np.ndarray, base: np.ndarray, shape: np.ndarray):
-        n = len(residual)
+        n = residual.shape[-1]
         low = np.linalg.cholesky(base + 1e-9 * np.eye(n))
-        inner = np.linalg.solve(low, np.linalg.solve(low, shape).T)
-        self.eigen, turn = np.linalg.eigh((inner + inner.T) / 2)
+        inner = np.linalg.solve(low, np.linalg.solve(low, shape).swapaxes(-1, -2))
+        self.eigen, turn = np.linalg.eigh((inner + inner.swapaxes(-1, -2)) / 2)
         self.eigen = np.maximum(self.eigen, 0.0)
-        self.z2 = (turn.T @ np.linalg.solve(low, residual)) ** 2
-        self.constant = -np.log(np.diag(low)).sum() - 0.5 * n * math.log(2 * math.pi)
+        white = np.linalg.solve(low, residual[..., None])
+        self.z2 = (turn.swapaxes(-1, -2) @ white)[..., 0] ** 2
+        self.constant = -np.log(np.diagonal(low, axis1=-2, axis2=-1)).sum(axis=-1) - 0.5 * n * math.log(2 * math.pi)
 
-    def log_likelihood(self, log10_amplitude) -> np.ndarray:
-        """At one or many logarithms of the amplitude; minus infinity is an amplitude of zero."""
-        v = 1 + np.multiply.outer(10.0 ** (2 * np.asarray(log10_amplitude, float)), self.eigen)
+    def _at(self, log10_amplitude: np.ndarray) -> np.ndarray:
+        """At one logarithm of the amplitude per visit."""
+        v = 1 + 10.0 ** (2 * np.asarray(log10_amplitude, float))[..., None] * self.eigen
         return self.constant - 0.5 * (self.z2 / v + np.log(v)).sum(axis=-1)
 
-    def best(self, bounds: tuple[float, float] = LOG_AMPLITUDES, steps: int = GRID) -> tuple[float, float, float, float, float]:
+    def log_likelihood(self, log10_amplitude) -> np.ndarray:
+        """At one or many logarithms of the amplitude, which come first in the result; minus infinity is an amplitude of zero."""
+        x = np.asarray(log10_amplitude, float)
+        return np.stack([self._at(np.full(self.eigen.shape[:-1], a)) for a in x.ravel()]).reshape(x.shape + self.eigen.shape[:-1])
+
+    def best(self, bounds: tuple[float, float] = LOG_AMPLITUDES, steps: int = GRID) -> tuple[np.ndarray, ...]:
         """(log10 amplitude, lnL there, lnL without, low, high): where the likelihood stays within 0.5 of its best.
 
         The amplitude is 0 (minus infinity) where none improves on it; low is minus infinity where the range's start is inside.
         """
         grid = np.linspace(*bounds, steps)
         profile = self.log_likelihood(grid)
-        i = int(profile.argmax())
-        lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, steps - 1)]
+        i = profile.argmax(axis=0)
+        lo, hi = grid[np.maximum(i - 1, 0)], grid[np.minimum(i + 1, steps - 1)]
         for _ in range(60):                      # the peak is single inside one cell
             a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-            lo, hi = (a, hi) if self.log_likelihood(a) < self.log_likelihood(b) else (lo, b)
-        at, none = (lo + hi) / 2, float(self.log_likelihood(-np.inf))
-        top = float(self.log_likelihood(at))
-        if top <= none:
-            at, top = -np.inf, none
-        inside = grid[profile >= top - 0.5]
-        if not len(inside):
-            return at, top, none, -np.inf, -np.inf
-        return at, top, none, -np.inf if inside[0] <= bounds[0] + 1e-9 else float(inside[0]), float(inside[-1])
+            up = self._at(a) < self._at(b)
+            lo, hi = np.where(up, a, lo), np.where(up, hi, b)
+        at, none = (lo + hi) / 2, self._at(np.full(np.shape(lo), -np.inf))
+        top = self._at(at)
+        better = top > none
+        at, top = np.where(better, at, -np.inf), np.where(better, top, none)
+        inside = profile >= top - 0.5
+        first, last = grid[inside.argmax(axis=0)], grid[steps - 1 - inside[::-1].argmax(axis=0)]
+        some = inside.any(axis=0)
+        low = np.where(some & (first > bounds[0] + 1e-9), first, -np.inf)
+        return at, top, none, low, np.where(some, last, -np.inf)
+
+
+VISITS, CELLS = 256, 1_000_000                   # visits of equal length that are fitted together, and elements of their matrices, at most
 
 
 def amplitude_profile(points: DataFrame, visit: str, x: str, y: str, sigma: str, level: str, templates: dict[str, float], offset_sd: float, length: float,
@@ -530,22 +542,36 @@ def amplitude_profile(points: DataFrame, visit: str, x: str, y: str, sigma: str,
 
     The base noise is sigma plus the templates (columns, with the prior deviation of their amplitudes, in units of
     `level`) and a free offset; the correlated part follows `level` and, where given, the column `weight`.  A visit is
-    a fixed grid of at most a few hundred rows, so it is one small eigenproblem.
+    a fixed grid of at most a few hundred rows, so it is one small eigenproblem and travels as one row; those of a batch
+    that are equally long are solved together.
     """
-    types = dict(points.dtypes)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(x)
-        t, d = p[x].to_numpy(float), p[level].to_numpy(float)
-        basis = np.column_stack([*[d * p[c].to_numpy(float) for c in templates], np.ones(len(p))])
+    kind = dict(points.dtypes)[visit]
+    columns = list(dict.fromkeys([x, y, sigma, level, *templates, *([weight] if weight else [])]))
+    rows = points.groupBy(visit).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]))).alias("_p"))
+    packed = rows.select(F.col(visit).alias("_visit"), *[F.col("_p")[c].alias(f"_{i}") for i, c in enumerate(columns)])
+
+    def fit(stack: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        t, d = stack[x], stack[level]
+        basis = np.stack([*[d * stack[c] for c in templates], np.ones_like(d)], axis=-1)
         prior = np.array([*templates.values(), offset_sd]) ** 2
-        base = np.diag(p[sigma].to_numpy(float) ** 2) + (basis * prior) @ basis.T
-        w = d * (p[weight].to_numpy(float) if weight else 1.0)
-        shape = np.outer(w, w) * np.exp(-0.5 * ((t[:, None] - t[None]) / length) ** 2)
-        found = NoiseProfile(p[y].to_numpy(float) - d, base, shape).best(bounds, steps)
-        return pd.DataFrame([(p[visit].iloc[0], len(p), *found)], columns=[visit, "points", "log10_amplitude", "lnl", "lnl_none", "low", "high"])
+        base = (basis * prior) @ basis.swapaxes(-1, -2)
+        base += stack[sigma][..., None] ** 2 * np.eye(t.shape[-1])
+        w = d * (stack[weight] if weight else 1.0)
+        shape = w[:, :, None] * w[:, None, :] * np.exp(-0.5 * ((t[:, :, None] - t[:, None, :]) / length) ** 2)
+        return NoiseProfile(stack[y] - d, base, shape).best(bounds, steps)
 
-    return points.groupBy(visit).applyInPandas(fit, f"{visit} {types[visit]}, points long, log10_amplitude double, lnl double, lnl_none double, low double, high double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            size = f["_0"].map(len).to_numpy()
+            for n in np.unique(size):
+                same = f[size == n]
+                step = max(1, min(VISITS, CELLS // n ** 2))
+                for lo in range(0, len(same), step):
+                    part = same.iloc[lo:lo + step]
+                    found = fit({c: np.stack(part[f"_{i}"].to_list()).astype(float) for i, c in enumerate(columns)})
+                    yield pd.DataFrame({visit: part["_visit"].to_numpy(), "points": n, **dict(zip(("log10_amplitude", "lnl", "lnl_none", "low", "high"), found))})
+
+    return spread(packed, 1 << 30).mapInPandas(run, f"{visit} {kind}, points long, log10_amplitude double, lnl double, lnl_none double, low double, high double")
 
 
 def joint_information(points: DataFrame, keys: Sequence[str], signal: str, weight: str) -> DataFrame:

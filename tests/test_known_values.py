@@ -362,6 +362,24 @@ def test_amplitude_profiles_against_dense_likelihoods(spark):
     assert got[2].low > -2 and abs(got[2].log10_amplitude + 1) < 0.4
 
 
+def test_stacked_visits_equal_visits_alone(spark, monkeypatch):
+    """Visits of a batch are solved together by their length, in steps, and a visit does not depend on the others."""
+    rng = np.random.default_rng(9)
+    rows = [(v, float(i), float(rng.normal(10, 1)), 0.2, 10.0, 1 + 0.1 * i) for v in range(9) for i in range(5 + v % 3)]
+    df = spark.createDataFrame(rows, "visit int, x double, y double, s double, d double, spot double")
+    monkeypatch.setattr(ML, "VISITS", 2)
+    fit = lambda p: {r.visit: tuple(r) for r in ML.amplitude_profile(p, "visit", "x", "y", "s", "d", {"spot": 0.01}, 0.5, 2.0, "spot").collect()}
+    together, seen = fit(df), 0
+    for v in (0, 4, 8):
+        assert fit(df.filter(F.col("visit") == v))[v] == pytest.approx(together[v])
+    profile = ML.NoiseProfile(np.ones((3, 4)), np.stack([np.eye(4) * k for k in (1.0, 2.0, 3.0)]), np.stack([np.full((4, 4), 0.5)] * 3))
+    for k, best in enumerate(zip(*profile.best())):
+        alone = ML.NoiseProfile(np.ones(4), np.eye(4) * (k + 1.0), np.full((4, 4), 0.5)).best()
+        assert [float(b) for b in best] == pytest.approx([float(b) for b in alone], abs=1e-9)
+        seen += 1
+    assert len(together) == 9 and seen == 3
+
+
 def test_information_and_projection():
     rng = np.random.default_rng(1)
     t = np.linspace(0, 1, 60)
