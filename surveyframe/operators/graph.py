@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyframe.functions.basics import finite
-from surveyframe.operators.scale import cumulative, materialise, salted_join
+from surveyframe.operators.scale import cumulative, fits_packed, materialise, salted_join
 
 PERIOD_TOLERANCE = 1e-4   # fixed value: largest relative period difference of twins
 EPOCH_FACTOR = 0.5        # fixed value: largest folded epoch offset in durations
@@ -50,21 +53,57 @@ def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", n
 
     A node's smallest neighbour is a combinable aggregate and the join back is salted, so a node with very
     many neighbours is never gathered.  Each round is written to the checkpoint folder; rounds go on until
-    the edges no longer change, their number grows with the logarithm of the longest chain.
+    the edges no longer change, their number grows with the logarithm of the longest chain.  Every round leaves fewer
+    edges; once a task can hold their numbers, the rest is done there.
     """
     live = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     live = materialise(live)
-    seen = None
+    seen, numbers = None, live.schema["u"].dataType.typeName() in ("integer", "long")
     while True:
         mark = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
+        if numbers and fits_packed(live, mark[0]):
+            live = _rooted(live)
+            break
         seen = mark
         live = materialise(_star_step(_star_step(live, large=True), large=False))
     labels = live.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", node)
     return nodes.select(node).distinct().join(labels, node, "left").withColumn("root", F.coalesce("root", node))
 
 
+def smallest_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges a-b and the smallest node of each one's component: roots hang on smaller ones until none is left to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) from every node to the smallest of its component, from edges that a task can hold."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *frames])
+        node, root = smallest_of_component(f["u"].to_numpy(), f["v"].to_numpy())
+        for lo in range(0, len(node), 100_000):
+            yield pd.DataFrame({"u": node[lo:lo + 100_000], "v": root[lo:lo + 100_000]})
+
+    return materialise(edges.select("u", "v").repartition(1).mapInPandas(run, f"u {kind}, v {kind}"))
+
+
 def _star_step(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: hang bigger neighbours on the smallest neighbour.  Small star: hang smaller ones on it."""
     if large:

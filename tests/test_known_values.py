@@ -362,6 +362,19 @@ def test_amplitude_profiles_against_dense_likelihoods(spark):
     assert got[2].low > -2 and abs(got[2].log10_amplitude + 1) < 0.4
 
 
+def test_components_are_finished_in_a_task_that_holds_their_edges(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 620)] + [(900, i) for i in range(700, 800)]
+    df, nodes = spark.createDataFrame(edges, "a long, b long"), spark.range(1000).withColumnRenamed("id", "node")
+    steps, plain = [], G._star_step
+    monkeypatch.setattr(G, "_star_step", lambda e, large: steps.append(1) or plain(e, large))
+    found = lambda: {r.node: r.root for r in G.components(df, nodes).collect()}
+    few = found()
+    assert not steps
+    monkeypatch.setattr(G, "fits_packed", lambda df, rows: False)
+    assert found() == few and steps and len(few) == 1000 and few[620] == 500 and few[900] == 700
+
+
 def test_stacked_visits_equal_visits_alone(spark, monkeypatch):
     """Visits of a batch are solved together by their length, in steps, and a visit does not depend on the others."""
     rng = np.random.default_rng(9)
