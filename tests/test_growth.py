@@ -138,3 +138,48 @@ def test_rank_correlation_sums_up_per_value(spark, tiny_tasks, monkeypatch):
         assert got["flat"] == (None, 50) and len(got) == 3
     one = M.spearman(df.filter("g = 'u'"), "b", "a").first()
     assert (one.spearman, one.rows) == (pytest.approx(got["u"][0], abs=1e-12), 120)
+
+
+# ---- model comparison ----------------------------------------------------------------------------------
+
+def test_series_of_exponentials_are_the_exponentials():
+    """Draws next to each other take few terms, spread ones are taken one by one; objects of unequal magma share nothing."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"key": [0, 0, 1, 2, 2, 2, 3], "y": [0, 0, 1, 0.25, 0.25, 0.25, 1], "margin": rng.normal(size=7), "magma": [0, 0, 1, 1, 0, 2, 0.0], "n": [1, 2, 1, 1, 1, 1, 3.0], "c": 1.0})
+    one, tiles = RK._tiles(rows)
+    use = {"intercept": (0, 0), "slope": (1, 0), "magma": (0, 1), "both": (1, 1)}
+    for spread, few in ((1e-3, True), (5.0, False)):
+        theta = {"alpha": rng.normal(size=20), "beta": -2 + spread * rng.normal(size=20), "gamma": 3 * rng.normal(size=20)}
+        assert (0 < RK._Exponentials(tiles, theta, 1).terms < 10) == few
+        for tile, made in RK._probabilities(tiles, theta, use):
+            for model, p in ((m, p) for names, p in made for m in names):
+                for at, got in zip(tile.at, p):
+                    r = rows[rows["key"] == one["key"][at]]
+                    z = theta["alpha"] + use[model][0] * np.outer(r["margin"], theta["beta"]) + use[model][1] * np.outer(r["magma"], theta["gamma"])
+                    assert got == pytest.approx(np.average(1 / (1 + np.exp(-z)), axis=0, weights=r["n"]), rel=1e-13)
+
+
+def test_models_without_margins_meet_objects_alike_once_and_far_draws_add_nothing(spark):
+    rng, n, objects = np.random.default_rng(5), 3000, 400
+    rows = [(k, float(m), float(k % 2), (0.0, 0.25, 1.0)[k % 3]) for k in range(objects) for m in rng.normal(size=1 + k % 2)]
+    df = spark.createDataFrame(rows, "k long, m double, g double, y double").repartition(3)
+    seen = {tuple(use): kinds.count() for use, kinds, _ in RK._seen_apart(RK._margin_rows(df, "k", "m", "g", "y"), RK.MODELS)}
+    assert seen == {("slope", "both"): len(rows), ("intercept",): 3, ("magma",): 6}
+    z = RK._normal_block(0, n, 1), RK._normal_block(1, n, 1)
+    th = {c: RK.NEUTRAL[c][0] + RK.NEUTRAL[c][1] * np.concatenate([b[c] for b in z]) for c in RK.NEUTRAL}
+    got = {r.model: r for r in RK.model_comparison(df, "k", "m", "g", "y", n).collect()}
+    for model, use in RK.MODELS.items():
+        p, y = [], []
+        for k in range(objects):
+            s = [1 / (1 + np.exp(-(th["alpha"] + use[0] * th["beta"] * m + use[1] * th["gamma"] * g))) for i, m, g, _ in rows if i == k]
+            p.append(np.clip(np.mean(s, axis=0), 1e-9, 1 - 1e-9))
+            y.append((0.0, 0.25, 1.0)[k % 3])
+        p, y = np.array(p), np.array(y)[:, None]
+        ll = y * np.log(p) + (1 - y) * np.log(1 - p)
+        total = ll.sum(axis=0)
+        if use[0]:
+            assert (total < total.max() - 800).any()                      # draws without weight
+        e = np.exp(total - ll - (total - ll).max(axis=1)[:, None])
+        q = ((e * p).sum(axis=1) / e.sum(axis=1))[:, None]
+        assert got[model].log_marginal == pytest.approx(total.max() + np.log(np.mean(np.exp(total - total.max()))), abs=1e-8)
+        assert got[model].loo_score == pytest.approx((y * np.log(q) + (1 - y) * np.log(1 - q)).mean(), abs=1e-10)
