@@ -6,6 +6,7 @@ from surveyframe.functions.basics import epoch_days, uniform
 from surveyframe.operators import cleaning as C
 from surveyframe.operators import graph as G
 from surveyframe.operators import splits as S
+from surveyframe.operators.scale import salted_join
 from surveyframe.plans.cleaning import STATUS, STATUS_SQL
 from surveyframe.plans.registry import query, sql_mod, sql_uniform
 
@@ -31,8 +32,8 @@ def twins(t):
     return G.signal_twins(candidates(t), "id", "star", "p", "t", "d")
 
 
-def families(t):
-    return G.signal_families(candidates(t), "id", "star", "p", "t", "d")
+def families(t, *carry):
+    return G.signal_families(candidates(t), "id", "star", "p", "t", "d", carry)
 
 
 @query("signal_twins", "J01", f"with {_CAND}, {_TWINS} select * from twins")
@@ -42,7 +43,8 @@ def _(t):
 
 @query("signal_families", "J02", f"with recursive {_CAND}, {_TWINS}, {_REACH} select id, dense_rank() over (order by root) as family from fam")
 def _(t):
-    return G.numbered(families(t).withColumnRenamed("family_root", "root")).select("id", "family")
+    stars = G.numbered(G.star_families(candidates(t), "id", "star", "p", "t", "d"))
+    return salted_join(candidates(t).select("id", "star"), stars, ["star"]).select("id", "family")
 
 
 @query("family_sizes", "J02", f"with recursive {_CAND}, {_TWINS}, {_REACH}, n as (select root, count(*) as members from fam group by 1) select members, count(*) as families from n group by 1")

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from surveyframe.operators import graph as G
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as RK
 from surveyframe.operators import timeseries as TS
@@ -183,3 +184,57 @@ def test_models_without_margins_meet_objects_alike_once_and_far_draws_add_nothin
         q = ((e * p).sum(axis=1) / e.sum(axis=1))[:, None]
         assert got[model].log_marginal == pytest.approx(total.max() + np.log(np.mean(np.exp(total - total.max()))), abs=1e-8)
         assert got[model].loo_score == pytest.approx((y * np.log(q) + (1 - y) * np.log(1 - q)).mean(), abs=1e-10)
+
+
+# ---- families ------------------------------------------------------------------------------------------
+
+def plain_families(rows, pairs):
+    """id -> smallest id of its component of {same star} and {pair}."""
+    root = {r[0]: r[0] for r in rows if r[1] is not None}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first = {}
+    for i, star in ((r[0], r[1]) for r in rows if r[1] is not None):
+        pairs = [*pairs, (first.setdefault(star, i), i)]
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {i: top(i) for i in root}
+
+
+@pytest.mark.parametrize("name", [lambda k: k, lambda k: f"s{k}"])
+def test_families_are_linked_where_their_periods_meet(spark, monkeypatch, name):
+    """Against all pairs; copies, no durations, missing values and missing stars occur, and cells are one bucket wide."""
+    rng, rows = np.random.default_rng(31), []
+    for i in range(400):
+        p = 3 * (1 + 0.6e-4) ** int(rng.integers(0, 300))
+        rows.append((1000 - i, None if i % 97 == 5 else name(int(rng.integers(0, 330))), p if i % 50 else float("nan"), float(rng.integers(0, 8)), float(rng.choice([0, 0.3, 0.9])) if i % 31 else None))
+    rows += [(2000 + i, name(500 + i), 3.0, 1.0, d) for i, d in enumerate([0.5, 0.5, 0.5, 0.0, 0.0])] + [(2100 + i, name(600 + i), 70.0, 1.0, 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, f"id long, star {'long' if name(1) == 1 else 'string'}, p double, t double, d double").repartition(5)
+    twins = [(r.a_id, r.b_id) for r in G.signal_twins(df, "id", "star", "p", "t", "d").collect()]
+    want = plain_families(rows, twins)
+    assert 40 < len(set(want.values())) < len(want) - 60
+    joined = []
+    monkeypatch.setattr(G, "_near_pairs", lambda *a: joined.append(1))        # twins are not made as rows
+    monkeypatch.setattr(G, "BUCKETS_PER_CELL", 1)
+    assert {r.id: r.family_root for r in G.signal_families(df, "id", "star", "p", "t", "d").collect()} == want and not joined
+    monkeypatch.setattr(G, "fits_packed", lambda df, rows: False)             # more stars than a task holds
+    carried = G.signal_families(df, "id", "star", "p", "t", "d", ("star", "t")).collect()
+    assert {r.id: r.family_root for r in carried} == want and {(r.id, r.star, r.t) for r in carried} == {(i, s, t) for i, s, _, t, _ in rows if s is not None}
+
+
+def test_a_forest_folds_edges_as_they_come(monkeypatch):
+    monkeypatch.setattr(G, "EDGES_AT_ONCE", 8)
+    rng, forest, every = np.random.default_rng(2), G._Forest(), []
+    for _ in range(40):
+        a, b = rng.integers(0, 300, (2, 5))
+        forest.add(a, b)
+        every.append((a, b))
+        assert forest.size <= max(8, len(forest.a))
+    packed = [e for batch in forest.packed() for e in G._numbers(batch)]
+    node, root = G.smallest_of_component(*(np.concatenate(x) for x in zip(*every)))
+    assert dict(zip(*(np.concatenate(x).tolist() for x in zip(*packed)))) == {n: r for n, r in zip(node.tolist(), root.tolist()) if n != r}
