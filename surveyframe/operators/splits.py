@@ -86,7 +86,7 @@ def pairs_across(pairs: DataFrame, split: DataFrame, row: str) -> DataFrame:
 
 def drop_bridging(df: DataFrame, family: str, labelled: Column, split: str, seed: int, shares: dict[str, float]) -> DataFrame:
     """Unlabelled members of families whose labelled members span several splits are removed; others inherit or draw a split."""
-    known = df.filter(labelled).groupBy(family).agg(F.count_distinct(split).alias("_n"), F.min(split).alias("_s"))
+    known = df.filter(labelled).select(family, split).distinct().groupBy(family).agg(F.count(split).alias("_n"), F.min(split).alias("_s"))
     j = salted_join(df, known, [family], "left")
     kept = j.filter(labelled | F.col("_n").isNull() | (F.col("_n") <= 1))
     u, low, drawn = uniform(family, seed), 0.0, F

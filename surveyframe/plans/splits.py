@@ -120,8 +120,7 @@ k as (select root, count(distinct split) as n, min(split) as s from r where labe
 select r.id, case when labelled then r.split else coalesce(s, case when {_BRIDGE_U.replace('root', 'r.root')} < 0.7::double then 'train' else 'test' end) end as split
 from r left join k using (root) where labelled or n is null or n <= 1""")
 def _(t):
-    fam = families(t)
-    rows = candidates(t).join(fam, "id").withColumn("labelled", F.col("o_orderstatus") != "P")
+    rows = families(t, "star", "o_orderstatus").withColumn("labelled", F.col("o_orderstatus") != "P")
     own = F.when(uniform("star", 6) < 0.7, "train").otherwise("test")
     rows = rows.withColumn("split", F.when(F.col("labelled"), own))
     got = S.drop_bridging(rows, "family_root", F.col("labelled"), "split", 9, {"train": 0.7, "test": 0.3})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from surveyframe.operators import graph as G
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as RK
+from surveyframe.operators import splits as SP
 from surveyframe.operators import timeseries as TS
 from surveyframe.operators import vectors as V
 from surveyframe.sources import text as X
@@ -238,3 +239,19 @@ def test_a_forest_folds_edges_as_they_come(monkeypatch):
     packed = [e for batch in forest.packed() for e in G._numbers(batch)]
     node, root = G.smallest_of_component(*(np.concatenate(x) for x in zip(*every)))
     assert dict(zip(*(np.concatenate(x).tolist() for x in zip(*packed)))) == {n: r for n, r in zip(node.tolist(), root.tolist()) if n != r}
+
+
+def test_splits_of_a_family_are_made_distinct_before_they_are_counted(spark):
+    rows = [(1, 7, True, "a"), (2, 7, True, "b"), (3, 7, False, None), (4, 8, True, "a"), (5, 8, False, None), (6, 9, False, None), (7, 10, True, None), (8, 10, False, None)]
+    df = spark.createDataFrame(rows, "id long, family long, labelled boolean, split string")
+    got = SP.drop_bridging(df, "family", F.col("labelled"), "split", 9, {"x": 1.0})
+    assert {r.id: r.split for r in got.collect()} == {1: "a", 2: "b", 4: "a", 5: "a", 6: "x", 7: None, 8: "x"}
+    assert "count(distinct" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_bridging_rows_meet_their_family_by_star(spark):
+    from surveyframe.plans.registry import Tables, load_all
+
+    got = load_all()["bridging_families"].run(Tables(spark, "/root/testdata/sf0.001"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3 and got.count() > 0
