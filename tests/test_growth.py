@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from surveyframe.operators import draws as DR
 from surveyframe.operators import graph as G
 from surveyframe.operators import metrics as M
 from surveyframe.operators import ranking as RK
@@ -255,3 +256,25 @@ def test_bridging_rows_meet_their_family_by_star(spark):
     got = load_all()["bridging_families"].run(Tables(spark, "/root/testdata/sf0.001"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3 and got.count() > 0
+
+
+# ---- ranks of draws ------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("s", [[0.3, 1.0, 0.3, 0.0, 0.999999999, 1.0], [], [0.5], [-0.25, 0.5, -0.25], [3e8, 0.1, 3e8, 2e12]])
+def test_ranks_down_share_the_better_rank(s):
+    s = np.array(s, float)
+    assert DR.ranks_down(s).tolist() == [1 + int((s > x).sum()) for x in s]
+
+
+def test_planets_that_are_never_small_draw_no_margin(monkeypatch):
+    rng, n = np.random.default_rng(8), 6
+    f = pd.DataFrame({c: rng.uniform(0.01, 0.02, n) if "_err" in c else rng.uniform(1, 2, n) for c in DR.QUANTITIES} | {"mass_measured": True, "transiting": True, "_h": np.arange(n)})
+    f["rade"] = [1.0, 3.0, 1.49, 4.0, 2.0, 0.8]
+    drawn, plain = {}, DR.normals
+    monkeypatch.setattr(DR, "normals", lambda key, draws, tag, seed: drawn.update({tag: len(key)}) or plain(key, draws, tag, seed))
+    every = DR.physics(f, np.arange(50))
+    assert drawn["x"] == drawn["L"] == n
+    some = DR.physics(f, np.arange(50), only=DR.SCORED)
+    assert drawn["x"] == drawn["L"] == 3 and drawn["R"] == n
+    old = (every["R"] < 1.5) & (every["margin_primary"] < 0)
+    assert np.array_equal(DR.components(some)["terrestrial_atm"], old) and np.array_equal(DR.components(every)["terrestrial_atm"], old)
